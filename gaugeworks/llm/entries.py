@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import line_dedup, secret_scan
+from gaugeworks.llm import gif_media, line_dedup, packing, secret_scan
 from gaugeworks.llm.common import read_table, written
 
 
@@ -23,9 +23,26 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = gif_media.store_payloads(read_table(spark, sf_dir, "documents"))
+    feature = F.concat(F.format_string("%d frames, %d ms, colours ", "n_frames", "duration_ms"), F.array_join(F.col("histogram").cast("array<string>"), " "))
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "n_frames", "duration_ms", "histogram")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack_documents(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
 QUERIES = {
     "op3_secret_scans": op3_secret_scans,
+    "op7_gif_media": op7_gif_media,
     "op8_line_dedup": op8_line_dedup,
+    "op10_packing": op10_packing,
 }
 
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
