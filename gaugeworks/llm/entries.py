@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import gif_media, line_dedup, packing, secret_scan
-from gaugeworks.llm.common import read_table, written
+from gaugeworks.llm import gif_media, language_id, line_dedup, packing, secret_scan
+from gaugeworks.llm.common import held_out, read_table, written
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    passages = language_id.sample_passages(docs.where(~held_out(F.col("doc_id"), 4, 2)).select("text", "lang"))
+    found = language_id.identify(docs.select("doc_id", "text"), passages, reject=False)
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 4, 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +46,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_secret_scans": op3_secret_scans,
     "op7_gif_media": op7_gif_media,
     "op8_line_dedup": op8_line_dedup,
