@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import gif_media, language_id, line_dedup, packing, secret_scan
+from gaugeworks.llm import gif_media, language_id, line_dedup, packing, secret_scan, toxicity
 from gaugeworks.llm.common import held_out, read_table, written
 
 
@@ -30,6 +30,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "toxic")
+    found = toxicity.score_documents(docs, toxicity.fit(docs, labels))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 5, 0).alias("held_out"), "score", "predicted", "clauses", "worst")
+
+
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = gif_media.store_payloads(read_table(spark, sf_dir, "documents"))
     feature = F.concat(F.format_string("%d frames, %d ms, colours ", "n_frames", "duration_ms"), F.array_join(F.col("histogram").cast("array<string>"), " "))
@@ -48,6 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_secret_scans": op3_secret_scans,
+    "op4_toxicity": op4_toxicity,
     "op7_gif_media": op7_gif_media,
     "op8_line_dedup": op8_line_dedup,
     "op10_packing": op10_packing,
