@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import gif_media, language_id, line_dedup, packing, secret_scan, toxicity
+from gaugeworks.llm import gif_media, language_id, line_dedup, ngram_join, packing, secret_scan, toxicity
 from gaugeworks.llm.common import held_out, read_table, written
 
 
@@ -37,6 +37,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 5, 0).alias("held_out"), "score", "predicted", "clauses", "worst")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"))
+
+
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = gif_media.store_payloads(read_table(spark, sf_dir, "documents"))
     feature = F.concat(F.format_string("%d frames, %d ms, colours ", "n_frames", "duration_ms"), F.array_join(F.col("histogram").cast("array<string>"), " "))
@@ -56,6 +60,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_secret_scans": op3_secret_scans,
     "op4_toxicity": op4_toxicity,
+    "op6_ngram_join": op6_ngram_join,
     "op7_gif_media": op7_gif_media,
     "op8_line_dedup": op8_line_dedup,
     "op10_packing": op10_packing,
@@ -94,6 +99,18 @@ ORACLE_SQL = {
     SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
            sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
     FROM documents LEFT JOIN per_doc USING (doc_id)""",
+    "op6_ngram_join": f"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array({_ASCII_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') AS s
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM words WHERE len(ws) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY a, b),
+    links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+    SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id
+    FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id""",
     "op8_line_dedup": f"""
     WITH lines AS (
         SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos
