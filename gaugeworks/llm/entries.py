@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import gif_media, language_id, line_dedup, ngram_join, packing, secret_scan, toxicity
+from gaugeworks.llm import embedding_dedup, gif_media, language_id, line_dedup, ngram_join, packing, secret_scan, toxicity
 from gaugeworks.llm.common import held_out, read_table, written
 
 
@@ -37,6 +37,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 5, 0).alias("held_out"), "score", "predicted", "clauses", "worst")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_secret_scans": op3_secret_scans,
     "op4_toxicity": op4_toxicity,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op7_gif_media": op7_gif_media,
     "op8_line_dedup": op8_line_dedup,
@@ -99,6 +104,16 @@ ORACLE_SQL = {
     SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
            sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
     FROM documents LEFT JOIN per_doc USING (doc_id)""",
+    "op5_embedding_dedup": """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+    parts AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+    degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings JOIN parts ON parts.a = vec_id LEFT JOIN degrees ON degrees.a = vec_id""",
     "op6_ngram_join": f"""
     WITH RECURSIVE words AS (
         SELECT doc_id, list_filter(regexp_split_to_array({_ASCII_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
