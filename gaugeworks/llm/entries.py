@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import embedding_dedup, gif_media, language_id, line_dedup, ngram_join, packing, secret_scan, toxicity
+import corpus_pipeline
+from gaugeworks.llm import chat_format, embedding_dedup, gif_media, language_id, line_dedup, ngram_join, packing, secret_scan, sentencepiece_dropout, toxicity
 from gaugeworks.llm.common import held_out, read_table, written
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_dropout.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     passages = language_id.sample_passages(docs.where(~held_out(F.col("doc_id"), 4, 2)).select("text", "lang"))
@@ -51,6 +58,11 @@ def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "n_frames", "duration_ms", "histogram")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.rotate_perspectives(read_table(spark, sf_dir, "conversations"))
+    return rows.withColumn("masks", F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ","))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
     "op3_secret_scans": op3_secret_scans,
     "op4_toxicity": op4_toxicity,
@@ -68,7 +81,9 @@ QUERIES = {
     "op6_ngram_join": op6_ngram_join,
     "op7_gif_media": op7_gif_media,
     "op8_line_dedup": op8_line_dedup,
+    "op9_chat_format": op9_chat_format,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -136,4 +151,20 @@ ORACLE_SQL = {
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
     FROM judged GROUP BY doc_id""",
+    "op9_chat_format": r"""
+    WITH t AS (
+        SELECT conv_id, coalesce(turn // 512, -1) AS part, turn, role, replace(coalesce(text, ''), '<|', '<\|') AS body, role = 'system' AS context,
+               regexp_replace(coalesce(role, 'unknown'), '[|<>\s]', '_', 'g') AS name FROM conversations),
+    speakers AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
+    said AS (
+        SELECT t.conv_id, participant, part, turn, role, body, role IS NOT DISTINCT FROM participant AS own,
+               CASE WHEN context THEN '<|' || name || '|>' WHEN role = participant THEN '<|assistant|>' ELSE '<|user name=' || name || '|>' END || chr(10) AS head
+        FROM t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+    placed AS (
+        SELECT *, length(head) + length(body) + 8 AS size,
+               sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id, participant, part ORDER BY turn, role, body ROWS UNBOUNDED PRECEDING) AS stop FROM said)
+    SELECT conv_id, participant, part, count(*) AS n_turns, string_agg(head || body || '<|end|>' || chr(10), '' ORDER BY turn, role, body) AS text,
+           coalesce(string_agg((stop - size + length(head))::BIGINT || ':' || (stop - 1)::BIGINT, ',' ORDER BY stop) FILTER (own), '') AS masks,
+           coalesce(sum(length(body) + 7) FILTER (own), 0)::BIGINT AS n_masked
+    FROM placed GROUP BY conv_id, participant, part""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import WHITESPACE, ascii_lower, documents
+from gaugeworks.llm.common import WHITESPACE, ascii_lower
 
 
 def line_key(line: Column) -> Column:
@@ -18,11 +18,11 @@ def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(0x5BD1E995), key).alias("b"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines that at least `min_docs` documents hold, except in the smallest id that holds them.
 
-    Returns doc_id, text (the kept lines in their order, joined by newlines), n_lines, n_dropped; a row per
-    input row. Only keys of at least `min_chars` code points count. Repeats inside one document don't make a
+    Returns doc_id, text (the kept lines in their order, joined by newlines), n_lines, n_dropped and, in the
+    struct `carried`, the columns in `carry`; a row per input row. Only keys of at least `min_chars` code points count. Repeats inside one document don't make a
     line common, but if it is common elsewhere, all its repeats go.
 
     A null or empty text is one empty line, which is never dropped. Rows with one id are one document. A row
@@ -32,7 +32,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shuffle; so a line that a third of all documents share costs a row per task. The join of the common keys
     with their holders is a sort-merge join, whose hot partitions adaptive execution splits.
     """
-    base = documents(docs, id_col, text_col).withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).drop("text")
+    carried = F.struct(*[docs[c] for c in carry]) if carry else F.lit(None).cast("string")
+    base = docs.select(docs[id_col].alias("doc_id"), F.split(F.coalesce(docs[text_col], F.lit("")), "\n", -1).alias("lines"), carried.alias("carried"))
     key = F.col("key")
     held = (
         base.where(F.col("doc_id").isNotNull())
@@ -54,11 +55,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.collect_set(F.struct("a", "b")).alias("drops"))
     )
     # the keys that a document loses are no more than its own lines
-    keep = F.when(
-        F.col("drops").isNull(), F.col("lines")
-    ).otherwise(F.filter("lines", lambda line: ~F.array_contains(F.col("drops"), _hash(line_key(line))) | (F.char_length(line_key(line)) < min_chars)))
+    kept = F.filter("lines", lambda line: ~F.array_contains(F.col("drops"), _hash(line_key(line))))
+    keep = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(kept)
     return (
         base.join(drops, "doc_id", "left")
-        .select("doc_id", F.size("lines").cast("long").alias("n_lines"), keep.alias("kept"))
-        .select("doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"))
+        .select("doc_id", F.size("lines").cast("long").alias("n_lines"), keep.alias("kept"), "carried")
+        .select("doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), "carried")
     )

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -252,3 +253,15 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         score = F.when(total <= xs[i], line).otherwise(score)
     score = F.when(total <= xs[0], F.lit(ys[0])).otherwise(score)
     return clause_totals(docs, model, id_col, text_col).select("id", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "clauses", "worst")
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose score is below `reject_at`. Null and empty texts stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([model.score(scorer.total(t)[0]) < reject_at for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
