@@ -8,7 +8,7 @@ gone. So a unit has several segmentations, each the same on every machine and in
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
@@ -21,7 +21,10 @@ SPACE = "▁"
 #: A unit is a run of space marks and what follows up to the next one: pieces have marks in front only.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Units that a task remembers for each variant; a bound on memory only.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
+#: Up to so many characters a list is the faster agenda.
+SHORT = 48
+NONE = float("inf")
 
 
 @dataclass(frozen=True)
@@ -62,20 +65,47 @@ class Codec:
         self._settings = settings
         self._known: list[dict[str, bytes]] = [{} for _ in range(settings.variants)]
 
+    def _skips(self, unit: str, variant: int) -> Callable[[int, int], bool]:
+        """Whether the candidate that begins at a character and has so many is skipped: a keyed hash against the rate."""
+        limit = self._limit
+        base = xxhash.xxh64_intdigest(unit, self._settings.seed << 8 | variant)
+        return lambda start, size: ((base ^ (start * 0x9E3779B97F4A7C15 + size * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93 >> 32) & 0xFFFFFFFF < limit
+
     def segment(self, unit: str, variant: int = 0) -> list[str]:
         """The unit's pieces and single characters after all merges that aren't skipped."""
+        skips = self._skips(unit, variant)
+        return self._merged(unit, skips) if len(unit) <= SHORT else self._merged_by_heap(unit, skips)
+
+    def _merged(self, unit: str, skips: Callable[[int, int], bool]) -> list[str]:
+        """A short unit's agenda is a list of the ranks of all neighbours; the least one and the leftmost comes up."""
+        rank = self._ranks.get
+        parts, starts = list(unit), list(range(len(unit)))
+        agenda = [rank(a + b, NONE) for a, b in zip(parts, parts[1:])]
+        while agenda and (best := min(agenda)) != NONE:
+            i = agenda.index(best)
+            piece = parts[i] + parts[i + 1]
+            if skips(starts[i], len(piece)):
+                agenda[i] = NONE
+                continue
+            parts[i] = piece
+            del parts[i + 1], starts[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(piece + parts[i + 1], NONE)
+            if i:
+                agenda[i - 1] = rank(parts[i - 1] + piece, NONE)
+        return parts
+
+    def _merged_by_heap(self, unit: str, skips: Callable[[int, int], bool]) -> list[str]:
+        """The same for a unit of any length, in n log n: candidates that have gone stale are passed over."""
         parts = list(unit)
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks, limit = self._ranks, self._limit
-        key, seed = unit.encode(), self._settings.seed * 0x9E3779B1 + variant & 0xFFFFFFFF
+        ranks = self._ranks
         agenda = [(ranks[p], i, i + 1, p) for i in range(n - 1) if (p := parts[i] + parts[i + 1]) in ranks]
         heapify(agenda)
         while agenda:
             _, i, j, piece = heappop(agenda)
-            if not parts[i] or not parts[j] or after[i] != j or len(parts[i]) + len(parts[j]) != len(piece):
-                continue  # one of its halves has merged with another
-            if limit and xxhash.xxh32_intdigest(b"%d,%d," % (i, len(piece)) + key, seed) < limit:
+            if not parts[i] or not parts[j] or after[i] != j or len(parts[i]) + len(parts[j]) != len(piece) or skips(i, len(piece)):
                 continue
             parts[i], parts[j] = piece, ""
             k = after[i] = after[j]
