@@ -9,8 +9,8 @@ from gaugeworks.functions.expressions import equals_ignoring_case, is_blank
 from gaugeworks.operators.readings import public_reading
 
 # Ties: the greater id comes first; of a snapshot's readings, the greater sensor type.
-_NEWEST = [F.desc("ts"), F.desc("id")]
-_NEWEST_READING = [F.desc("ts"), F.desc("sensor_type"), F.desc("id")]
+_NEWEST = ("ts", "id")
+_NEWEST_READING = ("ts", "sensor_type", "id")
 
 
 def check_count(count: int) -> int:
@@ -21,7 +21,7 @@ def check_count(count: int) -> int:
 
 def latest_by_machine(telemetry: DataFrame, machine_id: str, count: int = 10) -> DataFrame:
     """The machine's `count` newest snapshots, newest first. The id is matched exactly; an unknown one gives no row."""
-    return telemetry.where(F.col("machine_id") == machine_id).orderBy(*_NEWEST).limit(check_count(count))
+    return telemetry.where(F.col("machine_id") == machine_id).orderBy(*_NEWEST, ascending=False).limit(check_count(count))
 
 
 def latest_readings(readings: DataFrame, machine_id: str, sensor_type: str | None = None, count: int = 10) -> DataFrame:
@@ -29,16 +29,16 @@ def latest_readings(readings: DataFrame, machine_id: str, sensor_type: str | Non
     rows = readings.where(F.col("machine_id") == machine_id)
     if not is_blank(sensor_type):
         rows = rows.where(equals_ignoring_case(F.col("sensor_type"), sensor_type))
-    return public_reading(rows.orderBy(*_NEWEST_READING).limit(check_count(count)))
+    return public_reading(rows.orderBy(*_NEWEST_READING, ascending=False).limit(check_count(count)))
 
 
 def latest_overall(telemetry: DataFrame, count: int = 10) -> DataFrame:
-    return telemetry.orderBy(*_NEWEST).limit(count)
+    return telemetry.orderBy(*_NEWEST, ascending=False).limit(count)
 
 
-def _newest_of_each(rows: DataFrame, keys: list, order: list, count: int) -> DataFrame:
+def _newest_of_each(rows: DataFrame, keys: list, order: tuple[str, ...], count: int) -> DataFrame:
     """A rank limit that Spark applies in each task before the shuffle too, so a hot key sends `count` rows a task."""
-    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])))
     return ranked.where(F.col("__n") <= count).drop("__n")
 
 

@@ -20,11 +20,13 @@ def decode_messages(messages: DataFrame, value_col: str = "value", received_at:
     `reason` is null for good rows. Members that are absent take defaults: empty text, 0, `received_at` (now if
     not given), and as id the md5 of the message, so that equal messages without an id are one. Members that
     are there but null are rejected, as are texts that are too long. Unknown members are ignored, of repeated ones
-    the last counts. Text after the JSON object goes unnoticed. Everything is one narrow projection.
+    the last counts. Text after the JSON object goes unnoticed. Each message is parsed once, in one stage with its source.
     """
     raw = messages[value_col]
     received = F.current_timestamp() if received_at is None else received_at
-    rows = messages.withColumns({"__j": F.from_json(raw, f"{MESSAGE}, _corrupt STRING", _STRICT), "__keys": F.json_object_keys(raw), "__v": F.try_parse_json(raw)})
+    parsed = F.struct(F.from_json(raw, f"{MESSAGE}, _corrupt STRING", _STRICT).alias("__j"), F.json_object_keys(raw).alias("__keys"), F.try_parse_json(raw).alias("__v"))
+    # through a generator, which filters aren't pushed below: else each use of a member would parse the message again
+    rows = messages.select("*", F.inline(F.array(parsed)))
     there = lambda name: F.coalesce(F.array_contains("__keys", name), F.lit(False))
     member = lambda name: F.col(f"__j.{name}")
 
