@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import aggregates, latest, metrics, readings
+from gaugeworks.session import shared_dir
 from gaugeworks.sources import messages, tables
 from gaugeworks.streaming import ingest
 
@@ -53,8 +53,7 @@ def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ingest-")
-    return f"{base}/ingest-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
 
 
 def _ingested(spark: SparkSession, sf_dir: str) -> ingest.Tables:

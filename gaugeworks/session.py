@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir; a fresh one only where none is set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return base
+
+
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", conf: dict[str, str] | None = None) -> SparkSession:
     """For tests and the benchmark. On a cluster the session comes from spark-submit; only the time zone matters."""
     root = str(Path(__file__).resolve().parent.parent)
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
@@ -21,6 +31,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config(map=conf or {})
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

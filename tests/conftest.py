@@ -1,0 +1,18 @@
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parent.parent
+sys.path.insert(0, str(ROOT))
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    from gaugeworks.session import local_session
+
+    session = local_session(4, shuffle_partitions=4, memory="4g", conf={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
+    yield session
+    session.stop()

@@ -1,0 +1,82 @@
+"""Decoding: what is good, what takes defaults, what is rejected and why."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from gaugeworks.operators.readings import to_reading_messages, to_readings
+from gaugeworks.sources.messages import accepted, decode_messages, rejected, to_messages
+
+RECEIVED = datetime(2026, 1, 2, 3, 4, 5)
+
+
+def decode(spark, *values):
+    rows = spark.createDataFrame([(v,) for v in values], "value string")
+    return decode_messages(rows, received_at=F.lit(RECEIVED)).collect()
+
+
+@pytest.mark.parametrize(
+    ("payload", "reason"),
+    [
+        ("null", "null_payload"),
+        (None, "null_payload"),
+        ('{"MachineId":', "malformed_json"),
+        ("", "malformed_json"),
+        ('[{"MachineId":"A"}]', "malformed_json"),
+        ('{"Temperature":"12.5"}', "malformed_json"),
+        ('{"Temperature":"NaN"}', "malformed_json"),
+        ("{'MachineId':'M'}", "malformed_json"),
+        ('{"MachineId":5}', "malformed_json"),
+        ('{"Temperature":null}', "null_number"),
+        ('{"MachineId":null}', "null_required"),
+        ('{"MachineId":"' + "x" * 51 + '"}', "too_long"),
+        ('{"MachineId":"EQP-001","Temperature":20.5,"Pressure":1,"X":1}', None),
+        ('{"machineId":"EQP-001"}', None),
+        ('{"MachineId":"A","MachineId":"B"}', None),
+        ('{"MachineId":"' + "x" * 50 + '"}', None),
+    ],
+)
+def test_reasons(spark, payload, reason):
+    assert decode(spark, payload)[0]["reason"] == reason
+
+
+def test_defaults_fill_absent_members(spark):
+    row = decode(spark, '{"machineId":"EQP-001"}')[0]
+    assert (row["machine_id"], row["temperature"], row["pressure"], row["status"], row["ts"]) == ("", 0.0, 0.0, "", RECEIVED)
+    again, other = decode(spark, '{"machineId":"EQP-001"}', '{"Status":"Running"}')
+    assert again["id"] == row["id"] != other["id"]
+
+
+def test_repeated_member_takes_the_last_one(spark):
+    assert decode(spark, '{"MachineId":"A","MachineId":"B"}')[0]["machine_id"] == "B"
+
+
+def test_offsets_become_utc(spark):
+    far, none = decode(spark, '{"Timestamp":"2026-01-01T00:00:00.1234567+08:00"}', '{"Timestamp":"2026-01-01T00:00:00"}')
+    assert far["ts"] == datetime(2025, 12, 31, 16, 0, 0, 123456)
+    assert none["ts"] == datetime(2026, 1, 1)
+
+
+def test_other_columns_stay_and_empty_tables_pass(spark):
+    rows = spark.createDataFrame([('{"Id":"a"}', 7, "own")], "value string, offset int, status string")
+    out = decode_messages(rows)
+    assert out.select("id", "offset", "status").first() == ("a", 7, "")
+    assert decode_messages(rows.limit(0)).count() == 0
+
+
+def test_split_and_round_trip(spark):
+    t = spark.createDataFrame([("1", "EQP-001", 20.5, 1.5, "Running", datetime(2026, 1, 1, 0, 0, 0, 5))], "id string, machine_id string, temperature double, pressure double, status string, ts timestamp_ntz")
+    decoded = decode_messages(to_messages(t).unionByName(spark.createDataFrame([("x",)], "value string")))
+    assert accepted(decoded).collect() == t.collect()
+    assert [tuple(r) for r in rejected(decoded).collect()] == [("x", "malformed_json")]
+    found = to_reading_messages(to_readings(t)).first()[0]
+    assert '"Timestamp":"2026-01-01T00:00:00.000005Z"' in found
+
+
+def test_each_message_is_parsed_once(spark):
+    rows = spark.createDataFrame([('{"Id":"a"}',)], "value string")
+    plan = accepted(decode_messages(rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
