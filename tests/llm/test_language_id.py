@@ -1,0 +1,43 @@
+from __future__ import annotations
+
+from gaugeworks.llm import language_id as g
+from tests.llm import odd
+
+TRAIN = {"en": "the quick brown fox jumps over the lazy dog and runs through the wood ", "de": "der schnelle braune fuchs springt über den faulen hund und läuft durch den wald ", "fr": "le rapide renard brun saute par dessus le chien paresseux et court dans la forêt "}
+
+
+def trained(spark):
+    rows = [(t * 3, lang) for lang, t in TRAIN.items()] + [(None, "en"), ("123", "xx"), ("text", None)]
+    return g.sample_passages(spark.createDataFrame(rows, "text string, lang string"))
+
+
+def test_languages_and_odd_documents(spark):
+    passages = trained(spark)
+    assert sorted(passages) == ["de", "en", "fr"]
+    rows = [(100, "The dog and the fox"), (101, "DER HUND UND DER FUCHS !!"), (102, "le chien | et | le renard"), (103, "12 34"), *odd.TEXTS]
+    found = {r["id"]: r for r in g.identify(odd.documents(spark, rows), passages, reject=False).collect()}
+    assert [found[i]["lang_pred"] for i in (100, 101, 102)] == ["en", "de", "fr"]
+    assert all(found[i]["lang_pred"] == "und" and found[i]["score"] == 0 and found[i]["rejected"] for i in (1, 2, 3, 103))
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+    strict = {r["id"]: r for r in g.identify(odd.documents(spark, rows), passages).collect()}
+    assert all(r["lang_pred"] == "und" for r in strict.values() if r["rejected"])
+    assert g.identify(odd.empty(spark), passages).count() == 0
+
+
+def test_nothing_to_learn_from(spark):
+    assert {r["lang_pred"] for r in g.identify(odd.documents(spark), {}).collect()} == {"und"}
+
+
+def test_held_out_accuracy(spark):
+    import os
+
+    import pytest
+
+    from gaugeworks.llm.entries import op2_language_id
+
+    sf_dir = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test tables")
+    truth = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IS NOT NULL").select("doc_id", "lang")
+    rows = op2_language_id(spark, sf_dir).where("held_out").join(truth, "doc_id").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.95

@@ -1,0 +1,45 @@
+from __future__ import annotations
+
+import random
+
+from gaugeworks.llm.line_dedup import dedup_lines
+from tests.llm import odd
+
+STRIP = " \t\n\x0b\x0c\r"
+
+
+def brute(rows, min_chars=10, min_docs=2):
+    key = lambda line: "".join(c.lower() if c.isascii() else c for c in line.strip(STRIP))
+    holders: dict[str, set] = {}
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            if i is not None and len(key(line)) >= min_chars:
+                holders.setdefault(key(line), set()).add(i)
+    out = []
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        gone = [i is not None and len(h := holders.get(key(x), ())) >= min_docs and i > min(h) for x in lines]
+        out.append((i, "\n".join(x for x, g in zip(lines, gone, strict=True) if not g), len(lines), sum(gone)))
+    return sorted(out, key=str)
+
+
+def found(docs, **kwargs):
+    return sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in dedup_lines(docs, **kwargs).collect()), key=str)
+
+
+def test_odd_documents(spark):
+    assert found(odd.documents(spark)) == brute(odd.TEXTS)
+    assert found(odd.documents(spark), min_docs=3, min_chars=1) == brute(odd.TEXTS, 1, 3)
+    assert found(odd.empty(spark)) == []
+
+
+def test_random_documents(spark):
+    rng = random.Random(1)
+    lines = [" Common LINE number %d " % i for i in range(30)] + ["", "short", "É accent line here", "é accent line here"]
+    rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(0, 6)))) for i in range(60)]
+    assert found(odd.documents(spark, rows)) == brute(rows)
+
+
+def test_carried_columns(spark):
+    row = dedup_lines(odd.documents(spark), carry=("lines", "key")).where("doc_id = 7").first()
+    assert (row["carried"]["lines"], row["carried"]["key"]) == ("l", "k")

@@ -1,0 +1,60 @@
+from __future__ import annotations
+
+import pytest
+
+from gaugeworks.llm import sentencepiece_dropout as s
+from tests.llm import odd
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+TEXTS = ["a  b\nc", "  x ", "Ａﬁ\t\xa0é", "<s> hi </s>", "<0x0A>", "  ", "\n", " a", "😀 ok", "x" * 300, "the international organisation " * 20, *[t for _, t in odd.TEXTS if t and len(t) < 1000 and "▁" not in t]]
+
+
+def test_without_dropout_it_is_the_model():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    mine = s.Codec(PATH, s.Settings(dropout=0.0))
+    for text in TEXTS:
+        assert mine.encode(text, 1).tolist() == model.encode(text)
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
+def test_lossless_and_seeded(dropout):
+    settings = s.Settings(dropout=dropout, seed=3)
+    one, two = s.Codec(PATH, settings), s.Codec(PATH, settings)
+    for text in [*TEXTS, "a ▁ b▁", "▁"]:
+        ids = one.encode(text, 7)
+        assert one.decode(ids) == text
+        assert ids.tolist() == two.encode(text, 7).tolist()
+
+
+def test_segmentations_vary():
+    mine = s.Codec(PATH, s.Settings(dropout=0.3, variants=8))
+    assert len({tuple(mine.segment("▁international", v)) for v in range(8)}) > 2
+    other = s.Codec(PATH, s.Settings(dropout=0.3, seed=1))
+    text = "the international organisation of standards " * 5
+    assert mine.encode(text, 1).tolist() != other.encode(text, 1).tolist() != mine.encode(text, 2).tolist()
+
+
+def test_share_of_skipped_candidates():
+    mine = s.Codec(PATH, s.Settings(dropout=0.1))
+    skips = [mine._skips(f"u{i}", 0)(k, 3) for i in range(500) for k in range(10)]
+    assert 0.08 < sum(skips) / len(skips) < 0.12
+
+
+def test_both_agendas_agree():
+    mine = s.Codec(PATH, s.Settings(dropout=0.3))
+    for unit in ("▁international", "▁aaaaaaaaaaaa", "▁thethethethethe", "▁▁▁x", "▁é😀ü"):
+        for v in range(4):
+            skips = mine._skips(unit, v)
+            assert mine._merged(unit, skips) == mine._merged_by_heap(unit, skips)
+
+
+def test_documents(spark):
+    rows = s.encode_documents(odd.documents(spark), PATH).collect()
+    assert odd.ids(rows) == odd.ALL_IDS
+    assert all(r["lossless"] and len(r["ids"]) == r["n_ids"] for r in rows)
+    back = s.decode_documents(s.encode_documents(odd.documents(spark), PATH), PATH).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in back if r["doc_id"] is not None) == sorted((i, t or "") for i, t in odd.TEXTS if i is not None)
+    assert s.encode_documents(odd.empty(spark), PATH).count() == 0
