@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Seed words by class; learned insults are added to them.
@@ -100,6 +100,7 @@ class Settings:
     min_docs: int = 4
     min_share: float = 0.005
     min_precision: float = 0.95
+    doubt: float = 8.0
     buckets: int = 12
 
 
@@ -137,13 +138,10 @@ class Scorer:
         self._any.make_automaton()
 
     def _symbol(self, token: str) -> tuple[int, float]:
-        if token in self._words:
-            return INSULT, self._words[token]
-        for n in self._lengths:
-            if (weight := self._stems.get(token[:n])) is not None:
-                return INSULT, weight
         symbol = self._classes.get(token, OTHER)
-        return symbol, SEED_WEIGHT if symbol in (INSULT, THREAT) else 0.0
+        weight = SEED_WEIGHT if symbol in (INSULT, THREAT) else 0.0
+        learned = max(self._words.get(token, 0.0), *(self._stems.get(token[:n], 0.0) for n in self._lengths), 0.0)
+        return (INSULT, max(learned, weight)) if learned else (symbol, weight)
 
     def clause(self, clause: str) -> float:
         """1 - the product of (1 - weight) over the clause's insults and threats, each weighed by the grammar."""
@@ -163,12 +161,23 @@ class Scorer:
         return math.fsum(found), len(found), max(found, default=0.0)
 
 
+def _beginnings(n: int) -> Column:
+    """The first n letters of each longer word, with an asterisk."""
+    return F.transform(F.filter("words", lambda w: F.char_length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+
 def _patterns(sample: DataFrame, settings: Settings) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and word beginnings that toxic documents hold and others hardly ever do, with their weights."""
+    """Words and word beginnings that toxic documents hold and others hardly ever do, with their weights.
+
+    Of documents with the same least word hash, which copies nearly always have, only one counts: else the
+    words of one toxic document with many copies would pass for insults.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
-    stems = [F.transform(F.filter("words", lambda w, n=n: F.char_length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in PREFIXES]
+    stems = [_beginnings(n) for n in PREFIXES]
     long = F.filter("words", lambda w: F.char_length(w) >= PREFIXES[0])
-    features = sample.select("toxic", words.alias("words")).select("toxic", F.explode(F.array_distinct(F.concat(long, *stems))).alias("pattern"))
+    least_hash = F.array_min(F.transform("words", lambda w: F.xxhash64(w)))
+    sample = sample.select("id", "toxic", words.alias("words")).groupBy(least_hash.alias("group")).agg(F.min_by(F.struct("toxic", "words"), "id").alias("d")).select("d.*")
+    features = sample.select("toxic", F.explode(F.array_distinct(F.concat(long, *stems))).alias("pattern"))
     sizes = sample.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     bad, good = sizes["bad"] or 0, sizes["good"] or 0
     least = max(settings.min_docs, math.ceil(settings.min_share * bad))
@@ -184,7 +193,8 @@ def _patterns(sample: DataFrame, settings: Settings) -> tuple[dict[str, float],
         if implied or same or len(support) >= settings.max_patterns:
             continue
         rate, base = (n + 0.5) / (bad + 1), (row["n"] - n + 0.5) / (good + 1)
-        found[pattern != stem][stem] = min(0.95, rate / (rate + base))
+        # patterns of few documents may come from copies of one, so they weigh less
+        found[pattern != stem][stem] = 0.95 * rate / (rate + base) * n / (n + settings.doubt)
         support[stem] = n
     return found
 
@@ -223,17 +233,17 @@ def clause_totals(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> Model:
     """Learn from the labelled documents: `labels` has the id and `toxic` (0 or 1; null rows are left out).
 
-    Only a bounded sample of ids is broadcast, see Settings. Patterns come from one half of the sample and the
-    curve from the other. With no labels the seeds are all there is, and a clause of weight 1 scores 0.5.
+    Only a bounded sample of ids is broadcast, see Settings. Patterns come from three quarters of the sample and
+    the curve from the fourth. With no labels the seeds are all there is, and a clause of weight 1 scores 0.5.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"))
     ids = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(settings.max_docs)
     sample = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(ids), "id")
-    sample = sample.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)))
-    words, stems = _patterns(sample.where("half = 0"), settings)
+    sample = sample.withColumn("quarter", F.pmod(F.xxhash64(F.lit("quarter"), "id"), F.lit(4)))
+    words, stems = _patterns(sample.where("quarter > 0"), settings)
     model = Model(words, stems)
     step = 0.25
-    totals = clause_totals(sample.where("half = 1"), model, "id")
+    totals = clause_totals(sample.where("quarter = 0"), model, "id")
     bucket = F.least(F.ceil(F.col("total") / step), F.lit(settings.buckets)).alias("bucket")
     rows = totals.join(F.broadcast(ids), "id").groupBy(bucket).agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()  # a row per bucket
     points = sorted((r["bucket"] * step, r["bad"], r["n"]) for r in rows)
