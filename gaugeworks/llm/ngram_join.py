@@ -11,9 +11,10 @@ order of all shingles the first m + 1 of x and of y have one in common. Three or
    m + 2 of them is out at once, which takes most documents out before anything else is read.
 3. by (document frequency, hash reversed), as order 2.
 
-The candidates of order 2 come from a join on its prefixes. Each candidate must pass the filters of orders 1
-and 3 as well before the whole sets are compared. Only what is needed for components is compared: in each
-prefix's bucket first all against a pivot, then what is left in other components.
+Documents that share an order-2 prefix shingle meet in a family: that of the heaviest document which holds the
+shingle. Within a family, pairs must share a prefix shingle under each of the three orders before their whole
+sets are compared. Families are cut into blocks, and each two blocks are one group of a bounded number of rows;
+only a spanning forest of the links leaves a group, never pairs.
 """
 
 from __future__ import annotations
@@ -39,10 +40,14 @@ _powers = {"n": 0, "up": np.zeros(0, np.uint64), "down": np.zeros(0, np.uint64)}
 
 @dataclass(frozen=True)
 class Settings:
-    """`percent` is the least Jaccard similarity in hundredths; the bound of order 2 holds from 55 on."""
+    """`percent` is the least Jaccard similarity in hundredths; the bound of order 2 holds from 55 on.
+
+    `block` is how many documents of a family one task holds on each side.
+    """
 
     words: int = 5
     percent: int = 80
+    block: int = 1024
 
     def __post_init__(self) -> None:
         if not 55 <= self.percent <= 100 or self.words < 1:
@@ -134,40 +139,73 @@ def _whole_sets(docs: DataFrame, settings: Settings) -> DataFrame:
     return docs.mapInPandas(run, "d1 long, d2 long, shingles binary")
 
 
-# -- candidates and links ----------------------------------------------------------------------------------
-
-
-def _similar(x: np.ndarray, y: np.ndarray, x3: np.ndarray, y3: np.ndarray, settings: Settings) -> bool:
-    """The filters of orders 1 and 3, then the whole sets. x and y are sorted by hash, which is order 1."""
-    ex, ey, mx, my = settings.kept(len(x)), settings.kept(len(y)), settings.slack(len(x)), settings.slack(len(y))
-    if not len(np.intersect1d(x[: mx + 1], y[: my + 1], assume_unique=True)):
-        return False
-    if len(np.intersect1d(x[:ex], y[:ey], assume_unique=True)) < min(ex - mx, ey - my):
-        return False
-    if not len(np.intersect1d(x3, y3, assume_unique=True)):
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= settings.percent * (len(x) + len(y) - both)
-
-
-def _links(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) that are similar. Sets are joined to each side; the pairs themselves hold no sets until then."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = zip(batch["xa"], batch["xb"], batch["pa"], batch["pb"], strict=True)
-            ok = [_similar(np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64), np.asarray(pa), np.asarray(pb), settings) for xa, xb, pa, pb in rows]
-            yield batch.loc[ok, ["a", "b"]]
-
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"x{s}"), F.col("third").alias(f"p{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb", "pa", "pb").mapInPandas(run, "a long, b long")
-
-
-def _pair(x: str, y: str, settings: Settings) -> DataFrame:
-    """Columns a < b of the nodes of two index rows that may be similar: other components, and sizes within the ratio."""
-    differ = f"{x}.label != {y}.label"
-    sizes = f"100 * least({x}.n, {y}.n) >= {settings.percent} * greatest({x}.n, {y}.n)"
-    return F.expr(f"{differ} AND {sizes}")
+# -- families and links ------------------------------------------------------------------------------------
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets have in common, by products of incidence matrices over blocks of the shared elements."""
+    counts = np.zeros((len(left), len(right)), dtype=np.float32)
+    if not left or not right:
+        return counts
+    values, rows = [np.concatenate(side) for side in (left, right)], [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    shared = np.intersect1d(*(np.unique(v) for v in values), assume_unique=True)
+    places = [np.searchsorted(shared, v) for v in values]
+    found = [(p < len(shared)) & (shared[np.minimum(p, len(shared) - 1)] == v) if len(shared) else np.zeros(len(v), bool) for p, v in zip(places, values, strict=True)]
+    for at in range(0, len(shared), 4096):
+        inside = [f & (p >= at) & (p < at + 4096) for f, p in zip(found, places, strict=True)]
+        hits = [np.zeros((len(side), min(4096, len(shared) - at)), dtype=np.float32) for side in (left, right)]
+        for hit, row, place, here in zip(hits, rows, places, inside, strict=True):
+            hit[row[here], place[here] - at] = 1
+        counts += hits[0] @ hits[1].T
+    return counts
+
+
+def _similar(left: pd.DataFrame, right: pd.DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the similar pairs: sizes, then the filters of the three orders, then the whole sets."""
+    x, y = ([np.frombuffer(s, dtype=np.uint64) for s in side["shingles"]] for side in (left, right))
+    n, k = (np.array([len(s) for s in side]) for side in (x, y))
+    ok = 100 * np.minimum(n[:, None], k) >= settings.percent * np.maximum(n[:, None], k)
+    firsts = [[s[: settings.slack(len(s)) + 1] for s in side] for side in (x, y)]
+    for a, b in (firsts, *((left[c].map(np.asarray).to_list(), right[c].map(np.asarray).to_list()) for c in ("second", "third"))):
+        if not ok.any():
+            break
+        ok &= _overlaps(a, b) > 0
+    rows, columns = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+    both = np.zeros(ok.shape)
+    both[np.ix_(rows, columns)] = _overlaps([x[i] for i in rows], [y[i] for i in columns])
+    return np.nonzero(ok & (100 * both >= settings.percent * (n[:, None] + k - both)))
+
+
+def _forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    """For links between positions i and j: an edge from each linked node to the first node of its part."""
+    label = np.arange(len(nodes))
+    while True:
+        low, before = np.minimum(label[i], label[j]), label.copy()
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    linked = label != np.arange(len(nodes))
+    return pd.DataFrame({"a": nodes[linked], "b": nodes[label[linked]]})
+
+
+def _compared(key: tuple, rows: pd.DataFrame, settings: Settings) -> pd.DataFrame:
+    """The links between two blocks of a family, or within one."""
+    first, second = key[1], key[2]
+    if first == second:
+        i, j = _similar(rows, rows, settings)
+        return _forest(rows["node"].to_numpy(), i[i < j], j[i < j])
+    rows = rows.sort_values("block", kind="stable", ignore_index=True)
+    cut = int((rows["block"] == first).sum())
+    i, j = _similar(rows[:cut], rows[cut:], settings)
+    return _forest(rows["node"].to_numpy(), i, j + cut)
+
+
+def _tiles(family: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """Links within families, given as pivot, node, block, tiles (an array of the (i, j) that the node goes to)."""
+    rows = family.select("pivot", "node", "block", F.explode("tiles").alias("t")).select("pivot", "node", "block", F.col("t.i").alias("i"), F.col("t.j").alias("j"))
+    return rows.join(sets, "node").groupBy("pivot", "i", "j").applyInPandas(lambda key, pdf: _compared(key, pdf, settings), "a long, b long")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -189,11 +227,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     survivors = written(_survivors(linkable, members, settings), "ngram-survivors")
     texts = base.join(survivors.select("doc_id").distinct(), "doc_id", "left_semi")
-    reps = survivors.select("d1", "d2", "node", "third")
-    sets = written(_whole_sets(texts, settings).join(reps, ["d1", "d2"]).select("node", "shingles", "third").dropDuplicates(["node"]), "ngram-sets")
-
-    index = survivors.select("node", "n", "weight", F.explode("prefix").alias("h"))
-    links = _all_links(written(index, "ngram-index"), sets, settings)
+    reps = survivors.select("d1", "d2", "node", "second", "third")
+    sets = written(_whole_sets(texts, settings).dropDuplicates(["d1", "d2"]).join(reps, ["d1", "d2"]).select("node", "shingles", "second", "third"), "ngram-sets")
+    links = _all_links(survivors.select("node", "weight", F.explode("second").alias("h")), sets, settings)
     # copies, and rows that share an id, are linked too
     copies = members.where("node > rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     same_id = members.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("top > b").drop("top")
@@ -208,8 +244,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _survivors(linkable: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
     """One row per distinct set that may have a partner, with its prefixes under orders 2 and 3.
 
-    node, doc_id, d1, d2, n, prefix (array of hashes), third (the same under order 3), weight (how common its
-    shingles are: the source of many copies weighs most).
+    node, doc_id, d1, d2, second and third (arrays of hashes), weight (how common its shingles are: the source of
+    many copies weighs most).
     """
     rows = linkable.where(F.col("kept").isNotNull()).select("node", F.explode("kept").alias("h"))
     common = written(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "ngram-common")
@@ -223,8 +259,8 @@ def _survivors(linkable: DataFrame, members: DataFrame, settings: Settings) -> D
         .withColumn("need", need)
         .where("need > 0")
         .select(
-            "node", "doc_id", "d1", "d2", "n",
-            F.transform(F.slice(F.array_sort("shared"), F.lit(1), F.col("need")), lambda s: s["h"]).alias("prefix"),
+            "node", "doc_id", "d1", "d2",
+            F.transform(F.slice(F.array_sort("shared"), F.lit(1), F.col("need")), lambda s: s["h"]).alias("second"),
             F.transform(F.slice(flipped, F.lit(1), F.col("need")), lambda s: F.bitwise_not(s["h"])).alias("third"),
             F.aggregate("shared", F.lit(0).cast("long"), lambda acc, s: acc + s["df"]).alias("weight"),
         )
@@ -232,31 +268,40 @@ def _survivors(linkable: DataFrame, members: DataFrame, settings: Settings) -> D
 
 
 def _all_links(index: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Links (a, b) whose components are those of all links.
+    """Links (a, b) with the components of all links; index: node, weight, h (each prefix shingle).
 
-    Each bucket of an order-2 prefix shingle compares its members with its heaviest one, twice (the second time
-    without the first pivot); then every two members that are still in different components. So a bucket of
-    a thousand near copies costs a thousand comparisons, and no link between components is left out.
+    A family of more than a block is compared with its pivot first. Those that link to it need no
+    comparison among themselves: so a very large group of near copies costs as many comparisons as it has
+    members, and only the others of its family are compared with all.
     """
-    sizes = index.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    left = written(index.join(sizes.select("h"), "h"), "ngram-left").withColumn("label", F.col("node"))
-    links = tested = None
-    for last in (False, False, True):
-        mixed = written(left.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by(F.struct("node", "n", "label"), F.struct("weight", -F.col("node"))).alias("p")).where("lo < hi"), "ngram-mixed")
-        left = written(left.join(mixed.select("h", "p"), "h"), "ngram-left")
-        if last:
-            x, y = left.alias("x"), left.alias("y")
-            near = x.join(y, F.expr("x.h = y.h AND x.node < y.node") & _pair("x", "y", settings)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        else:
-            near = left.alias("x").where(F.expr("node != p.node") & _pair("x", "p", settings)).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-        near = near.distinct()
-        if tested is not None:
-            near = near.join(tested, ["a", "b"], "left_anti")
-        near = written(near, "ngram-pairs")
-        found = written(_links(near, sets, settings), "ngram-links")
-        links = found if links is None else links.unionByName(found)
-        if not last:
-            tested = near if tested is None else tested.unionByName(near)
-            labels = connected_components(links, "a", "b")
-            left = left.where("node != p.node").drop("p", "label").join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return links
+    block = settings.block
+    pivots = index.groupBy("h").agg(F.count("*").alias("c"), F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot")).where("c > 1")
+    family = written(index.select("h", "node").join(written(pivots.select("h", "pivot"), "ngram-pivots"), "h").select("pivot", "node").distinct(), "ngram-families")
+    sizes = family.groupBy("pivot").agg(F.count("*").alias("c"))
+    large = written(sizes.where(F.col("c") > block), "ngram-large")
+    one = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+    small = family.join(large, "pivot", "left_anti").select("pivot", "node", F.lit(0).cast("long").alias("block"), one.alias("tiles"))
+    links = written(_tiles(small, sets, settings), "ngram-links")
+    if large.isEmpty():
+        return links
+    # the pivot is block 0 alone; chunk k of the others is compared with it in tile (0, k)
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / block)) + 1
+    others = family.join(large, "pivot").where("node != pivot").withColumn("block", chunk)
+    with_pivot = others.select("pivot", "node", "block", F.array(F.struct(F.lit(0).cast("long").alias("i"), F.col("block").alias("j"))).alias("tiles"))
+    every = F.transform(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("c") / block)), lambda k: F.struct(F.lit(0).cast("long").alias("i"), k.alias("j")))
+    alone = large.select("pivot", F.col("pivot").alias("node"), F.lit(0).cast("long").alias("block"), every.alias("tiles"))
+    star = written(_tiles(with_pivot.unionByName(alone), sets, settings), "ngram-star")
+    labels = connected_components(links.unionByName(star), "a", "b")
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    known = others.join(label("node"), "node", "left").join(label("pivot"), "pivot", "left")
+    known = written(known.select("pivot", "node", "c", F.coalesce(F.col("node_part") == F.col("pivot_part"), F.lit(False)).alias("near")), "ngram-known")
+    # blocks of the far ones are even, of the near ones odd; two near blocks have nothing to find
+    counts = known.groupBy("pivot").agg(F.count_if("near").alias("n1"), F.count_if(~F.col("near")).alias("n0"))
+    rest = known.join(written(counts.where("n0 > 0"), "ngram-rest"), "pivot")
+    blocks = lambda n: F.ceil(F.col(n) / block)
+    own = F.when(F.col("near"), F.pmod(F.xxhash64("node"), F.greatest(blocks("n1"), F.lit(1))) * 2 + 1).otherwise(F.pmod(F.xxhash64("node"), blocks("n0")) * 2)
+    rest = rest.withColumn("block", own)
+    numbers = lambda n, odd: F.transform(F.filter(F.sequence(F.lit(0).cast("long"), blocks(n)), lambda k: k < blocks(n)), lambda k: k * 2 + odd)
+    partners = F.when(F.col("near"), numbers("n0", 0)).otherwise(F.concat(numbers("n0", 0), numbers("n1", 1)))
+    tiles = F.transform(partners, lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
+    return links.unionByName(star).unionByName(written(_tiles(rest.withColumn("tiles", tiles), sets, settings), "ngram-links"))
