@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 #: A unit is a run of space marks and what follows up to the next one: pieces have marks in front only.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Units that a task remembers for each variant; a bound on memory only.
-REMEMBERED = 1 << 18
+#: Units in each of the two generations that a worker remembers for each variant; a bound on memory only.
+REMEMBERED = 3 << 16
 #: Up to so many characters a list is the faster agenda.
 SHORT = 48
 NONE = float("inf")
@@ -64,6 +65,7 @@ class Codec:
         self._limit = int(settings.dropout * 2**32)
         self._settings = settings
         self._known: list[dict[str, bytes]] = [{} for _ in range(settings.variants)]
+        self._older: list[dict[str, bytes]] = [{} for _ in range(settings.variants)]
 
     def _skips(self, unit: str, variant: int) -> Callable[[int, int], bool]:
         """Whether the candidate that begins at a character and has so many is skipped: a keyed hash against the rate."""
@@ -151,9 +153,10 @@ class Codec:
         for unit, v in zip(units, variants, strict=True):
             ids = known[v].get(unit)
             if ids is None:
-                ids = self._unit_ids(unit, v)
-                if len(known[v]) < REMEMBERED:
-                    known[v][unit] = ids
+                ids = self._older[v].get(unit) or self._unit_ids(unit, v)
+                if len(known[v]) >= REMEMBERED:  # units that came up again since stay
+                    self._older[v], known[v] = known[v], {}
+                known[v][unit] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), dtype="<i4")
 
@@ -164,6 +167,12 @@ class Codec:
         return whole.removeprefix(b" ").decode()
 
 
+@lru_cache(maxsize=2)
+def codec(model_path: str, settings: Settings) -> Codec:
+    """One per Python worker: what it remembers serves all tasks of the worker."""
+    return Codec(model_path, settings)
+
+
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """doc_id, ids, n_ids, lossless (whether the ids decode to the text): a row per input row.
 
@@ -172,13 +181,13 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model_path, settings)
+        mine = codec(model_path, settings)
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
                 texts = [t or "" for t in part["text"]]
-                ids = [codec.encode(t, 0 if pd.isna(k) else int(k)) for t, k in zip(texts, part["doc_id"], strict=True)]
-                ok = [codec.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
+                ids = [mine.encode(t, 0 if pd.isna(k) else int(k)) for t, k in zip(texts, part["doc_id"], strict=True)]
+                ok = [mine.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": ids, "n_ids": [len(i) for i in ids], "lossless": ok})
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInPandas(run, "doc_id long, ids array<int>, n_ids long, lossless boolean")
@@ -188,8 +197,8 @@ def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id"
     """doc_id and text. Null ids give a null text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model_path, Settings())
+        mine = codec(model_path, Settings())
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [None if i is None else codec.decode(i.tolist()) for i in batch["ids"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [None if i is None else mine.decode(i.tolist()) for i in batch["ids"]]})
 
     return encoded.select(encoded[id_col].cast("long").alias("doc_id"), encoded[ids_col].alias("ids")).mapInPandas(run, "doc_id long, text string")
