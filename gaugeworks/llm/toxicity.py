@@ -18,6 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.common import written
+from gaugeworks.llm.ngram_join import Settings as CopySettings
+from gaugeworks.llm.ngram_join import ngram_components
+
 #: Seed words by class; learned insults are added to them.
 SEEDS = {
     "insult": "idiot moron stupid dumb imbecile loser scum pathetic worthless disgusting trash clown idiota estúpido imbécil basura idiote stupide connard abruti dummkopf blödmann abschaum",
@@ -33,6 +37,8 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(len(CLASSES))
 CLAUSE = re.compile(r"[.!?;\n]+")
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»]")
 PREFIXES = (4, 5, 6)
+#: Labelled documents with most of their 5-word shingles in common are copies of one another.
+COPIES = CopySettings(percent=55)
 
 
 # -- transducers -------------------------------------------------------------------------------------------
@@ -169,14 +175,18 @@ def _beginnings(n: int) -> Column:
 def _patterns(sample: DataFrame, settings: Settings) -> tuple[dict[str, float], dict[str, float]]:
     """Words and word beginnings that toxic documents hold and others hardly ever do, with their weights.
 
-    Of documents with the same least word hash, which copies nearly always have, only one counts: else the
-    words of one toxic document with many copies would pass for insults.
+    Of a group of near copies (as in op6, but from an n-gram Jaccard of 0.55 on, chains included) only one counts:
+    else the words of one toxic document with many copies would pass for insults. It is a toxic one if the group
+    has any, with the smallest id among those. Different documents count each, however many words they share.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     stems = [_beginnings(n) for n in PREFIXES]
     long = F.filter("words", lambda w: F.char_length(w) >= PREFIXES[0])
-    least_hash = F.array_min(F.transform("words", lambda w: F.xxhash64(w)))
-    sample = sample.select("id", "toxic", words.alias("words")).groupBy(least_hash.alias("group")).agg(F.min_by(F.struct("toxic", "words"), "id").alias("d")).select("d.*")
+    # ids may repeat with other texts, so rows are numbered
+    rows = written(sample.select("id", "toxic", "text", F.monotonically_increasing_id().alias("row")), "toxicity-rows")
+    groups = ngram_components(rows, id_col="row", settings=COPIES).select(F.col("doc_id").alias("row"), "component_id")
+    one = F.min_by(F.struct("toxic", words.alias("words")), F.struct(-F.col("toxic"), "id", "row"))
+    sample = written(rows.join(groups, "row").groupBy("component_id").agg(one.alias("d")).select("d.*"), "toxicity-sample")
     features = sample.select("toxic", F.explode(F.array_distinct(F.concat(long, *stems))).alias("pattern"))
     sizes = sample.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     bad, good = sizes["bad"] or 0, sizes["good"] or 0

@@ -61,6 +61,21 @@ def test_fit(spark):
     assert nothing.words == nothing.stems == {}
 
 
+def test_only_near_copies_count_once(spark):
+    common = "aa bb cc dd ee ff gg hh ii jj kk"  # in all documents, so the least word hash is nearly always the same
+    words = lambda i: " ".join(f"{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}{c}" for c in "klmnopqrst")
+    toxic = [(i, f"{common} {words(i)} grukmal", 1) for i in range(20)]
+    clean = [(i, f"{words(i)} {common}", 0) for i in range(20, 80)]
+    # 30 copies of one toxic document, of which only the last is labelled so
+    copied = [(i, f"{common} {words(90)} onceword {common} {words(91)}", int(i == 129)) for i in range(100, 130)]
+    sample = spark.createDataFrame([*toxic, *clean, *copied], "id long, text string, toxic int")
+    found = t._patterns(sample, t.Settings())
+    assert any("grukmal".startswith(x) for x in {**found[0], **found[1]})
+    assert not any("onceword".startswith(x) for x in {**found[0], **found[1]})
+    alone = t._patterns(sample.where("id >= 20"), t.Settings(min_docs=1, doubt=0.0))
+    assert any("onceword".startswith(x) for x in {**alone[0], **alone[1]})  # its label isn't lost
+
+
 def test_held_out_accuracy(spark):
     from gaugeworks.llm.entries import op4_toxicity
 
