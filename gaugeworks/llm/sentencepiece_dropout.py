@@ -1,8 +1,9 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and its lossless decoding.
 
 Merges are taken from an agenda, best first, as the model does. When a candidate comes up, it is skipped if a
-keyed hash of the epoch's seed, the variant, the unit and the candidate's place says so; a skipped candidate is
-gone. So a unit has several segmentations, each the same on every machine and in every retry.
+keyed hash of the epoch's seed, the occurrence (document and place), the unit and the candidate's place says so; a
+skipped candidate is gone. So each occurrence of a unit draws its own segmentation, the same on every machine and
+in every retry. What is remembered of a unit is its agenda without skips, and those after the skips that came up.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 #: A unit is a run of space marks and what follows up to the next one: pieces have marks in front only.
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Units in each of the two generations that a worker remembers for each variant; a bound on memory only.
+#: Agendas and units in each of the two generations that a worker remembers; a bound on memory only.
 REMEMBERED = 3 << 16
+#: Units of more characters are merged afresh at each occurrence, as nearly each has skips of its own.
+LONGEST = 24
 #: Up to so many characters a list is the faster agenda.
 SHORT = 48
 NONE = float("inf")
@@ -32,12 +35,33 @@ NONE = float("inf")
 class Settings:
     """`dropout` is the chance that a candidate merge is skipped; 0 gives the model's own segmentation.
 
-    Each occurrence of a unit takes one of `variants` segmentations, by a hash of seed, document and position.
+    Each occurrence of a unit draws by a hash of seed, document and position; with `variants`, it takes one of so
+    many draws, so that no unit has more segmentations.
     """
 
     dropout: float = 0.1
     seed: int = 0
-    variants: int = 4
+    variants: int | None = None
+
+
+MASK = 2**64 - 1
+_A, _B, _C, _D = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9
+
+
+def _place(start: int, size: int) -> int:
+    return (start * _A + size * _B) & MASK
+
+
+class Agenda:
+    """What comes of a unit after some skips: its ids, the candidates that come up after the last of them, and
+    the agendas that follow a skip of one of these (None: came up once)."""
+
+    __slots__ = ("after", "ids", "key", "marks", "places", "skipped")
+
+    def __init__(self, ids: bytes, key: int, places: list[int], skipped: frozenset[int]):
+        self.ids, self.key, self.places, self.skipped = ids, key, places, skipped
+        self.marks = np.array(places, dtype=np.uint64).tobytes()
+        self.after: dict[int, Agenda | None] = {}
 
 
 class Codec:
@@ -64,18 +88,24 @@ class Codec:
         self._ranks = {p: -model.get_score(i) for p, i in self._ids.items()}
         self._limit = int(settings.dropout * 2**32)
         self._settings = settings
-        self._known: list[dict[str, bytes]] = [{} for _ in range(settings.variants)]
-        self._older: list[dict[str, bytes]] = [{} for _ in range(settings.variants)]
+        self._known: dict[str, Agenda | None] = {}
+        self._older: dict[str, Agenda | None] = {}
+        self._size = 0
 
-    def _skips(self, unit: str, variant: int) -> Callable[[int, int], bool]:
+    def _skips(self, unit: str, draw: int) -> Callable[[int, int], bool]:
         """Whether the candidate that begins at a character and has so many is skipped: a keyed hash against the rate."""
         limit = self._limit
-        base = xxhash.xxh64_intdigest(unit, self._settings.seed << 8 | variant)
-        return lambda start, size: ((base ^ (start * 0x9E3779B97F4A7C15 + size * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93 >> 32) & 0xFFFFFFFF < limit
+        base = (xxhash.xxh64_intdigest(unit, self._settings.seed) + draw * _A) & MASK
+
+        def skips(start: int, size: int) -> bool:
+            x = (base ^ _place(start, size)) * _C & MASK
+            return ((x ^ x >> 29) * _D & MASK) >> 32 < limit
 
-    def segment(self, unit: str, variant: int = 0) -> list[str]:
+        return skips
+
+    def segment(self, unit: str, draw: int = 0) -> list[str]:
         """The unit's pieces and single characters after all merges that aren't skipped."""
-        skips = self._skips(unit, variant)
+        skips = self._skips(unit, draw)
         return self._merged(unit, skips) if len(unit) <= SHORT else self._merged_by_heap(unit, skips)
 
     def _merged(self, unit: str, skips: Callable[[int, int], bool]) -> list[str]:
@@ -120,15 +150,55 @@ class Codec:
                 heappush(agenda, (ranks[p], h, i, p))
         return [p for p in parts if p]
 
-    def _unit_ids(self, unit: str, variant: int) -> bytes:
+    def _ids_of(self, parts: list[str]) -> bytes:
         ids: list[int] = []
-        for part in self.segment(unit, variant):
+        for part in parts:
             i = self._ids.get(part)
             ids += [i] if i is not None else [self._bytes[b] for b in part.encode()]
         return np.array(ids, dtype="<i4").tobytes()
 
+    def _agenda(self, unit: str, skipped: frozenset[int] = frozenset()) -> Agenda:
+        """The agenda after the skips of `skipped`, all of which come up."""
+        places: list[int] = []
+        left = set(skipped)
+
+        def skips(start: int, size: int) -> bool:
+            place = _place(start, size)
+            if place in skipped:
+                left.discard(place)
+                return True
+            if not left:  # those before were judged on the way here
+                places.append(place)
+            return False
+
+        parts = self._merged(unit, skips)
+        self._size += 1
+        return Agenda(self._ids_of(parts), xxhash.xxh64_intdigest(unit, self._settings.seed), places, skipped)
+
+    def _found(self, unit: str) -> Agenda | None:
+        """What is remembered of a unit; None if it comes up for the first time or is long."""
+        if len(unit) > LONGEST:
+            return None
+        known = self._known
+        found = known.get(unit, self)
+        if found is self:
+            found = self._older.get(unit, self)
+            if self._size >= REMEMBERED:  # units that came up again since stay
+                self._older, self._known, self._size = known, {}, 0
+                known = self._known
+            self._size += 1
+            if found is self:
+                known[unit] = None
+                return None
+            if found is not None:
+                found.after = {}
+                known[unit] = found
+        if found is None:
+            found = known[unit] = self._agenda(unit)
+        return found
+
     def encode(self, text: str, key: int) -> np.ndarray:
-        """The ids of the whole text; `key` (of its document) decides which variants its units take.
+        """The ids of the whole text; `key` (of its document) and the place decide what each unit skips.
 
         As the model does, a space mark is put in front. A mark that is in the text itself becomes bytes, so
         that it isn't decoded as a space.
@@ -147,17 +217,46 @@ class Codec:
     def _plain(self, marked: str, key: int) -> np.ndarray:
         units = UNIT.findall(marked)
         places = np.arange(len(units), dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(b"%d" % key, self._settings.seed))
-        mixed = (places ^ places >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        variants = ((mixed ^ mixed >> np.uint64(32)) % np.uint64(self._settings.variants)).tolist()
-        known, out = self._known, []
-        for unit, v in zip(units, variants, strict=True):
-            ids = known[v].get(unit)
-            if ids is None:
-                ids = self._older[v].get(unit) or self._unit_ids(unit, v)
-                if len(known[v]) >= REMEMBERED:  # units that came up again since stay
-                    self._older[v], known[v] = known[v], {}
-                known[v][unit] = ids
-            out.append(ids)
+        mixed = (places ^ places >> np.uint64(29)) * np.uint64(_D)
+        draws = mixed ^ mixed >> np.uint64(32)
+        if self._settings.variants:
+            draws %= np.uint64(self._settings.variants)
+        out: list[bytes] = [b""] * len(units)
+        afresh: list[int] = []
+        at: list[int] = []
+        agendas: list[Agenda] = []
+        for i, found in enumerate(map(self._found, units)):
+            if found is None:
+                afresh.append(i)
+            else:
+                out[i] = found.ids
+                at.append(i)
+                agendas.append(found)
+        while at:  # each round judges the candidates up to the next skip
+            sizes = np.array([len(g.places) for g in agendas])
+            keys = np.array([g.key for g in agendas], dtype=np.uint64) + draws[at] * np.uint64(_A)
+            x = (np.repeat(keys, sizes) ^ np.frombuffer(b"".join([g.marks for g in agendas]), dtype=np.uint64)) * np.uint64(_C)
+            hits = np.flatnonzero(((x ^ x >> np.uint64(29)) * np.uint64(_D)) >> np.uint64(32) < np.uint64(self._limit))
+            owners, first = np.unique(np.repeat(np.arange(len(at)), sizes)[hits], return_index=True)
+            places = hits[first] - (np.cumsum(sizes) - sizes)[owners]
+            next_at, next_agendas = [], []
+            for o, k in zip(owners.tolist(), places.tolist(), strict=True):
+                i, agenda = at[o], agendas[o]
+                place = agenda.places[k]
+                found = agenda.after.get(place, self)
+                if found is self:
+                    agenda.after[place] = None
+                    self._size += 1
+                    afresh.append(i)
+                    continue
+                if found is None:
+                    found = agenda.after[place] = self._agenda(units[i], agenda.skipped | {place})
+                out[i] = found.ids
+                next_at.append(i)
+                next_agendas.append(found)
+            at, agendas = next_at, next_agendas
+        for i, draw in zip(afresh, draws[afresh].tolist(), strict=True):
+            out[i] = self._ids_of(self.segment(units[i], draw))
         return np.frombuffer(b"".join(out), dtype="<i4")
 
     def decode(self, ids: np.ndarray | list[int]) -> str:

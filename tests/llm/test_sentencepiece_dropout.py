@@ -37,6 +37,25 @@ def test_segmentations_vary():
     assert mine.encode(text, 1).tolist() != other.encode(text, 1).tolist() != mine.encode(text, 2).tolist()
 
 
+def test_each_occurrence_draws_for_itself():
+    mine = s.Codec(PATH, s.Settings(dropout=0.3))
+    text = " ".join(["international"] * 400)
+    one = mine.encode(text, 1).tolist()
+    found = set(b"|".join(mine._texts[i] for i in one).split(b"| "))
+    assert len(found) > 20  # not as many as there are variants
+    assert mine.encode(text, 1).tolist() == one == s.Codec(PATH, s.Settings(dropout=0.3)).encode(text, 1).tolist()
+
+
+def test_what_is_remembered_changes_nothing(monkeypatch):
+    text = "the international organisation of standards recommends organisations " * 60
+    one = s.Codec(PATH, s.Settings(dropout=0.2)).encode(text, 5).tolist()
+    monkeypatch.setattr(s, "LONGEST", 0)
+    assert s.Codec(PATH, s.Settings(dropout=0.2)).encode(text, 5).tolist() == one
+    monkeypatch.setattr(s, "LONGEST", 24)
+    monkeypatch.setattr(s, "REMEMBERED", 5)
+    assert s.Codec(PATH, s.Settings(dropout=0.2)).encode(text, 5).tolist() == one
+
+
 def test_share_of_skipped_candidates():
     mine = s.Codec(PATH, s.Settings(dropout=0.1))
     skips = [mine._skips(f"u{i}", 0)(k, 3) for i in range(500) for k in range(10)]
