@@ -25,6 +25,19 @@ def reconcile(batches: DataFrame, telemetry: DataFrame, readings: DataFrame) ->
     return ingest_counters(batches).crossJoin(stored).withColumns({"reconciled": agree, "healthy": agree & (F.col("n_failed") == 0)})
 
 
+def accounted(batches: DataFrame, n_source: int) -> DataFrame:
+    """One row: n_written, n_failed (distinct rejects), n_missing (messages of the source that no batch consumed),
+    n_unaccounted (consumed, but neither written nor failed nor dropped as a repeat), and whether both are 0.
+
+    Each count is taken where it arises: before deduplication, by it, and from the rows written.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    missing = F.lit(n_source).cast("long") - total("n_consumed")
+    lost = total("n_consumed") - total("n_written") - total("n_failed") - total("n_dropped")
+    out = batches.agg(total("n_written").alias("n_written"), total("n_failed").alias("n_failed"), missing.alias("n_missing"), lost.alias("n_unaccounted"))
+    return out.withColumn("accounted", (F.col("n_missing") == 0) & (F.col("n_unaccounted") == 0))
+
+
 def rate_per_second(rows: DataFrame, width: str, width_s: int) -> DataFrame:
     """window_start, n, per_second by tumbling window of `ts`. Windows without rows don't appear."""
     counted = rows.groupBy(F.window("ts", width)).agg(F.count("*").alias("n"))

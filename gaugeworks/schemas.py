@@ -8,7 +8,7 @@ TELEMETRY = "id STRING, machine_id STRING, temperature DOUBLE, pressure DOUBLE,
 SENSOR_READINGS = "id STRING, machine_id STRING, sensor_type STRING, value DOUBLE, unit STRING, ts TIMESTAMP_NTZ"
 REJECTS = "raw STRING, reason STRING"
 MANIFEST = "batch_id BIGINT, n_written BIGINT, n_readings BIGINT, n_failed BIGINT"
-INGEST_BATCHES = "batch_id BIGINT, n_consumed BIGINT, duration_s DOUBLE, flushed_at TIMESTAMP"
+INGEST_BATCHES = "batch_id BIGINT, n_consumed BIGINT, n_rejected BIGINT, n_dropped BIGINT, duration_s DOUBLE, flushed_at TIMESTAMP"
 
 #: The members of a JSON message. Names are matched exactly.
 MESSAGE = "Id STRING, MachineId STRING, Temperature DOUBLE, Pressure DOUBLE, Status STRING, Timestamp TIMESTAMP"

@@ -8,6 +8,7 @@ overwrite what was left. Source offsets are committed after that.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -113,13 +114,17 @@ def start_ingest(
     recognises redelivered ids. Rejects are told apart by their content.
     """
     stamped = messages.withColumn("ingest_ts", F.current_timestamp()).withWatermark("ingest_ts", redelivery_horizon)
-    decoded = decode_messages(stamped, received_at=F.col("ingest_ts")).observe("ingest", F.count("*").alias("n_consumed"))
+    decoded = decode_messages(stamped, received_at=F.col("ingest_ts")).observe("ingest", F.count("*").alias("n_consumed"), F.count("reason").alias("n_rejected"))
     key = F.when(F.col("reason").isNull(), F.concat(F.lit("row:"), "id")).otherwise(F.concat(F.lit("reject:"), F.md5(F.coalesce("raw", F.lit("")).cast("binary"))))
     unique = decoded.withColumn("__key", key).dropDuplicatesWithinWatermark(["__key"]).drop("__key")
 
     def flush(rows: DataFrame, batch_id: int) -> None:
-        if not rows.isEmpty():
-            commit(rows, batch_id, tables)
+        rows = rows.persist()  # else the partitions that isEmpty() reads would count their drops twice
+        try:
+            if not rows.isEmpty():
+                commit(rows, batch_id, tables)
+        finally:
+            rows.unpersist()
 
     writer = unique.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).queryName("telemetry-ingest")
     return writer.trigger(availableNow=True).start() if processing_time is None else writer.trigger(processingTime=processing_time).start()
@@ -143,10 +148,13 @@ def supervise(start: Callable[[], StreamingQuery], max_restarts: int = 10, wait_
 
 
 class BatchMetrics(StreamingQueryListener):
-    """Appends a row per batch to ingest_batches: messages consumed before deduplication, seconds taken, when."""
+    """Appends a row per batch to ingest_batches: messages consumed and, of these, rejected, both before deduplication,
+    how many the deduplication dropped (the state operator's own count), seconds taken, when."""
 
     def __init__(self, spark: SparkSession, tables: Tables):
         self._spark, self._tables = spark, tables
+        self._ended = threading.Condition()
+        self._gone: set[str] = set()
 
     def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
         pass
@@ -155,8 +163,9 @@ class BatchMetrics(StreamingQueryListener):
         progress = event.progress
         seen = progress.observedMetrics.get("ingest")
         if progress.numInputRows and seen is not None:
-            row = (progress.batchId, seen["n_consumed"], progress.durationMs.get("triggerExecution", 0) / 1000, progress.timestamp)
-            values = [F.lit(v).alias(c) for v, c in zip(row, ("batch_id", "n_consumed", "duration_s", "flushed_at"), strict=True)]
+            dropped = sum((s.customMetrics or {}).get("numDroppedDuplicateRows", 0) for s in progress.stateOperators)
+            row = (progress.batchId, seen["n_consumed"], seen["n_rejected"], dropped, progress.durationMs.get("triggerExecution", 0) / 1000, progress.timestamp)
+            values = [F.lit(v).alias(c) for v, c in zip(row, ("batch_id", "n_consumed", "n_rejected", "n_dropped", "duration_s", "flushed_at"), strict=True)]
             rows = self._spark.range(1).select(*values).withColumn("flushed_at", F.col("flushed_at").cast("timestamp"))
             rows.coalesce(1).write.mode("append").parquet(self._tables.batches)
 
@@ -164,14 +173,23 @@ class BatchMetrics(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
-        pass
+        with self._ended:
+            self._gone.add(str(event.runId))
+            self._ended.notify_all()
+
+    def wait(self, query: StreamingQuery, timeout_s: float = 60.0) -> None:
+        """Until all events of a query that has ended are here; they come in order, the end last."""
+        with self._ended:
+            if not self._ended.wait_for(lambda: str(query.runId) in self._gone, timeout_s):
+                raise TimeoutError("the query's end was not reported")
 
 
 def ingest_batches(spark: SparkSession, tables: Tables) -> DataFrame:
-    """The manifest's counts with the listener's: batch_id, n_consumed, n_written, n_readings, n_failed, duration_s, flushed_at."""
+    """The manifest's counts with the listener's: batch_id, n_consumed, n_rejected, n_dropped, n_written, n_readings,
+    n_failed, duration_s, flushed_at. A batch that one of them lacks has nulls: all its rows may be redeliveries."""
     timed = spark.read.schema(INGEST_BATCHES).parquet(tables.batches).groupBy("batch_id")
-    timed = timed.agg(F.max("n_consumed").alias("n_consumed"), F.max("duration_s").alias("duration_s"), F.max("flushed_at").alias("flushed_at"))
-    return manifest(spark, tables).join(timed, "batch_id", "left")
+    timed = timed.agg(*[F.max(c).alias(c) for c in ("n_consumed", "n_rejected", "n_dropped")], F.max("duration_s").alias("duration_s"), F.max("flushed_at").alias("flushed_at"))
+    return manifest(spark, tables).join(timed, "batch_id", "full")
 
 
 def live_rate(telemetry: DataFrame, width: str = "1 minute", slide: str | None = None, lateness: str = "10 minutes") -> DataFrame:

@@ -113,3 +113,23 @@ def test_metrics_and_compaction(spark, tmp_path):
     assert rows.count() == 6 and ingest.committed_readings(spark, target).count() == 12
     assert [r["id"] for r in latest.latest_by_machine(rows, "EQP-001", 5).collect()] == ["3", "0"]
     assert tuple(ingest.manifest(spark, target).select("n_written", "n_readings", "n_failed").first()) == (6, 12, 0)
+
+
+def test_every_message_is_accounted_for(spark, tmp_path):
+    found = ingest.Tables(str(tmp_path / "out"))
+    listener = ingest.BatchMetrics(spark, found)
+    spark.streams.addListener(listener)
+    try:
+        for name, lines in (("a", [*LINES[:4], LINES[0], "null", "null", "null", "{"]), ("b", [*LINES[2:], "null"]), ("c", ["null", LINES[1]])):
+            land(tmp_path / "in", name, lines)
+            query = start(spark, tmp_path)
+            query.awaitTermination()
+            listener.wait(query)
+    finally:
+        spark.streams.removeListener(listener)
+    batches = ingest.ingest_batches(spark, found)
+    assert tuple(batches.groupBy().sum("n_consumed", "n_rejected", "n_dropped").first()) == (16, 6, 8)
+    assert tuple(metrics.accounted(batches, 16).first()) == (6, 2, 0, 0, True)
+    assert tuple(metrics.accounted(batches, 17).first()) == (6, 2, 1, 0, False)  # a message that was never read
+    short = batches.withColumn("n_written", batches["n_written"] - 1)
+    assert not metrics.accounted(short, 16).first()["accounted"]  # one lost before the commit
