@@ -30,9 +30,19 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates stays; documents without a group stay."""
-    groups = ngram_join.ngram_components(docs.select("doc_id", "text"))
-    return docs.join(groups.where("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    """One row of each group of near duplicates stays, that with the smallest id; rows without a group stay.
+
+    Repeats of (id, text) count as one row. Rows of one id with different texts are judged each by its own text.
+    Rows without an id all stay.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    known = rows.where("doc_id IS NOT NULL")
+    groups = ngram_join.ngram_components(known.select("__row", "text"), id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    # texts without words have no group, so their repeats are found by the text
+    named = written(known.select("__row", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest")).join(groups, "__row"), "pipeline-groups")
+    firsts = named.groupBy("doc_id", "digest").agg(F.min("__row").alias("__row"), F.min("component_id").alias("component_id"))
+    kept = firsts.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("kept")).select("kept.__row")
+    return rows.join(named.select("__row").join(kept, "__row", "left_anti"), "__row", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
