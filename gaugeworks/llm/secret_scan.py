@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.common import written
+
 LEDGER_COLUMNS = ("blob binary", "rule string", "rule_version int", "spans array<struct<start:int,end:int>>")
 
 
@@ -34,28 +37,13 @@ RULES = (
 )
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """Leftmost non-overlapping matches as (start, end) in code points, end exclusive.
-
-    The n-th match follows the n-th gap of split(), so positions are sums of the lengths before it.
-    """
-    pattern = F.lit(rule.pattern)
-    parts = F.arrays_zip(
-        F.split(text, rule.pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
-    )
-    span_type = "array<struct<start:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span_type).alias("spans"))
-
-    def step(acc: Column, part: Column) -> Column:
-        begin = acc["at"] + F.char_length(part["gap"])
-        end = begin + F.coalesce(F.char_length(part["hit"]), F.lit(0))
-        found = F.array(F.struct(begin.alias("start"), end.alias("end"))).cast(span_type)
-        return F.struct(end.alias("at"), F.when(F.char_length(part["value"]) >= rule.min_chars, F.concat(acc["spans"], found)).otherwise(acc["spans"]).alias("spans"))
-
-    found = F.aggregate(parts, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(span_type))
+def parts_of(text: Column, rule: Rule) -> Column:
+    """A struct for each match: the characters before it since the one before, those of the match and of its group."""
+    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
+    zipped = F.arrays_zip(hits.alias("hit"), values.alias("value"), F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(hits)).alias("gap"))
+    lengths = F.transform(zipped, lambda p: F.struct(F.char_length(p["gap"]).alias("gap"), F.char_length(p["hit"]).alias("hit"), F.char_length(p["value"]).alias("value")))
+    return F.when(text.rlike(rule.pattern), lengths).otherwise(F.array().cast("array<struct<gap:int,hit:int,value:int>>"))
 
 
 def blob_of(text: Column) -> Column:
@@ -71,9 +59,13 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
 def scan_unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The ledger rows that `versions` adds: a row for each pair of blob and current rule that `ledger` lacks.
 
-    Copies of a blob are combined before the shuffle and scanned once. Append the result to the ledger
-    table; a second call with the same versions then scans nothing, and raising a rule's version makes it
-    scan for that rule alone. An empty table adds nothing.
+    `spans` holds the leftmost non-overlapping matches as (start, end) in code points, end exclusive. Copies of a
+    blob are combined before the shuffle and scanned once. After an append to the ledger a second call with the same
+    versions scans nothing, and raising a rule's version makes it scan for that rule alone. An empty table adds
+    nothing; a null text is an empty one.
+
+    A match's position is a running sum of the lengths up to it, taken in a window over the matches of one blob and
+    rule (never more than one text): so many matches in one text cost no more than sorting them.
     """
     names = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
     blobs = versions.select(F.coalesce(versions[text_col], F.lit("")).alias("text")).select(blob_of(F.col("text")).alias("blob"), "text").groupBy("blob").agg(F.any_value("text").alias("text"))
@@ -84,43 +76,85 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]
             F.struct(
                 F.lit(r.kind).alias("rule"),
                 F.lit(r.version).alias("rule_version"),
-                F.when(F.array_contains("todo", f"{r.kind}:{r.version}"), spans_of(F.col("text"), r)).alias("spans"),
+                F.lit(r.min_chars).alias("least"),
+                F.when(F.array_contains("todo", f"{r.kind}:{r.version}"), parts_of(F.col("text"), r)).alias("parts"),
             )
             for r in rules
         ]
     )
-    return pending.select("blob", F.inline(results)).where(F.col("spans").isNotNull())
+    scanned = pending.select("blob", F.inline(results)).where(F.col("parts").isNotNull())
+    matches = scanned.select("blob", "rule", "rule_version", "least", F.posexplode_outer("parts").alias("i", "part"))
+    upto = Window.partitionBy("blob", "rule", "rule_version").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("part.gap") + F.col("part.hit")).over(upto).cast("int")
+    placed = matches.withColumn("end", end).withColumn("start", F.col("end") - F.col("part.hit"))
+    span = F.when(F.col("part.value") >= F.col("least"), F.struct("start", "end"))
+    return placed.groupBy("blob", "rule", "rule_version").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger stored at `path`; an empty one where nothing is stored yet."""
+    try:
+        return spark.read.schema(", ".join(LEDGER_COLUMNS)).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty_ledger(spark)
+
+
+def extend_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """Scan what the ledger at `path` lacks of `versions`, append it there, and return the ledger as it then is.
+
+    A job that fails appends nothing, and the next call scans the same pairs. One writer at a time.
+    """
+    spark = versions.sparkSession
+    scan_unseen(versions, read_ledger(spark, path), rules, text_col).write.mode("append").option("compression", "zstd").parquet(path)
+    return read_ledger(spark, path)
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, key_cols: list[str], rules: tuple[Rule, ...] = RULES, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`key_cols` (and the columns in `keep`) and findings, an array of (start, kind, end) by start, then kind as listed.
+    """`key_cols` (and the columns in `keep`) and findings: an array of (start, rank, kind, end, before) by start, then kind as listed.
 
-    A row per version, with an empty array where nothing is found. Null keys and repeated rows are kept. The
-    join has one row per blob on one side; hot blobs on the other are split by adaptive execution.
+    `before` is where all findings before it have ended. A row per version, with an empty array where nothing is
+    found. Null keys and repeated rows are kept. What was found is written first, one row per blob: so the join has
+    two plain inputs, and adaptive execution can split a blob that very many versions hold.
     """
     rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
     current = F.concat_ws(":", "rule", "rule_version").isin([f"{r.kind}:{r.version}" for r in rules])
-    per_blob = (
-        ledger.where(current & (F.size("spans") > 0))
-        .select("blob", rank[F.col("rule")].alias("rank"), "rule", "spans")
-        .groupBy("blob")  # as many rows as there are rules
-        .agg(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), F.col("rule").alias("kind"), s["end"].alias("end"))))).alias("findings"))
-        .select("blob", F.array_sort("findings").alias("findings"))
-    )
+    found = ledger.where(current & (F.size("spans") > 0)).select("blob", rank[F.col("rule")].alias("rank"), F.col("rule").alias("kind"), F.inline("spans")).distinct()
+    earlier = Window.partitionBy("blob").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("before", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    per_blob = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "before"))).alias("findings"))
+    per_blob = written(per_blob.withColumnRenamed("blob", "__blob"), "secret-findings")
     kept = [versions[c] for c in [*key_cols, *(keep or [])]]
     paths = versions.select(*kept, blob_of(versions[text_col]).alias("__blob"))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    return paths.join(per_blob.withColumnRenamed("blob", "__blob"), "__blob", "left").withColumn("findings", F.coalesce("findings", none)).drop("__blob")
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,before:int>>")
+    return paths.join(per_blob, "__blob", "left").withColumn("findings", F.coalesce("findings", none)).drop("__blob")
+
+
+#: Characters of a piece of a text that is redacted.
+PIECE = 4096
 
 
 def redacted(text: Column, findings: Column, mask: str = "[secret]") -> Column:
-    """The text with every found span replaced by `mask`; overlapping spans become one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with every found span replaced by `mask`; overlapping spans become one.
 
-    def step(acc: Column, f: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(f["start"] - acc["at"], F.lit(0)))
-        out = F.when(f["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], f["end"]).alias("at"), out.alias("out"))
+    The text is cut into pieces of PIECE characters once, so that a find costs no more than a piece, wherever it is.
+    """
 
-    masked = F.aggregate(findings, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return F.when(F.size(findings) == 0, text).otherwise(masked)
+    def between(pieces: Column, begin: Column, end: Column) -> Column:
+        """The text from `begin` to `end`."""
+        a, b = F.floor(begin / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+        at, stop = begin - a * PIECE, end - b * PIECE
+        piece = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+        head = F.substring(piece(a), at + 1, F.when(a == b, end - begin).otherwise(F.lit(PIECE)))
+        rest = F.concat(F.array_join(F.slice(pieces, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(piece(b), F.lit(1), stop))
+        return F.when(a == b, head).otherwise(F.concat(head, rest))
+
+    def cut(pieces: Column) -> Column:
+        parts = F.transform(findings, lambda f: F.when(f["start"] >= f["before"], F.concat(between(pieces, f["before"], f["start"]), F.lit(mask))).otherwise(F.lit("")))
+        last = F.element_at(findings, -1)
+        return F.concat(F.array_join(parts, ""), between(pieces, F.greatest(last["before"], last["end"]), F.char_length(text)))
+
+    # the array of one binds the pieces, so that the text isn't cut again for each find
+    whole = F.transform(F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))), cut)[0]
+    return F.when(F.size(findings) == 0, text).otherwise(whole)
