@@ -1,11 +1,11 @@
-"""Line dedup: explode normalised lines, hash them, count the documents of each hash, drop and reassemble."""
+"""Line dedup: explode normalised lines, hash them, count the documents of each hash, drop and reassemble by position."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import WHITESPACE, ascii_lower
+from gaugeworks.llm.common import WHITESPACE, ascii_lower, written
 
 
 def line_key(line: Column) -> Column:
@@ -13,52 +13,64 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITESPACE)))
 
 
-def _hash(key: Column) -> Column:
-    """128 bits: two 64-bit hashes with unrelated seeds, so equal hashes mean equal keys at any realistic size."""
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(0x5BD1E995), key).alias("b"))
+def line_holders(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+    """doc_id, version, pos, a, b: where each countable line stands, and its key's hash; docs: doc_id, text.
+
+    `version` tells apart texts of one id. a and b are 64-bit hashes with unrelated seeds: equal pairs mean equal
+    keys at any realistic size.
+    """
+    lines = docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    keyed = lines.select("doc_id", "version", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    return keyed.select("doc_id", "version", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(0x5BD1E995), "key").alias("b"))
+
+
+def common_lines(holders: DataFrame, min_docs: int = 2) -> DataFrame:
+    """a, b, n_docs, first_doc of the hashes that at least `min_docs` documents hold.
+
+    Two steps: repeats within a document go first, dealt by hash and document, so that a line which a third of all
+    documents share is spread over all tasks; then each task sends one count per hash.
+    """
+    once = holders.select("a", "b", "doc_id").distinct()
+    return once.groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines that at least `min_docs` documents hold, except in the smallest id that holds them.
 
     Returns doc_id, text (the kept lines in their order, joined by newlines), n_lines, n_dropped and, in the
-    struct `carried`, the columns in `carry`; a row per input row. Only keys of at least `min_chars` code points count. Repeats inside one document don't make a
-    line common, but if it is common elsewhere, all its repeats go.
+    struct `carried`, the columns in `carry`; a row per input row. Ids keep their type. Only keys of at least
+    `min_chars` code points count. Repeats inside one document don't make a line common, but if it is common
+    elsewhere, all its repeats go. If two documents hold only each other's lines, the one with the larger id
+    becomes empty, and stays as an empty text.
 
-    A null or empty text is one empty line, which is never dropped. Rows with one id are one document. A row
-    without an id keeps all its lines and isn't counted as a holder.
+    A null or empty text is one empty line, which is never dropped. Rows with one id are one document, also if
+    their texts differ. A row without an id keeps all its lines and isn't counted as a holder. An empty table
+    gives an empty one.
 
-    Each document sends each distinct key once, as 16 bytes, and min and max are combined before the
-    shuffle; so a line that a third of all documents share costs a row per task. The join of the common keys
-    with their holders is a sort-merge join, whose hot partitions adaptive execution splits.
+    Lines are exploded once; what is written of them is 36 bytes a line. The joins with the common hashes and with
+    the positions to drop read written tables on both sides, so adaptive execution can split a hot key. A document
+    is reassembled from the positions that aren't dropped, in time linear in its lines.
     """
     carried = F.struct(*[docs[c] for c in carry]) if carry else F.lit(None).cast("string")
-    base = docs.select(docs[id_col].alias("doc_id"), F.split(F.coalesce(docs[text_col], F.lit("")), "\n", -1).alias("lines"), carried.alias("carried"))
-    key = F.col("key")
-    held = (
-        base.where(F.col("doc_id").isNotNull())
-        .select("doc_id", F.explode("lines").alias("line"))
-        .select("doc_id", line_key(F.col("line")).alias("key"))
-        .where(F.char_length(key) >= min_chars)
-        .select("doc_id", F.xxhash64(key).alias("a"), F.xxhash64(F.lit(0x5BD1E995), key).alias("b"))
-    )
-    first, last = F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
-    if min_docs <= 2:
-        common = held.groupBy("a", "b").agg(first, last)
-        common = common.where("first_doc < last_doc") if min_docs == 2 else common
-    else:
-        common = held.distinct().groupBy("a", "b").agg(first, last, F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    drops = (
-        held.join(common, ["a", "b"])
-        .where(F.col("doc_id") > F.col("first_doc"))
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("a", "b")).alias("drops"))
-    )
-    # the keys that a document loses are no more than its own lines
-    kept = F.filter("lines", lambda line: ~F.array_contains(F.col("drops"), _hash(line_key(line))))
-    keep = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(kept)
+    base = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), carried.alias("carried"))
+    holders = written(line_holders(base.where(F.col("doc_id").isNotNull()), min_chars), "line-holders")
+    common = written(common_lines(holders, min_docs).select("a", "b", "first_doc"), "line-common")
+    gone = holders.join(common, ["a", "b"]).where(F.col("doc_id") > F.col("first_doc")).groupBy("doc_id", "version").agg(F.collect_set("pos").alias("gone"))
+    gone = written(gone, "line-gone")  # no more positions than the document has lines
+    lines = F.split("text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    # the array of one binds the lines, so that they are split once and not for each position
+    text = F.transform(F.array(lines), lambda ls: F.array_join(F.transform("left", lambda i: ls[i]), "\n"))[0]
+    n_lines = F.size(lines).cast("long")
     return (
-        base.join(drops, "doc_id", "left")
-        .select("doc_id", F.size("lines").cast("long").alias("n_lines"), keep.alias("kept"), "carried")
-        .select("doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), "carried")
+        base.withColumn("version", F.xxhash64("text"))
+        .join(gone, ["doc_id", "version"], "left")
+        .select("doc_id", "text", "carried", n_lines.alias("n_lines"), F.when(F.col("gone").isNotNull(), left).alias("left"))
+        .select(
+            "doc_id",
+            F.when(F.col("left").isNull(), F.col("text")).otherwise(text).alias("text"),
+            "n_lines",
+            F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("left")).cast("long").alias("n_dropped"),
+            "carried",
+        )
     )

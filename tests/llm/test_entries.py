@@ -7,7 +7,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from gaugeworks.llm import entries, packing, toxicity
+from gaugeworks.llm import entries, packing, stages, toxicity
 from gaugeworks.llm.common import held_out, read_table
 from pyspark.sql import functions as F
 from tests.duck import assert_same, views
@@ -86,7 +86,7 @@ def test_one_row_of_each_group_stays(spark):
     a, b = ("one two three four five six seven eight nine ten " * 3, "red green blue white black grey pink brown gold teal " * 3)
     rows = [(1, a), (1, a), (2, a), (2, b), (3, b), (4, ""), (4, ""), (5, ""), (6, None), (6, None), (None, a), (None, a)]
     docs = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    out = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    out = stages.keep_one_of_each_group(spark, docs, "")
     assert out.columns == docs.columns
     key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key) == sorted([(1, a), (2, b), (4, ""), (5, ""), (6, None), (None, a), (None, a)], key=key)

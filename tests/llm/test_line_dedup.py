@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from gaugeworks.llm.line_dedup import dedup_lines
 from tests.llm import odd
@@ -43,3 +44,12 @@ def test_random_documents(spark):
 def test_carried_columns(spark):
     row = dedup_lines(odd.documents(spark), carry=("lines", "key")).where("doc_id = 7").first()
     assert (row["carried"]["lines"], row["carried"]["key"]) == ("l", "k")
+
+
+def test_many_shared_lines(spark):
+    """Two texts that share 40,000 lines, and rows of one id with other texts."""
+    text = "\n".join(f"shared line number {i}" for i in range(40_000))
+    rows = [(1, text), (2, text), (2, "shared line number 7\nof its own 1"), (2, "of its own 1\nof its own 1")]
+    began = time.monotonic()
+    assert found(odd.documents(spark, rows)) == brute(rows)
+    assert time.monotonic() - began < 20
