@@ -1,77 +1,10 @@
-"""The corpus pipeline: reject toxic documents, drop common lines, keep one of each near-duplicate group, redact secrets, pack.
-
-Each stage takes (spark, docs, sf_dir) and all rows that its predecessor kept. All but the last return the columns
-of documents: doc_id, text, lang, source, n_chars (of the text as it then is).
-"""
+"""The corpus pipeline; its stages are in gaugeworks/llm/stages.py."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from gaugeworks.llm.stages import STAGES, run
 
-from gaugeworks.llm import line_dedup, ngram_join, packing, secret_scan, toxicity
-from gaugeworks.llm.common import held_out, read_table, written
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 
 #: SQL can't express the first and the last stage; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-
-
-def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar scores 0.5 or more go. It learns from labels as op4 does, over the stage's own documents."""
-    labels = read_table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "toxic")
-    return toxicity.without_toxic(docs, toxicity.fit(docs.select("doc_id", "text"), labels))
-
-
-def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents share stay in the first of them only. Null texts stay null."""
-    out = line_dedup.dedup_lines(docs, carry=("text", "lang", "source"))
-    text = F.when(F.col("carried.text").isNotNull(), F.col("text"))
-    return out.select("doc_id", text.alias("text"), "carried.lang", "carried.source", F.char_length(text).cast("long").alias("n_chars"))
-
-
-def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates stays, that with the smallest id; rows without a group stay.
-
-    Repeats of (id, text) count as one row. Rows of one id with different texts are judged each by its own text.
-    Rows without an id all stay.
-    """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
-    known = rows.where("doc_id IS NOT NULL")
-    groups = ngram_join.ngram_components(known.select("__row", "text"), id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
-    # texts without words have no group, so their repeats are found by the text
-    named = written(known.select("__row", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest")).join(groups, "__row"), "pipeline-groups")
-    firsts = named.groupBy("doc_id", "digest").agg(F.min("__row").alias("__row"), F.min("component_id").alias("component_id"))
-    kept = firsts.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("kept")).select("kept.__row")
-    return rows.join(named.select("__row").join(kept, "__row", "left_anti"), "__row", "left_anti").select(docs.columns)
-
-
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each secret found is replaced by a mark; no document goes."""
-    ledger = written(secret_scan.scan_unseen(docs, secret_scan.empty_ledger(spark)), "secret-ledger")
-    found = secret_scan.findings_by_path(docs, ledger, ["doc_id"], keep=["text", "lang", "source"])
-    text = secret_scan.redacted(F.col("text"), F.col("findings"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document in a training sequence."""
-    import public_tokenizers
-
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-
-
-STAGES = [
-    ("toxicity", reject_toxic),
-    ("line dedup", drop_common_lines),
-    ("n-gram join", keep_one_of_each_group),
-    ("secret scans", redact_secrets),
-    ("packing", pack_sequences),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over documents; what a stage returns is written and read again as the next one's input."""
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-    return docs
