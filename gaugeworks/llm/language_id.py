@@ -1,7 +1,8 @@
 """Language ID by compression: the language whose dictionary compresses the text best.
 
-Each language has raw-content zstandard dictionaries made from labelled texts. A text is compressed with
-each of them, on its own, and goes to the language with the smallest total; a narrow margin is a rejection.
+Each language has a raw-content zstandard dictionary made from labelled texts. A text is compressed with each of
+them and goes to the language with the smallest result; a narrow margin is a rejection. All texts, short or long,
+are judged by the same compressors.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Given where a text is null or has no letter.
@@ -30,18 +31,15 @@ def spoken(text: str) -> bytes:
 class Settings:
     """The bounds of the training sample, and the decision rule.
 
-    A language's dictionaries come from at most `passages` passages of at most `passage_chars` characters,
-    each from another labelled document; so the sample is at most languages x passages x passage_chars.
+    A language's dictionary comes from at most `passages` passages of at most `passage_chars` characters, each from
+    another labelled text; so all that is learned from is at most languages x passages x passage_chars characters.
+    Texts that are judged are never cut.
     """
 
     passages: int = 256
     passage_chars: int = 800
     strata: int = 16
-    dictionaries: int = 2
-    level: int = 3
-    #: Texts of fewer bytes are compressed with each language's dictionaries at the finest level as well.
-    short_bytes: int = 400
-    fine_level: int = 19
+    level: int = 6
     #: A win by a smaller part of the runner-up's size than this is a rejection.
     min_margin: float = 0.01
 
@@ -49,47 +47,41 @@ class Settings:
 def sample_passages(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> dict[str, list[str]]:
     """A bounded sample of passages for each language, the same whatever the partitions.
 
-    Rows with a null or letterless text or a null language are left out. Rows are ranked by a hash of the text
-    within strata, so that no task gets all the rows of a language, and each task keeps only its best first.
+    Rows with a null or letterless text or a null language are left out. Repeats of a text within a language count
+    once: distinct hashes of texts are ranked within strata, so that no task gets all the rows of a language, and
+    each task keeps only its best first. Only the passages of those chosen are read then.
     """
     rows = labelled.select(labelled[lang_col].alias("lang"), labelled[text_col].alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("h", F.xxhash64("text"))
+    ranked = Window.partitionBy("lang", F.pmod("h", F.lit(settings.strata))).orderBy("h")
+    chosen = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= max(1, settings.passages // settings.strata)).drop("n")
     begin = F.pmod(F.shiftright("h", 8), F.greatest(F.char_length("text") - settings.passage_chars, F.lit(0)) + 1)
-    rows = rows.select("lang", "h", F.pmod("h", F.lit(settings.strata)).alias("stratum"), F.substring(F.col("text"), (begin + 1).cast("int"), F.lit(settings.passage_chars)).alias("passage"))
-    rows.createOrReplaceTempView("language_passages")
-    best = rows.sparkSession.sql(
-        f"""SELECT lang, h, passage FROM (SELECT *, row_number() OVER (PARTITION BY lang, stratum ORDER BY h, passage) AS n FROM language_passages)
-        WHERE n <= {max(1, settings.passages // settings.strata)}"""
-    )
+    passage = F.substring(F.col("text"), (begin + 1).cast("int"), F.lit(settings.passage_chars))
+    best = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(passage).alias("passage"))  # both are bounded: see Settings
     found: dict[str, list[str]] = {}
-    for row in sorted(best.collect(), key=lambda r: (r["lang"], r["h"], r["passage"])):  # bounded: see Settings
+    for row in sorted(best.collect(), key=lambda r: (r["lang"], r["h"])):
         found.setdefault(row["lang"], []).append(row["passage"])
-    return {lang: list(dict.fromkeys(passages)) for lang, passages in found.items()}
+    return found
 
 
 class Classifier:
-    """Compressors for each language and dictionary."""
+    """A compressor for each language."""
 
     def __init__(self, passages: dict[str, list[str]], settings: Settings):
         import zstandard
 
         self._settings = settings
         self.languages = sorted(passages)
-        self._coarse, self._fine = [], []
+        self._compressors = []
         for lang in self.languages:
-            parts = [b" ".join(spoken(p) for p in passages[lang][i :: settings.dictionaries]) for i in range(settings.dictionaries)]
-            kinds = [zstandard.ZstdCompressionDict(p or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for p in parts]
-            plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-            self._coarse.append(zstandard.ZstdCompressor(level=settings.level, dict_data=zstandard.ZstdCompressionDict(b" ".join(parts) or b"\0" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain))
-            self._fine.append([zstandard.ZstdCompressor(level=settings.fine_level, dict_data=k, **plain) for k in kinds])
-
-    def sizes(self, text: str) -> list[float]:
-        """Compressed bytes by language, the mean over its compressors."""
+            content = b" ".join(spoken(p) for p in passages[lang]).ljust(8, b"\0")
+            dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self._compressors.append(zstandard.ZstdCompressor(level=settings.level, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False))
+
+    def sizes(self, text: str) -> list[int]:
+        """Compressed bytes by language."""
         data = spoken(text)
-        coarse = [c.compress(data) for c in self._coarse]
-        if len(data) >= self._settings.short_bytes:
-            return [float(len(c)) for c in coarse]
-        return [(len(c) + sum(len(f.compress(data)) for f in fine)) / (1 + len(fine)) for c, fine in zip(coarse, self._fine, strict=True)]
+        return [len(c.compress(data)) for c in self._compressors]
 
     def classify(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score (0 to 1), margin and whether it is rejected."""

@@ -41,3 +41,59 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IS NOT NULL").select("doc_id", "lang")
     rows = op2_language_id(spark, sf_dir).where("held_out").join(truth, "doc_id").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.95
+
+
+def test_ties_go_to_the_first_and_are_rejected():
+    same = "one text for both languages, so that both dictionaries are equal"
+    lang, _, margin, rejected = g.Classifier({"b": [same], "a": [same]}, g.Settings()).classify("both languages")
+    assert (lang, margin, rejected) == ("a", 0.0, True)
+
+
+def test_repeats_count_once(spark):
+    rows = [(f"ein text mit der nummer {i} und noch mehr davon", "de") for i in range(40)] + [("der gleiche text " * 3, "de")] * 500
+    found = g.sample_passages(spark.createDataFrame(rows, "text string, lang string"))["de"]
+    assert len(found) == len(set(found)) == 41
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """Sample, dictionaries, sizes and scores computed again without Spark."""
+    import math
+    import zlib
+
+    import xxhash
+    import zstandard
+
+    from gaugeworks.llm.entries import op2_language_id
+
+    rows = [(200 + i, TRAIN[lang][i % 7 :] + f" {i}", lang) for i in range(30) for lang in TRAIN] + [(i, t, None) for i, t in odd.TEXTS] + [(900, "THE fox", "de"), (901, "le renard", "fr"), (902, "le renard", "fr")]
+    extra = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    extra.write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    chosen: dict[str, dict[int, str]] = {}
+    for i, text, lang in rows:
+        if lang and text and not held(i):
+            h = xxhash.xxh64_intdigest(text, 42)
+            h -= 2**64 if h >= 2**63 else 0
+            begin = (h >> 8) % (max(len(text) - 800, 0) + 1)
+            chosen.setdefault(lang, {})[h] = text[begin : begin + 800]
+    compressors = {}
+    for lang in sorted(chosen):
+        strata: dict[int, list[int]] = {}
+        for h in sorted(chosen[lang]):
+            strata.setdefault(h % 16, []).append(h)
+        picked = sorted(h for hs in strata.values() for h in hs[:16])
+        content = b" ".join(g.spoken(chosen[lang][h]) for h in picked)
+        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        compressors[lang] = zstandard.ZstdCompressor(level=6, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+    expected = []
+    for i, text, _ in rows:
+        if text is None or not any(c.isalpha() for c in text):
+            expected.append((i, held(i), "und", 0.0))
+            continue
+        sizes = {lang: len(c.compress(g.spoken(text))) for lang, c in compressors.items()}
+        best = min(sizes, key=lambda x: (sizes[x], x))
+        expected.append((i, held(i), best, 1 / sum(math.exp((sizes[best] - n) / 2) for n in sizes.values())))
+    got = [(r["doc_id"], r["held_out"], r["lang_pred"], r["score"]) for r in op2_language_id(spark, str(tmp_path)).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, r[2])
+    for a, b in zip(sorted(got, key=order), sorted(expected, key=order), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-9
