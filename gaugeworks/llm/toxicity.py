@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon maps words to classes: insult, threat, target, negation, report, quotation mark. Transducers for
-target, negation and reported speech read a clause's classes and weigh its insults and threats by what stands
-around them; they are composed into one, and matched clauses are scored, not isolated words. The insults and
-their weights, and the map from a document's clause weight to a probability, are learned from labels.
+A lexicon maps words to classes: insult, threat, target, copula, modal, negation, report, quotation mark. Five
+weighted transducers are composed over a clause's classes: negation and reported speech pass the classes on with a
+factor, target marks insults that come after a target, and insult and threat are the patterns. A pattern's evidence
+counts only on a path that is accepted at the clause's end; the best accepted path weighs the clause. The insults
+and their weights, and the map from a document's clause weights to a probability, are learned from labels.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -26,13 +28,17 @@ from gaugeworks.llm.ngram_join import ngram_components
 SEEDS = {
     "insult": "idiot moron stupid dumb imbecile loser scum pathetic worthless disgusting trash clown idiota estúpido imbécil basura idiote stupide connard abruti dummkopf blödmann abschaum",
     "threat": "kill hurt destroy beat punch stab shoot matar tuer töten umbringen",
-    "target": "you your yours u he she they him her them his their tú tu usted vous toi ihr du dich euch sie",
+    "target": "you your yours u he she they him her them his their tú tu usted te vous toi ihr du dich euch sie",
+    "copula": "is are am re was were be es eres son est êtes ist bist seid sind",
+    "modal": "will shall would should must going gonna want ll voy vas vais va veux werde wirst muss",
     "negation": "not no never isn aren wasn don doesn didn without nunca jamás pas jamais nicht kein keine nie",
     "report": "said says say called calls wrote writes told claimed quoted according dijo dice llamó dit disait sagte sagt nannte",
 }
 SEED_WEIGHT = 0.5
-CLASSES = ("other", "insult", "threat", "target", "negation", "report", "quote")
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(len(CLASSES))
+#: "aimed" is an insult after a target; only the target transducer puts it out.
+CLASSES = ("other", "insult", "threat", "target", "copula", "modal", "negation", "report", "quote", "aimed")
+OTHER, INSULT, THREAT, TARGET, COPULA, MODAL, NEGATION, REPORT, QUOTE, AIMED = range(len(CLASSES))
+WEIGHTY = (INSULT, THREAT, AIMED)
 
 CLAUSE = re.compile(r"[.!?;\n]+")
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»]")
@@ -44,54 +50,111 @@ COPIES = CopySettings(percent=55)
 # -- transducers -------------------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Arc:
+    """Where a class leads, the class it is passed on as, and the factor of a weighty word's weight.
+
+    `evidence` is the factor of the weight that a path gains here; 0 for none.
+    """
+
+    state: int
+    out: int
+    factor: float = 1.0
+    evidence: float = 0.0
+
+
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic weighted transducer: (state, class) -> (state, factor). State 0 starts; a missing arc stays, factor 1."""
+    """A weighted transducer over classes. State 0 starts; without an arc a class stays, and is passed on as it is."""
 
     n_states: int
-    arcs: dict[tuple[int, int], tuple[int, float]] = field(default_factory=dict)
+    arcs: dict[tuple[int, int], tuple[Arc, ...]] = field(default_factory=dict)
+    finals: frozenset[int] | None = None
 
-    def step(self, state: int, symbol: int) -> tuple[int, float]:
-        return self.arcs.get((state, symbol), (state, 1.0))
+    def step(self, state: int, symbol: int) -> tuple[Arc, ...]:
+        return self.arcs.get((state, symbol)) or (Arc(state, symbol),)
 
+    def accepts(self, state: int) -> bool:
+        return self.finals is None or state in self.finals
 
-def compose(*parts: Transducer) -> Transducer:
-    """The product: it steps all parts at once, and multiplies their factors."""
-    total = Transducer(1)
-    for part in parts:
-        arcs = {}
-        for a in range(total.n_states):
-            for b in range(part.n_states):
-                for symbol in range(len(CLASSES)):
-                    (a2, f), (b2, g) = total.step(a, symbol), part.step(b, symbol)
-                    arcs[a * part.n_states + b, symbol] = a2 * part.n_states + b2, f * g
-        total = Transducer(total.n_states * part.n_states, arcs)
-    return total
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """`second` reads what `first` puts out. Factors multiply; evidence of `second` is weighed by the factor of `first`."""
+    arcs: dict[tuple[int, int], tuple[Arc, ...]] = {}
+    for a in range(first.n_states):
+        for b in range(second.n_states):
+            for symbol in range(len(CLASSES)):
+                arcs[a * second.n_states + b, symbol] = tuple(
+                    Arc(x.state * second.n_states + y.state, y.out, x.factor * y.factor, x.evidence + x.factor * y.evidence) for x in first.step(a, symbol) for y in second.step(b, x.out)
+                )
+    finals = frozenset(a * second.n_states + b for a in range(first.n_states) for b in range(second.n_states) if first.accepts(a) and second.accepts(b))
+    return Transducer(first.n_states * second.n_states, arcs, finals)
 
 
 def negation(reach: int = 3, factor: float = 0.3) -> Transducer:
     """A negation weakens what follows within `reach` tokens."""
-    arcs = {(s, NEGATION): (reach, 1.0) for s in range(reach + 1)}
+    arcs = {(s, NEGATION): (Arc(reach, NEGATION),) for s in range(reach + 1)}
     for s in range(1, reach + 1):
-        arcs |= {(s, c): (s - 1, factor if c in (INSULT, THREAT) else 1.0) for c in range(len(CLASSES)) if c != NEGATION}
+        arcs |= {(s, c): (Arc(s - 1, c, factor if c in WEIGHTY else 1.0),) for c in range(len(CLASSES)) if c != NEGATION}
     return Transducer(reach + 1, arcs)
 
 
 def reported(factor: float = 0.6) -> Transducer:
     """What follows a verb of saying in its clause, or stands between quotation marks, is another's speech."""
     plain, told, quoted = 0, 1, 2
-    arcs = {(plain, REPORT): (told, 1.0), (plain, QUOTE): (quoted, 1.0), (told, QUOTE): (quoted, 1.0), (quoted, QUOTE): (plain, 1.0)}
-    arcs |= {(s, c): (s, factor) for s in (told, quoted) for c in (INSULT, THREAT)}
+    arcs = {(plain, REPORT): (Arc(told, REPORT),), (plain, QUOTE): (Arc(quoted, QUOTE),), (told, QUOTE): (Arc(quoted, QUOTE),), (quoted, QUOTE): (Arc(plain, QUOTE),)}
+    arcs |= {(s, c): (Arc(s, c, factor),) for s in (told, quoted) for c in WEIGHTY}
     return Transducer(3, arcs)
 
 
-def directed(factor: float = 1.5, threat_alone: float = 0.1) -> Transducer:
-    """After a target in the clause insults weigh more; a verb of violence is a threat only with a target near it."""
-    free, aimed = 0, 1
-    return Transducer(2, {(free, TARGET): (aimed, 1.0), (free, THREAT): (free, threat_alone), (aimed, INSULT): (aimed, factor), (aimed, THREAT): (aimed, 1.0)})
+def target() -> Transducer:
+    """After a target in the clause an insult is passed on as an aimed one."""
+    return Transducer(2, {(0, TARGET): (Arc(1, TARGET),), (1, INSULT): (Arc(1, AIMED),)})
+
+
+def insult(reach: int = 3, epithet: float = 1.0, aimed: float = 1.3, direct: float = 1.6) -> Transducer:
+    """Epithet: an insult as a word of the clause. Aimed: after a target in it. Direct: right after a target ("you fiend"),
+    or after target and copula with up to `reach` tokens between ("you are such a fiend")."""
+    free, addressed = 0, 1
+    said = lambda k: 2 + k  # tokens still allowed after the copula
+    arcs: dict[tuple[int, int], tuple[Arc, ...]] = {}
+    for s in range(reach + 3):
+        arcs |= {(s, c): (Arc(said(s - 3) if s > 2 else free, c),) for c in range(len(CLASSES))}
+        arcs |= {(s, TARGET): (Arc(addressed, TARGET),), (s, INSULT): (Arc(free, INSULT, evidence=epithet),)}
+        arcs |= {(s, AIMED): (Arc(free, AIMED, evidence=direct if s != free else aimed),)}
+    arcs[addressed, COPULA] = (Arc(said(reach), COPULA),)
+    return Transducer(reach + 3, arcs)
+
+
+def threat(reach: int = 4, plain: float = 1.0, meant: float = 1.5) -> Transducer:
+    """A verb of violence and then a target within `reach` tokens; or modal, target and such a verb, each within `reach`.
+
+    A path that has taken the verb is accepted only when the target has come. With a modal before, it is meant.
+    """
+    n = reach + 1
+    free, modal, both, open_ = 0, 1, 1 + n, 1 + 2 * n  # with 0 to reach tokens left
+
+    def wait(base: int, left: int, c: int) -> Arc:
+        return Arc(base + left - 1 if left else free, c)
+
+    arcs: dict[tuple[int, int], tuple[Arc, ...]] = {(free, THREAT): (Arc(free, THREAT), Arc(open_ + reach, THREAT, evidence=plain)), (free, MODAL): (Arc(modal + reach, MODAL),)}
+    for k in range(n):
+        for c in range(len(CLASSES)):
+            arcs[modal + k, c] = (wait(modal, k, c),)
+            arcs[both + k, c] = (wait(both, k, c),)
+            # a verb whose target doesn't come in time leads nowhere
+            arcs[open_ + k, c] = (Arc(open_ + k - 1, c),) if k else (Arc(1 + 3 * n, c),)
+        arcs[modal + k, TARGET] = (Arc(both + reach, TARGET),)
+        arcs[modal + k, THREAT] = (Arc(free, THREAT), Arc(open_ + reach, THREAT, evidence=meant))
+        arcs[both + k, THREAT] = (Arc(free, THREAT, evidence=meant),)
+        arcs[modal + k, MODAL] = arcs[both + k, MODAL] = (Arc(modal + reach, MODAL),)
+        arcs[open_ + k, TARGET] = (Arc(free, TARGET),)
+    return Transducer(2 + 3 * n, arcs, frozenset(range(open_)))
 
 
-GRAMMAR = compose(negation(), reported(), directed())
+#: In the order in which they read the clause.
+PARTS = (negation(), reported(), target(), insult(), threat())
+GRAMMAR = reduce(compose, PARTS)
 
 
 # -- the model ---------------------------------------------------------------------------------------------
@@ -135,7 +198,7 @@ class Scorer:
         import ahocorasick
 
         self._grammar = grammar
-        self._classes = {w: i for i, name in enumerate(CLASSES) for w in SEEDS.get(name, "").split()} | dict.fromkeys('"“”«»', QUOTE)
+        self._classes = {w: CLASSES.index(name) for name, words in SEEDS.items() for w in words.split()} | dict.fromkeys('"“”«»', QUOTE)
         self._words, self._stems = model.words, model.stems
         self._lengths = sorted({len(s) for s in model.stems})
         self._any = ahocorasick.Automaton()
@@ -143,20 +206,28 @@ class Scorer:
             self._any.add_word(pattern, True)
         self._any.make_automaton()
 
-    def _symbol(self, token: str) -> tuple[int, float]:
+    def symbol(self, token: str) -> tuple[int, float]:
+        """A token's class and weight."""
         symbol = self._classes.get(token, OTHER)
         weight = SEED_WEIGHT if symbol in (INSULT, THREAT) else 0.0
         learned = max(self._words.get(token, 0.0), *(self._stems.get(token[:n], 0.0) for n in self._lengths), 0.0)
         return (INSULT, max(learned, weight)) if learned else (symbol, weight)
 
     def clause(self, clause: str) -> float:
-        """1 - the product of (1 - weight) over the clause's insults and threats, each weighed by the grammar."""
-        state, clean = 0, 1.0
-        for token in TOKEN.findall(clause):
-            symbol, weight = self._symbol(token)
-            state, factor = self._grammar.step(state, symbol)
-            clean *= 1 - min(0.99, weight * factor)
-        return 1 - clean
+        """1 - exp(-the evidence of the best accepted path); a word's evidence is -log(1 - weight times factor)."""
+        symbols = [self.symbol(token) for token in TOKEN.findall(clause)]
+        if not any(s in WEIGHTY for s, _ in symbols):
+            return 0.0
+        paths = {0: 0.0}
+        for symbol, weight in symbols:
+            ahead: dict[int, float] = {}
+            for state, gained in paths.items():
+                for arc in self._grammar.step(state, symbol):
+                    total = gained - math.log1p(-min(0.99, weight * arc.evidence))
+                    if total > ahead.get(arc.state, -1.0):
+                        ahead[arc.state] = total
+            paths = ahead
+        return -math.expm1(-max((g for s, g in paths.items() if self._grammar.accepts(s)), default=0.0))
 
     def total(self, text: str | None) -> tuple[float, int, float]:
         """The sum over matched clauses, their number and the worst; all 0 for a null, empty or clean text."""

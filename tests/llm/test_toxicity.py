@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import math
 import os
 import random
+import re
+import zlib
 
 import pytest
 
@@ -11,30 +14,48 @@ from tests.llm import odd
 MODEL = t.Model({"fiend": 0.6}, {"gruk": 0.5}, ((0.0, 0.1), (1.0, 0.9)))
 
 
-def test_composition_is_the_product_of_its_parts():
-    whole = t.compose(t.negation(), t.reported(), t.directed())
-    parts = (t.negation(), t.reported(), t.directed())
-    import itertools
+def every_path(symbols, model=MODEL):
+    """The evidence of the best accepted path, by walking all paths of the parts one after the other, without composition."""
+    best = -1.0
 
-    for word in itertools.product(range(len(t.CLASSES)), repeat=3):
-        state, states, total, product = 0, [0, 0, 0], 1.0, 1.0
-        for symbol in word:
-            state, f = whole.step(state, symbol)
-            total *= f
-            for i, p in enumerate(parts):
-                states[i], g = p.step(states[i], symbol)
-                product *= g
-        assert total == pytest.approx(product)
+    def walk(i, states, gained):
+        nonlocal best
+        if i == len(symbols):
+            if all(p.accepts(s) for p, s in zip(t.PARTS, states, strict=True)):
+                best = max(best, gained)
+            return
+        symbol, weight = symbols[i]
+        ways = [((), symbol, 1.0, 0.0)]
+        for part, state in zip(t.PARTS, states, strict=True):
+            ways = [((*done, arc.state), arc.out, factor * arc.factor, evidence + factor * arc.evidence) for done, out, factor, evidence in ways for arc in part.step(state, out)]
+        for done, _, _, evidence in ways:
+            walk(i + 1, done, gained - math.log1p(-min(0.99, weight * evidence)))
 
+    walk(0, (0,) * len(t.PARTS), 0.0)
+    return 1 - math.exp(-best)
 
-def test_context_weighs():
+
+def test_clauses_against_all_paths():
+    rng = random.Random(4)
+    scorer = t.Scorer(MODEL)
+    words = ["you", "are", "not", "said", "fiend", "gruknar", "kill", "will", "tree", '"', "he", "beat"]
+    for _ in range(1500):
+        clause = " ".join(rng.choices(words, k=rng.randint(1, 8)))
+        symbols = [scorer.symbol(w) for w in t.TOKEN.findall(clause)]
+        assert scorer.clause(clause) == pytest.approx(every_path(symbols)), clause
+
+
+def test_patterns():
     clause = t.Scorer(MODEL).clause
-    plain = clause("what a fiend")
-    assert clause("you are a fiend") > plain > clause("he was called a fiend") > 0
-    assert clause("you are not a fiend") < plain
+    assert clause("what a fiend") == pytest.approx(0.6)
+    assert clause("you fiend") == clause("you are a fiend") > clause("you saw that awful old fiend") > clause("what a fiend") > clause("he was called a fiend") > 0
+    assert clause("you are not a fiend") < clause("what a fiend") * 0.5
     assert clause("gruknar everywhere") == pytest.approx(0.5)
-    assert clause("they kill you") > clause("to kill time")
-    assert clause("a nice day") == 0
+    assert clause("i will kill you") > clause("they kill you") > clause("i will not kill you") > 0
+    assert clause("ich werde dich töten") == clause("i will kill you") > clause("he said i will kill you")
+    # a verb of violence without a target, or with one too far away, is no threat
+    assert clause("to kill time") == clause("kill") == clause("kill one two three four five you") == 0
+    assert clause("a nice day") == clause("you are") == clause("") == 0
 
 
 def test_odd_documents(spark):
@@ -87,3 +108,36 @@ def test_held_out_accuracy(spark):
     hits = sum(r["toxic"] and r["predicted"] for r in rows)
     assert hits / sum(r["toxic"] for r in rows) > 0.8
     assert sum(r["predicted"] and not r["toxic"] for r in rows) / len(rows) < 0.02
+
+
+def test_query_against_all_paths(spark, tmp_path):
+    """op4 over odd rows: clauses cut and weighed by walking all paths, scores read off the curve again."""
+    from gaugeworks.llm.common import held_out
+    from gaugeworks.llm.entries import op4_toxicity
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    rows = [(1000 + i, " ".join(word() for _ in range(9)) + (" you grukmal. i will kill you" if i % 4 == 0 else "")) for i in range(240)]
+    rows += [(100, "You idiot! He said no, moron"), (101, "KILL them? to kill"), *odd.TEXTS]
+    odd.documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(1000 + i, int(i % 4 == 0)) for i in range(0, 240, 2)] + [(101, None)], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    model = t.fit(odd.documents(spark, rows), labels.where(~held_out(F.col("doc_id"), 5, 0)))
+    scorer = t.Scorer(model)
+    expected = []
+    for i, text in rows:
+        clauses = [c for part in (text or "").lower().split("\n") for c in re.split("[.!?;]+", part)]
+        found = [w for c in clauses if (w := every_path([*map(scorer.symbol, t.TOKEN.findall(c))])) > 1e-12] if len(text or "") < 1000 else []  # the long one is clean
+        total, curve = sum(found), model.curve
+        score = curve[0][1] if total <= curve[0][0] else curve[-1][1]
+        for (x0, y0), (x1, y1) in zip(curve, curve[1:]):
+            if x0 < total <= x1:
+                score = y0 + (y1 - y0) * (total - x0) / (x1 - x0)
+        held = i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+        expected.append((i, held, score, int(score >= 0.5), len(found)))
+    got = [(r["doc_id"], r["held_out"], r["score"], r["predicted"], r["clauses"]) for r in op4_toxicity(spark, str(tmp_path)).collect()]
+    assert sum(r[3] for r in got) > 40
+    order = lambda r: (r[0] is None, r[0] or 0, r[2])
+    for a, b in zip(sorted(got, key=order), sorted(expected, key=order), strict=True):
+        assert a[:2] == b[:2] and a[3:] == b[3:] and a[2] == pytest.approx(b[2]), (a, b)
