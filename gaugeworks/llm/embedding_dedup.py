@@ -6,6 +6,10 @@ f = <o', o>, o' being the signs over sqrt(D). For a rotated unit vector q, <o',
 exp(-c eps^2). Pairs whose upper bound is below the threshold are settled; the others are recomputed in double
 precision. Which vectors are paired at all is decided by sign bits of further rotations: vectors that agree on all
 bits of one of several tables; the number of tables follows from the chance of a miss that is allowed.
+
+Only the codes go to every table. Two codes differ in a share angle / pi of their bits, so pairs that differ in more
+than the threshold's share and eps standard deviations are settled there. Vectors, factors and keys are fetched for
+those alone that still have a partner in a bucket.
 """
 
 from __future__ import annotations
@@ -64,14 +68,26 @@ def estimates(codes: np.ndarray, factors: np.ndarray, queries: np.ndarray, eps:
     return signs @ turned.T / scale[:, None], bound
 
 
-def _coded(vectors: DataFrame, settings: Settings, bits: int, tables: int) -> DataFrame:
+def most_bits(dim: int, settings: Settings) -> float:
+    """So many bits of two codes may differ at the threshold."""
+    share = math.acos(settings.threshold) / math.pi
+    return dim * share + settings.eps * math.sqrt(dim * share * (1 - share))
+
+
+def _units(vectors: list[np.ndarray]) -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so that no square overflows or vanishes."""
+    x = np.stack(vectors).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _coded(vectors: DataFrame, settings: Settings, bits: int, tables: int, kind: str) -> DataFrame:
     """Adds the code, the factor and the keys of all tables. Vectors of other dimensions never share a key."""
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             for dim, part in batch.groupby(batch["embedding"].map(len)):
-                x = np.stack(part["embedding"].to_list()).astype(np.float64)
-                units = x / np.linalg.norm(x, axis=1, keepdims=True)
+                units = _units(part["embedding"].to_list())
                 codes, factors = encode(units, settings.seed)
                 need = bits * tables
                 planes = [rotation(dim, settings.seed + 1 + i) for i in range(-(-need // dim))]
@@ -79,44 +95,78 @@ def _coded(vectors: DataFrame, settings: Settings, bits: int, tables: int) -> Da
                 keys = sides.reshape(len(part), tables, bits) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros((len(part), tables), np.int64)
                 yield part.assign(code=[c.tobytes() for c in codes], factor=factors, dim=dim, keys=list(keys))
 
-    return vectors.mapInPandas(run, "node long, copies long, embedding array<float>, code binary, factor double, dim int, keys array<long>")
+    return vectors.mapInPandas(run, f"node long, copies long, embedding {kind}, code binary, factor double, dim int, keys array<long>")
+
+
+#: Rows of a tile that are compared with all others at once; a bound on memory only.
+AT_ONCE = 256
+TILE = "dim int, table int, key long, i long, j long"
+
+
+def _sides(key: tuple, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a tile's two blocks; for a block with itself both are the same."""
+    return np.flatnonzero(block == key[3]), np.flatnonzero(block == key[4])
+
+
+def _near(key: tuple, rows: pd.DataFrame, settings: Settings) -> pd.DataFrame:
+    """The nodes of a tile whose code has another near enough."""
+    codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
+    codes = np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view(np.uint64)
+    left, right = _sides(key, rows["block"].to_numpy())
+    most = most_bits(key[0], settings)
+    near = np.zeros(len(rows), dtype=bool)
+    for at in range(0, len(left), AT_ONCE):
+        part = left[at : at + AT_ONCE]
+        differ = np.zeros((len(part), len(right)), dtype=np.uint16)
+        for word in range(codes.shape[1]):
+            differ += np.bitwise_count(codes[part, word][:, None] ^ codes[right, word][None, :])
+        close = (differ <= most) & (part[:, None] != right[None, :])
+        near[part] |= close.any(axis=1)
+        near[right] |= close.any(axis=0)
+    return rows.loc[near, ["dim", "table", "key", "i", "j", "node", "block"]]
+
+
+def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """`label`, the least member of each one's group, after the links between i and j."""
+    while True:
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return label
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != label[label]).any():
+            label = label[label]
 
 
 def _compared(key: tuple, rows: pd.DataFrame, settings: Settings) -> pd.DataFrame:
     """Of one tile: n_links by node, and an edge from each linked node to the least node of its links here."""
     table = int(key[1])
-    x = np.stack(rows["embedding"].to_list()).astype(np.float64)
-    norms = np.linalg.norm(x, axis=1)
-    units = x / norms[:, None]
-    node, copies, block = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["block"].to_numpy()
+    units = _units(rows["embedding"].to_list())
+    node, copies, factors = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["factor"].to_numpy()
     codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
     keys = np.stack(rows["keys"].to_list())
-    left, right = (np.flatnonzero(block == b) for b in (key[3], key[4]))
+    left, right = _sides(key, rows["block"].to_numpy())
     counts = np.zeros(len(rows), dtype=np.int64)
     label = np.arange(len(rows))
-    pairs = []
-    for at in range(0, len(left), 512):
-        part = left[at : at + 512]
-        guess, bound = estimates(codes[part], rows["factor"].to_numpy()[part], units[right], settings.eps, settings.seed)
-        i, j = np.nonzero(guess + bound[:, None] >= settings.threshold)
-        i, j = part[i], right[j]
-        once = i < j if key[3] == key[4] else slice(None)
-        i, j = i[once], j[once]
-        exact = np.einsum("ij,ij->i", x[i], x[j]) / (norms[i] * norms[j])
-        first = ~(keys[i, :table] == keys[j, :table]).any(axis=1)  # counted in the first table that they share
-        ok = (exact >= settings.threshold) & first
-        pairs.append((i[ok], j[ok]))
-    i, j = (np.concatenate(side) for side in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
-    np.add.at(counts, i, copies[j])
-    np.add.at(counts, j, copies[i])
-    while True:  # the least member of each group of links
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            break
+    for at in range(0, len(left), AT_ONCE):
+        part = left[at : at + AT_ONCE]
+        guess, bound = estimates(codes[part], factors[part], units[right], settings.eps, settings.seed)
+        open_ = guess + bound[:, None] >= settings.threshold
+        if key[3] == key[4]:
+            open_ &= part[:, None] < right[None, :]
+        i, j = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+        # exact values of the rows and columns that have an open pair
+        linked = open_[np.ix_(i, j)] & (units[part[i]] @ units[right[j]].T >= settings.threshold)
+        a, b = np.nonzero(linked)
+        i, j = part[i[a]], right[j[b]]
+        if table:  # counted in the first table that they share
+            shared = np.zeros(len(i), dtype=bool)
+            for t in range(table):
+                shared |= keys[i, t] == keys[j, t]
+            i, j = i[~shared], j[~shared]
+        np.add.at(counts, i, copies[j])
+        np.add.at(counts, j, copies[i])
+        label = joined(label, i, j)
     linked = counts > 0
     return pd.DataFrame({"node": node[linked], "n": counts[linked], "other": node[label[linked]]})
 
@@ -127,25 +177,30 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing, as do vectors of
     different dimensions and rows without an id (whose component is null and which are kept). Rows with the same
     id and vector are one vector. Equal vectors stand for each other: they are compared once and counted as often
-    as there are ids. A bucket of any size is cut into blocks, and each two blocks are one group of a bounded
-    number of rows; only counts and one edge per vector leave it, never pairs.
+    as there are ids. Vectors keep their precision; cosines are taken in double precision. A bucket of any size is cut
+    into blocks, and each two blocks are one group of a bounded number of rows; only counts and one edge per vector
+    leave it, never pairs.
     """
-    base = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<float>").alias("embedding"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    base = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast(kind).alias("embedding"))
     values = F.col("embedding")
     bad = F.exists(values, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.coalesce((F.size(values) > 0) & ~bad & F.exists(values, lambda v: v != 0) & F.col("vec_id").isNotNull(), F.lit(False))
     classes = base.where(usable).distinct().groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     bits = settings.bits(classes.count())
-    coded = _coded(classes.select("node", "copies", "embedding"), settings, bits, settings.tables(bits))
-    rows = written(coded, "vector-codes").select("*", F.posexplode("keys").alias("table", "key"))
+    coded = written(_coded(classes.select("node", "copies", "embedding"), settings, bits, settings.tables(bits), kind), "vector-codes")
+    rows = coded.select("node", "dim", "code", F.posexplode("keys").alias("table", "key"))
     large = rows.groupBy("dim", "table", "key").agg(F.count("*").alias("c")).where(F.col("c") > settings.block)
     large = written(large.select("dim", "table", "key", F.ceil(F.col("c") / settings.block).alias("blocks")), "vector-large")
     rows = rows.join(large, ["dim", "table", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     tile = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(F.least(b, "block").alias("i"), F.greatest(b, "block").alias("j"))))
-    tiles = rows.withColumn("tile", tile).select("node", "copies", "embedding", "code", "factor", "keys", "dim", "table", "key", "block", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
-    found = tiles.groupBy("dim", "table", "key", "i", "j").applyInPandas(lambda key, pdf: _compared(key, pdf, settings), "node long, n long, other long")
+    tiles = rows.withColumn("tile", tile).select("node", "code", "dim", "table", "key", "block", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
+    near = tiles.groupBy("dim", "table", "key", "i", "j").applyInPandas(lambda key, pdf: _near(key, pdf, settings), f"{TILE}, node long, block long")
+    near = written(near, "vector-near").join(coded.select("node", "copies", "embedding", "code", "factor", "keys"), "node")
+    found = near.groupBy("dim", "table", "key", "i", "j").applyInPandas(lambda key, pdf: _compared(key, pdf, settings), "node long, n long, other long")
     found = written(found, "vector-links")
     counts = found.groupBy("node").agg(F.sum("n").alias("links"))
     parts = connected_components(found, "node", "other")

@@ -88,3 +88,59 @@ def test_recall_of_the_tables(spark):
         rows += [(2 * i, x.tolist()), (2 * i + 1, (0.951 * x + (1 - 0.951**2) ** 0.5 * z).tolist())]
     out = found(spark, rows, bucket=8)
     assert sum(n == 1 for _, n, _, _ in out) == 600
+
+
+def test_double_precision(spark):
+    """Components that single precision can't hold, or can't tell apart."""
+    rows = [(1, [1e39, 2e39, 3e39]), (2, [1.0, 2.0, 3.0]), (3, [1e-200, 2e-200, 3e-200]), (4, [1.0, 2.0, 3.0 + 1e-12]), (5, [-1.0, 2.0, 3.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in e.link_embeddings(docs).collect()}
+    assert out == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+
+
+def test_codes_of_similar_vectors_are_near():
+    rng = np.random.default_rng(3)
+    x, z = rng.standard_normal((2, 4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.95 * x + (1 - 0.95**2) ** 0.5 * z
+    a, b = (np.unpackbits(e.encode(v, 11)[0], axis=1) for v in (x, y))
+    differ = (a != b).sum(axis=1)
+    assert differ.max() <= e.most_bits(64, e.Settings())
+    assert abs(differ.mean() - 64 * np.arccos(0.95) / np.pi) < 0.3
+
+
+def test_memory_of_a_tile():
+    """4,096 near copies of 768 components in one tile: all pairs are linked, in bounded memory."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal(768) + rng.standard_normal((4096, 768)) * 0.02
+    codes, factors = e.encode(x / np.linalg.norm(x, axis=1, keepdims=True), 11)
+    rows = pd.DataFrame({"node": np.arange(4096), "copies": 1, "block": np.repeat([0, 1], 2048), "factor": factors, "dim": 768, "table": 1, "key": 0, "i": 0, "j": 1})
+    rows["code"], rows["embedding"], rows["keys"] = [c.tobytes() for c in codes], list(x.astype(np.float32)), [np.array([i, 0]) for i in range(4096)]
+    tracemalloc.start()
+    assert len(e._near((768, 1, 0, 0, 1), rows, e.Settings())) == 4096
+    out = e._compared((768, 1, 0, 0, 1), rows, e.Settings())
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert (out["n"] == 2048).all() and len(out) == 4096
+    assert (out["other"] == 0).all()
+
+
+def test_joined_groups():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        label, pairs = np.arange(30), []
+        for _ in range(4):
+            i, j = rng.integers(0, 30, (2, 6))
+            pairs += list(zip(i.tolist(), j.tolist()))
+            label = e.joined(label, i, j)
+        expected = list(range(30))
+        for _ in range(30):
+            for a, b in pairs:
+                expected[a] = expected[b] = min(expected[a], expected[b])
+        assert label.tolist() == expected
