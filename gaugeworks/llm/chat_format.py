@@ -6,54 +6,107 @@ users; the mask covers what the assistant says.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.common import written
+
 END = "<|end|>\n"
+ASSISTANT = "<|assistant|>\n"
+#: Characters that can't stand in a name, and the percent sign that stands for them.
+ESCAPED = "%|<> \t\n\x0b\x0c\r"
+#: So many characters of a text take part in the order of turns; a hash of all of it comes next.
+ORDERED_CHARS = 256
+
+
+def speaker_name(role: Column) -> Column:
+    """The role with a percent code for each character of ESCAPED, so that two roles never get one name."""
+    return reduce(lambda name, c: F.replace(name, F.lit(c), F.lit(f"%{ord(c):02X}")), ESCAPED, role)
+
 
+def _ranked(base: DataFrame) -> DataFrame:
+    """Adds rank: a turn's place in its conversation, from 0, by turn, role and text.
 
-def _header(role: Column, speaker: Column, context: Column) -> Column:
-    name = F.regexp_replace(F.coalesce(role, F.lit("unknown")), r"[|<>\s]", "_")
-    return F.when(context, F.concat(F.lit("<|"), name, F.lit("|>\n"))).when(role == speaker, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
+    No task holds a conversation: turns are sorted into ranges over conversation and order, counted by range, and
+    a turn's rank is its place in its range after the counts of the ranges before.
+    """
+    order = ["turn", "role", "__head", "__hash"]
+    keyed = base.withColumn("__head", F.substring("body", 1, ORDERED_CHARS)).withColumn("__hash", F.xxhash64("body")).withColumn("__tie", F.monotonically_increasing_id())
+    ranges = written(keyed.repartitionByRange("conv_id", *order, "__tie").withColumn("__range", F.spark_partition_id()), "chat-ranges")
+    held = ranges.groupBy("conv_id", "__range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = written(held.select(F.col("conv_id").alias("c"), F.col("__range").alias("r"), F.coalesce(before, F.lit(0)).alias("offset")), "chat-offsets")
+    place = F.row_number().over(Window.partitionBy("__range", "conv_id").orderBy(*order, "__tie")) - 1
+    placed = ranges.withColumn("place", place)
+    ranked = placed.join(offsets, (placed["__range"] == offsets["r"]) & placed["conv_id"].eqNullSafe(offsets["c"]))
+    return written(ranked.select("conv_id", "turn", "role", "body", (F.col("offset") + F.col("place")).alias("rank")), "chat-ranked")
 
 
 def rotate_perspectives(
-    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", context_roles: tuple[str, ...] = ("system",), turns_per_row: int = 512
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", context_roles: tuple[str, ...] = ("system",), turns_per_row: int | None = None
 ) -> DataFrame:
-    """conv_id, participant, part, n_turns, text, masks, n_masked: a row per conversation, participant and part.
+    """conv_id, participant, part, first_turn, n_turns, text, masks, n_masked: a row per conversation and participant.
+
+    Turns stand in order of turn, then role, then text (nulls first; texts that agree in their first ORDERED_CHARS
+    characters by a hash); repeated rows stay. Each distinct role is a participant but for `context_roles`, which are
+    rendered as they are in every perspective, and null roles, which are users without a name. A conversation
+    without a participant gives no row. A null text is empty, a null conv_id is a conversation of its own.
 
-    Turns stand in order of turn, then role, then text; repeated rows stay. A part holds the turns whose numbers
-    share a multiple of `turns_per_row`, and the parts in order are the whole dialogue: so a very long
-    conversation is many rows, dealt to many tasks, and never one. Each distinct role is a participant but for
-    `context_roles`, which are rendered as they are in every perspective, and null roles, which are named
-    "unknown". A conversation without a participant gives no row. A null text is empty, null turns come
-    first in a part of their own (-1), a null conv_id is a conversation of its own.
+    A row holds a whole dialogue, so its size is that of the longest one. Where a conversation may be too long for
+    a row, `turns_per_row` cuts each dialogue into parts of so many turns by their rank; `first_turn` is the rank of
+    the first one. Each later part begins with the conversation's first context turn once more (not counted in
+    n_turns), so that every part has its context. Then no task holds more than one part of a conversation.
 
-    `masks` holds (start, end) in code points of the part's text: the assistant's words and their end mark. Marks
+    `masks` holds (start, end) in code points of the row's text: the assistant's words and their end mark. Marks
     inside texts are escaped ("<|" becomes "<\\|"), so a text can't open a turn.
     """
     base = turns.select(
-        turns[conv_col].alias("conv_id"),
-        F.coalesce(F.floor(turns[turn_col] / turns_per_row), F.lit(-1)).cast("long").alias("part"),
-        F.struct(turns[turn_col].alias("turn"), turns[role_col].alias("role"), F.replace(F.coalesce(turns[text_col], F.lit("")), F.lit("<|"), F.lit("<\\|")).alias("text")).alias("t"),
+        turns[conv_col].alias("conv_id"), turns[turn_col].alias("turn"), turns[role_col].alias("role"), F.replace(F.coalesce(turns[text_col], F.lit("")), F.lit("<|"), F.lit("<\\|")).alias("body")
+    )
+    named = lambda kind, role: F.concat(F.lit(f"<|{kind}"), speaker_name(role), F.lit("|>\n"))
+    context = F.coalesce(F.col("role").isin(*context_roles), F.lit(False))
+    head = F.when(context, named("", F.col("role"))).when(F.col("role").isNull(), F.lit("<|user|>\n")).otherwise(named("user name=", F.col("role")))
+    if turns_per_row is None:
+        rows = base.withColumn("part", F.lit(0).cast("long"))
+        order = ["turn", "role", F.substring("body", 1, ORDERED_CHARS), F.xxhash64("body")]
+        rows = rows.withColumn("rank", (F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(*order)) - 1).cast("long"))
+    else:
+        rows = _ranked(base).withColumn("part", F.floor(F.col("rank") / turns_per_row))
+    rows = rows.withColumn("context", context).withColumn("head", head)
+    size = F.char_length("head") + F.char_length("body") + len(END)
+    at = F.sum(size).over(Window.partitionBy("conv_id", "part").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    parts = (
+        rows.withColumn("at", F.coalesce(at, F.lit(0)))
+        .groupBy("conv_id", "part")
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "context", "role", "head", "body", "at"))).alias("turns"))
     )
-    speakers = base.where(F.col("t.role").isNotNull() & ~F.col("t.role").isin(*context_roles)).select(F.col("conv_id").alias("c"), F.col("t.role").alias("participant")).distinct()
-    parts = base.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    pairs = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("c")))
+    speakers = base.where(F.col("role").isNotNull() & ~F.col("role").isin(*context_roles)).select(F.col("conv_id").alias("c"), F.col("role").alias("participant")).distinct()
+    if turns_per_row is None:
+        speakers = speakers.withColumn("opening", F.lit(""))
+    else:
+        openings = rows.where("context").groupBy(F.col("conv_id").alias("o")).agg(F.min_by(F.concat("head", "body", F.lit(END)), "rank").alias("opening"))
+        speakers = speakers.join(openings, F.col("c").eqNullSafe(F.col("o")), "left").drop("o")
+    # both written, so that adaptive execution can split a conversation of very many parts
+    pairs = written(parts, "chat-parts").join(written(speakers, "chat-speakers"), F.col("conv_id").eqNullSafe(F.col("c")))
+    pairs = pairs.withColumn("opening", F.when(F.col("part") > 0, F.coalesce("opening", F.lit(""))).otherwise(F.lit("")))
     speaker = F.col("participant")
-    heads = F.transform("turns", lambda t: _header(t["role"], speaker, F.coalesce(t["role"].isin(*context_roles), F.lit(False))))
-    rows = pairs.withColumn("heads", heads)
-    zipped = F.arrays_zip("heads", "turns")
-    masks = "array<struct<start:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(masks).alias("masks"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.char_length(x["heads"])
-        end = begin + F.char_length(x["turns"]["text"]) + len(END)
-        own = F.array(F.struct(begin.alias("start"), (end - 1).alias("end"))).cast(masks)  # the line feed isn't learned
-        return F.struct(end.alias("at"), F.when(F.coalesce(x["turns"]["role"] == speaker, F.lit(False)), F.concat(acc["masks"], own)).otherwise(acc["masks"]).alias("masks"))
-
-    text = F.array_join(F.transform(zipped, lambda x: F.concat(x["heads"], x["turns"]["text"], F.lit(END))), "")
-    return rows.select(
-        "conv_id", "participant", "part", F.size("turns").cast("long").alias("n_turns"), text.alias("text"), F.aggregate(zipped, start, step, lambda acc: acc["masks"]).alias("masks")
-    ).withColumn("n_masked", F.aggregate("masks", F.lit(0).cast("long"), lambda acc, m: acc + m["end"] - m["start"]))
+    own = lambda t: F.coalesce(t["role"] == speaker, F.lit(False))
+    text = F.transform("turns", lambda t: F.concat(F.when(own(t), F.lit(ASSISTANT)).otherwise(t["head"]), t["body"], F.lit(END)))
+    # heads of the speaker's own turns are shorter by this than where they are named
+    saved = F.char_length(named("user name=", speaker)) - len(ASSISTANT)
+
+    def mask(t: Column, k: Column) -> Column:
+        begin = F.char_length("opening") + t["at"] - k * saved + len(ASSISTANT)
+        return F.struct(begin.cast("int").alias("start"), (begin + F.char_length(t["body"]) + len(END) - 1).cast("int").alias("end"))  # the line feed isn't learned
+
+    return pairs.select(
+        "conv_id",
+        "participant",
+        "part",
+        F.col("turns")[0]["rank"].alias("first_turn"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.concat("opening", F.array_join(text, "")).alias("text"),
+        F.transform(F.filter("turns", own), mask).alias("masks"),
+    ).withColumn("n_masked", F.aggregate("masks", F.lit(0).cast("long"), lambda acc, m: acc + m["end"] - m["start"]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +64,8 @@ def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chat_format.rotate_perspectives(read_table(spark, sf_dir, "conversations"))
+    """A conversation may hold any share of the table, so dialogues are cut into parts of 512 turns."""
+    rows = chat_format.rotate_perspectives(read_table(spark, sf_dir, "conversations"), turns_per_row=512)
     return rows.withColumn("masks", F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ","))
 
 
@@ -107,6 +110,8 @@ _KIND_SQL = """
         FROM {kind} WHERE length(vals[i]) >= {least})"""
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
+_NAME_SQL = functools.reduce(lambda name, c: f"replace({name}, chr({ord(c)}), '%{ord(c):02X}')", chat_format.ESCAPED, "role")
+
 ORACLE_SQL = {
     "op3_secret_scans": "WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),"
     + ",".join(
@@ -155,19 +160,22 @@ ORACLE_SQL = {
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
     FROM judged GROUP BY doc_id""",
     "op9_chat_format": r"""
-    WITH t AS (
-        SELECT conv_id, coalesce(turn // 512, -1) AS part, turn, role, replace(coalesce(text, ''), '<|', '<\|') AS body, role = 'system' AS context,
-               regexp_replace(coalesce(role, 'unknown'), '[|<>\s]', '_', 'g') AS name FROM conversations),
+    WITH ranked AS (
+        SELECT conv_id, role, replace(coalesce(text, ''), '<|', '<\|') AS body, coalesce(role = 'system', false) AS context,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, replace(coalesce(text, ''), '<|', '<\|')) - 1 AS n FROM conversations),
+    t AS (
+        SELECT *, n // 512 AS part, CASE WHEN context THEN '<|' || {name} || '|>' WHEN role IS NULL THEN '<|user|>' ELSE '<|user name=' || {name} || '|>' END || chr(10) AS named FROM ranked),
+    openings AS (SELECT conv_id, min_by(named || body || '<|end|>' || chr(10), n) AS opening FROM t WHERE context GROUP BY conv_id),
     speakers AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
     said AS (
-        SELECT t.conv_id, participant, part, turn, role, body, role IS NOT DISTINCT FROM participant AS own,
-               CASE WHEN context THEN '<|' || name || '|>' WHEN role = participant THEN '<|assistant|>' ELSE '<|user name=' || name || '|>' END || chr(10) AS head
-        FROM t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+        SELECT t.conv_id, participant, part, n, body, CASE WHEN part > 0 THEN coalesce(opening, '') ELSE '' END AS opening, role IS NOT DISTINCT FROM participant AS own,
+               CASE WHEN role IS NOT DISTINCT FROM participant THEN '<|assistant|>' || chr(10) ELSE named END AS head
+        FROM t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN openings o ON t.conv_id IS NOT DISTINCT FROM o.conv_id),
     placed AS (
         SELECT *, length(head) + length(body) + 8 AS size,
-               sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id, participant, part ORDER BY turn, role, body ROWS UNBOUNDED PRECEDING) AS stop FROM said)
-    SELECT conv_id, participant, part, count(*) AS n_turns, string_agg(head || body || '<|end|>' || chr(10), '' ORDER BY turn, role, body) AS text,
+               length(opening) + sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id, participant, part ORDER BY n ROWS UNBOUNDED PRECEDING) AS stop FROM said)
+    SELECT conv_id, participant, part, min(n) AS first_turn, count(*) AS n_turns, any_value(opening) || string_agg(head || body || '<|end|>' || chr(10), '' ORDER BY n) AS text,
            coalesce(string_agg((stop - size + length(head))::BIGINT || ':' || (stop - 1)::BIGINT, ',' ORDER BY stop) FILTER (own), '') AS masks,
            coalesce(sum(length(body) + 7) FILTER (own), 0)::BIGINT AS n_masked
-    FROM placed GROUP BY conv_id, participant, part""",
+    FROM placed GROUP BY conv_id, participant, part""".replace("{name}", _NAME_SQL),
 }
