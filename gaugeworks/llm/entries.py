@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import chat_format, embedding_dedup, gif_media, language_id, line_dedup, ngram_join, packing, secret_scan, sentencepiece_dropout, stages, toxicity
-from gaugeworks.llm.common import held_out, read_table, scratch
+from gaugeworks.llm.common import held_out, read_table, scratch, written
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +58,14 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = gif_media.store_payloads(read_table(spark, sf_dir, "documents"))
+    """GIF files are written as a column of a table; what is returned is read back from there, frame by frame."""
+    stored = gif_media.store_gifs(read_table(spark, sf_dir, "documents")).withColumn("file", F.monotonically_increasing_id())
+    stored = written(stored, "gif-files")
+    shared = ("doc_id", "n_bytes", "media_bytes", "media_sha256")
+    files = stored.select("file", "gif", "doc_id", "n_bytes", F.octet_length("gif").cast("long").alias("media_bytes"), F.sha2("gif", 256).alias("media_sha256"))
+    read = gif_media.file_digests(gif_media.decode_gifs(files, "file", "gif", keep=shared, rgb=False), keep=shared)
     feature = F.concat(F.format_string("%d frames, %d ms, colours ", "n_frames", "duration_ms"), F.array_join(F.col("histogram").cast("array<string>"), " "))
-    return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "n_frames", "duration_ms", "histogram")
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "n_frames", "duration_ms", "histogram")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """GIF media columns: decode LZW code streams, apply palettes, disposal and transparency, store timed frames.
 
 `decode_gifs` turns a binary column into a row per frame with its time, its pixels and a colour histogram.
-`store_payloads` is the lossless way in: bytes become the 8-bit samples of grey frames of a real GIF file.
+`store_gifs` is a lossless way in: bytes become the 8-bit samples of grey frames of a real GIF file, and
+`file_digests` reads what was stored off the decoded frames.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Fixed values of the format.
@@ -53,26 +54,29 @@ def lzw_encode(data: bytes) -> bytes:
     codes: list[int] = []
     runs: list[int] = []  # how many codes follow each clear code, the next clear or end code included
     emit = codes.append
+    # a run's code is held times 256, so that it and the next byte make a key
     table: dict[int, int] = {}
-    free, begun = FIRST_FREE, 0
-    prefix = data[0] if data else -1
+    known = table.get
+    free, begun = FIRST_FREE << 8, 0
+    prefix = data[0] << 8 if data else -1
     for byte in data[1:]:
-        key = prefix << 8 | byte
-        if key in table:
-            prefix = table[key]
+        key = prefix | byte
+        longer = known(key)
+        if longer is not None:
+            prefix = longer
             continue
-        emit(prefix)
-        prefix = byte
+        emit(prefix >> 8)
+        prefix = byte << 8
         table[key] = free
-        free += 1
-        if free == TABLE_SIZE:
+        free += 256
+        if free == TABLE_SIZE << 8:
             emit(CLEAR)
             runs.append(len(codes) - begun)
             begun = len(codes)
             table.clear()
-            free = FIRST_FREE
+            free = FIRST_FREE << 8
     if prefix >= 0:
-        emit(prefix)
+        emit(prefix >> 8)
     emit(END)
     runs.append(len(codes) - begun)
     widths = np.concatenate([[9], *[_widths(n) for n in runs]])  # the stream begins with a clear code
@@ -119,35 +123,41 @@ def _segments(stream: bytes, min_bits: int) -> Iterator[np.ndarray]:
     yield restart()  # a stream without an end code
 
 
-def lzw_decode(stream: bytes, min_bits: int) -> bytes:
-    """The indexes of a code stream. Raises ValueError at a code that the table can't hold yet."""
-    base = [bytes([i]) for i in range(1 << min_bits)] + [b"", b""]
-    out: list[bytes] = []
-    emit = out.append
-    for codes in _segments(stream, min_bits):
-        if not len(codes):
-            continue
-        table = base.copy()
-        add = table.append
-        held = len(table)
-        first, *rest = codes.tolist()
-        if first >= 1 << min_bits:
-            raise ValueError("LZW: the first code after a clear code isn't a literal")
-        last = table[first]
-        emit(last)
-        for code in rest:
-            if code < held:
-                entry = table[code]
-            elif code == held:
-                entry = last + last[:1]
-            else:
-                raise ValueError("LZW: a code beyond the table")
-            emit(entry)
-            if held < TABLE_SIZE:
-                add(last + entry[:1])
-                held += 1
-            last = entry
-    return b"".join(out)
+def lzw_decode(stream: bytes, min_bits: int, most: int | None = None) -> bytes:
+    """The first `most` indexes of a code stream. Raises ValueError at a code that the table can't hold yet.
+
+    The entry that the n-th code of a segment adds is that code's run and the byte after it. Both stand in the
+    output, where the n-th run begins: so every run but a literal is a copy of earlier output, each byte's source is
+    known from the lengths of the runs, and following sources to the literals gives all bytes at once.
+    """
+    segments = list(_segments(stream, min_bits))
+    codes = np.concatenate(segments)
+    n, literals = len(codes), 1 << min_bits
+    begins = np.repeat(np.cumsum([0, *map(len, segments[:-1])]), [len(s) for s in segments])
+    here = np.arange(n)
+    copied = codes >= literals
+    source = np.where(copied, begins + codes - literals - 2, here)  # the run that each code's run begins with
+    if (source[copied] >= here[copied]).any():
+        raise ValueError("LZW: a code beyond the table")
+    lengths, at = copied.astype(np.int64), source
+    while copied[at].any():  # a run is longer by one than its source: count the steps to a literal
+        lengths = lengths + lengths[at]
+        at = at[at]
+    lengths += 1
+    places = np.cumsum(lengths) - lengths
+    if most is not None:
+        used = int(np.searchsorted(places, most))
+        codes, copied, source, lengths, places = codes[:used], copied[:used], source[:used], lengths[:used], places[:used]
+    if not len(codes):
+        return b""
+    origin = np.repeat(places[source] - places, lengths) + np.arange(int(lengths.sum()))
+    values = np.zeros(len(origin), dtype=np.uint8)
+    values[places[~copied]] = codes[~copied]
+    while True:
+        further = origin[origin]
+        if (further == origin).all():
+            return values[origin].tobytes()
+        origin = further
 
 
 # -- files -------------------------------------------------------------------------------------------------
@@ -163,7 +173,8 @@ def encode_grey_gif(payload: bytes, delay_cs: int = 10) -> bytes:
     out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, MAX_ROWS), 0xF7, 0, 0), GREY.tobytes()]
     for row in range(0, rows, MAX_ROWS):
         part = payload[row * WIDTH : (row + MAX_ROWS) * WIDTH]
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, delay_cs, 0, 0))  # disposal 1: leave in place
+        # sample 0 is transparent, and each frame is cleared to black (disposal 2): so 0 shows as black all the same
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 2 << 2 | 1, delay_cs, 0, 0))
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0) + b"\x08")
         out.append(_blocks(lzw_encode(part)))
     return b"".join([*out, b"\x3b"])
@@ -192,8 +203,17 @@ def _deinterlaced(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def decode_gif(data: bytes) -> Iterator[Frame]:
-    """The composited frames of a GIF. Raises ValueError or IndexError if the file is broken.
+#: Pixels of the largest canvas or frame that is decoded; a bound on memory, as a few bytes can claim 65,535 x 65,535.
+MAX_PIXELS = 1 << 24
+
+
+def _fits(width: int, height: int, max_pixels: int) -> None:
+    if width * height > max_pixels:
+        raise ValueError(f"GIF: {width} x {height} is more than {max_pixels} pixels")
+
+
+def decode_gif(data: bytes, max_pixels: int = MAX_PIXELS) -> Iterator[Frame]:
+    """The composited frames of a GIF. Raises ValueError or IndexError if the file is broken or too large.
 
     Disposal is applied before the next frame: 2 clears the frame's box to black, 3 puts back what was
     there before it, all else leaves it. Transparent pixels leave the canvas as it is. Indexes beyond a
@@ -202,6 +222,7 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack("<HHB", data[6:11])
+    _fits(width, height, max_pixels)
     common, at = _palette(data, 13, flags)
     canvas = np.zeros((height, width, 3), dtype=np.uint8)
     delay = disposal = 0
@@ -217,9 +238,10 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         if kind != 0x2C:
             raise ValueError("GIF: an unknown block")
         left, top, w, h, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+        _fits(w, h, max_pixels)
         own, at = _palette(data, at + 10, flags)
         stream, after = _read_blocks(data, at + 1)
-        flat = np.frombuffer(lzw_decode(stream, data[at]).ljust(w * h, b"\0")[: w * h], dtype=np.uint8)
+        flat = np.frombuffer(lzw_decode(stream, data[at], w * h).ljust(w * h, b"\0")[: w * h], dtype=np.uint8)
         at = after
         indexes = flat.reshape(h, w)
         if flags & 0x40:
@@ -249,42 +271,52 @@ def colour_histogram(rgb: np.ndarray) -> np.ndarray:
 
 # -- DataFrames --------------------------------------------------------------------------------------------
 
-FRAME_SCHEMA = (
-    "id long, frame int, start_ms long, delay_ms int, disposal int, transparent int, width int, height int, histogram array<long>, rgb binary, error string"
-)
+FRAME_FIELDS = [
+    ("id", "long", pa.int64()), ("frame", "int", pa.int32()), ("start_ms", "long", pa.int64()), ("delay_ms", "int", pa.int32()), ("disposal", "int", pa.int32()), ("transparent", "int", pa.int32()),
+    ("width", "int", pa.int32()), ("height", "int", pa.int32()), ("histogram", "array<long>", pa.list_(pa.int64())), ("rgb", "binary", pa.binary()), ("samples", "binary", pa.binary()), ("error", "string", pa.string()),
+]
+#: Bytes of pixels that are handed on at once.
+AT_ONCE = 4 << 20
 
 
-def decode_gifs(files: DataFrame, id_col: str, gif_col: str) -> DataFrame:
-    """A row per frame: id, frame, start_ms, delay_ms, disposal, transparent, width, height, histogram, rgb, error.
+def decode_gifs(files: DataFrame, id_col: str, gif_col: str, keep: tuple[str, ...] = (), rgb: bool = True, max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """A row per frame: the columns in `keep`, id, frame, start_ms, delay_ms, disposal, transparent, width, height, histogram, rgb, samples, error.
 
-    A null file gives no row. A broken file gives its frames up to the fault, then a row with null columns
-    and the error. A file is decoded frame by frame in one task; nothing is gathered across files.
+    `rgb` is the whole canvas as it then shows (null if not wanted), `samples` the frame's own palette indexes. A null
+    file gives no row. A broken file, or one beyond `max_pixels`, gives its frames up to the fault, then a row with
+    null columns and the error. A file is decoded frame by frame in one task, and its rows stand together in order;
+    nothing is gathered across files.
     """
+    kept = files.select(*keep).schema
 
-    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            for key, data in zip(batch["id"], batch["gif"], strict=True):
+            schema = pa.schema([*[batch.schema.field(i) for i in range(len(keep))], *[(n, t) for n, _, t in FRAME_FIELDS]])
+            flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)  # noqa: B023, E731
+            for *extra, key, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if data is None:
                     continue
-                n, clock, error = 0, 0, None
+                n, clock = 0, 0
                 try:
-                    for f in decode_gif(data):
+                    for f in decode_gif(data, max_pixels):
                         h, w, _ = f.canvas.shape
-                        yield pd.DataFrame([(key, n, clock, f.delay_ms, f.disposal, f.transparent, w, h, colour_histogram(f.canvas).tolist(), f.canvas.tobytes(), None)], columns=names)
+                        pixels = f.canvas.tobytes() if rgb else None
+                        rows.append((*extra, key, n, clock, f.delay_ms, f.disposal, f.transparent, w, h, colour_histogram(f.canvas), pixels, f.indexes.tobytes(), None))
                         n, clock = n + 1, clock + f.delay_ms
+                        held += len(pixels or b"") + f.indexes.size
+                        if held >= AT_ONCE or len(rows) >= 1024:
+                            yield flush()
+                            rows, held = [], 0
                 except (ValueError, IndexError, struct.error) as e:
-                    error = str(e) or "GIF: cut short"
-                if error:
-                    yield pd.DataFrame([(key, n, clock, *[None] * 7, error)], columns=names)
-
-    names = [c.split()[0] for c in FRAME_SCHEMA.split(", ")]
-    return files.select(files[id_col].cast("long").alias("id"), files[gif_col].alias("gif")).mapInPandas(frames, FRAME_SCHEMA)
+                    rows.append((*extra, key, n, clock, *[None] * 8, str(e) or "GIF: cut short"))
+            if rows:
+                yield flush()
+                rows, held = [], 0
 
-
-PAYLOAD_SCHEMA = (
-    "doc_id long, gif binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "n_frames int, duration_ms long, histogram array<long>"
-)
+    columns = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], *[f"{n} {t}" for n, t, _ in FRAME_FIELDS]])
+    return files.select(*keep, files[id_col].cast("long").alias("__id"), files[gif_col].alias("__gif")).mapInArrow(run, columns)
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -293,34 +325,69 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(1, -(-len(raw) // WIDTH)) * WIDTH, b"\0")
 
 
-def _stored(text: str | None) -> tuple:
-    n, payload = padded(text)
-    gif = encode_grey_gif(payload)
-    parts, histogram, n_frames, duration = [], np.zeros(64, dtype=np.int64), 0, 0
-    for f in decode_gif(gif):
-        parts.append(f.indexes.tobytes())
-        histogram += colour_histogram(f.canvas[: f.indexes.shape[0]])
-        n_frames, duration = n_frames + 1, duration + f.delay_ms
-    back = b"".join(parts)
-    return (
-        gif, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(gif), hashlib.sha256(gif).hexdigest(), n_frames, duration, histogram.tolist(),
-    )
+def store_gifs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, gif: every whole text as a GIF file; a row per input row.
+
+    A null or empty text is 64 zero bytes. Ids must be numbers or cast to such; null ids and repeated rows stay. An
+    empty table gives an empty one. No shuffle. A repeated text within a batch is encoded once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):  # so that the files of a whole batch are never held together
+                part = batch.slice(at, 512)
+                done: dict[str | None, tuple[int, bytes]] = {}
+                for text in part.column(1).to_pylist():
+                    if text not in done:
+                        n, payload = padded(text)
+                        done[text] = n, encode_grey_gif(payload)
+                rows = [done[text] for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array([g for _, g in rows], pa.binary())], names=["doc_id", "n_bytes", "gif"])
+
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n_bytes long, gif binary")
+
+
+DIGEST_FIELDS = [
+    ("id", "long", pa.int64()), ("payload_bytes", "long", pa.int64()), ("payload_sha256", "string", pa.string()), ("tail_crc32", "long", pa.int64()),
+    ("n_frames", "int", pa.int32()), ("duration_ms", "long", pa.int64()), ("histogram", "array<long>", pa.list_(pa.int64())),
+]
 
 
-def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every whole text as a GIF and read it back: a row per input row, see PAYLOAD_SCHEMA.
+def file_digests(frames: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row per file of what decode_gifs returned, see DIGEST_FIELDS; `keep`: columns that all rows of a file share.
 
-    A null or empty text is 64 zero bytes. The digests and the histogram are those of the decoded frames.
-    No shuffle; a task holds one Arrow batch. A repeated text within a batch is stored once.
+    Payload, hash and crc32 (of the last 64 bytes) are those of the samples of all frames in turn; the histogram is
+    the sum over all frames' canvases. The rows of a file stand together, as decode_gifs puts
+    them: so no shuffle is needed, and a task holds one batch of frames. Raises at a file with an error.
     """
+    kept = frames.select(*keep).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file: list = []  # of the file being read: extra columns, id, size, sha, tail, frames, duration, histogram
         for batch in batches:
-            for at in range(0, len(batch), 512):  # so that the files of a whole batch are never held together
-                part = batch.iloc[at : at + 512]
-                done: dict[str | None, tuple] = {}
-                rows = [(key, *(done[text] if text in done else done.setdefault(text, _stored(text)))) for key, text in zip(part["doc_id"], part["text"], strict=True)]
-                yield pd.DataFrame(rows, columns=names)
-
-    names = [c.split()[0] for c in PAYLOAD_SCHEMA.split(", ")]
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInPandas(run, PAYLOAD_SCHEMA)
+            schema = pa.schema([*[batch.schema.field(i) for i in range(len(keep))], *[(n, t) for n, _, t in DIGEST_FIELDS]])
+            rows: list[tuple] = []
+            for *extra, key, number, delay, histogram, samples, error in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if error is not None:
+                    raise ValueError(f"file {key}: {error}")
+                if number == 0:
+                    rows += [_digest(file)] if file else []
+                    file = [extra, key, 0, hashlib.sha256(), b"", 0, 0, np.zeros(64, dtype=np.int64)]
+                file[2] += len(samples)
+                file[3].update(samples)
+                file[4] = (file[4] + samples)[-WIDTH:]
+                file[5] += 1
+                file[6] += delay
+                file[7] += np.array(histogram, dtype=np.int64)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        if file:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(_digest(file)), schema)], schema=schema)
+
+    columns = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], *[f"{n} {t}" for n, t, _ in DIGEST_FIELDS]])
+    return frames.select(*keep, "id", "frame", "delay_ms", "histogram", "samples", "error").mapInArrow(run, columns)
+
+
+def _digest(file: list) -> tuple:
+    extra, key, size, sha, tail, n_frames, duration, histogram = file
+    return (*extra, key, size, sha.hexdigest(), zlib.crc32(tail), n_frames, duration, histogram)
