@@ -9,7 +9,7 @@ order of all shingles the first m + 1 of x and of y have one in common. Three or
    x's aren't y's, and at most max(1/4, 3/4) (1-t)/t n(y) + 1 <= m(y) + 1 of y's aren't x's; so the first
    m + 2 have one in common. Shingles of one document only come first and match nothing: a document with
    m + 2 of them is out at once, which takes most documents out before anything else is read.
-3. by (document frequency, hash reversed), as order 2.
+3. by another hash, shingles of one document only first; as order 2, whose bound holds for any order within e(n).
 
 Documents that share an order-2 prefix shingle meet in a family: that of the heaviest document which holds the
 shingle. Within a family, pairs must share a prefix shingle under each of the three orders before their whole
@@ -42,12 +42,12 @@ _powers = {"n": 0, "up": np.zeros(0, np.uint64), "down": np.zeros(0, np.uint64)}
 class Settings:
     """`percent` is the least Jaccard similarity in hundredths; the bound of order 2 holds from 55 on.
 
-    `block` is how many documents of a family one task holds on each side.
+    `block` is how many documents of a family one group holds on each side.
     """
 
     words: int = 5
     percent: int = 80
-    block: int = 1024
+    block: int = 256
 
     def __post_init__(self) -> None:
         if not 55 <= self.percent <= 100 or self.words < 1:
@@ -253,7 +253,7 @@ def _survivors(linkable: DataFrame, members: DataFrame, settings: Settings) -> D
     sizes = linkable.select("node", "n").join(members.where("node = rep").select("node", "doc_id", "d1", "d2"), "node")
     alone = settings.kept_column(F.col("n")) - F.size("shared")  # shingles of this document only
     need = settings.slack_column(F.col("n")) + 2 - alone
-    flipped = F.array_sort(F.transform("shared", lambda s: F.struct(s["df"].alias("df"), F.bitwise_not(s["h"]).alias("h"))))
+    rehashed = F.array_sort(F.transform("shared", lambda s: F.struct(F.xxhash64(s["h"]).alias("g"), s["h"].alias("h"))))
     return (
         by_node.join(sizes, "node")
         .withColumn("need", need)
@@ -261,7 +261,7 @@ def _survivors(linkable: DataFrame, members: DataFrame, settings: Settings) -> D
         .select(
             "node", "doc_id", "d1", "d2",
             F.transform(F.slice(F.array_sort("shared"), F.lit(1), F.col("need")), lambda s: s["h"]).alias("second"),
-            F.transform(F.slice(flipped, F.lit(1), F.col("need")), lambda s: F.bitwise_not(s["h"])).alias("third"),
+            F.transform(F.slice(rehashed, F.lit(1), F.col("need")), lambda s: s["h"]).alias("third"),
             F.aggregate("shared", F.lit(0).cast("long"), lambda acc, s: acc + s["df"]).alias("weight"),
         )
     )
