@@ -1,4 +1,4 @@
-"""Column expressions: machine ids, instants, reading ids, interpolated quantiles."""
+"""Column expressions: machine ids, instants, reading ids, comparisons."""
 
 from __future__ import annotations
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.schemas import SENSORS
+from gaugeworks.session import written
 
 #: Upper bounds of latency buckets.
 BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0)
@@ -18,22 +19,36 @@ def ingest_counters(batches: DataFrame) -> DataFrame:
 
 
 def reconcile(batches: DataFrame, telemetry: DataFrame, readings: DataFrame) -> DataFrame:
-    """One row: the counters, the rows really stored, and whether all of them agree and nothing failed."""
+    """One row: the counters, n_left_out (consumed messages that deduplication or the stored ids left out), the rows
+    really stored, and whether all of them agree and nothing failed. A redelivered message is no fault."""
     stored = telemetry.agg(F.count("*").alias("stored_telemetry")).crossJoin(readings.agg(F.count("*").alias("stored_readings")))  # a row each
-    agree = (F.col("n_consumed") == F.col("n_written") + F.col("n_failed")) & (F.col("n_written") == F.col("stored_telemetry"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n_dropped", "n_repeated") if c in batches.columns]
+    left_out = batches.agg(sum(sums, F.lit(0)).cast("long").alias("n_left_out"))
+    agree = (F.col("n_consumed") == F.col("n_written") + F.col("n_failed") + F.col("n_left_out")) & (F.col("n_written") == F.col("stored_telemetry"))
     agree &= (F.col("n_readings") == F.col("stored_readings")) & (F.col("n_readings") == len(SENSORS) * F.col("n_written"))
-    return ingest_counters(batches).crossJoin(stored).withColumns({"reconciled": agree, "healthy": agree & (F.col("n_failed") == 0)})
+    return ingest_counters(batches).crossJoin(left_out).crossJoin(stored).withColumns({"reconciled": agree, "healthy": agree & (F.col("n_failed") == 0)})
+
+
+def dual_writes(manifest: DataFrame, telemetry: DataFrame, readings: DataFrame) -> DataFrame:
+    """One row: n_written, n_readings, stored_telemetry, stored_readings, n_torn: batches whose rows in either table
+    aren't as many as their manifest says. All three have batch_id; a batch that the manifest lacks is torn too."""
+    in_table = lambda rows, name: rows.groupBy("batch_id").agg(F.count("*").alias(name))
+    said = manifest.select("batch_id", "n_written", "n_readings")
+    both = said.join(in_table(telemetry, "stored_telemetry"), "batch_id", "full").join(in_table(readings, "stored_readings"), "batch_id", "full").na.fill(0)
+    torn = (F.col("n_written") != F.col("stored_telemetry")) | (F.col("n_readings") != F.col("stored_readings")) | (len(SENSORS) * F.col("n_written") != F.col("n_readings"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return both.agg(*[total(c) for c in ("n_written", "n_readings", "stored_telemetry", "stored_readings")], F.count_if(torn).alias("n_torn"))
 
 
 def accounted(batches: DataFrame, n_source: int) -> DataFrame:
     """One row: n_written, n_failed (distinct rejects), n_missing (messages of the source that no batch consumed),
-    n_unaccounted (consumed, but neither written nor failed nor dropped as a repeat), and whether both are 0.
+    n_unaccounted (consumed, but neither written nor failed nor left out as a repeat), and whether both are 0.
 
     Each count is taken where it arises: before deduplication, by it, and from the rows written.
     """
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     missing = F.lit(n_source).cast("long") - total("n_consumed")
-    lost = total("n_consumed") - total("n_written") - total("n_failed") - total("n_dropped")
+    lost = total("n_consumed") - total("n_written") - total("n_failed") - total("n_dropped") - total("n_repeated")
     out = batches.agg(total("n_written").alias("n_written"), total("n_failed").alias("n_failed"), missing.alias("n_missing"), lost.alias("n_unaccounted"))
     return out.withColumn("accounted", (F.col("n_missing") == 0) & (F.col("n_unaccounted") == 0))
 
@@ -85,20 +100,40 @@ def latency_percentile_bucketed(requests: DataFrame, width: str, q: float = 0.95
     return found.select(F.col("window.start").alias("window_start"), "n", F.round(latency, 6).alias("latency"))
 
 
+def exact_percentiles(rows: DataFrame, column: str, qs: tuple[float, ...]) -> DataFrame:
+    """One row: p0, p1, ...: the interpolated percentiles of all values, nulls left out; nulls if there are none.
+
+    Distinct values are counted, sorted into ranges and counted by range; the order statistics around each percentile
+    are read off the running counts. So no task holds more than a range of the distinct values.
+    """
+    counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ranges = written(counted.repartitionByRange("v").withColumn("r", F.spark_partition_id()), "percentile-ranges")
+    sums = ranges.groupBy("r").agg(F.sum("n").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    offsets = written(sums.select("r", before.alias("before"), F.sum("held").over(Window.partitionBy()).alias("total")), "percentile-offsets")
+    upto = F.sum("n").over(Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = ranges.withColumn("upto", upto).join(offsets, "r").select("v", "total", (F.col("before") + F.col("upto") - F.col("n")).alias("first"), (F.col("before") + F.col("upto")).alias("end"))
+    found = []
+    for i, q in enumerate(qs):
+        rank = (F.col("total") - 1) * F.lit(q)
+        at = lambda k: F.max(F.when((F.col("first") <= k) & (k < F.col("end")), F.col("v")))
+        low, high, share = at(F.floor(rank)), at(F.ceil(rank)), F.max(rank - F.floor(rank))
+        found.append((low + (high - low) * share).alias(f"p{i}"))
+    return placed.agg(*found)
+
+
 def slo_summary(requests: DataFrame, p95_limit_ms: float = 200, error_limit: float = 0.01) -> DataFrame:
     """One row over a request log: count, duration statistics, error rate, throughput, and whether both limits hold."""
     d = F.col("duration_ms")
-    exact = lambda q: F.round(F.percentile("duration_ms", q), 6)
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     span = (micros(F.max("ts")) - micros(F.min("ts"))) / 1e6
     found = requests.agg(
         F.count("*").alias("n"),
         (F.sum(d.cast("decimal(18,2)")).cast("double") / F.count(d)).alias("avg_ms"),
         F.min(d).alias("min_ms"),
-        exact(0.5).alias("med_ms"),
         F.max(d).alias("max_ms"),
-        exact(0.95).alias("p95_ms"),
         (F.sum(is_server_error(F.col("code")).cast("int")) / F.count("*")).alias("error_rate"),
         F.round(F.count("*") / F.nullif(span, F.lit(0.0)), 9).alias("per_second"),
     )
-    return found.withColumns({"p95_ok": F.col("p95_ms") < p95_limit_ms, "errors_ok": F.col("error_rate") < error_limit})
+    exact = exact_percentiles(requests, "duration_ms", (0.5, 0.95)).select(F.round("p0", 6).alias("med_ms"), F.round("p1", 6).alias("p95_ms"))
+    return found.crossJoin(exact).withColumns({"p95_ok": F.col("p95_ms") < p95_limit_ms, "errors_ok": F.col("error_rate") < error_limit})  # a row each

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -10,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import aggregates, latest, metrics, readings
-from gaugeworks.session import shared_dir
+from gaugeworks.plans import derived
+from gaugeworks.session import scratch
 from gaugeworks.sources import messages, tables
 from gaugeworks.streaming import ingest
 
@@ -19,75 +19,22 @@ AS_OF = datetime(2024, 1, 30)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-# -- inputs ------------------------------------------------------------------------------------------------
-
-
-def _t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.telemetry_of_events(tables.events(spark, sf_dir))
-
-
-def _r(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readings.to_readings(_t(spark, sf_dir))
-
-
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.requests_of_events(tables.events(spark, sf_dir))
-
-
-def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Telemetry as messages; some are damaged by their number, one kind each."""
-    rows = messages.to_messages(_t(spark, sf_dir), keep=("id",))
-    value, n = F.col("value"), F.col("id").cast("long")
-    swapped = lambda member, to: F.regexp_replace(value, f'"{member}":("[^"]*"|[^,}}]*)', to)
-    broken = (
-        F.when(n % 97 == 0, F.lit("null"))
-        .when(n % 89 == 0, F.substring(value, 1, 12))
-        .when(n % 83 == 0, swapped("Temperature", '"Temperature":null'))
-        .when(n % 79 == 0, swapped("MachineId", '"MachineId":null'))
-        .when(n % 73 == 0, F.concat(F.lit('{"Status":"'), F.repeat(F.lit("x"), 51), F.lit('"}')))
-        .when(n % 71 == 0, swapped("MachineId", '"MachineId":5'))
-        .when(n % 67 == 0, swapped("Status", '"Other":1'))
-        .otherwise(value)
-    )
-    return rows.select(broken.alias("value"))
-
-
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-
-
-def _ingested(spark: SparkSession, sf_dir: str) -> ingest.Tables:
-    """The damaged messages, and every tenth one again, through the stream into fresh tables."""
-    root = _folder(spark)
-    rows = _damaged(spark, sf_dir)
-    again = rows.where(F.pmod(F.crc32(F.col("value").cast("binary")), F.lit(10)) == 0)
-    rows.unionByName(again).repartition(4).write.text(f"{root}/messages")
-    found = ingest.Tables(f"{root}/tables")
-    listener = ingest.BatchMetrics(spark, found)
-    spark.streams.addListener(listener)
-    try:
-        query = ingest.start_ingest(ingest.file_source(spark, f"{root}/messages", max_files=2), found, f"{root}/checkpoint", processing_time=None)
-        query.awaitTermination()
-        listener.wait(query)
-    finally:
-        spark.streams.removeListener(listener)
-    return found
-
+_t, _r = derived.telemetry, derived.sensor_readings
 
 # -- queries -----------------------------------------------------------------------------------------------
 
 
 def _decode_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages.accepted(messages.decode_messages(_damaged(spark, sf_dir)))
+    return messages.accepted(messages.decode_messages(derived.damaged_messages(spark, sf_dir).select("value")))
 
 
 def _rejects_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages.rejected(messages.decode_messages(_damaged(spark, sf_dir))).groupBy("reason").agg(F.count("*").alias("n"))
+    return messages.rejected(messages.decode_messages(derived.damaged_messages(spark, sf_dir).select("value"))).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def _constraint_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as rows with constraints: a status that isn't a click, of 6 characters, and a unit of 8."""
-    rows = tables.events(spark, sf_dir).select( F.nullif("event_type", F.lit("click")).alias("status"), F.col("props").alias("unit"))
+    rows = tables.events(spark, sf_dir).select(F.nullif("event_type", F.lit("click")).alias("status"), F.col("props").alias("unit"))
     reason = readings.violation("status", "unit", limits={"status": 6, "unit": 8})
     return rows.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -99,55 +46,73 @@ def _dedup_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings.first_by_id(t.withColumn("arrival", F.lit(1)).unionByName(again), "arrival")
 
 
+def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sink, value: what each of two sinks got of the stream's readings."""
+    root = derived.ingested(spark, sf_dir).root.removesuffix("/tables")
+    got = [spark.read.text(f"{root}/published/{sink}").select(F.lit(sink).alias("sink"), "value") for sink in "ab"]
+    return got[0].unionByName(got[1])
+
+
 def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.committed_telemetry(spark, _ingested(spark, sf_dir)).drop("batch_id")
+    return ingest.committed_telemetry(spark, derived.ingest_now(spark, sf_dir)).drop("batch_id")
 
 
 def _stream_ingest_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.committed_readings(spark, _ingested(spark, sf_dir)).drop("batch_id")
+    return ingest.committed_readings(spark, derived.ingested(spark, sf_dir)).drop("batch_id")
 
 
 def _dual_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest's totals against the rows in each table. Here n_consumed is what was committed, as the SQL has
-    it; `ingest_accounted` holds the messages that were really read against it."""
-    found = _ingested(spark, sf_dir)
-    totals = ingest.manifest(spark, found).withColumn("n_consumed", F.col("n_written") + F.col("n_failed"))
-    return metrics.reconcile(totals, ingest.committed_telemetry(spark, found), ingest.committed_readings(spark, found))
+    """Batch by batch, the manifest against the rows in each table."""
+    found = derived.ingested(spark, sf_dir)
+    return metrics.dual_writes(ingest.manifest(spark, found), ingest.committed_telemetry(spark, found), ingest.committed_readings(spark, found))
+
+
+def _reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream's listener counted, and the manifests, against the stored rows."""
+    found = derived.ingested(spark, sf_dir)
+    return metrics.reconcile(ingest.ingest_batches(spark, found), ingest.committed_telemetry(spark, found), ingest.committed_readings(spark, found))
 
 
 def _accounted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The source's messages against what was consumed, written, rejected and dropped as repeated."""
-    found = _ingested(spark, sf_dir)
+    """The source's messages against what was consumed, written, rejected and left out as repeated."""
+    found = derived.ingested(spark, sf_dir)
     n_source = spark.read.text(f"{found.root.removesuffix('/tables')}/messages").count()
     return metrics.accounted(ingest.ingest_batches(spark, found), n_source)
 
 
-def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A day's messages as one ingest batch."""
-    day = F.date_trunc("day", F.col("received"))
-    rows = _t(spark, sf_dir).select(F.col("ts").alias("received"), (F.col("id").cast("long") % 97 == 0).cast("int").alias("bad"))
-    good = F.count("*") - F.sum("bad")
-    return rows.groupBy(day.alias("flushed_at")).agg(F.count("*").alias("n_consumed"), good.alias("n_written"), (2 * good).alias("n_readings"), F.sum("bad").alias("n_failed"))
+def _compacted_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookup that the compacted layout is for."""
+    return latest.latest_by_machine(ingest.committed_telemetry(spark, derived.compacted(spark, sf_dir)).drop("batch_id"), MACHINE, 20)
 
 
-def _reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = _t(spark, sf_dir).where(F.col("id").cast("long") % 97 != 0)
-    return metrics.reconcile(_batches(spark, sf_dir), stored, readings.to_readings(stored))
+def _compacted_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.committed_telemetry(spark, derived.compacted(spark, sf_dir)).drop("batch_id")
+
+
+def _compacted_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.committed_readings(spark, derived.compacted(spark, sf_dir)).drop("batch_id")
+
 
+def _compacted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = derived.compacted(spark, sf_dir)
+    return metrics.dual_writes(ingest.manifest(spark, found), ingest.committed_telemetry(spark, found), ingest.committed_readings(spark, found))
 
-def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingest, compaction, and the lookup that its layout is for."""
-    found = _ingested(spark, sf_dir)
-    target = ingest.Tables(f"{found.root}-compacted")
-    ingest.compact(spark, found, target, files=4)
-    return latest.latest_by_machine(ingest.committed_telemetry(spark, target).drop("batch_id"), MACHINE, 20)
+
+def _sql(text: str) -> Query:
+    """SQL over the views telemetry and sensor_readings."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ingest.register_views(spark, derived.stored_tables(spark, sf_dir))
+        return spark.sql(text)
+
+    return run
 
 
 def _live_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream, counted by day, all windows kept to the end."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
-    root = _folder(spark)
+    root = scratch(spark, "live-rate")
 
     def keep(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{root}/rates/batch_id={batch_id}")
@@ -159,6 +124,23 @@ def _live_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("window_start").agg(F.max_by("n", "batch_id").alias("n"))
 
 
+def _live_rate_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream, counted by day every six hours; windows come out once the watermark has passed them.
+
+    A row of a month later closes all windows of the events before it; it is in windows that stay open.
+    """
+    root = scratch(spark, "live-rate-sliding")
+    rows = derived.snapshots(spark, sf_dir).select("ts")
+    rows.coalesce(1).write.parquet(f"{root}/rows/0")
+    rows.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).write.parquet(f"{root}/rows/1")
+    spark.createDataFrame([], "ts timestamp_ntz").coalesce(1).write.parquet(f"{root}/rows/2")
+    stream = spark.readStream.schema("ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{root}/rows/*")
+    rates = ingest.live_rate(stream, "1 day", "6 hours", "1 hour")
+    query = rates.writeStream.outputMode("append").format("parquet").option("path", f"{root}/rates").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("window_start timestamp_ntz, n bigint").parquet(f"{root}/rates")
+
+
 QUERIES: dict[str, Query] = {
     "telemetry_scan": _t,
     "readings_unpivot": _r,
@@ -167,6 +149,7 @@ QUERIES: dict[str, Query] = {
     "constraint_rejects": _constraint_rejects,
     "dedup_by_id": _dedup_by_id,
     "publish_readings_json": lambda s, d: readings.to_reading_messages(_r(s, d)),
+    "publish_fan_out": _published,
     "latest_by_machine": lambda s, d: latest.latest_by_machine(_t(s, d), MACHINE, 20),
     "latest_readings_by_sensor": lambda s, d: latest.latest_readings(_r(s, d), MACHINE, "pressure", 20),
     "latest_readings_all_sensors": lambda s, d: latest.latest_readings(_r(s, d), MACHINE, None, 7),
@@ -178,21 +161,27 @@ QUERIES: dict[str, Query] = {
     "recent_count": lambda s, d: aggregates.recent_count(_t(s, d), AS_OF, "1 day"),
     "machine_stats": lambda s, d: aggregates.machine_stats(_t(s, d), MACHINE),
     "fleet_stats": lambda s, d: aggregates.fleet_stats(_t(s, d)),
-    "freshness": lambda s, d: aggregates.freshness(_t(s, d), AS_OF, 86_400),
-    "ingest_counters": lambda s, d: metrics.ingest_counters(_batches(s, d)),
+    "freshness": lambda s, d: aggregates.freshness(_t(s, d), AS_OF, 86_400, derived.day_batches(s, d)),
+    "ingest_counters": lambda s, d: metrics.ingest_counters(derived.day_batches(s, d)),
     "reconcile": _reconcile,
     "event_rate_1m": lambda s, d: metrics.rate_per_second(_t(s, d), "1 minute", 60),
-    "error_ratio": lambda s, d: metrics.error_ratio(_requests(s, d), "1 day"),
-    "latency_histogram": lambda s, d: metrics.latency_histogram(_requests(s, d)),
-    "latency_p95_5m": lambda s, d: metrics.latency_percentile(_requests(s, d), "5 minutes"),
-    "latency_p95_bucketed": lambda s, d: metrics.latency_percentile_bucketed(_requests(s, d), "1 day"),
-    "slo_summary": lambda s, d: metrics.slo_summary(_requests(s, d)),
+    "error_ratio": lambda s, d: metrics.error_ratio(derived.requests(s, d), "1 day"),
+    "latency_histogram": lambda s, d: metrics.latency_histogram(derived.requests(s, d)),
+    "latency_p95_5m": lambda s, d: metrics.latency_percentile(derived.requests(s, d), "5 minutes"),
+    "latency_p95_bucketed": lambda s, d: metrics.latency_percentile_bucketed(derived.requests(s, d), "1 day"),
+    "slo_summary": lambda s, d: metrics.slo_summary(derived.requests(s, d)),
     "live_rate": _live_rate,
+    "live_rate_sliding": _live_rate_sliding,
     "stream_ingest": _stream_ingest,
     "stream_ingest_readings": _stream_ingest_readings,
     "dual_write_reconciled": _dual_write,
     "ingest_accounted": _accounted,
-    "compacted_lookup": _compacted,
+    "compacted_lookup": _compacted_lookup,
+    "compacted_telemetry": _compacted_telemetry,
+    "compacted_readings": _compacted_readings,
+    "compacted_counts": _compacted_counts,
+    "sql_count_by_machine": _sql("SELECT machine_id, COUNT(*) AS n FROM telemetry GROUP BY machine_id ORDER BY machine_id"),
+    "sql_latest_readings": _sql("SELECT * FROM sensor_readings ORDER BY ts DESC, sensor_type DESC, id DESC LIMIT 10"),
 }
 
 # -- SQL ---------------------------------------------------------------------------------------------------
@@ -221,8 +210,11 @@ _AS_OF = f"TIMESTAMP '{AS_OF}'"
 _LE = ", ".join(str(b) for b in metrics.BOUNDS)
 # null payloads are all equal, and so are the texts that are too long: each kind is one reject of the stream
 _STREAM_FAILED = "count(*) FILTER (reason NOT IN ('null_payload', 'too_long')) + count(DISTINCT reason) FILTER (reason IN ('null_payload', 'too_long'))"
-_TOTALS = """SELECT c.*, w AS stored_telemetry, 2 * w AS stored_readings, {agree} AS reconciled, {agree} AND n_failed = 0 AS healthy FROM c, (SELECT count(*) AS w FROM {good})"""
-_AGREE = "(n_consumed = n_written + n_failed AND n_written = w AND n_readings = 2 * w)"
+#: What the stream reads: every message, and every tenth again.
+_READ = "count(*) + count(*) FILTER (CAST(id AS BIGINT) % 10 = 0)"
+_PUBLISHED = """'{{"Id":"' || id || '","MachineId":"' || machine_id || '","SensorType":"' || sensor_type || '","Value":' || value || ',"Unit":"' || unit
+        || '","Timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '"}}' AS value""".replace("{{", "{").replace("}}", "}")
+_TORN = "SELECT count(*) AS n_written, 2 * count(*) AS n_readings, count(*) AS stored_telemetry, 2 * count(*) AS stored_readings, CAST(0 AS BIGINT) AS n_torn FROM good"
 
 ORACLE_SQL: dict[str, str] = {
     "telemetry_scan": f"WITH {_T} SELECT * FROM t",
@@ -232,8 +224,8 @@ ORACLE_SQL: dict[str, str] = {
     "constraint_rejects": """SELECT CASE WHEN event_type = 'click' OR props IS NULL THEN 'null_required' ELSE 'too_long' END AS reason, count(*) AS n FROM events
         WHERE event_type = 'click' OR event_type IS NULL OR props IS NULL OR length(event_type) > 6 OR length(props) > 8 GROUP BY 1""",
     "dedup_by_id": f"WITH {_T} SELECT * FROM t",
-    "publish_readings_json": f"""WITH {_R} SELECT '{{"Id":"' || id || '","MachineId":"' || machine_id || '","SensorType":"' || sensor_type || '","Value":' || value || ',"Unit":"' || unit
-        || '","Timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '"}}' AS value FROM r""",
+    "publish_readings_json": f"WITH {_R} SELECT {_PUBLISHED} FROM r",
+    "publish_fan_out": f"WITH {_GOOD}, {_R_OF.format('good')} SELECT sink, {_PUBLISHED} FROM r, (SELECT unnest(['a', 'b']) AS sink)",
     "latest_by_machine": f"WITH {_T} SELECT * FROM t WHERE machine_id = '{MACHINE}' {_NEWEST} LIMIT 20",
     "latest_readings_by_sensor": f"WITH {_R} SELECT {_READING} FROM r WHERE machine_id = '{MACHINE}' AND lower(sensor_type) = 'pressure' ORDER BY ts DESC, sensor_type DESC, id DESC LIMIT 20",
     "latest_readings_all_sensors": f"WITH {_R} SELECT {_READING} FROM r WHERE machine_id = '{MACHINE}' ORDER BY ts DESC, sensor_type DESC, id DESC LIMIT 7",
@@ -245,11 +237,14 @@ ORACLE_SQL: dict[str, str] = {
     "recent_count": f"WITH {_T} SELECT count(*) AS n FROM t WHERE ts > {_AS_OF} - INTERVAL 1 DAY",
     "machine_stats": f"WITH {_T} SELECT machine_id, {_STATS} FROM (SELECT * FROM t WHERE machine_id = '{MACHINE}' {_NEWEST} LIMIT 100) GROUP BY machine_id",
     "fleet_stats": f"WITH {_T} SELECT machine_id, {_STATS} FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY machine_id {_NEWEST}) <= 100) GROUP BY machine_id",
-    "freshness": f"SELECT max(ts) AS last_ts, (epoch_us({_AS_OF}) - epoch_us(max(ts))) / 1000000 AS age_s, coalesce((epoch_us({_AS_OF}) - epoch_us(max(ts))) / 1000000 < 86400, false) AS healthy FROM events",
+    "freshness": f"""WITH f AS (SELECT max(ts) AS last_ts, date_trunc('day', max(ts)) AS last_flush FROM events)
+        SELECT last_ts, (epoch_us({_AS_OF}) - epoch_us(last_ts)) / 1000000 AS age_s, last_flush, (epoch_us({_AS_OF}) - epoch_us(last_flush)) / 1000000 AS flush_age_s,
+               coalesce((epoch_us({_AS_OF}) - epoch_us(last_flush)) / 1000000 < 86400, false) AS healthy FROM f""",
     "ingest_counters": """SELECT count(*) AS n_consumed, count(*) FILTER (event_id % 97 <> 0) AS n_written, 2 * count(*) FILTER (event_id % 97 <> 0) AS n_readings,
         count(*) FILTER (event_id % 97 = 0) AS n_failed FROM events""",
-    "reconcile": f"""WITH c AS (SELECT count(*) AS n_consumed, count(*) FILTER (event_id % 97 <> 0) AS n_written, 2 * count(*) FILTER (event_id % 97 <> 0) AS n_readings,
-        count(*) FILTER (event_id % 97 = 0) AS n_failed FROM events) {_TOTALS.format(agree=_AGREE, good="events WHERE event_id % 97 <> 0")}""",
+    "reconcile": f"""WITH {_GOOD}, c AS (SELECT {_READ} AS n_consumed, count(*) FILTER (reason IS NULL) AS n_written, {_STREAM_FAILED} AS n_failed FROM kinds)
+        SELECT n_consumed, n_written, 2 * n_written AS n_readings, n_failed, n_consumed - n_written - n_failed AS n_left_out,
+               (SELECT count(*) FROM good) AS stored_telemetry, (SELECT 2 * count(*) FROM good) AS stored_readings, true AS reconciled, n_failed = 0 AS healthy FROM c""",
     "event_rate_1m": "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, count(*) AS n, count(*) / 60 AS per_second FROM events GROUP BY 1",
     "error_ratio": f"WITH {_REQ} SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n, count(*) FILTER (regexp_matches(code, '^5..$')) AS errors, count(*) FILTER (regexp_matches(code, '^5..$')) / count(*) AS error_ratio FROM q GROUP BY 1",
     "latency_histogram": f"WITH b AS (SELECT unnest([{_LE}, 'inf'::DOUBLE]) AS le) SELECT le, count(*) FILTER (value <= le) AS n FROM b, events GROUP BY le",
@@ -261,11 +256,16 @@ ORACLE_SQL: dict[str, str] = {
         round(quantile_cont(duration_ms, 0.5), 6) AS med_ms, max(duration_ms) AS max_ms, round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms, count(*) FILTER (code LIKE '5%') / count(*) AS error_rate,
         round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000), 9) AS per_second FROM q) SELECT *, p95_ms < 200 AS p95_ok, error_rate < 0.01 AS errors_ok FROM s""",
     "live_rate": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n FROM events GROUP BY 1",
+    "live_rate_sliding": """SELECT CAST(w AS TIMESTAMP) AS window_start, count(*) AS n FROM (SELECT unnest(range(time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 18 HOUR, ts + INTERVAL 1 MICROSECOND, INTERVAL 6 HOUR)) AS w FROM events) GROUP BY 1""",
     "stream_ingest": f"WITH {_GOOD} SELECT * FROM good",
     "stream_ingest_readings": f"WITH {_GOOD}, {_R_OF.format('good')} SELECT * FROM r",
-    "dual_write_reconciled": f"""WITH {_GOOD}, c AS (SELECT count(*) FILTER (reason IS NULL) + ({_STREAM_FAILED}) AS n_consumed, count(*) FILTER (reason IS NULL) AS n_written,
-        2 * count(*) FILTER (reason IS NULL) AS n_readings, {_STREAM_FAILED} AS n_failed FROM kinds) {_TOTALS.format(agree=_AGREE, good="good")}""",
+    "dual_write_reconciled": f"WITH {_GOOD} {_TORN}",
     "ingest_accounted": f"""WITH {_GOOD} SELECT count(*) FILTER (reason IS NULL) AS n_written, {_STREAM_FAILED} AS n_failed,
         CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_unaccounted, true AS accounted FROM kinds""",
     "compacted_lookup": f"WITH {_GOOD} SELECT * FROM good WHERE machine_id = '{MACHINE}' {_NEWEST} LIMIT 20",
+    "compacted_telemetry": f"WITH {_GOOD} SELECT * FROM good",
+    "compacted_readings": f"WITH {_GOOD}, {_R_OF.format('good')} SELECT * FROM r",
+    "compacted_counts": f"WITH {_GOOD} {_TORN}",
+    "sql_count_by_machine": f"WITH {_T} SELECT machine_id, count(*) AS n FROM t GROUP BY machine_id",
+    "sql_latest_readings": f"WITH {_R} SELECT * FROM r ORDER BY ts DESC, sensor_type DESC, id DESC LIMIT 10",
 }

@@ -4,27 +4,28 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-TELEMETRY = "id STRING, machine_id STRING, temperature DOUBLE, pressure DOUBLE, status STRING, ts TIMESTAMP_NTZ"
-SENSOR_READINGS = "id STRING, machine_id STRING, sensor_type STRING, value DOUBLE, unit STRING, ts TIMESTAMP_NTZ"
-REJECTS = "raw STRING, reason STRING"
-MANIFEST = "batch_id BIGINT, n_written BIGINT, n_readings BIGINT, n_failed BIGINT"
-INGEST_BATCHES = "batch_id BIGINT, n_consumed BIGINT, n_rejected BIGINT, n_dropped BIGINT, duration_s DOUBLE, flushed_at TIMESTAMP"
-
-#: The members of a JSON message. Names are matched exactly.
-MESSAGE = "Id STRING, MachineId STRING, Temperature DOUBLE, Pressure DOUBLE, Status STRING, Timestamp TIMESTAMP"
-
 
 @dataclass(frozen=True)
 class Sensor:
-    """A numeric column of the wide table, and how the narrow table names it."""
+    """A numeric column of the wide table; how the narrow table and the JSON member name it."""
 
     column: str
     sensor_type: str
     unit: str
 
 
-#: Fixed values. A further metric is one more line here and one more column in TELEMETRY.
+#: Fixed values. A further metric is one more line: tables, messages and readings follow.
 SENSORS = (Sensor("temperature", "Temperature", "°C"), Sensor("pressure", "Pressure", "bar"))
 
+TELEMETRY = f"id STRING, machine_id STRING, {', '.join(f'{s.column} DOUBLE' for s in SENSORS)}, status STRING, ts TIMESTAMP_NTZ"
+SENSOR_READINGS = "id STRING, machine_id STRING, sensor_type STRING, value DOUBLE, unit STRING, ts TIMESTAMP_NTZ"
+REJECTS = "raw STRING, reason STRING"
+#: n_repeated: rows left out as their id is stored already. replaces: batches that this one was compacted from.
+MANIFEST = "batch_id BIGINT, n_written BIGINT, n_readings BIGINT, n_failed BIGINT, n_repeated BIGINT, replaces ARRAY<BIGINT>"
+INGEST_BATCHES = "batch_id BIGINT, n_consumed BIGINT, n_rejected BIGINT, n_dropped BIGINT, duration_s DOUBLE, flushed_at TIMESTAMP"
+
+#: The members of a JSON message. Names are matched exactly.
+MESSAGE = f"Id STRING, MachineId STRING, {', '.join(f'{s.sensor_type} DOUBLE' for s in SENSORS)}, Status STRING, Timestamp TIMESTAMP"
+
 #: The longest allowed texts.
 MAX_LENGTHS = {"machine_id": 50, "status": 50, "sensor_type": 50, "unit": 20}

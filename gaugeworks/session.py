@@ -1,23 +1,72 @@
-"""A session with the settings that the queries rely on."""
+"""Sessions, the folder that all executors share, and what is written there meanwhile."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+
+#: Folders made by scratch(), by application; drop_written() deletes them.
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; a fresh one only where none is set, as in tests."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    A fresh one only in local mode, as in tests; a cluster must name one, as a folder of the driver's own machine
+    would be lost to its executors.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         base = spark.sparkContext.getCheckpointDir()
     return base
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut, and a lost executor loses nothing."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete all that scratch() and written() made for this application; call it when results are stored.
+
+    DataFrames that were returned before can't be read any more.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+    return len(paths)
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at `path`; an empty one where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", conf: dict[str, str] | None = None) -> SparkSession:
     """For tests and the benchmark. On a cluster the session comes from spark-submit; only the time zone matters."""
     root = str(Path(__file__).resolve().parent.parent)

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.expressions import utc_ntz
-from gaugeworks.schemas import MAX_LENGTHS, MESSAGE
+from gaugeworks.schemas import MAX_LENGTHS, MESSAGE, SENSORS
 
 #: What a message must not be. The first that holds is the reason.
 NULL_PAYLOAD, MALFORMED, NULL_NUMBER, NULL_REQUIRED, TOO_LONG = "null_payload", "malformed_json", "null_number", "null_required", "too_long"
 _STRICT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-_TEXTS, _NUMBERS = ("Id", "MachineId", "Status", "Timestamp"), ("Temperature", "Pressure")
+_TEXTS, _NUMBERS = ("Id", "MachineId", "Status", "Timestamp"), tuple(s.sensor_type for s in SENSORS)
 
 
 def decode_messages(messages: DataFrame, value_col: str = "value", received_at: Column | None = None) -> DataFrame:
-    """id, machine_id, temperature, pressure, status, ts, reason, raw: a row per message, other columns kept after them.
+    """id, machine_id, a column per sensor, status, ts, reason, raw: a row per message, other columns kept after them.
 
     `reason` is null for good rows. Members that are absent take defaults: empty text, 0, `received_at` (now if
     not given), and as id the md5 of the message, so that equal messages without an id are one. Members that
@@ -46,8 +46,7 @@ def decode_messages(messages: DataFrame, value_col: str = "value", received_at:
     columns = {
         "id": or_default("Id", F.md5(raw.cast("binary"))),
         "machine_id": or_default("MachineId", F.lit("")),
-        "temperature": or_default("Temperature", F.lit(0.0)),
-        "pressure": or_default("Pressure", F.lit(0.0)),
+        **{s.column: or_default(s.sensor_type, F.lit(0.0)) for s in SENSORS},
         "status": or_default("Status", F.lit("")),
         "ts": utc_ntz(or_default("Timestamp", received)),
         "reason": reason,
@@ -75,5 +74,5 @@ def rejected(decoded: DataFrame) -> DataFrame:
 def to_messages(telemetry: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The other way: `value`, a JSON message per snapshot, after the columns in `keep`."""
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    pairs = (("id", "Id"), ("machine_id", "MachineId"), ("temperature", "Temperature"), ("pressure", "Pressure"), ("status", "Status"))
+    pairs = (("id", "Id"), ("machine_id", "MachineId"), *((s.column, s.sensor_type) for s in SENSORS), ("status", "Status"))
     return telemetry.select(*keep, F.to_json(F.struct(*[F.col(c).alias(m) for c, m in pairs], stamp.alias("Timestamp"))).alias("value"))

@@ -4,6 +4,9 @@ decode -> stamp with the time of ingest -> drop redelivered ids within a horizon
 batch's own folder in each table, then write its manifest row. Readers see only batches in the manifest, so both
 shapes of a batch appear together or not at all; after a crash the same offsets come again as the same batch and
 overwrite what was left. Source offsets are committed after that.
+
+compact() rewrites closed batches in the same folders as one batch of fewer files, laid out for lookups; its manifest
+row names the batches that it replaces, so readers change from these to that at once.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from gaugeworks.operators.readings import first_by_id, to_readings
+from gaugeworks.operators.readings import first_by_id, to_reading_messages, to_readings
 from gaugeworks.schemas import INGEST_BATCHES, MANIFEST, REJECTS, SENSOR_READINGS, SENSORS, TELEMETRY
+from gaugeworks.session import stored
 from gaugeworks.sources.messages import accepted, decode_messages, rejected
 
 
@@ -67,27 +71,88 @@ def with_retries(action: Callable[[], None], attempts: int = 3, first_wait_s: fl
             return
 
 
-def commit_batch(decoded: DataFrame, batch_id: int, tables: Tables) -> None:
-    """Write one batch's accepted rows in both shapes and its rejects; the manifest comes last."""
+def _write_manifest(counts: DataFrame, batch_id: int, tables: Tables, replaces: list[int]) -> None:
+    """The one small file that makes a batch visible, and those that it replaces invisible."""
+    row = counts.withColumn("replaces", F.array(*[F.lit(i) for i in replaces]).cast("array<bigint>"))
+    with_retries(lambda: row.coalesce(1).write.mode("overwrite").parquet(f"{tables.manifest}/batch_id={batch_id}"))
+
+
+def commit_batch(decoded: DataFrame, batch_id: int, tables: Tables, unseen_only: bool = False) -> None:
+    """Write one batch's accepted rows in both shapes and its rejects; the manifest comes last.
+
+    With `unseen_only`, rows whose id is stored already are left out, however long ago it came; that reads all stored
+    ids for each batch. Without it, such rows stay until compact().
+    """
     decoded = decoded.persist()
     try:
         good, bad = accepted(decoded).drop("ingest_ts"), rejected(decoded)
+        n_good = good.count()
+        if unseen_only:
+            others = committed_telemetry(decoded.sparkSession, tables).where(F.col("batch_id") != batch_id)  # not what a lost attempt of this batch left
+            good = good.join(others.select("id"), "id", "left_anti").select(good.columns)
         for rows, path in ((good, tables.telemetry), (to_readings(good), tables.readings), (bad, tables.rejects)):
             with_retries(lambda rows=rows, path=path: rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
-        n_bad = F.count("reason")
-        counts = decoded.agg((F.count("*") - n_bad).alias("n_written"), (len(SENSORS) * (F.count("*") - n_bad)).alias("n_readings"), n_bad.alias("n_failed"))
-        with_retries(lambda: counts.coalesce(1).write.mode("overwrite").parquet(f"{tables.manifest}/batch_id={batch_id}"))
+        here = decoded.sparkSession.read.schema(TELEMETRY).parquet(f"{tables.telemetry}/batch_id={batch_id}").agg(F.count("*").alias("n_written"))
+        counts = here.crossJoin(bad.agg(F.count("*").alias("n_failed")))  # a row each
+        counts = counts.select("n_written", (len(SENSORS) * F.col("n_written")).alias("n_readings"), "n_failed", (n_good - F.col("n_written")).alias("n_repeated"))
+        _write_manifest(counts, batch_id, tables, [])
     finally:
         decoded.unpersist()
 
 
+def commit_unseen(decoded: DataFrame, batch_id: int, tables: Tables) -> None:
+    """commit_batch without rows whose id is stored already."""
+    commit_batch(decoded, batch_id, tables, unseen_only=True)
+
+
+def publishing(commit: Callable[[DataFrame, int, Tables], None], *sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int, Tables], None]:
+    """A commit that then publishes the batch's readings, as JSON messages, to every sink.
+
+    Each sink gets (messages, batch_id), read from the committed batch. A batch that is replayed is published again
+    under the same number: so a sink that writes by number has each reading once.
+    """
+
+    def both(decoded: DataFrame, batch_id: int, tables: Tables) -> None:
+        commit(decoded, batch_id, tables)
+        readings = decoded.sparkSession.read.schema(SENSOR_READINGS).parquet(f"{tables.readings}/batch_id={batch_id}")
+        fan_out(to_reading_messages(readings), batch_id, *sinks)
+
+    return both
+
+
+def fan_out(messages: DataFrame, batch_id: int, *sinks: Callable[[DataFrame, int], None]) -> None:
+    """The same messages to every sink; they are computed once."""
+    messages = messages.persist()
+    try:
+        for sink in sinks:
+            with_retries(lambda sink=sink: sink(messages, batch_id))
+    finally:
+        messages.unpersist()
+
+
+def text_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Text files of one message a line, in a folder per batch that a replay overwrites."""
+    return lambda messages, batch_id: messages.write.mode("overwrite").text(f"{path}/batch_id={batch_id}")
+
+
+def kafka_sink(servers: str, topic: str) -> Callable[[DataFrame, int], None]:
+    """A topic; it needs Spark's Kafka package. A replayed batch is sent again."""
+    return lambda messages, _: messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+
 def _committed(spark: SparkSession, tables: Tables, path: str, schema: str) -> DataFrame:
     """Rows of the batches that the manifest has; batch_id is a partition column, so others aren't even read."""
-    return spark.read.schema(f"{schema}, batch_id BIGINT").parquet(path).join(manifest(spark, tables).select("batch_id"), "batch_id", "left_semi")
+    return stored(spark, path, f"{schema}, batch_id BIGINT").join(manifest(spark, tables).select("batch_id"), "batch_id", "left_semi")
+
+
+def all_manifests(spark: SparkSession, tables: Tables) -> DataFrame:
+    return stored(spark, tables.manifest, MANIFEST)
 
 
 def manifest(spark: SparkSession, tables: Tables) -> DataFrame:
-    return spark.read.schema(MANIFEST).parquet(tables.manifest)
+    """The batches that readers see: those that no other one replaces."""
+    rows = all_manifests(spark, tables)
+    return rows.join(rows.select(F.explode("replaces").alias("batch_id")), "batch_id", "left_anti").select("batch_id", "n_written", "n_readings", "n_failed", "n_repeated")
 
 
 def committed_telemetry(spark: SparkSession, tables: Tables) -> DataFrame:
@@ -102,6 +167,12 @@ def committed_rejects(spark: SparkSession, tables: Tables) -> DataFrame:
     return _committed(spark, tables, tables.rejects, REJECTS)
 
 
+def register_views(spark: SparkSession, tables: Tables) -> None:
+    """The temporary views telemetry and sensor_readings, for SQL."""
+    committed_telemetry(spark, tables).drop("batch_id").createOrReplaceTempView("telemetry")
+    committed_readings(spark, tables).drop("batch_id").createOrReplaceTempView("sensor_readings")
+
+
 # -- the query ---------------------------------------------------------------------------------------------
 
 
@@ -185,11 +256,12 @@ class BatchMetrics(StreamingQueryListener):
 
 
 def ingest_batches(spark: SparkSession, tables: Tables) -> DataFrame:
-    """The manifest's counts with the listener's: batch_id, n_consumed, n_rejected, n_dropped, n_written, n_readings,
-    n_failed, duration_s, flushed_at. A batch that one of them lacks has nulls: all its rows may be redeliveries."""
-    timed = spark.read.schema(INGEST_BATCHES).parquet(tables.batches).groupBy("batch_id")
+    """The manifest's counts with the listener's: batch_id, n_written, n_readings, n_failed, n_repeated, n_consumed,
+    n_rejected, n_dropped, duration_s, flushed_at; a row per batch of the stream, compacted since or not. A batch that
+    one of them lacks has nulls: all its rows may be redeliveries."""
+    timed = stored(spark, tables.batches, INGEST_BATCHES).groupBy("batch_id")
     timed = timed.agg(*[F.max(c).alias(c) for c in ("n_consumed", "n_rejected", "n_dropped")], F.max("duration_s").alias("duration_s"), F.max("flushed_at").alias("flushed_at"))
-    return manifest(spark, tables).join(timed, "batch_id", "full")
+    return all_manifests(spark, tables).where("batch_id >= 0").drop("replaces").join(timed, "batch_id", "full")
 
 
 def live_rate(telemetry: DataFrame, width: str = "1 minute", slide: str | None = None, lateness: str = "10 minutes") -> DataFrame:
@@ -201,19 +273,46 @@ def live_rate(telemetry: DataFrame, width: str = "1 minute", slide: str | None =
 # -- compaction --------------------------------------------------------------------------------------------
 
 
-def compact(spark: SparkSession, tables: Tables, target: Tables, files: int) -> None:
-    """Rewrite all committed batches to `target` as batch 0, laid out for lookups by machine and time.
+def compact(spark: SparkSession, tables: Tables, files: int, upto: int | None = None) -> int | None:
+    """Rewrite the closed batches that no compaction has taken yet (those up to number `upto`; all if not given) as one.
+
+    Returns the number of the new batch, which is negative (-1, -2, ...), or None if there is nothing to rewrite. Only
+    batches since the last compaction are rewritten, so the work grows with what is new; of the compacted ones only
+    ids are read. Small files become `files` ranges of machine and time, sorted within, so that row-group statistics
+    prune the latest-N lookups; a machine with very many rows spans several ranges. An id that came in more than one
+    batch keeps the first one's row, and rows whose id was compacted earlier are left out.
 
-    Small files become `files` ranges of machine and time, sorted within, so that row-group statistics prune the
-    latest-N lookups; a machine with very many rows spans several ranges. Ids that came in more than one batch keep
-    the first batch's row. The manifest is written last; readers switch by reading `target`.
+    The stream may run on meanwhile: it writes batches of its own numbers. The manifest row comes last and makes the
+    new batch visible and those it replaces invisible; vacuum() deletes their files when no reader uses them any more.
     """
-    kept = first_by_id(committed_telemetry(spark, tables), "batch_id")
+    live = manifest(spark, tables)
+    open_ = live.where("batch_id >= 0" if upto is None else f"batch_id BETWEEN 0 AND {int(upto)}")
+    ids = sorted(r["batch_id"] for r in open_.select("batch_id").collect())  # a number per batch since the last compaction
+    if not ids:
+        return None
+    lowest = all_manifests(spark, tables).agg(F.min("batch_id")).first()[0]
+    batch_id = min(0, lowest) - 1
+    new = stored(spark, tables.telemetry, f"{TELEMETRY}, batch_id BIGINT").where(F.col("batch_id").isin(ids))
+    kept = first_by_id(new, "batch_id").join(committed_telemetry(spark, tables).where("batch_id < 0").select("id"), "id", "left_anti")
+    columns = [c for c in new.columns if c != "batch_id"]
     laid_out = lambda rows: rows.repartitionByRange(files, "machine_id", "ts").sortWithinPartitions("machine_id", "ts")
-    laid_out(kept).write.mode("overwrite").parquet(f"{target.telemetry}/batch_id=0")
-    stored = spark.read.schema(TELEMETRY).parquet(f"{target.telemetry}/batch_id=0")
-    laid_out(to_readings(stored)).write.mode("overwrite").parquet(f"{target.readings}/batch_id=0")
-    committed_rejects(spark, tables).select("raw", "reason").write.mode("overwrite").parquet(f"{target.rejects}/batch_id=0")
-    bad = spark.read.schema(REJECTS).parquet(f"{target.rejects}/batch_id=0").agg(F.count("*").alias("n_failed"))
-    counts = stored.agg(F.count("*").alias("n_written"), (len(SENSORS) * F.count("*")).alias("n_readings")).crossJoin(bad)  # a row each
-    counts.coalesce(1).write.mode("overwrite").parquet(f"{target.manifest}/batch_id=0")
+    laid_out(kept.select(columns)).write.mode("overwrite").parquet(f"{tables.telemetry}/batch_id={batch_id}")
+    rows = spark.read.schema(TELEMETRY).parquet(f"{tables.telemetry}/batch_id={batch_id}")
+    laid_out(to_readings(rows)).write.mode("overwrite").parquet(f"{tables.readings}/batch_id={batch_id}")
+    bad = stored(spark, tables.rejects, f"{REJECTS}, batch_id BIGINT").where(F.col("batch_id").isin(ids)).drop("batch_id")
+    bad.coalesce(files).write.mode("overwrite").parquet(f"{tables.rejects}/batch_id={batch_id}")
+    before = open_.agg(F.sum("n_written").alias("before"), F.sum("n_failed").alias("n_failed"), F.sum("n_repeated").alias("n_repeated"))
+    counts = rows.agg(F.count("*").alias("n_written")).crossJoin(before)  # a row each
+    counts = counts.select("n_written", (len(SENSORS) * F.col("n_written")).alias("n_readings"), "n_failed", (F.col("n_repeated") + F.col("before") - F.col("n_written")).alias("n_repeated"))
+    _write_manifest(counts, batch_id, tables, ids)
+    return batch_id
+
+
+def vacuum(spark: SparkSession, tables: Tables) -> int:
+    """Delete the files of batches that are replaced; their manifest rows stay, as counts. Returns how many folders went."""
+    gone = [r["batch_id"] for r in all_manifests(spark, tables).select(F.explode("replaces").alias("batch_id")).collect()]  # a number per batch
+    hadoop, deleted = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for path in (f"{table}/batch_id={i}" for i in gone for table in (tables.telemetry, tables.readings, tables.rejects)):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        deleted += where.getFileSystem(hadoop).delete(where, True)
+    return deleted

@@ -99,11 +99,15 @@ def test_stats(telemetry):
     assert aggregates.fleet_stats(telemetry).count() == 2
 
 
-def test_freshness(telemetry):
+def test_freshness(spark, telemetry):
     now = START + timedelta(minutes=5)
-    assert tuple(aggregates.freshness(telemetry, now, 61).first())[1:] == (60.0, True)
-    assert tuple(aggregates.freshness(telemetry, now, 60).first())[1:] == (60.0, False)
-    assert tuple(aggregates.freshness(telemetry.limit(0), now).first()) == (None, None, False)
+    assert tuple(aggregates.freshness(telemetry, now, 61).first())[1:] == (60.0, None, None, True)
+    assert tuple(aggregates.freshness(telemetry, now, 60).first())[1:] == (60.0, None, None, False)
+    assert tuple(aggregates.freshness(telemetry.limit(0), now).first()) == (None, None, None, None, False)
+    flushes = spark.createDataFrame([(START,), (START + timedelta(minutes=3),), (None,)], "flushed_at timestamp")
+    assert tuple(aggregates.freshness(telemetry, now, 61, flushes).first())[1:] == (60.0, START + timedelta(minutes=3), 120.0, False)
+    assert aggregates.freshness(telemetry, now, 121, flushes).first()["healthy"]
+    assert not aggregates.freshness(telemetry, now, 121, flushes.limit(0)).first()["healthy"]
 
 
 @pytest.fixture(scope="module")
@@ -123,10 +127,21 @@ def test_metrics(spark, requests):
     assert metrics.is_server_error(F.lit("1500")) is not None
 
 
+@pytest.mark.parametrize("values", [[], [1.0], [2.0, 1.0], [None, 5.0, 5.0, 5.0, 1.0], [float(i * i % 101) for i in range(500)]])
+def test_exact_percentiles(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    qs = (0.0, 0.5, 0.9, 0.95, 1.0)
+    expected = rows.agg(*[F.percentile("v", q) for q in qs]).first()
+    assert tuple(metrics.exact_percentiles(rows, "v", qs).first()) == pytest.approx(tuple(expected), nan_ok=True)
+
+
 def test_counters(spark, telemetry):
     batches = spark.createDataFrame([(7, 7, 14, 0)], "n_consumed long, n_written long, n_readings long, n_failed long")
     assert metrics.reconcile(batches, telemetry, readings.to_readings(telemetry)).first()["healthy"]
     assert not metrics.reconcile(batches, telemetry.limit(3), readings.to_readings(telemetry)).first()["reconciled"]
+    lost = spark.createDataFrame([(9, 7, 14, 0, 1, None)], "n_consumed long, n_written long, n_readings long, n_failed long, n_dropped long, n_repeated long")
+    assert not metrics.reconcile(lost, telemetry, readings.to_readings(telemetry)).first()["reconciled"]  # one is neither written nor left out
+    assert metrics.reconcile(lost.withColumn("n_repeated", F.lit(1)), telemetry, readings.to_readings(telemetry)).first()["healthy"]
     assert tuple(metrics.ingest_counters(batches.limit(0)).first()) == (0, 0, 0, 0)
 
 
@@ -142,3 +157,41 @@ def test_filters_reach_the_scan(spark, telemetry, tmp_path):
     assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
     plan = aggregates.fleet_stats(stored)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_lookups_prune_the_stored_tables(spark, tmp_path):
+    """The compacted layout: the predicate reaches the scan, and row groups of other machines aren't read."""
+    import pyarrow.parquet as pq
+
+    from gaugeworks.streaming import ingest
+
+    rows = [(f"{m}-{i}", f"EQP-{m:03d}", 1.0, 1.0, "Running", START + timedelta(minutes=i), None, None) for i in range(50) for m in range(1, 41)]
+    found = ingest.Tables(str(tmp_path))
+    ingest.commit_batch(spark.createDataFrame(rows, f"{schemas.TELEMETRY}, reason string, raw string").repartition(6), 0, found)
+    ingest.compact(spark, found, files=4)
+    groups = [pq.ParquetFile(p).metadata.row_group(0).column(1).statistics for p in (tmp_path / "telemetry" / "batch_id=-1").glob("*.parquet")]
+    assert len(groups) == 4 and sum(g.min <= "EQP-007" <= g.max for g in groups) <= 2
+    stored = tables.scan_telemetry(spark, f"{found.telemetry}/batch_id=-1")
+    lookup = latest.latest_by_machine(stored, "EQP-007", 3)
+    assert ids(lookup) == ["7-49", "7-48", "7-47"]
+    plan = lookup._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(machine_id,EQP-007)" in plan and "TakeOrderedAndProject" in plan
+    narrow = tables.scan_readings(spark, f"{found.readings}/batch_id=-1")
+    assert "EqualTo(machine_id,EQP-007)" in latest.latest_readings(narrow, "EQP-007", "pressure", 3)._jdf.queryExecution().executedPlan().toString()
+    ingest.register_views(spark, found)
+    assert spark.sql("SELECT COUNT(*) FROM telemetry WHERE machine_id = 'EQP-007'").first()[0] == 50
+    assert spark.sql("SELECT COUNT(*) FROM sensor_readings").first()[0] == 4000
+
+
+def test_shared_folder(spark, monkeypatch):
+    from gaugeworks import session
+
+    assert session.written(spark.range(3), "x").count() == 3
+    assert session.drop_written(spark) >= 1 and session.drop_written(spark) == 0
+
+    class Cluster:
+        conf = type("C", (), {"get": lambda self, *_: None})()
+        sparkContext = type("S", (), {"getCheckpointDir": lambda self: None, "master": "spark://host:7077"})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Cluster())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from datetime import datetime
 
 import pytest
 
@@ -51,7 +52,6 @@ def test_crash_before_the_manifest(spark, tmp_path):
 
     with pytest.raises(Exception, match="lost"):
         start(spark, tmp_path, crash).awaitTermination()
-    (tmp_path / "out" / "manifest").mkdir(exist_ok=True)
     assert stored(spark, tmp_path) == ([], 0)  # written, but not committed
     start(spark, tmp_path).awaitTermination()
     assert stored(spark, tmp_path) == ([str(i) for i in range(6)], 12)
@@ -107,12 +107,148 @@ def test_metrics_and_compaction(spark, tmp_path):
     batches = ingest.ingest_batches(spark, found)
     assert tuple(metrics.ingest_counters(batches).first()) == (7, 6, 12, 0)
     assert batches.where("duration_s > 0 AND flushed_at IS NOT NULL").count() == 2
-    target = ingest.Tables(str(tmp_path / "compact"))
-    ingest.compact(spark, found, target, files=2)
-    rows = ingest.committed_telemetry(spark, target)
-    assert rows.count() == 6 and ingest.committed_readings(spark, target).count() == 12
+    # the seventh message was a redelivery: left out, and no fault
+    row = metrics.reconcile(batches, ingest.committed_telemetry(spark, found), ingest.committed_readings(spark, found)).first()
+    assert (row["n_left_out"], row["reconciled"], row["healthy"]) == (1, True, True)
+    assert ingest.compact(spark, found, files=2) == -1
+    rows = ingest.committed_telemetry(spark, found)
+    assert rows.count() == 6 and ingest.committed_readings(spark, found).count() == 12
     assert [r["id"] for r in latest.latest_by_machine(rows, "EQP-001", 5).collect()] == ["3", "0"]
-    assert tuple(ingest.manifest(spark, target).select("n_written", "n_readings", "n_failed").first()) == (6, 12, 0)
+    assert tuple(ingest.manifest(spark, found).select("n_written", "n_readings", "n_failed").first()) == (6, 12, 0)
+
+
+def batch(spark, ids, status="Running"):
+    """Decoded rows as a micro-batch has them; an id of None is a reject."""
+    rows = [(i, f"EQP-00{int(i) % 3 + 1}", 1.0, 2.0, status, datetime(2026, 1, 1, 0, 0, int(i)), None, "{}", None) if i else (None, None, None, None, None, None, "malformed_json", "{", None) for i in ids]
+    return spark.createDataFrame(rows, "id string, machine_id string, temperature double, pressure double, status string, ts timestamp_ntz, reason string, raw string, ingest_ts timestamp")
+
+
+def test_nothing_stored_yet(spark, tmp_path):
+    """All tables can be read before the first batch, and after a stream without messages."""
+    land(tmp_path / "in", "a", [])
+    (tmp_path / "in" / "a").write_text("")
+    start(spark, tmp_path).awaitTermination()
+    found = ingest.Tables(str(tmp_path / "out"))
+    for rows in (ingest.committed_telemetry(spark, found), ingest.committed_readings(spark, found), ingest.committed_rejects(spark, found), ingest.manifest(spark, found), ingest.ingest_batches(spark, found)):
+        assert rows.count() == 0
+    assert ingest.compact(spark, found, files=1) is None and ingest.vacuum(spark, found) == 0
+    assert metrics.accounted(ingest.ingest_batches(spark, found), 0).first()["accounted"]
+
+
+def test_incremental_compaction(spark, tmp_path):
+    found = ingest.Tables(str(tmp_path))
+    commit = lambda n, ids, status="Running": ingest.commit_batch(batch(spark, ids, status), n, found)
+    commit(0, ["1", "2", None])
+    commit(1, ["2", "3"], "Again")  # 2 came again, beyond the horizon
+    commit(2, ["4"])
+    assert ingest.committed_telemetry(spark, found).count() == 5
+    assert ingest.compact(spark, found, files=2, upto=1) == -1
+    view = lambda: sorted((r["id"], r["status"]) for r in ingest.committed_telemetry(spark, found).collect())
+    once = [("1", "Running"), ("2", "Running"), ("3", "Again"), ("4", "Running")]
+    assert view() == once and ingest.committed_readings(spark, found).count() == 8 and ingest.committed_rejects(spark, found).count() == 1
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("batch_id=-1/*.parquet")}
+    commit(3, ["1", "5"], "Again")  # 1 was compacted long ago
+    assert ingest.compact(spark, found, files=2) == -2
+    assert view() == [*once, ("5", "Again")]
+    assert {p: p.stat().st_mtime_ns for p in tmp_path.rglob("batch_id=-1/*.parquet")} == before  # not rewritten
+    assert ingest.compact(spark, found, files=2) is None
+    totals = ingest.manifest(spark, found).groupBy().sum("n_written", "n_readings", "n_failed", "n_repeated").first()
+    assert tuple(totals) == (5, 10, 1, 2)
+    row = metrics.dual_writes(ingest.manifest(spark, found), ingest.committed_telemetry(spark, found), ingest.committed_readings(spark, found)).first()
+    assert row["n_torn"] == 0 and row["stored_telemetry"] == 5
+    assert ingest.vacuum(spark, found) == 12 and view() == [*once, ("5", "Again")]
+    assert ingest.ingest_batches(spark, found).agg({"n_written": "sum"}).first()[0] == 7  # the stream's own batches are still counted
+
+
+def test_a_compaction_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    found = ingest.Tables(str(tmp_path))
+    ingest.commit_batch(batch(spark, ["1", "2"]), 0, found)
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "_write_manifest", lost)
+        with pytest.raises(RuntimeError):
+            ingest.compact(spark, found, files=1)
+    assert ingest.committed_telemetry(spark, found).count() == 2
+    assert ingest.compact(spark, found, files=1) == -1 and ingest.committed_telemetry(spark, found).count() == 2
+
+
+def test_torn_batches_are_seen(spark, tmp_path):
+    found = ingest.Tables(str(tmp_path))
+    for n, ids in enumerate((["1"], ["2", "3"])):
+        ingest.commit_batch(batch(spark, ids), n, found)
+    rows, narrow = ingest.committed_telemetry(spark, found), ingest.committed_readings(spark, found)
+    assert metrics.dual_writes(ingest.manifest(spark, found), rows, narrow).first()["n_torn"] == 0
+    assert metrics.dual_writes(ingest.manifest(spark, found), rows.where("id <> '1'"), narrow).first()["n_torn"] == 1
+    assert metrics.dual_writes(ingest.manifest(spark, found), rows, narrow.where("sensor_type = 'Pressure'")).first()["n_torn"] == 2
+
+
+def test_ids_stored_long_ago(spark, tmp_path):
+    found = ingest.Tables(str(tmp_path))
+    for n, ids in enumerate((["1", "2", None], ["2", "3"], ["1", "2"])):
+        ingest.commit_unseen(batch(spark, ids), n, found)
+        ingest.commit_unseen(batch(spark, ids), n, found)  # a replay
+    assert sorted(r["id"] for r in ingest.committed_telemetry(spark, found).collect()) == ["1", "2", "3"]
+    totals = ingest.manifest(spark, found).groupBy().sum("n_written", "n_readings", "n_failed", "n_repeated").first()
+    assert tuple(totals) == (3, 6, 1, 3)
+
+
+def test_publishing_to_several_sinks(spark, tmp_path):
+    land(tmp_path / "in", "a", LINES)
+    land(tmp_path / "in", "b", [LINES[0], "{"])
+    calls = []
+
+    def failing(messages, batch_id):
+        calls.append(batch_id)
+        if len(calls) == 1:
+            raise OSError("busy")
+
+    a, b = (ingest.text_sink(str(tmp_path / "published" / x)) for x in "ab")
+    old, time.sleep = time.sleep, lambda s: None
+    try:
+        start(spark, tmp_path, ingest.publishing(ingest.commit_batch, a, failing, b)).awaitTermination()
+    finally:
+        time.sleep = old
+    got = [sorted(r["value"] for r in spark.read.text(str(tmp_path / "published" / x)).select("value").collect()) for x in "ab"]
+    assert got[0] == got[1] and len(set(got[0])) == 12 and sum('"SensorType":"Pressure"' in m for m in got[0]) == 6
+
+
+def test_two_second_trigger(spark, tmp_path):
+    """Files that land while the stream runs come in with the next trigger; empty triggers write nothing."""
+    land(tmp_path / "in", "a", LINES[:2])
+    source = ingest.file_source(spark, str(tmp_path / "in"))
+    found = ingest.Tables(str(tmp_path / "out"))
+    query = ingest.start_ingest(source, found, str(tmp_path / "check"), processing_time="2 seconds")
+    try:
+        wanted = 0
+        for name, lines, wanted in (("a", [], 2), ("b", LINES[2:5], 5)):
+            if lines:
+                land(tmp_path / "in", name, lines)
+            end = time.monotonic() + 60
+            while ingest.committed_telemetry(spark, found).count() < wanted and time.monotonic() < end:
+                time.sleep(0.5)
+        time.sleep(4.5)  # two more triggers
+        assert ingest.committed_telemetry(spark, found).count() == wanted == 5
+        assert ingest.manifest(spark, found).count() == 2
+    finally:
+        query.stop()
+
+
+def test_sliding_rate_in_append_mode(spark, tmp_path):
+    """Windows come out once the watermark has passed them; a row that is too late counts in none."""
+    folder = tmp_path / "rows"
+    minute = lambda m: datetime(2026, 1, 1, 0, m, 30)
+    for n, stamps in enumerate(([minute(0), minute(1), minute(1)], [minute(30)], [minute(31)], [minute(1)], [minute(32)])):
+        spark.createDataFrame([(s,) for s in stamps], "ts timestamp_ntz").coalesce(1).write.mode("append").parquet(str(folder / str(n)))
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = spark.readStream.schema("ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    rates = ingest.live_rate(stream, "1 minute", "30 seconds", "10 minutes")
+    query = rates.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "rates")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = {(r["window_start"].minute, r["window_start"].second): r["n"] for r in spark.read.parquet(str(tmp_path / "rates")).collect()}
+    assert out == {(0, 0): 1, (0, 30): 1, (1, 0): 2, (1, 30): 2}
 
 
 def test_every_message_is_accounted_for(spark, tmp_path):
