@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.session import shared_dir
+from gaugeworks.session import scratch, stored, written
+
+__all__ = ["LOWER", "UPPER", "WHITESPACE", "ascii_lower", "documents", "held_out", "read_table", "scratch", "stored", "written"]
 
 #: The characters [\x20\x09-\x0D].
 WHITESPACE = " \t\n\x0b\x0c\r"
@@ -32,15 +32,3 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else kept. lower() does the same to pure ASCII and is faster there."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and a lost executor loses nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

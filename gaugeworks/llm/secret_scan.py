@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import written
+from gaugeworks.llm.common import stored, written
 
-LEDGER_COLUMNS = ("blob binary", "rule string", "rule_version int", "spans array<struct<start:int,end:int>>")
+LEDGER = "blob binary, rule string, rule_version int, spans array<struct<start:int,end:int>>"
 
 
 @dataclass(frozen=True)
@@ -52,8 +51,7 @@ def blob_of(text: Column) -> Column:
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
-    columns = (c.strip().split(" ", 1) for c in LEDGER_COLUMNS)
-    return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns])
+    return spark.createDataFrame([], LEDGER)
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
@@ -93,12 +91,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger stored at `path`; an empty one where nothing is stored yet."""
-    try:
-        return spark.read.schema(", ".join(LEDGER_COLUMNS)).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return empty_ledger(spark)
+    return stored(spark, path, LEDGER)
 
 
 def extend_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:

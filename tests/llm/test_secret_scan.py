@@ -77,7 +77,7 @@ def test_stored_ledger(spark, tmp_path):
 
 def test_only_unseen_pairs_are_scanned(spark):
     docs = odd.documents(spark, list(enumerate(TEXTS)))
-    first = spark.createDataFrame(s.scan_unseen(docs, s.empty_ledger(spark)).collect(), ", ".join(s.LEDGER_COLUMNS))
+    first = spark.createDataFrame(s.scan_unseen(docs, s.empty_ledger(spark)).collect(), s.LEDGER)
     assert first.count() == 3 * len({t or "" for t in TEXTS})
     assert s.scan_unseen(docs, first).count() == 0
     more = docs.unionByName(odd.documents(spark, [(99, "a new blob"), (100, TEXTS[0])]))
