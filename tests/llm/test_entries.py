@@ -11,10 +11,12 @@ from gaugeworks.llm import entries, packing, stages, toxicity
 from gaugeworks.llm.common import held_out, read_table
 from pyspark.sql import functions as F
 from tests.duck import assert_same, views
+from tests.llm import odd
 from tests.llm.test_line_dedup import brute as lines
 from tests.llm.test_ngram_join import brute as groups
 from tests.llm.test_packing import FILES
 from tests.llm.test_secret_scan import brute as secrets
+from tests.llm.test_toxicity import every_path
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
@@ -43,9 +45,8 @@ def test_pipeline(spark, tmp_path):
     docs = read_table(spark, sf_dir, "documents")
     labels = read_table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
     model = toxicity.fit(docs, labels)
-    scorer = toxicity.Scorer(model)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    rows = [(i, t) for i, t in rows if model.score(scorer.total(t)[0]) < 0.5]
+    rows = [(i, t) for i, t in rows if model.score(weight(t, model)) < 0.5]
     assert 0 < len(rows) < docs.count()
     rows = [(i, t) for i, t, _, _ in lines(rows)]
     kept = {i for i, _, part in groups(rows) if i == part}
@@ -63,6 +64,36 @@ def test_pipeline(spark, tmp_path):
     assert {i: b"".join(b for _, b in sorted(p)) for i, p in found.items()} == expected
 
 
+def weight(text, model):
+    """The sum of clause weights, by walking all paths of the grammar."""
+    scorer = toxicity.Scorer(model)
+    clauses = [[*map(scorer.symbol, toxicity.TOKEN.findall(c))] for c in toxicity.CLAUSE.split((text or "").lower())]
+    return sum(every_path(c) for c in clauses if any(s in toxicity.WEIGHTY for s, _ in c))
+
+
+def test_pipeline_over_odd_rows(spark, tmp_path):
+    """Null ids, null and very long texts, repeated rows and columns with clashing names go through all stages."""
+    sf_dir = str(tmp_path)
+    docs = odd.documents(spark, [*odd.TEXTS, (20, "password = abcdefghijklmno of its own")])
+    docs.write.parquet(f"{sf_dir}/documents.parquet")
+    spark.createDataFrame([(20, 1), (None, 1), (7, None)], "doc_id long, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    kept = docs
+    for name, stage in stages.STAGES[:-1]:
+        kept = stage(spark, kept, sf_dir)
+        assert kept.columns == docs.columns, name
+    rows = kept.collect()
+    # 6 is there twice and a copy of 5, all of whose lines are 5's: an empty text is no copy of anything, but repeats count once
+    assert odd.ids(rows) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 20, None, None]
+    by_id = {r["doc_id"]: r for r in rows}
+    assert by_id[1]["text"] is None and by_id[5]["text"] == odd.LONG and by_id[6]["text"] == "" and by_id[6]["n_chars"] == 0
+    assert by_id[20]["text"] == "[secret] of its own" and {r["blob"] for r in rows} == {"b"} and by_id[20]["label"] == 5
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in rows}
+    for name in ("documents", "labels"):
+        read_table(spark, sf_dir, name).limit(0).write.parquet(f"{sf_dir}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{sf_dir}/none").count() == 0
+
+
 def merged(spans):
     """Overlapping spans as one; adjacent ones stay apart."""
     out = []
