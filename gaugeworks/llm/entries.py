@@ -12,12 +12,14 @@ from gaugeworks.llm.common import held_out, read_table, scratch, written
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text with merge-dropout 0.1, and whether they decode to it. Null and empty texts have no ids; repeated rows stay."""
     import public_tokenizers
 
     return sentencepiece_dropout.encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the rows that aren't held out. Null and letterless texts are `und` with score 0; repeated rows stay."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     passages = language_id.sample_passages(docs.where(~held_out(F.col("doc_id"), 4, 2)).select("text", "lang"))
     found = language_id.identify(docs.select("doc_id", "text"), passages, reject=False)
@@ -38,11 +40,13 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every whole text. A null or empty text is one empty line, which stays; rows of one id are one document."""
     out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every whole text, learned from the labels that aren't held out. Null, empty and clean texts get the rate of toxic ones among clean texts; repeated rows stay."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "toxic")
     found = toxicity.score_documents(docs, toxicity.fit(docs, labels))
@@ -50,10 +54,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors. Null, zero and non-finite vectors link with nothing; repeated rows of one id and vector are one vector."""
     return embedding_dedup.link_embeddings(read_table(spark, sf_dir, "embeddings"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by 5-word shingles. Texts without words link with nothing; rows of one id are one document."""
     return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"))
 
 
@@ -69,12 +75,13 @@ def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation may hold any share of the table, so dialogues are cut into parts of 512 turns."""
+    """Renderings of all conversations. One may hold any share of the table, so dialogues are cut into parts of 512 turns. Null texts are empty, repeated rows stay."""
     rows = chat_format.rotate_perspectives(read_table(spark, sf_dir, "conversations"), turns_per_row=512)
     return rows.withColumn("masks", F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ","))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token of every text in a window. A null or empty text is an end id alone; repeated rows are packed each."""
     import public_tokenizers
 
     pieces = packing.pack_documents(
