@@ -20,11 +20,13 @@ def decode_messages(messages: DataFrame, value_col: str = "value", received_at:
     `reason` is null for good rows. Members that are absent take defaults: empty text, 0, `received_at` (now if
     not given), and as id the md5 of the message, so that equal messages without an id are one. Members that
     are there but null are rejected, as are texts that are too long. Unknown members are ignored, of repeated ones
-    the last counts. Text after the JSON object goes unnoticed. Each message is parsed once, in one stage with its source.
+    the last counts. Text after the JSON object makes it malformed. Each message is parsed once, in one stage with its source.
     """
     raw = messages[value_col]
     received = F.current_timestamp() if received_at is None else received_at
-    parsed = F.struct(F.from_json(raw, f"{MESSAGE}, _corrupt STRING", _STRICT).alias("__j"), F.json_object_keys(raw).alias("__keys"), F.try_parse_json(raw).alias("__v"))
+    # the parsers stop at the end of an object; a message is one value if it is alone in brackets, and one of two beside another
+    alone = (F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1) & (F.json_array_length(F.concat(F.lit("["), raw, F.lit(",0]"))) == 2)
+    parsed = F.struct(F.from_json(raw, f"{MESSAGE}, _corrupt STRING", _STRICT).alias("__j"), F.json_object_keys(raw).alias("__keys"), F.try_parse_json(raw).alias("__v"), F.coalesce(alone, F.lit(False)).alias("__alone"))
     # through a generator, which filters aren't pushed below: else each use of a member would parse the message again
     rows = messages.select("*", F.inline(F.array(parsed)))
     there = lambda name: F.coalesce(F.array_contains("__keys", name), F.lit(False))
@@ -38,7 +40,7 @@ def decode_messages(messages: DataFrame, value_col: str = "value", received_at:
     missing = lambda names: _any([there(n) & member(n).isNull() for n in names])
     reason = (
         F.when(raw.isNull() | (F.trim(raw) == "null"), NULL_PAYLOAD)
-        .when(F.col("__j").isNull() | member("_corrupt").isNotNull() | F.col("__keys").isNull() | _any(wrong), MALFORMED)
+        .when(F.col("__j").isNull() | member("_corrupt").isNotNull() | F.col("__keys").isNull() | ~F.col("__alone") | _any(wrong), MALFORMED)
         .when(missing(_NUMBERS), NULL_NUMBER)
         .when(missing(_TEXTS), NULL_REQUIRED)
         .when(_any([F.char_length(member(m)) > MAX_LENGTHS[c] for m, c in (("MachineId", "machine_id"), ("Status", "status"))]), TOO_LONG)

@@ -30,10 +30,17 @@ def decode(spark, *values):
         ('{"Temperature":"NaN"}', "malformed_json"),
         ("{'MachineId':'M'}", "malformed_json"),
         ('{"MachineId":5}', "malformed_json"),
+        ('{"MachineId":"A"} x', "malformed_json"),
+        ('{"MachineId":"A"}{"MachineId":"B"}', "malformed_json"),
+        ('{"MachineId":"A"},{"MachineId":"B"}', "malformed_json"),
+        ('{"MachineId":"A"}]', "malformed_json"),
+        ('{"MachineId":"A"}]{}', "malformed_json"),
+        ('{"MachineId":"A"},0]{}', "malformed_json"),
         ('{"Temperature":null}', "null_number"),
         ('{"MachineId":null}', "null_required"),
         ('{"MachineId":"' + "x" * 51 + '"}', "too_long"),
         ('{"MachineId":"EQP-001","Temperature":20.5,"Pressure":1,"X":1}', None),
+        (' {"MachineId":"a]},0]"}\n', None),
         ('{"machineId":"EQP-001"}', None),
         ('{"MachineId":"A","MachineId":"B"}', None),
         ('{"MachineId":"' + "x" * 50 + '"}', None),
