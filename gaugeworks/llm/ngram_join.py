@@ -47,7 +47,7 @@ class Settings:
 
     words: int = 5
     percent: int = 80
-    block: int = 256
+    block: int = 1024
 
     def __post_init__(self) -> None:
         if not 55 <= self.percent <= 100 or self.words < 1:
