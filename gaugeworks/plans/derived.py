@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.schemas import TELEMETRY
-from gaugeworks.session import scratch, stored
+from gaugeworks.session import exists, scratch
 from gaugeworks.sources import messages, tables
 from gaugeworks.streaming import ingest
 
@@ -26,7 +25,7 @@ def _once(spark: SparkSession, kind: str, sf_dir: str, make) -> ingest.Tables:
     """Made by the first query that asks, and read by those after it."""
     key = (spark.sparkContext.applicationId, kind, sf_dir)
     found = _ready.get(key)
-    if found is None or stored(spark, found.telemetry, TELEMETRY).isEmpty():  # never made, or deleted since
+    if found is None or not exists(spark, found.manifest):  # never made, or deleted since
         found = _ready[key] = make(spark, sf_dir)
     return found
 

@@ -44,16 +44,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a folder on whatever storage it is; whether there was one."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def drop_written(spark: SparkSession) -> int:
     """Delete all that scratch() and written() made for this application; call it when results are stored.
 
     DataFrames that were returned before can't be read any more.
     """
     paths = _made.pop(spark.sparkContext.applicationId, [])
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(hadoop).delete(where, True)
+        delete(spark, path)
     return len(paths)
 
 

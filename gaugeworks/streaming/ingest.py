@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from gaugeworks.operators.readings import first_by_id, to_reading_messages, to_readings
 from gaugeworks.schemas import INGEST_BATCHES, MANIFEST, REJECTS, SENSOR_READINGS, SENSORS, TELEMETRY
-from gaugeworks.session import stored
+from gaugeworks.session import delete, stored
 from gaugeworks.sources.messages import accepted, decode_messages, rejected
 
 
@@ -36,6 +36,7 @@ class Tables:
     readings = property(lambda self: f"{self.root}/sensor_readings")
     rejects = property(lambda self: f"{self.root}/rejects")
     manifest = property(lambda self: f"{self.root}/manifest")
+    manifest_log = property(lambda self: f"{self.root}/manifest_log")
     batches = property(lambda self: f"{self.root}/ingest_batches")
 
 
@@ -146,7 +147,8 @@ def _committed(spark: SparkSession, tables: Tables, path: str, schema: str) -> D
 
 
 def all_manifests(spark: SparkSession, tables: Tables) -> DataFrame:
-    return stored(spark, tables.manifest, MANIFEST)
+    """A row per batch, of the stream or a compaction, that was ever committed."""
+    return stored(spark, tables.manifest, MANIFEST).unionByName(stored(spark, tables.manifest_log, MANIFEST)).dropDuplicates(["batch_id"])
 
 
 def manifest(spark: SparkSession, tables: Tables) -> DataFrame:
@@ -309,10 +311,18 @@ def compact(spark: SparkSession, tables: Tables, files: int, upto: int | None =
 
 
 def vacuum(spark: SparkSession, tables: Tables) -> int:
-    """Delete the files of batches that are replaced; their manifest rows stay, as counts. Returns how many folders went."""
-    gone = [r["batch_id"] for r in all_manifests(spark, tables).select(F.explode("replaces").alias("batch_id")).collect()]  # a number per batch
-    hadoop, deleted = spark.sparkContext._jsc.hadoopConfiguration(), 0
-    for path in (f"{table}/batch_id={i}" for i in gone for table in (tables.telemetry, tables.readings, tables.rejects)):
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        deleted += where.getFileSystem(hadoop).delete(where, True)
+    """Delete the files of batches that are replaced; their manifest rows move into one file of `manifest_log`.
+
+    So what a reader lists grows with the compactions, not with the batches. Returns how many data folders went. After
+    a crash the next call does the rest: a row that is in both places counts once.
+    """
+    replaced = all_manifests(spark, tables).select(F.explode("replaces").alias("batch_id"))
+    old = stored(spark, tables.manifest, MANIFEST).join(replaced, "batch_id", "left_semi")
+    gone = [r["batch_id"] for r in old.select("batch_id").collect()]  # a number per batch since the last call
+    if not gone:
+        return 0
+    old.coalesce(1).write.mode("append").parquet(tables.manifest_log)
+    deleted = sum(delete(spark, f"{table}/batch_id={i}") for i in gone for table in (tables.telemetry, tables.readings, tables.rejects))
+    for i in gone:
+        delete(spark, f"{tables.manifest}/batch_id={i}")
     return deleted

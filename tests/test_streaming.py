@@ -157,6 +157,8 @@ def test_incremental_compaction(spark, tmp_path):
     row = metrics.dual_writes(ingest.manifest(spark, found), ingest.committed_telemetry(spark, found), ingest.committed_readings(spark, found)).first()
     assert row["n_torn"] == 0 and row["stored_telemetry"] == 5
     assert ingest.vacuum(spark, found) == 12 and view() == [*once, ("5", "Again")]
+    assert sorted(p.name for p in (tmp_path / "manifest").glob("batch_id=*")) == ["batch_id=-1", "batch_id=-2"]
+    assert ingest.vacuum(spark, found) == 0 and ingest.compact(spark, found, files=1) is None
     assert ingest.ingest_batches(spark, found).agg({"n_written": "sum"}).first()[0] == 7  # the stream's own batches are still counted
 
 
