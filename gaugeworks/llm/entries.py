@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import chat_format, embedding_dedup, gif_media, language_id, line_dedup, ngram_join, packing, secret_scan, sentencepiece_dropout, stages, toxicity
+from gaugeworks.llm import chat_format, embedding_dedup, gif_media, language_id, line_dedup, ngram_join, packing, quality_ranking, secret_scan, sentencepiece_dropout, stages, token_alignment, toxicity, whitening
 from gaugeworks.llm.common import held_out, read_table, scratch, written
 
 
@@ -90,6 +90,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op11_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every whole text, learned from the labels that aren't held out. Null and empty texts are scored by their features, all zero; repeated rows stay."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 3, 1)).select("doc_id", "quality")
+    found = quality_ranking.score_documents(docs, quality_ranking.fit(docs, labels))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 3, 1).alias("held_out"), "score", "predicted", "strength")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of two tokenisers' tokens in every whole text, with their counts over the corpus. Null and empty texts have zeros; each row counts as a document, repeated ones too."""
+    import public_tokenizers
+
+    ranks, model, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN
+    first, second = functools.partial(token_alignment.byte_level, ranks, pattern), functools.partial(token_alignment.pieces, model)
+    return token_alignment.link_scores(read_table(spark, sf_dir, "documents"), first, second)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four leading components of all vectors that can be whitened. Null, empty and non-finite vectors have no row; repeated rows have each their own."""
+    found = whitening.whiten_embeddings(read_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -101,6 +124,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_packing": op10_packing,
+    "op11_quality_ranking": op11_quality_ranking,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_whitening": op13_whitening,
     "pipeline": stages.run,
 }
 
