@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import written
+from gaugeworks.llm.common import summed, sums_batch, written
 
 Product = Callable[[np.ndarray], np.ndarray]
 
@@ -78,12 +78,20 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def moments(fit: DataFrame, dims: int) -> tuple[int, list[int]]:
-    """n, and the exact sums by dimension."""
-    each = fit.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.count("*").alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s"))
-    sums, n = [0] * dims, 0
-    for r in each.collect():  # a row a dimension
-        n, sums[r["i"]] = r["n"], int(r["s"])
-    return n, sums
+    """n, and the exact sums by dimension. Entries are added up in parts of 24 bits, so that no sum of fewer than 2^39 passes a long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, dims), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0), dims)
+                total += np.stack([np.full(dims, len(x)), (x >> 48).sum(0), (x >> 24 & 0xFFFFFF).sum(0), (x & 0xFFFFFF).sum(0)])
+        yield sums_batch(total)
+
+    if not dims:
+        return 0, []
+    n, high, mid, low = summed(fit.mapInArrow(run, "s array<long>"), fit.rdd.getNumPartitions(), (4, dims)).tolist()
+    return n[0], [(h << 48) + (m << 24) + k for h, m, k in zip(high, mid, low)]
 
 
 def spread(fit: DataFrame, n: int, mean: np.ndarray) -> float:
@@ -95,14 +103,14 @@ def spread(fit: DataFrame, n: int, mean: np.ndarray) -> float:
         for batch in batches:
             if batch.num_rows:
                 total += ((_matrix(batch.column(0), dims) - mean) ** 2).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["s"])
+        yield sums_batch(total)
 
-    return float(_summed(fit.mapInArrow(run, "s array<double>"), (dims,)).sum() / n)
+    return float(summed(fit.mapInArrow(run, "s array<double>"), fit.rdd.getNumPartitions(), (dims,)).sum() / n)
 
 
 def centred_product(fit: DataFrame, n: int, mean: np.ndarray) -> Product:
     """T -> V T, for a block of as many rows as there are dimensions; the block goes out with the job."""
-    dims = len(mean)
+    dims, n_tasks = len(mean), fit.rdd.getNumPartitions()
 
     def product(block: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,21 +119,13 @@ def centred_product(fit: DataFrame, n: int, mean: np.ndarray) -> Product:
                 if batch.num_rows:
                     x = _matrix(batch.column(0), dims) - mean
                     total += x.T @ (x @ block)
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["s"])
+            yield sums_batch(total)
 
-        return _summed(fit.mapInArrow(run, "s array<double>"), block.shape) / n
+        return summed(fit.mapInArrow(run, "s array<double>"), n_tasks, block.shape) / n
 
     return product
 
 
-def _summed(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
-    """Arrays of all tasks added up by Spark; as many rows as one array has entries come back."""
-    out = np.zeros(int(np.prod(shape)))
-    for r in parts.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect():
-        out[r["i"]] = r["v"]
-    return out.reshape(shape)
-
-
 # -- Jacobi-Davidson ---------------------------------------------------------------------------------------
 
 
@@ -272,9 +272,9 @@ def identity_error(rows: DataFrame, model: Whitening) -> float:
             if batch.num_rows:
                 w = project(_matrix(batch.column(0), model.dims))
                 total, products = total + w.sum(0), products + w.T @ w
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([total, products.ravel()])], pa.list_(pa.float64()))], ["s"])
+        yield sums_batch(np.concatenate([total, products.ravel()]))
 
-    flat = _summed(rows.mapInArrow(run, "s array<double>"), (k + k * k,)) / model.n
+    flat = summed(rows.mapInArrow(run, "s array<double>"), rows.rdd.getNumPartitions(), (k + k * k,)) / model.n
     return float(np.abs(flat[k:].reshape(k, k) - np.outer(flat[:k], flat[:k]) - np.eye(k)).max())
 
 
