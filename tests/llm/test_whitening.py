@@ -1,0 +1,126 @@
+"""Whitening against a dense eigensolver on exact covariances."""
+
+from __future__ import annotations
+
+import math
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from gaugeworks.llm import entries, whitening
+from gaugeworks.llm.common import read_table
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def brute(rows, scale=256):
+    """Rows of (id, vector) that can be whitened: ids, x, and n, sums, eigenvalues and eigenvectors of the distinct x."""
+    good = [(i, [math.floor(c * scale) for c in e]) for i, e in rows if e and all(c is not None and math.isfinite(c) for c in e)]
+    distinct = [list(x) for x in {tuple(x) for _, x in good}]
+    n, sums = len(distinct), [sum(c) for c in zip(*distinct)]
+    centred = np.array([[float(Fraction(n * v - s, n)) for v, s in zip(x, sums)] for x in distinct])
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    return good, n, sums, values[::-1], vectors[:, ::-1]
+
+
+def check(found, rows, components=4):
+    good, n, sums, values, vectors = brute(rows)
+    k = min(components, int((values > 1e-12 * values.sum()).sum()))
+    assert len(found) == k * len(good)
+    by_id = {}
+    for r in found:
+        by_id.setdefault(r["id"], {}).setdefault(r["component"], []).append(r)
+    signs = {}
+    for i, x in good:
+        assert sorted(by_id[i]) == list(range(1, k + 1))
+        for c in range(k):
+            r = by_id[i][c + 1][0]
+            assert r["n"] == n and r["deviation"] == sum((n * v - s) ** 2 for v, s in zip(x, sums))
+            assert r["explained"] == pytest.approx(values[c] / values.sum(), rel=1e-12)
+            wanted = float((np.array(x) - np.array(sums) / n) @ vectors[:, c] / math.sqrt(values[c]))
+            sign = signs.setdefault(c, math.copysign(1, wanted * r["whitened"])) if abs(wanted) > 1e-6 else 1
+            assert r["whitened"] * sign == pytest.approx(wanted, abs=1e-9) or abs(wanted) <= 1e-6
+            assert r["identity_error"] <= 1e-9
+
+
+def frame(spark, rows, kind="double"):
+    return spark.createDataFrame([(i, e, "x", 1, 2.0) for i, e in rows], f"vec_id long, embedding array<{kind}>, x string, component int, n double")
+
+
+def test_against_a_dense_solver(spark):
+    rng = np.random.default_rng(3)
+    scales = np.array([9.0, 7.0, 5.0, 4.0, 3.0, *np.linspace(2, 0.1, 15)])
+    rows = [(i, (rng.standard_normal(20) * scales + 3).tolist()) for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(50)] + [(7, rows[7][1])]  # copies count once, and have rows of their own
+    out = whitening.whiten_embeddings(frame(spark, rows).repartition(7)).collect()
+    assert len([r for r in out if r["id"] == 7]) == 8
+    check(out, rows)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(3).tolist()) for i in range(30)]
+    odd = [(100, None), (101, []), (102, [1.0, None, 2.0]), (103, [1.0, nan, 2.0]), (104, [1.0, -inf, 2.0]), (105, [0.0, 0.0, 0.0])]
+    out = whitening.whiten_embeddings(frame(spark, rows + odd)).collect()
+    assert {r["id"] for r in out} == {i for i, _ in rows} | {105} and {r["component"] for r in out} == {1, 2, 3}
+    check(out, [*rows, odd[-1]])
+    other = whitening.whiten_embeddings(frame(spark, [*rows, (200, [1.0, 2.0])])).collect()  # of another length
+    check(other, rows)
+
+
+def test_few_directions(spark):
+    assert whitening.whiten_embeddings(frame(spark, [])).count() == 0
+    assert whitening.whiten_embeddings(frame(spark, [(1, None)])).count() == 0
+    assert whitening.whiten_embeddings(frame(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])).count() == 0  # one distinct vector has no spread
+    line = [(i, [float(i), 2.0 * i, 5.0]) for i in range(10)]
+    out = whitening.whiten_embeddings(frame(spark, line)).collect()
+    assert {r["component"] for r in out} == {1} and out[0]["explained"] == pytest.approx(1)
+    check(out, line)
+
+
+def test_ties_of_eigenvalues(spark):
+    """Equal eigenvalues: any basis of theirs will do, but it must be whitened."""
+    rows = [(4 * i + j, [float((j - 1.5) * 4) if k == i else 0.0 for k in range(6)]) for i in range(6) for j in range(4)]
+    out = whitening.whiten_embeddings(frame(spark, rows)).collect()
+    assert len(out) == 96 and max(r["identity_error"] for r in out) < 1e-9
+    assert all(r["explained"] == pytest.approx(1 / 6) for r in out)
+
+
+def test_deviations_beyond_a_long():
+    x = np.array([[2**40, 0], [0, 0]])
+    assert whitening.deviations(x, 2, (2**40, 0)) == [None, None]
+    assert whitening.deviations(np.array([[2**30, 3]]), 2, (2**30, 1)) == [2**60 + 25]
+
+
+def test_huge_entries(spark):
+    out = whitening.whiten_embeddings(frame(spark, [(1, [1e300, 1.0]), (2, [-1e300, 1.0]), (3, [0.0, 1.0])])).collect()
+    assert {r["component"] for r in out} == {1} and all(math.isfinite(r["whitened"]) for r in out)
+
+
+@pytest.mark.parametrize("dims", [1, 2, 6, 40, 150])
+def test_solver(dims):
+    """Close and spread eigenvalues, without Spark; the residuals are down to rounding."""
+    rng = np.random.default_rng(dims)
+    basis, _ = np.linalg.qr(rng.standard_normal((dims, dims)))
+    for values in (np.linspace(1, 2, dims), 10.0 ** -np.arange(dims).clip(max=12), np.ones(dims)):
+        v = basis @ np.diag(values) @ basis.T
+        v = (v + v.T) / 2
+        calls = []
+
+        def product(block, v=v, calls=calls):
+            calls.append(1)
+            return v @ block
+
+        found, vectors = whitening.jacobi_davidson(product, dims, float(np.trace(v)))
+        true = np.linalg.eigvalsh(v)[::-1][: len(found)]
+        assert len(found) >= min(4, dims, int((values > 1e-11 * values.sum()).sum()))
+        assert np.allclose(found, true, rtol=0, atol=1e-13 * true[0])
+        assert np.linalg.norm(v @ vectors - vectors * found, axis=0).max() <= 2e-14 * true[0]
+        assert np.abs(vectors.T @ vectors - np.eye(len(found))).max() < 1e-13
+
+
+def test_query(spark):
+    out = [r.asDict() | {"id": r["vec_id"]} for r in entries.op13_whitening(spark, SF_DIR).collect()]
+    check(out, [(r["vec_id"], r["embedding"]) for r in read_table(spark, SF_DIR, "embeddings").collect()])
