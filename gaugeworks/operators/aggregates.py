@@ -44,16 +44,17 @@ def fleet_stats(telemetry: DataFrame, count: int = 100) -> DataFrame:
     return latest_n_per_machine(telemetry, count).groupBy("machine_id").agg(_mean("temperature"), F.max("pressure").alias("max_pressure"))
 
 
-def freshness(rows: DataFrame, as_of: datetime, healthy_within_s: float = 60, batches: DataFrame | None = None) -> DataFrame:
+def freshness(rows: DataFrame, as_of: datetime, healthy_within_s: float = 60, batches: DataFrame | None = None, flush_as_of: datetime | None = None) -> DataFrame:
     """last_ts, age_s (to `as_of`), last_flush, flush_age_s, healthy: the newest row, and the newest batch's `flushed_at`.
 
-    Healthy if both are younger than the limit; without `batches` only the rows count, and the flush is null. An empty
+    Healthy if both are younger than the limit; without `batches` only the rows count, and the flush is null. Rows may
+    tell of another time than the batches' clock: `flush_as_of`, if given, is what flushes are held against. An empty
     table has a null age and isn't healthy.
     """
-    now = F.lit(as_of).cast("timestamp_ntz")
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
     flush = F.max(F.col("flushed_at").cast("timestamp_ntz")) if batches is not None else F.lit(None).cast("timestamp_ntz")
     flushed = (batches if batches is not None else rows.sparkSession.range(1)).agg(flush.alias("last_flush"))
-    age, flush_age = seconds_between(F.col("last_ts"), now), seconds_between(F.col("last_flush"), now)
+    age, flush_age = seconds_between(F.col("last_ts"), at(as_of)), seconds_between(F.col("last_flush"), at(flush_as_of or as_of))
     young = (age < healthy_within_s) if batches is None else (age < healthy_within_s) & (flush_age < healthy_within_s)
     both = rows.agg(F.max("ts").alias("last_ts")).crossJoin(flushed)  # a row each
     return both.select("last_ts", age.alias("age_s"), "last_flush", flush_age.alias("flush_age_s"), F.coalesce(young, F.lit(False)).alias("healthy"))

@@ -13,9 +13,13 @@ _NEWEST = ("ts", "id")
 _NEWEST_READING = ("ts", "sensor_type", "id")
 
 
+#: The most rows that a lookup may ask for; what is kept of each machine.
+MOST = 100
+
+
 def check_count(count: int) -> int:
-    if not 1 <= count <= 100:
-        raise ValueError("count must be between 1 and 100")
+    if not 1 <= count <= MOST:
+        raise ValueError(f"count must be between 1 and {MOST}")
     return count
 
 
@@ -47,6 +51,11 @@ def latest_n_per_machine(telemetry: DataFrame, count: int = 10) -> DataFrame:
     return _newest_of_each(telemetry, ["machine_id"], _NEWEST, check_count(count))
 
 
+def newest_readings(readings: DataFrame, count: int = 10) -> DataFrame:
+    """The `count` newest readings of every machine and sensor type, all columns."""
+    return _newest_of_each(readings, ["machine_id", F.lower("sensor_type")], _NEWEST_READING, check_count(count))
+
+
 def latest_n_per_sensor(readings: DataFrame, count: int = 10) -> DataFrame:
     """latest_readings for every machine and sensor type in one job."""
-    return public_reading(_newest_of_each(readings, ["machine_id", F.lower("sensor_type")], _NEWEST_READING, check_count(count)))
+    return public_reading(newest_readings(readings, count))

@@ -30,18 +30,18 @@ def reconcile(batches: DataFrame, telemetry: DataFrame, readings: DataFrame) ->
 
 
 def dual_writes(manifest: DataFrame, telemetry: DataFrame, readings: DataFrame) -> DataFrame:
-    """One row: n_written, n_readings, stored_telemetry, stored_readings, n_torn: batches whose rows in either table
-    aren't as many as their manifest says. All three have batch_id; a batch that the manifest lacks is torn too."""
-    in_table = lambda rows, name: rows.groupBy("batch_id").agg(F.count("*").alias(name))
-    said = manifest.select("batch_id", "n_written", "n_readings")
-    both = said.join(in_table(telemetry, "stored_telemetry"), "batch_id", "full").join(in_table(readings, "stored_readings"), "batch_id", "full").na.fill(0)
+    """One row: n_written, n_readings, stored_telemetry, stored_readings, n_torn: transactions whose rows in either table
+    aren't as many as their manifest says. All three have txn; one that the manifest lacks is torn too."""
+    in_table = lambda rows, name: rows.groupBy("txn").agg(F.count("*").alias(name))
+    said = manifest.select("txn", "n_written", "n_readings")
+    both = said.join(in_table(telemetry, "stored_telemetry"), "txn", "full").join(in_table(readings, "stored_readings"), "txn", "full").na.fill(0)
     torn = (F.col("n_written") != F.col("stored_telemetry")) | (F.col("n_readings") != F.col("stored_readings")) | (len(SENSORS) * F.col("n_written") != F.col("n_readings"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
     return both.agg(*[total(c) for c in ("n_written", "n_readings", "stored_telemetry", "stored_readings")], F.count_if(torn).alias("n_torn"))
 
 
 def accounted(batches: DataFrame, n_source: int) -> DataFrame:
-    """One row: n_written, n_failed (distinct rejects), n_missing (messages of the source that no batch consumed),
+    """One row: n_written, n_failed (messages rejected), n_missing (messages of the source that no batch consumed),
     n_unaccounted (consumed, but neither written nor failed nor left out as a repeat), and whether both are 0.
 
     Each count is taken where it arises: before deduplication, by it, and from the rows written.
@@ -59,6 +59,22 @@ def rate_per_second(rows: DataFrame, width: str, width_s: int) -> DataFrame:
     return counted.select(F.col("window.start").alias("window_start"), "n", (F.col("n") / width_s).alias("per_second"))
 
 
+def rate_series(rows: DataFrame, counts: list[str], width_s: int, time_col: str = "ts") -> DataFrame:
+    """window_start, then of each counter its sum and its rate (`<counter>_per_s`), by window; idle windows have 0.
+
+    The windows from the first row's to the last row's are generated where they are used, so none is sent anywhere;
+    what was counted is joined to them. A null time counts nowhere; an empty table has no windows.
+    """
+    second = F.floor(F.unix_micros(F.col(time_col).cast("timestamp")) / F.lit(1_000_000 * width_s)).cast("long")
+    counted = rows.where(F.col(time_col).isNotNull()).groupBy(second.alias("w")).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counts])
+    ends = counted.agg(F.min("w").alias("a"), F.max("w").alias("b")).first()
+    first, stop = (0, 0) if ends["a"] is None else (ends["a"], ends["b"] + 1)
+    grid = rows.sparkSession.range(first, stop).withColumnRenamed("id", "w")
+    filled = grid.join(counted, "w", "left").na.fill(0, counts)
+    start = F.timestamp_micros(F.col("w") * F.lit(1_000_000 * width_s)).cast("timestamp_ntz").alias("window_start")
+    return filled.select(start, *[c for n in counts for c in (F.col(n), (F.col(n) / width_s).alias(f"{n}_per_s"))])
+
+
 def is_server_error(code: Column) -> Column:
     return code.rlike("^5..$")
 

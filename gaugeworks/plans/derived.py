@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.session import exists, scratch
+from gaugeworks.session import exists, listing, scratch
 from gaugeworks.sources import messages, tables
-from gaugeworks.streaming import ingest
+from gaugeworks.streaming import compaction, ingest, store
 
-#: Tables that are stored already, by application, kind and source folder.
-_ready: dict[tuple[str, str, str], ingest.Tables] = {}
+#: Tables that are stored already, by application, kind and the source's files.
+_ready: dict[tuple, store.Tables] = {}
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,33 +21,42 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.requests_of_events(tables.events(spark, sf_dir))
 
 
-def _once(spark: SparkSession, kind: str, sf_dir: str, make) -> ingest.Tables:  # noqa: ANN001
-    """Made by the first query that asks, and read by those after it."""
-    key = (spark.sparkContext.applicationId, kind, sf_dir)
+def _once(spark: SparkSession, kind: str, sf_dir: str, make) -> store.Tables:  # noqa: ANN001
+    """Made by the first query that asks, and read by those after it while the source's files stay as they are."""
+    key = (spark.sparkContext.applicationId, kind, listing(spark, f"{sf_dir}/events.parquet"))
     found = _ready.get(key)
     if found is None or not exists(spark, found.manifest):  # never made, or deleted since
         found = _ready[key] = make(spark, sf_dir)
     return found
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> ingest.Tables:
-    found = ingest.Tables(scratch(spark, "telemetry"))
-    ingest.commit_batch(snapshots(spark, sf_dir).withColumns({"reason": F.lit(None).cast("string"), "raw": F.lit(None).cast("string")}), 0, found)
-    ingest.compact(spark, found, files=8)
+def _stored(spark: SparkSession, sf_dir: str) -> store.Tables:
+    found = store.Tables(scratch(spark, "telemetry"))
+    ingest.commit_all(snapshots(spark, sf_dir).withColumns({"reason": F.lit(None).cast("string"), "raw": F.lit(None).cast("string")}), store.Transaction("load", 0), found)
+    compaction.compact(spark, found)
     return found
 
 
-def stored_tables(spark: SparkSession, sf_dir: str) -> ingest.Tables:
-    """Both tables as they are stored and compacted."""
-    return _once(spark, "stored", sf_dir, _stored)
+def stored_tables(spark: SparkSession, sf_dir: str) -> store.Snapshot:
+    """All tables as they are stored and compacted."""
+    return store.snapshot(spark, _once(spark, "stored", sf_dir, _stored))
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.scan_telemetry(spark, f"{stored_tables(spark, sf_dir).telemetry}/batch_id=-1")
+    return stored_tables(spark, sf_dir).telemetry().drop("txn")
 
 
 def sensor_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.scan_readings(spark, f"{stored_tables(spark, sf_dir).readings}/batch_id=-1")
+    return stored_tables(spark, sf_dir).readings().drop("txn")
+
+
+def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lookups of the newest rows read in place of all telemetry."""
+    return stored_tables(spark, sf_dir).newest().drop("txn")
+
+
+def newest_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_tables(spark, sf_dir).newest_readings().drop("txn")
 
 
 def damaged_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,45 +77,89 @@ def damaged_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(n.alias("n"), broken.alias("value"))
 
 
-def ingest_now(spark: SparkSession, sf_dir: str) -> ingest.Tables:
-    """The damaged messages, and every tenth one again, through the stream into fresh tables; readings are published to two sinks."""
-    root = scratch(spark, "ingest")
+def _land(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """The damaged messages, and every tenth one again, as files of one message a line."""
     rows = damaged_messages(spark, sf_dir)
     rows.unionByName(rows.where("n % 10 = 0")).select("value").repartition(4).write.text(f"{root}/messages")
-    found = ingest.Tables(f"{root}/tables")
+
+
+def ingest_now(spark: SparkSession, sf_dir: str) -> store.Tables:
+    """Those messages through the stream into fresh tables; readings are published to two sinks."""
+    root = scratch(spark, "ingest")
+    _land(spark, sf_dir, root)
+    found = store.Tables(f"{root}/tables")
+    commit = ingest.publishing(ingest.commit_batch, ingest.text_sink(f"{root}/published/a"), ingest.text_sink(f"{root}/published/b"))
+    _drain(spark, f"{root}/messages", found, f"{root}/checkpoint", commit)
+    return found
+
+
+def _drain(spark: SparkSession, messages_path: str, found: store.Tables, checkpoint: str, commit: ingest.Commit = ingest.commit_batch, horizon: str = "10 minutes") -> None:
+    """Read what is there, two files a batch, with a listener that writes ingest_batches."""
     listener = ingest.BatchMetrics(spark, found)
     spark.streams.addListener(listener)
     try:
-        commit = ingest.publishing(ingest.commit_batch, ingest.text_sink(f"{root}/published/a"), ingest.text_sink(f"{root}/published/b"))
-        query = ingest.start_ingest(ingest.file_source(spark, f"{root}/messages", max_files=2), found, f"{root}/checkpoint", processing_time=None, commit=commit)
+        query = ingest.start_ingest(ingest.file_source(spark, messages_path, max_files=2), found, checkpoint, processing_time=None, redelivery_horizon=horizon, commit=commit)
         query.awaitTermination()
         listener.wait(query)
     finally:
         spark.streams.removeListener(listener)
-    return found
 
 
-def ingested(spark: SparkSession, sf_dir: str) -> ingest.Tables:
+def ingested(spark: SparkSession, sf_dir: str) -> store.Tables:
     """What ingest_now() leaves."""
     return _once(spark, "ingested", sf_dir, ingest_now)
 
 
-def _compacted(spark: SparkSession, sf_dir: str) -> ingest.Tables:
-    """A second ingest, compacted in two steps: its first batch, then the others."""
-    found = ingest_now(spark, sf_dir)
-    ingest.compact(spark, found, files=4, upto=0)
-    ingest.compact(spark, found, files=4)
-    ingest.vacuum(spark, found)
+def _restarted(spark: SparkSession, sf_dir: str) -> store.Tables:
+    """One stream after another on the same tables, each with a checkpoint of its own, with compactions between.
+
+    Messages of the first third come in with the first, of the second third with the second; the third reads all, so
+    that most are redelivered long after, to a stream that never saw them.
+    """
+    root = scratch(spark, "restarts")
+    rows, found = damaged_messages(spark, sf_dir), store.Tables(f"{root}/tables")
+    for i, part in enumerate(("n % 3 = 0", "n % 3 = 1", "true")):
+        rows.where(part).select("value").repartition(2).write.text(f"{root}/messages/{i}")
+        _drain(spark, f"{root}/messages/{i}", found, f"{root}/checkpoint-{i}")
+        if i < 2:
+            compaction.compact(spark, found)
+            if i == 1:
+                store.vacuum(spark, found)
     return found
 
 
-def compacted(spark: SparkSession, sf_dir: str) -> ingest.Tables:
-    return _once(spark, "compacted", sf_dir, _compacted)
+def restarted(spark: SparkSession, sf_dir: str) -> store.Tables:
+    return _once(spark, "restarted", sf_dir, _restarted)
+
+
+def _repaired(spark: SparkSession, sf_dir: str) -> store.Tables:
+    """An ingest whose dead letters were tried again, twice, with null temperatures and machines put right."""
+    root = scratch(spark, "repairs")
+    _land(spark, sf_dir, root)
+    found = store.Tables(f"{root}/tables")
+    _drain(spark, f"{root}/messages", found, f"{root}/checkpoint")
+
+    def repair(rejects: DataFrame) -> DataFrame:
+        right = F.regexp_replace(F.regexp_replace("raw", '"Temperature":null', '"Temperature":0'), '"MachineId":null', '"MachineId":"EQP-000"')
+        return rejects.where("reason IN ('null_number', 'null_required')").withColumn("value", right)
+
+    for _ in range(2):
+        ingest.replay_rejects(spark, found, repair)
+    return found
+
 
+def repaired(spark: SparkSession, sf_dir: str) -> store.Tables:
+    return _once(spark, "repaired", sf_dir, _repaired)
 
-def day_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A day's messages as one ingest batch, for counters whose times are fixed."""
-    day = F.date_trunc("day", F.col("received"))
-    rows = snapshots(spark, sf_dir).select(F.col("ts").alias("received"), (F.col("id").cast("long") % 97 == 0).cast("int").alias("bad"))
-    good = F.count("*") - F.sum("bad")
-    return rows.groupBy(day.alias("flushed_at")).agg(F.count("*").alias("n_consumed"), good.alias("n_written"), (2 * good).alias("n_readings"), F.sum("bad").alias("n_failed"))
+
+def _compacted(spark: SparkSession, sf_dir: str) -> store.Tables:
+    """A second ingest, compacted in two steps: its first batch, then the others; into several files each."""
+    found = ingest_now(spark, sf_dir)
+    compaction.compact(spark, found, most=1, file_bytes=64 << 10)
+    compaction.compact(spark, found, file_bytes=64 << 10)
+    store.vacuum(spark, found)
+    return found
+
+
+def compacted(spark: SparkSession, sf_dir: str) -> store.Tables:
+    return _once(spark, "compacted", sf_dir, _compacted)

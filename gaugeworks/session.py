@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders made by scratch(), by application; drop_written() deletes them.
 _made: dict[str, list[str]] = {}
@@ -73,7 +74,29 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
+
+
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows, which costs no job."""
+    columns = [c.strip().split(" ", 1) for c in schema.split(",")]
+    return spark.range(1).where("false").select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns])
+
+
+def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, size and time of change of each file in a folder, and in the folders in it: what changes if a table there does."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a folder's files."""
+    return sum(size for _, size, _ in listing(spark, path))
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", conf: dict[str, str] | None = None) -> SparkSession:

@@ -69,8 +69,8 @@ def accepted(decoded: DataFrame) -> DataFrame:
     return decoded.where("reason IS NULL").drop("reason", "raw")
 
 
-def rejected(decoded: DataFrame) -> DataFrame:
-    return decoded.where("reason IS NOT NULL").select("raw", "reason")
+def rejected(decoded: DataFrame, *keep: str) -> DataFrame:
+    return decoded.where("reason IS NOT NULL").select("raw", "reason", *keep)
 
 
 def to_messages(telemetry: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

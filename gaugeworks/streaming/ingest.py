@@ -1,43 +1,28 @@
 """Messages to committed tables, effectively once.
 
-decode -> stamp with the time of ingest -> drop redelivered ids within a horizon -> foreachBatch: overwrite the
-batch's own folder in each table, then write its manifest row. Readers see only batches in the manifest, so both
-shapes of a batch appear together or not at all; after a crash the same offsets come again as the same batch and
-overwrite what was left. Source offsets are committed after that.
-
-compact() rewrites closed batches in the same folders as one batch of fewer files, laid out for lookups; its manifest
-row names the batches that it replaces, so readers change from these to that at once.
+decode -> stamp with the time of ingest -> drop ids redelivered within a horizon -> foreachBatch: leave out ids that are
+stored already, write the batch's own folders as one transaction (see store.py), named by the stream's checkpoint and
+the batch. After a crash the same offsets come again as the same transaction. Source offsets are committed after that.
 """
 
 from __future__ import annotations
 
 import threading
 import time
+from collections import deque
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from gaugeworks.operators.readings import first_by_id, to_reading_messages, to_readings
-from gaugeworks.schemas import INGEST_BATCHES, MANIFEST, REJECTS, SENSOR_READINGS, SENSORS, TELEMETRY
-from gaugeworks.session import delete, stored
+from gaugeworks.operators.readings import to_reading_messages
+from gaugeworks.schemas import INGEST_BATCHES, SENSOR_READINGS
+from gaugeworks.session import stored
 from gaugeworks.sources.messages import accepted, decode_messages, rejected
+from gaugeworks.streaming.store import LAYER, Snapshot, Tables, Transaction, snapshot, unseen, with_retries, write_manifest, write_shapes
 
-
-@dataclass(frozen=True)
-class Tables:
-    """Folders of the tables under one root, on storage that all executors share."""
-
-    root: str
-
-    telemetry = property(lambda self: f"{self.root}/telemetry")
-    readings = property(lambda self: f"{self.root}/sensor_readings")
-    rejects = property(lambda self: f"{self.root}/rejects")
-    manifest = property(lambda self: f"{self.root}/manifest")
-    manifest_log = property(lambda self: f"{self.root}/manifest_log")
-    batches = property(lambda self: f"{self.root}/ingest_batches")
+Commit = Callable[[DataFrame, Transaction, Tables], None]
 
 
 # -- sources -----------------------------------------------------------------------------------------------
@@ -59,162 +44,191 @@ def kafka_source(spark: SparkSession, servers: str, topic: str, max_offsets: int
 # -- commits -----------------------------------------------------------------------------------------------
 
 
-def with_retries(action: Callable[[], None], attempts: int = 3, first_wait_s: float = 2.0) -> None:
-    """Run it again after 2 and 4 s. The last failure is raised: the query stops, and nothing is dropped."""
-    for attempt in range(1, attempts + 1):
-        try:
-            action()
-        except Exception:  # whatever the storage raises
-            if attempt == attempts:
-                raise
-            time.sleep(first_wait_s * attempt)
-        else:
-            return
+def commit_batch(decoded: DataFrame, txn: Transaction, tables: Tables, unseen_only: bool = True, replayed: tuple[str, ...] = ()) -> bool:
+    """Write one batch's accepted rows in all shapes and its rejects; the manifest comes last. Whether it was written.
 
-
-def _write_manifest(counts: DataFrame, batch_id: int, tables: Tables, replaces: list[int]) -> None:
-    """The one small file that makes a batch visible, and those that it replaces invisible."""
-    row = counts.withColumn("replaces", F.array(*[F.lit(i) for i in replaces]).cast("array<bigint>"))
-    with_retries(lambda: row.coalesce(1).write.mode("overwrite").parquet(f"{tables.manifest}/batch_id={batch_id}"))
-
-
-def commit_batch(decoded: DataFrame, batch_id: int, tables: Tables, unseen_only: bool = False) -> None:
-    """Write one batch's accepted rows in both shapes and its rejects; the manifest comes last.
-
-    With `unseen_only`, rows whose id is stored already are left out, however long ago it came; that reads all stored
-    ids for each batch. Without it, such rows stay until compact().
+    A transaction that the manifest has is not written again. Rows whose id is stored already are left out, however
+    long ago it came and through whichever stream, unless `unseen_only` is false. Rejects of equal content are one row
+    with their number; `replayed` names the transactions whose rejects these rows were.
     """
+    spark = decoded.sparkSession
+    now = snapshot(spark, tables)
+    if now.has(txn):
+        return False
     decoded = decoded.persist()
+    held = decoded
     try:
-        good, bad = accepted(decoded).drop("ingest_ts"), rejected(decoded)
+        good = accepted(decoded).drop("ingest_ts")
         n_good = good.count()
         if unseen_only:
-            others = committed_telemetry(decoded.sparkSession, tables).where(F.col("batch_id") != batch_id)  # not what a lost attempt of this batch left
-            good = good.join(others.select("id"), "id", "left_anti").select(good.columns)
-        for rows, path in ((good, tables.telemetry), (to_readings(good), tables.readings), (bad, tables.rejects)):
-            with_retries(lambda rows=rows, path=path: rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
-        here = decoded.sparkSession.read.schema(TELEMETRY).parquet(f"{tables.telemetry}/batch_id={batch_id}").agg(F.count("*").alias("n_written"))
-        counts = here.crossJoin(bad.agg(F.count("*").alias("n_failed")))  # a row each
-        counts = counts.select("n_written", (len(SENSORS) * F.col("n_written")).alias("n_readings"), "n_failed", (n_good - F.col("n_written")).alias("n_repeated"))
-        _write_manifest(counts, batch_id, tables, [])
+            good, held = unseen(good, now)
+        origin = F.col("origin") if "origin" in decoded.columns else F.lit(txn.key)
+        bad = rejected(decoded.withColumn("origin", origin), "origin").groupBy("raw", "reason", "origin").agg(F.count("*").alias("n")).select("raw", "reason", "n", "origin")
+        counts = write_shapes(spark, tables, txn, good.drop("origin"), bad)
+        counts["n_repeated"] = n_good - counts["n_written"]
+        write_manifest(spark, tables, txn, counts, replayed=replayed)
     finally:
         decoded.unpersist()
+        held.unpersist()
+    return True
 
 
-def commit_unseen(decoded: DataFrame, batch_id: int, tables: Tables) -> None:
-    """commit_batch without rows whose id is stored already."""
-    commit_batch(decoded, batch_id, tables, unseen_only=True)
+def commit_all(decoded: DataFrame, txn: Transaction, tables: Tables) -> bool:
+    """commit_batch without asking for stored ids: for a source that can't repeat any. compact() still finds repeats."""
+    return commit_batch(decoded, txn, tables, unseen_only=False)
 
 
-def publishing(commit: Callable[[DataFrame, int, Tables], None], *sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int, Tables], None]:
+def publishing(commit: Commit, *sinks: Callable[[DataFrame, str], None]) -> Commit:
     """A commit that then publishes the batch's readings, as JSON messages, to every sink.
 
-    Each sink gets (messages, batch_id), read from the committed batch. A batch that is replayed is published again
-    under the same number: so a sink that writes by number has each reading once.
+    Each sink gets (messages, the transaction's key), read from the committed batch. A batch that is replayed is
+    published again under the same key: so a sink that writes by key has each reading once.
     """
 
-    def both(decoded: DataFrame, batch_id: int, tables: Tables) -> None:
-        commit(decoded, batch_id, tables)
-        readings = decoded.sparkSession.read.schema(SENSOR_READINGS).parquet(f"{tables.readings}/batch_id={batch_id}")
-        fan_out(to_reading_messages(readings), batch_id, *sinks)
+    def both(decoded: DataFrame, txn: Transaction, tables: Tables) -> None:
+        commit(decoded, txn, tables)
+        readings = decoded.sparkSession.read.schema(SENSOR_READINGS).parquet(f"{tables.readings}/txn={txn.key}")
+        fan_out(to_reading_messages(readings), txn.key, *sinks)
 
     return both
 
 
-def fan_out(messages: DataFrame, batch_id: int, *sinks: Callable[[DataFrame, int], None]) -> None:
+def fan_out(messages: DataFrame, key: str, *sinks: Callable[[DataFrame, str], None]) -> None:
     """The same messages to every sink; they are computed once."""
     messages = messages.persist()
     try:
         for sink in sinks:
-            with_retries(lambda sink=sink: sink(messages, batch_id))
+            with_retries(lambda sink=sink: sink(messages, key))
     finally:
         messages.unpersist()
 
 
-def text_sink(path: str) -> Callable[[DataFrame, int], None]:
+def text_sink(path: str) -> Callable[[DataFrame, str], None]:
     """Text files of one message a line, in a folder per batch that a replay overwrites."""
-    return lambda messages, batch_id: messages.write.mode("overwrite").text(f"{path}/batch_id={batch_id}")
+    return lambda messages, key: messages.write.mode("overwrite").text(f"{path}/txn={key}")
 
 
-def kafka_sink(servers: str, topic: str) -> Callable[[DataFrame, int], None]:
+def kafka_sink(servers: str, topic: str) -> Callable[[DataFrame, str], None]:
     """A topic; it needs Spark's Kafka package. A replayed batch is sent again."""
     return lambda messages, _: messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
 
 
-def _committed(spark: SparkSession, tables: Tables, path: str, schema: str) -> DataFrame:
-    """Rows of the batches that the manifest has; batch_id is a partition column, so others aren't even read."""
-    return stored(spark, path, f"{schema}, batch_id BIGINT").join(manifest(spark, tables).select("batch_id"), "batch_id", "left_semi")
-
-
-def all_manifests(spark: SparkSession, tables: Tables) -> DataFrame:
-    """A row per batch, of the stream or a compaction, that was ever committed."""
-    return stored(spark, tables.manifest, MANIFEST).unionByName(stored(spark, tables.manifest_log, MANIFEST)).dropDuplicates(["batch_id"])
-
-
-def manifest(spark: SparkSession, tables: Tables) -> DataFrame:
-    """The batches that readers see: those that no other one replaces."""
-    rows = all_manifests(spark, tables)
-    return rows.join(rows.select(F.explode("replaces").alias("batch_id")), "batch_id", "left_anti").select("batch_id", "n_written", "n_readings", "n_failed", "n_repeated")
+# -- committed tables --------------------------------------------------------------------------------------
 
 
 def committed_telemetry(spark: SparkSession, tables: Tables) -> DataFrame:
-    return _committed(spark, tables, tables.telemetry, TELEMETRY)
+    return snapshot(spark, tables).telemetry()
 
 
 def committed_readings(spark: SparkSession, tables: Tables) -> DataFrame:
-    return _committed(spark, tables, tables.readings, SENSOR_READINGS)
+    return snapshot(spark, tables).readings()
 
 
 def committed_rejects(spark: SparkSession, tables: Tables) -> DataFrame:
-    return _committed(spark, tables, tables.rejects, REJECTS)
+    return snapshot(spark, tables).rejects()
+
+
+def manifest(spark: SparkSession, tables: Tables) -> DataFrame:
+    return snapshot(spark, tables).manifest()
 
 
-def register_views(spark: SparkSession, tables: Tables) -> None:
-    """The temporary views telemetry and sensor_readings, for SQL."""
-    committed_telemetry(spark, tables).drop("batch_id").createOrReplaceTempView("telemetry")
-    committed_readings(spark, tables).drop("batch_id").createOrReplaceTempView("sensor_readings")
+def register_views(snap: Snapshot) -> None:
+    """The temporary views telemetry and sensor_readings of a snapshot, for SQL."""
+    snap.telemetry().drop("txn").createOrReplaceTempView("telemetry")
+    snap.readings().drop("txn").createOrReplaceTempView("sensor_readings")
 
 
 # -- the query ---------------------------------------------------------------------------------------------
 
 
 def start_ingest(
-    messages: DataFrame, tables: Tables, checkpoint: str, processing_time: str | None = "2 seconds", redelivery_horizon: str = "10 minutes", commit: Callable[[DataFrame, int, Tables], None] = commit_batch
+    messages: DataFrame, tables: Tables, checkpoint: str, processing_time: str | None = "2 seconds", redelivery_horizon: str = "10 minutes", commit: Commit = commit_batch, name: str = "telemetry-ingest"
 ) -> StreamingQuery:
     """Start the stream. With `processing_time` None it drains what is there and stops.
 
     The watermark is on the time of ingest, so late snapshots are kept, however late; it bounds the state that
-    recognises redelivered ids. Rejects are told apart by their content.
+    recognises ids redelivered shortly after. Each reject stays, to be counted by content when it is committed. A
+    stream with a new checkpoint may write to the same tables: its transactions have names of their own, and what it
+    reads again is left out by id.
     """
     stamped = messages.withColumn("ingest_ts", F.current_timestamp()).withWatermark("ingest_ts", redelivery_horizon)
     decoded = decode_messages(stamped, received_at=F.col("ingest_ts")).observe("ingest", F.count("*").alias("n_consumed"), F.count("reason").alias("n_rejected"))
-    key = F.when(F.col("reason").isNull(), F.concat(F.lit("row:"), "id")).otherwise(F.concat(F.lit("reject:"), F.md5(F.coalesce("raw", F.lit("")).cast("binary"))))
+    key = F.when(F.col("reason").isNull(), F.concat(F.lit("row:"), "id")).otherwise(F.concat(F.lit("reject:"), F.uuid()))
     unique = decoded.withColumn("__key", key).dropDuplicatesWithinWatermark(["__key"]).drop("__key")
+    source: list[str] = []
+    started = threading.Event()
 
     def flush(rows: DataFrame, batch_id: int) -> None:
+        started.wait()
         rows = rows.persist()  # else the partitions that isEmpty() reads would count their drops twice
         try:
             if not rows.isEmpty():
-                commit(rows, batch_id, tables)
+                commit(rows, Transaction(source[0], batch_id), tables)
         finally:
             rows.unpersist()
 
-    writer = unique.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).queryName("telemetry-ingest")
-    return writer.trigger(availableNow=True).start() if processing_time is None else writer.trigger(processingTime=processing_time).start()
+    writer = unique.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).queryName(name)
+    query = writer.trigger(availableNow=True).start() if processing_time is None else writer.trigger(processingTime=processing_time).start()
+    source.append(str(query.id))  # kept in the checkpoint, so it is the same after a restart
+    started.set()
+    return query
+
+
+class TooManyFailures(RuntimeError):
+    """The query failed more often within the window than restarts are allowed."""
+
 
+def supervise(start: Callable[[], StreamingQuery], max_restarts: int = 10, within_s: float = 600.0, wait_s: float = 5.0, most_wait_s: float = 30.0) -> int:
+    """Run the query to its end; after a failure start it again from its checkpoint. Returns the restarts that it took.
 
-def supervise(start: Callable[[], StreamingQuery], max_restarts: int = 10, wait_s: float = 5.0, most_wait_s: float = 30.0) -> int:
-    """Run the query to its end; after a failure start it again from its checkpoint. Returns the restarts that it took."""
-    for restarts in range(max_restarts + 1):
+    Intensity, not age, decides: more than `max_restarts` failures within `within_s` seconds and the last one is
+    raised, as the cause of TooManyFailures. A query that fails now and then runs on for ever. Waits grow with the failures in
+    the window.
+    """
+    failed: deque[float] = deque()
+    restarts = 0
+    while True:
         try:
             start().awaitTermination()
-        except Exception:  # a failed query, or a source that isn't there yet
-            if restarts == max_restarts:
-                raise
-            time.sleep(min(wait_s * (restarts + 1), most_wait_s))
+        except Exception as e:  # a failed query, or a source that isn't there yet
+            now = time.monotonic()
+            failed.append(now)
+            while failed[0] < now - within_s:
+                failed.popleft()
+            if len(failed) > max_restarts:
+                raise TooManyFailures(f"{len(failed)} failures within {within_s:g} s") from e
+            restarts += 1
+            time.sleep(min(wait_s * len(failed), most_wait_s))
         else:
             return restarts
-    return max_restarts
+
+
+# -- dead letters ------------------------------------------------------------------------------------------
+
+
+def replay_rejects(spark: SparkSession, tables: Tables, repair: Callable[[DataFrame], DataFrame]) -> Transaction | None:
+    """Try again the rejects of all transactions that no replay has taken yet. The replay's name, or None if there are none.
+
+    `repair` gets the rejects (raw, reason, n, origin) and returns rows with `value`, the message to decode, and the
+    columns raw and origin as they are; rows that it leaves out aren't tried. What decodes is committed like any batch, once: ids that are
+    stored are left out, and the manifest names the transactions that were replayed. What doesn't becomes a reject of
+    the replay, with its content and first origin, and isn't tried again unless its own transaction is.
+    """
+    snap = snapshot(spark, tables)
+    taken = {k for r in snap.entries.values() for k in r["replayed"] or ()}
+    origins = [r[0] for r in snap.rejects().select("origin").distinct().collect() if r[0] not in taken]  # at most a row a transaction
+    if not origins:
+        return None
+    txn = Transaction("replay", 1 + max((r["batch_id"] for r in snap.entries.values() if r["source"] == "replay"), default=-1))
+    wanted = snap.rejects().where(F.col("origin").isin(origins)).select("raw", "reason", "n", "origin")
+    decoded = decode_messages(repair(wanted).select("value", "origin"))
+    commit_batch(decoded, txn, tables, replayed=tuple(sorted(origins)))
+    return txn
+
+
+def dead_letters(rejects: DataFrame) -> DataFrame:
+    """raw, reason, n: how often each content was rejected, over all transactions."""
+    return rejects.groupBy("raw", "reason").agg(F.sum("n").alias("n"))
 
 
 # -- metrics -----------------------------------------------------------------------------------------------
@@ -237,8 +251,9 @@ class BatchMetrics(StreamingQueryListener):
         seen = progress.observedMetrics.get("ingest")
         if progress.numInputRows and seen is not None:
             dropped = sum((s.customMetrics or {}).get("numDroppedDuplicateRows", 0) for s in progress.stateOperators)
-            row = (progress.batchId, seen["n_consumed"], seen["n_rejected"], dropped, progress.durationMs.get("triggerExecution", 0) / 1000, progress.timestamp)
-            values = [F.lit(v).alias(c) for v, c in zip(row, ("batch_id", "n_consumed", "n_rejected", "n_dropped", "duration_s", "flushed_at"), strict=True)]
+            key = Transaction(str(progress.id), progress.batchId).key
+            row = (key, seen["n_consumed"], seen["n_rejected"], dropped, progress.durationMs.get("triggerExecution", 0) / 1000, progress.timestamp)
+            values = [F.lit(v).alias(c) for v, c in zip(row, ("txn", "n_consumed", "n_rejected", "n_dropped", "duration_s", "flushed_at"), strict=True)]
             rows = self._spark.range(1).select(*values).withColumn("flushed_at", F.col("flushed_at").cast("timestamp"))
             rows.coalesce(1).write.mode("append").parquet(self._tables.batches)
 
@@ -258,71 +273,10 @@ class BatchMetrics(StreamingQueryListener):
 
 
 def ingest_batches(spark: SparkSession, tables: Tables) -> DataFrame:
-    """The manifest's counts with the listener's: batch_id, n_written, n_readings, n_failed, n_repeated, n_consumed,
-    n_rejected, n_dropped, duration_s, flushed_at; a row per batch of the stream, compacted since or not. A batch that
-    one of them lacks has nulls: all its rows may be redeliveries."""
-    timed = stored(spark, tables.batches, INGEST_BATCHES).groupBy("batch_id")
+    """The manifest's counts with the listener's: txn, n_written, n_readings, n_failed, n_repeated, n_consumed,
+    n_rejected, n_dropped, duration_s, flushed_at; a row per batch of the streams, compacted since or not. A batch that
+    one of them lacks has nulls: the stream may have had no listener, or all its rows may be redeliveries."""
+    timed = stored(spark, tables.batches, INGEST_BATCHES).groupBy("txn")
     timed = timed.agg(*[F.max(c).alias(c) for c in ("n_consumed", "n_rejected", "n_dropped")], F.max("duration_s").alias("duration_s"), F.max("flushed_at").alias("flushed_at"))
-    return all_manifests(spark, tables).where("batch_id >= 0").drop("replaces").join(timed, "batch_id", "full")
-
-
-def live_rate(telemetry: DataFrame, width: str = "1 minute", slide: str | None = None, lateness: str = "10 minutes") -> DataFrame:
-    """window_start, n by window of a stream's `ts`; a sliding window with `slide`."""
-    timed = telemetry.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    return timed.groupBy(F.window("ts", width, slide) if slide else F.window("ts", width)).agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n")
-
-
-# -- compaction --------------------------------------------------------------------------------------------
-
-
-def compact(spark: SparkSession, tables: Tables, files: int, upto: int | None = None) -> int | None:
-    """Rewrite the closed batches that no compaction has taken yet (those up to number `upto`; all if not given) as one.
-
-    Returns the number of the new batch, which is negative (-1, -2, ...), or None if there is nothing to rewrite. Only
-    batches since the last compaction are rewritten, so the work grows with what is new; of the compacted ones only
-    ids are read. Small files become `files` ranges of machine and time, sorted within, so that row-group statistics
-    prune the latest-N lookups; a machine with very many rows spans several ranges. An id that came in more than one
-    batch keeps the first one's row, and rows whose id was compacted earlier are left out.
-
-    The stream may run on meanwhile: it writes batches of its own numbers. The manifest row comes last and makes the
-    new batch visible and those it replaces invisible; vacuum() deletes their files when no reader uses them any more.
-    """
-    live = manifest(spark, tables)
-    open_ = live.where("batch_id >= 0" if upto is None else f"batch_id BETWEEN 0 AND {int(upto)}")
-    ids = sorted(r["batch_id"] for r in open_.select("batch_id").collect())  # a number per batch since the last compaction
-    if not ids:
-        return None
-    lowest = all_manifests(spark, tables).agg(F.min("batch_id")).first()[0]
-    batch_id = min(0, lowest) - 1
-    new = stored(spark, tables.telemetry, f"{TELEMETRY}, batch_id BIGINT").where(F.col("batch_id").isin(ids))
-    kept = first_by_id(new, "batch_id").join(committed_telemetry(spark, tables).where("batch_id < 0").select("id"), "id", "left_anti")
-    columns = [c for c in new.columns if c != "batch_id"]
-    laid_out = lambda rows: rows.repartitionByRange(files, "machine_id", "ts").sortWithinPartitions("machine_id", "ts")
-    laid_out(kept.select(columns)).write.mode("overwrite").parquet(f"{tables.telemetry}/batch_id={batch_id}")
-    rows = spark.read.schema(TELEMETRY).parquet(f"{tables.telemetry}/batch_id={batch_id}")
-    laid_out(to_readings(rows)).write.mode("overwrite").parquet(f"{tables.readings}/batch_id={batch_id}")
-    bad = stored(spark, tables.rejects, f"{REJECTS}, batch_id BIGINT").where(F.col("batch_id").isin(ids)).drop("batch_id")
-    bad.coalesce(files).write.mode("overwrite").parquet(f"{tables.rejects}/batch_id={batch_id}")
-    before = open_.agg(F.sum("n_written").alias("before"), F.sum("n_failed").alias("n_failed"), F.sum("n_repeated").alias("n_repeated"))
-    counts = rows.agg(F.count("*").alias("n_written")).crossJoin(before)  # a row each
-    counts = counts.select("n_written", (len(SENSORS) * F.col("n_written")).alias("n_readings"), "n_failed", (F.col("n_repeated") + F.col("before") - F.col("n_written")).alias("n_repeated"))
-    _write_manifest(counts, batch_id, tables, ids)
-    return batch_id
-
-
-def vacuum(spark: SparkSession, tables: Tables) -> int:
-    """Delete the files of batches that are replaced; their manifest rows move into one file of `manifest_log`.
-
-    So what a reader lists grows with the compactions, not with the batches. Returns how many data folders went. After
-    a crash the next call does the rest: a row that is in both places counts once.
-    """
-    replaced = all_manifests(spark, tables).select(F.explode("replaces").alias("batch_id"))
-    old = stored(spark, tables.manifest, MANIFEST).join(replaced, "batch_id", "left_semi")
-    gone = [r["batch_id"] for r in old.select("batch_id").collect()]  # a number per batch since the last call
-    if not gone:
-        return 0
-    old.coalesce(1).write.mode("append").parquet(tables.manifest_log)
-    deleted = sum(delete(spark, f"{table}/batch_id={i}") for i in gone for table in (tables.telemetry, tables.readings, tables.rejects))
-    for i in gone:
-        delete(spark, f"{tables.manifest}/batch_id={i}")
-    return deleted
+    said = snapshot(spark, tables).all_manifests().where(~F.col("source").isin(LAYER, "replay"))
+    return said.select("txn", "n_written", "n_readings", "n_failed", "n_repeated").join(timed, "txn", "full")
