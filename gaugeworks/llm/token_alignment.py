@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -25,31 +27,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import written
-from gaugeworks.llm.packing import UnitIds, units
+from gaugeworks.llm.packing import units
 
 #: Characters that are aligned at once, and those whose documents share a chunk; bounds on memory only.
-AT_ONCE, CHUNK = 1 << 20, 1 << 22
+AT_ONCE, CHUNK = 1 << 21, 1 << 22
 #: Bytes of ids, links and text of the windows that a task remembers, about; then all are forgotten.
-REMEMBERED = 64 << 20
+REMEMBERED = 112 << 20
 #: What Python needs for an entry besides.
 ENTRY = 300
 #: Links of a group from which on equal ids are counted first.
 MANY = 1 << 16
-NO_IDS = np.zeros(0, "<u4")
+
+
+#: A unit: what follows a lone space, or, in a tuple, a stretch with all its spaces.
+Unit = str | tuple[str]
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A tokeniser: `encode` gives the ids of a whole text, `tokens` the bytes of each id, space marks as spaces."""
+    """A tokeniser: `cut` parts a text into units that are tokenised each for itself, `encode` gives units' ids (of
+    their spelling, which begins with a space), `tokens` the bytes of each id, space marks as spaces."""
 
-    encode: Callable[[str], np.ndarray]
+    cut: Callable[[str], list[Unit]]
+    encode: Callable[[list[str]], list[list[int]]]
     tokens: list[bytes]
 
 
 def byte_level(ranks_path: str, pattern: str) -> Vocabulary:
     """A byte-level BPE vocabulary, given as ranks; reads a space and the text. No special tokens: their strings are plain text.
 
-    Pre-tokens begin at lone spaces and merges never cross them, so the ids of what stands between are remembered.
+    Pre-tokens begin at lone spaces and merges never cross them, so what stands between is a unit.
     """
     import tiktoken
 
@@ -59,20 +66,19 @@ def byte_level(ranks_path: str, pattern: str) -> Vocabulary:
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-    first, rest = UnitIds(ordinary, ""), UnitIds(ordinary, " ")
 
-    def encode(text: str) -> np.ndarray:
+    def cut(text: str) -> list[Unit]:
         head, *tail = units(" " + text)
-        return np.frombuffer(first[head] + b"".join(map(rest.__getitem__, tail)), dtype="<u4")
+        return [(head,), *tail] if head else tail
 
-    return Vocabulary(encode, tokens)
+    return Vocabulary(cut, lambda spelt: list(map(ordinary, spelt)), tokens)
 
 
 def pieces(model_path: str) -> Vocabulary:
     """A SentencePiece model; it puts the space before the text itself.
 
-    If no piece goes on past a space mark, merges don't either, so the ids of what stands between lone spaces are
-    remembered. Texts with other spaces, and all texts if there is such a piece, are encoded at once.
+    If no piece goes on past a space mark, merges don't either, so what stands between lone spaces is a unit. Texts
+    with other spaces, and all texts if there is such a piece, are one unit each.
     """
     import sentencepiece
 
@@ -80,28 +86,38 @@ def pieces(model_path: str) -> Vocabulary:
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     tokens = [bytes([int(name[3:5], 16)]) if model.is_byte(i) else name.replace("▁", " ").encode() for i, name in enumerate(names)]
     apart = not any("▁" in name.lstrip("▁") for name in names)
-    known = UnitIds(model.encode, "")
 
-    def encode(text: str) -> np.ndarray:
+    def cut(text: str) -> list[Unit]:
         parts = text.split(" ")
-        if apart and "▁" not in text and all(parts):
-            return np.frombuffer(b"".join(map(known.__getitem__, parts)), dtype="<u4")
-        return np.array(model.encode(text), dtype="<u4")
+        return parts if apart and "▁" not in text and all(parts) else [(" " + text,)]
 
-    return Vocabulary(encode, tokens)
+    return Vocabulary(cut, lambda spelt: model.encode([s[1:] for s in spelt], num_threads=1), tokens)
 
 
 class _Ids:
     """What is looked up by id: lengths, whether the token begins with a space, digits."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.tokens, self.encode, self.size = vocabulary.tokens, vocabulary.encode, len(vocabulary.tokens)
+        self.vocabulary, self.size = vocabulary, len(vocabulary.tokens)
         self.lengths = np.array([len(t) for t in vocabulary.tokens], dtype=np.int64)
         self.marked = np.array([t.startswith(b" ") for t in vocabulary.tokens])
         self.digits = [str(i) for i in range(self.size)]
 
-    def spells(self, ids: np.ndarray, source: bytes) -> bool:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist())) == source
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, their number in each, and whether they spell a space and the text. Empty texts have none."""
+        number: dict[Unit, int] = defaultdict(count().__next__)
+        parts = [self.vocabulary.cut(text) if text else [] for text in texts]
+        n_units = np.fromiter(map(len, parts), np.int64, len(parts))
+        unit = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, int(n_units.sum()))
+        spelt = [" " + u if isinstance(u, str) else u[0] for u in number]  # each different unit is tokenised once
+        ids = self.vocabulary.encode(spelt)
+        name = self.vocabulary.tokens.__getitem__
+        right = np.fromiter((b"".join(map(name, x)) == s.encode("utf-8", "surrogatepass") for x, s in zip(ids, spelt)), bool, len(spelt))
+        n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n_ids.sum()))
+        upto = np.concatenate([[0], np.cumsum(n_units)])
+        total = lambda values: np.diff(np.concatenate([[0], np.cumsum(values[unit])])[upto])
+        return flat[_ranges(_before(n_ids)[unit], n_ids[unit])] if len(unit) else flat, total(n_ids), total(~right) == 0
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -132,25 +148,20 @@ class Aligner:
         self._pairs, self._times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._held = 0
 
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of both; none where a text is null or empty, or where either's tokens don't spell a space and the text."""
-        out: tuple[list[np.ndarray], list[np.ndarray]] = [], []
-        for text in texts:
-            ids = (self._a.encode(text), self._b.encode(text)) if text else ()
-            source = (" " + (text or "")).encode("utf-8", "surrogatepass")
-            right = ids and all(v.spells(x, source) for v, x in zip((self._a, self._b), ids))
-            for held, x in zip(out, ids if right else (NO_IDS, NO_IDS)):
-                held.append(x)
-        return out
-
     def align(self, texts: list[str | None]) -> list[tuple]:
-        """n_a, n_b, n_groups, n_links, groups (as text), and distinct pairs (a x stride + b) with their numbers of links; a tuple per text."""
-        first, second = self.encode(texts)
-        n_a, n_b = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (first, second))
+        """n_a, n_b, n_groups, n_links, groups (as text), and distinct pairs (a x stride + b) with their numbers of links; a tuple per text.
+
+        A text that is null or empty, or that either's tokens don't spell with a space before it, has no tokens.
+        """
+        there = [t or "" for t in texts]
+        (a, n_a, right_a), (b, n_b, right_b) = self._a.encode(there), self._b.encode(there)
+        right = right_a & right_b & (n_a > 0) & (n_b > 0)
+        if not right.all():
+            a, b = a[np.repeat(right, n_a)], b[np.repeat(right, n_b)]
+            n_a, n_b = np.where(right, n_a, 0), np.where(right, n_b, 0)
         nothing = np.zeros(0, np.int64)
-        if not n_a.sum():
+        if not len(a):
             return [(0, 0, 0, 0, "", nothing, nothing)] * len(texts)
-        a, b = (np.concatenate(ids).astype(np.int64) for ids in (first, second))
         # documents one after another: both spell the same bytes, so a document's end is shared
         ends_a, ends_b = np.cumsum(self._a.lengths[a]), np.cumsum(self._b.lengths[b])
         seen = np.zeros(int(ends_a[-1]) + 1, np.uint8)
