@@ -192,7 +192,7 @@ def write_shapes(spark: SparkSession, tables: Tables, txn: Transaction, telemetr
         lambda: to(bad, tables.rejects),
         lambda: to(latest_n_per_machine(rows, MOST), tables.newest),
         lambda: to(newest_readings(to_readings(rows), MOST), tables.newest_readings),
-        lambda: uniqueness.write_ids(rows, f"{tables.layer_ids if layer else tables.ids}/txn={txn.key}", layer),
+        lambda: uniqueness.write_ids(rows, f"{tables.layer_ids if layer else tables.ids}/txn={txn.key}", layer, n),
         lambda: to(uniqueness.filter_of(rows, blocks), tables.id_filters),
     ])
     failed = spark.read.schema(REJECTS).parquet(f"{tables.rejects}/txn={txn.key}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

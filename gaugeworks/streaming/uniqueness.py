@@ -2,8 +2,8 @@
 
 A filter is a table of blocks of 2^15 bits. An id's hash picks a block and four bits in it, so that looking an id up
 needs one block. The number of blocks is a power of two that fits the number of ids; an id that no filter knows is new
-for certain. Those that a filter may know are looked up among the stored ids, which a compaction's layer keeps in
-PARTS folders by hash: only folders of such ids are read.
+for certain. Those that a filter may know are looked up among the stored ids, which a large layer keeps in PARTS
+folders by hash: only folders of such ids are read.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a block, as bitmap_construct_agg has them; how many an id sets; ids a block is meant for (about 10 bits each).
 BLOCK_BITS, SET_BITS, IDS_PER_BLOCK = 1 << 15, 4, 3200
-#: Folders of a layer's ids.
-PARTS = 64
+#: Folders of a layer's ids; up to so many ids are in one, of the name WHOLE.
+PARTS, SMALL, WHOLE = 64, 100_000, -1
 
 
 def n_blocks(n_ids: int) -> int:
@@ -45,12 +45,14 @@ def filter_of(rows: DataFrame, blocks: int) -> DataFrame:
     return placed.groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits")).select(F.lit(blocks).cast("long").alias("n_blocks"), "block", "bits")
 
 
-def write_ids(rows: DataFrame, path: str, layer: bool) -> None:
-    """The ids with their hashes; a layer's in folders."""
+def write_ids(rows: DataFrame, path: str, layer: bool, n_ids: int) -> None:
+    """The ids with their hashes; a large layer's in folders."""
     ids = hashed(rows)
-    if layer:
+    if layer and n_ids > SMALL:
         part = F.pmod("h", F.lit(PARTS)).cast("int")
         ids.withColumn("part", part).repartition(PARTS, "part").sortWithinPartitions("part", "h").write.mode("overwrite").partitionBy("part").parquet(path)
+    elif layer:
+        ids.withColumn("part", F.lit(WHOLE)).coalesce(1).write.mode("overwrite").partitionBy("part").parquet(path)
     else:
         ids.write.mode("overwrite").parquet(path)
 
@@ -79,6 +81,6 @@ def unseen(rows: DataFrame, filters: DataFrame, sizes: list[int], ids: DataFrame
     parts = [r[0] for r in maybe.select(F.pmod("h", F.lit(PARTS)).cast("int").alias("part")).distinct().collect()]
     if not parts:
         return rows, maybe
-    stored = ids.select("id", "h").unionByName(layer_ids.where(F.col("part").isin(parts)).select("id", "h"))
+    stored = ids.select("id", "h").unionByName(layer_ids.where(F.col("part").isin([WHOLE, *parts])).select("id", "h"))
     known = maybe.join(stored, ["id", "h"], "left_semi").select("id")
     return rows.join(known, "id", "left_anti").select(rows.columns), maybe

@@ -108,6 +108,8 @@ def test_freshness(spark, telemetry):
     assert tuple(aggregates.freshness(telemetry, now, 61, flushes).first())[1:] == (60.0, START + timedelta(minutes=3), 120.0, False)
     assert aggregates.freshness(telemetry, now, 121, flushes).first()["healthy"]
     assert not aggregates.freshness(telemetry, now, 121, flushes.limit(0)).first()["healthy"]
+    later = START + timedelta(minutes=4)
+    assert aggregates.freshness(telemetry, now, 61, flushes, later).first()["flush_age_s"] == 60.0
 
 
 @pytest.fixture(scope="module")
@@ -163,26 +165,58 @@ def test_lookups_prune_the_stored_tables(spark, tmp_path):
     """The compacted layout: the predicate reaches the scan, and row groups of other machines aren't read."""
     import pyarrow.parquet as pq
 
-    from gaugeworks.streaming import ingest
+    from gaugeworks.streaming import compaction, ingest, store
 
     rows = [(f"{m}-{i}", f"EQP-{m:03d}", 1.0, 1.0, "Running", START + timedelta(minutes=i), None, None) for i in range(50) for m in range(1, 41)]
-    found = ingest.Tables(str(tmp_path))
-    ingest.commit_batch(spark.createDataFrame(rows, f"{schemas.TELEMETRY}, reason string, raw string").repartition(6), 0, found)
-    ingest.compact(spark, found, files=4)
-    groups = [pq.ParquetFile(p).metadata.row_group(0).column(1).statistics for p in (tmp_path / "telemetry" / "batch_id=-1").glob("*.parquet")]
-    assert len(groups) == 4 and sum(g.min <= "EQP-007" <= g.max for g in groups) <= 2
-    stored = tables.scan_telemetry(spark, f"{found.telemetry}/batch_id=-1")
-    lookup = latest.latest_by_machine(stored, "EQP-007", 3)
-    assert ids(lookup) == ["7-49", "7-48", "7-47"]
-    plan = lookup._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(machine_id,EQP-007)" in plan and "TakeOrderedAndProject" in plan
-    narrow = tables.scan_readings(spark, f"{found.readings}/batch_id=-1")
-    assert "EqualTo(machine_id,EQP-007)" in latest.latest_readings(narrow, "EQP-007", "pressure", 3)._jdf.queryExecution().executedPlan().toString()
-    ingest.register_views(spark, found)
+    found = store.Tables(str(tmp_path))
+    ingest.commit_batch(spark.createDataFrame(rows, f"{schemas.TELEMETRY}, reason string, raw string").repartition(6), store.Transaction("load", 0), found)
+    layer = compaction.compact(spark, found, file_bytes=4_000)
+    groups = [pq.ParquetFile(p).metadata.row_group(0).column(1).statistics for p in (tmp_path / "telemetry" / f"txn={layer}").glob("*.parquet")]
+    assert len(groups) >= 4 and sum(g.min <= "EQP-007" <= g.max for g in groups) <= 0.6 * len(groups)
+    snap = store.snapshot(spark, found)
+    for stored, narrow in ((snap.telemetry(), snap.readings()), (snap.newest(), snap.newest_readings())):
+        lookup = latest.latest_by_machine(stored, "EQP-007", 3)
+        assert ids(lookup) == ["7-49", "7-48", "7-47"]
+        plan = lookup._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(machine_id,EQP-007)" in plan and "TakeOrderedAndProject" in plan and "Join" not in plan
+        assert "EqualTo(machine_id,EQP-007)" in latest.latest_readings(narrow, "EQP-007", "pressure", 3)._jdf.queryExecution().executedPlan().toString()
+    ingest.register_views(snap)
     assert spark.sql("SELECT COUNT(*) FROM telemetry WHERE machine_id = 'EQP-007'").first()[0] == 50
     assert spark.sql("SELECT COUNT(*) FROM sensor_readings").first()[0] == 4000
 
 
+def test_sketches(spark):
+    """The rank error as stated, for narrow windows merged to wide ones; exact where there are few values."""
+    from gaugeworks.operators import sketches
+
+    rows = spark.range(60_000).select((F.lit(START) + F.make_dt_interval(secs=F.col("id") % 7200)).cast("timestamp_ntz").alias("ts"), (F.pmod(F.xxhash64("id"), F.lit(10_007)) ** 2).cast("double").alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(START, None)], "ts timestamp_ntz, v double")).repartition(7)
+    minutes = sketches.sketched(rows, "v")
+    assert minutes.count() == 120
+    values = {h: sorted(r["v"] for r in rows.where(F.hour("ts") == h).collect() if r["v"] is not None) for h in (0, 1)}
+    hours = sketches.widened(minutes, "1 hour").select("window_start", "n", *[sketches.quantile(q).alias(f"q{i}") for i, q in enumerate((0.05, 0.5, 0.95))]).collect()
+    assert {r["window_start"].hour: r["n"] for r in hours} == {h: len(v) for h, v in values.items()}
+    for r in hours:
+        of = values[r["window_start"].hour]
+        for i, q in enumerate((0.05, 0.5, 0.95)):
+            rank = sum(v <= r[f"q{i}"] for v in of) / len(of)
+            assert abs(rank - q) <= sketches.RANK_ERROR + 1e-3
+    both = sketches.widened(minutes).select("n", sketches.quantile(0.5).alias("m"), sketches.rank(F.lit(0.0)).alias("r")).first()
+    assert both["n"] == 60_000 and both["r"] < 0.02
+    few = sketches.sketched(spark.createDataFrame([(START, float(v)) for v in range(1, 101)], "ts timestamp_ntz, v double"), "v")
+    assert few.select(sketches.quantile(0.5).alias("m")).first()["m"] == 50.0
+    assert sketches.widened(sketches.sketched(rows.limit(0), "v")).count() == 0
+
+
+def test_rate_series(spark):
+    """Idle windows are there, with 0; sums are of the counters, nulls count as 0."""
+    at = lambda s: START + timedelta(seconds=s)
+    rows = spark.createDataFrame([(at(5), 10, 1), (at(59), 2, None), (at(241), 7, 0), (None, 99, 99)], "ts timestamp_ntz, n_consumed long, n_failed long")
+    out = metrics.rate_series(rows, ["n_consumed", "n_failed"], 60).orderBy("window_start").collect()
+    assert [tuple(r) for r in out] == [(at(60 * i), n, n / 60, k, k / 60) for i, (n, k) in enumerate([(12, 1), (0, 0), (0, 0), (0, 0), (7, 0)])]
+    assert metrics.rate_series(rows.limit(0), ["n_consumed"], 60).count() == 0
+
+
 def test_shared_folder(spark, monkeypatch):
     from gaugeworks import session
 
