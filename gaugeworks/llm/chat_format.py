@@ -44,10 +44,25 @@ def _ranked(base: DataFrame) -> DataFrame:
     return written(ranked.select("conv_id", "turn", "role", "body", (F.col("offset") + F.col("place")).alias("rank")), "chat-ranked")
 
 
+def _placed(rows: DataFrame, speakers: DataFrame, saved: Column) -> DataFrame:
+    """c, participant, p, opening, text_start: each participant's parts, and the characters of their rendering before each.
+
+    These are sums of lengths; no text goes along. A conversation's parts are in one task, as a few numbers each.
+    """
+    sizes = rows.groupBy("conv_id", F.col("part").alias("p")).agg(F.sum("size").alias("total"))
+    own = rows.groupBy(F.col("conv_id").alias("o"), F.col("role").alias("r"), F.col("part").alias("q")).agg(F.count("*").alias("own"))
+    grid = sizes.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("conv_id")
+    grid = grid.join(own, F.col("c").eqNullSafe(F.col("o")) & (F.col("participant") == F.col("r")) & (F.col("p") == F.col("q")), "left")
+    rendered = F.col("total") - F.coalesce("own", F.lit(0)) * saved
+    before = F.sum(rendered).over(Window.partitionBy("c", "participant").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    return grid.select("c", "participant", "p", "opening", F.coalesce(before, F.lit(0)).cast("long").alias("text_start"))
+
+
 def rotate_perspectives(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", context_roles: tuple[str, ...] = ("system",), turns_per_row: int | None = None
 ) -> DataFrame:
-    """conv_id, participant, part, first_turn, n_turns, text, masks, n_masked: a row per conversation and participant.
+    """conv_id, participant, part, first_turn, n_turns, text, masks, n_masked, text_start, opening_chars: a row per
+    conversation, participant and part.
 
     Turns stand in order of turn, then role, then text (nulls first; texts that agree in their first ORDERED_CHARS
     characters by a hash); repeated rows stay. Each distinct role is a participant but for `context_roles`, which are
@@ -57,7 +72,9 @@ def rotate_perspectives(
     A row holds a whole dialogue, so its size is that of the longest one. Where a conversation may be too long for
     a row, `turns_per_row` cuts each dialogue into parts of so many turns by their rank; `first_turn` is the rank of
     the first one. Each later part begins with the conversation's first context turn once more (not counted in
-    n_turns), so that every part has its context. Then no task holds more than one part of a conversation.
+    n_turns), so that every part has its context. Then no task holds more than one part of a conversation. Parts are
+    pieces of one rendering: without their first `opening_chars` characters, in order of part, they are the text of the
+    whole dialogue, in which a part begins at `text_start`; a mask less opening_chars plus text_start is the mask there.
 
     `masks` holds (start, end) in code points of the row's text: the assistant's words and their end mark. Marks
     inside texts are escaped ("<|" becomes "<\\|"), so a text can't open a turn.
@@ -83,19 +100,20 @@ def rotate_perspectives(
         .agg(F.array_sort(F.collect_list(F.struct("rank", "context", "role", "head", "body", "at"))).alias("turns"))
     )
     speakers = base.where(F.col("role").isNotNull() & ~F.col("role").isin(*context_roles)).select(F.col("conv_id").alias("c"), F.col("role").alias("participant")).distinct()
+    speaker = F.col("participant")
+    # heads of the speaker's own turns are shorter by this than where they are named
+    saved = F.char_length(named("user name=", speaker)) - len(ASSISTANT)
     if turns_per_row is None:
-        speakers = speakers.withColumn("opening", F.lit(""))
+        speakers = speakers.select("c", "participant", F.lit(0).cast("long").alias("p"), F.lit("").alias("opening"), F.lit(0).cast("long").alias("text_start"))
     else:
         openings = rows.where("context").groupBy(F.col("conv_id").alias("o")).agg(F.min_by(F.concat("head", "body", F.lit(END)), "rank").alias("opening"))
         speakers = speakers.join(openings, F.col("c").eqNullSafe(F.col("o")), "left").drop("o")
+        speakers = _placed(rows.withColumn("size", size), speakers, saved)
     # both written, so that adaptive execution can split a conversation of very many parts
-    pairs = written(parts, "chat-parts").join(written(speakers, "chat-speakers"), F.col("conv_id").eqNullSafe(F.col("c")))
+    pairs = written(parts, "chat-parts").join(written(speakers, "chat-speakers"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
     pairs = pairs.withColumn("opening", F.when(F.col("part") > 0, F.coalesce("opening", F.lit(""))).otherwise(F.lit("")))
-    speaker = F.col("participant")
     own = lambda t: F.coalesce(t["role"] == speaker, F.lit(False))
     text = F.transform("turns", lambda t: F.concat(F.when(own(t), F.lit(ASSISTANT)).otherwise(t["head"]), t["body"], F.lit(END)))
-    # heads of the speaker's own turns are shorter by this than where they are named
-    saved = F.char_length(named("user name=", speaker)) - len(ASSISTANT)
 
     def mask(t: Column, k: Column) -> Column:
         begin = F.char_length("opening") + t["at"] - k * saved + len(ASSISTANT)
@@ -109,4 +127,6 @@ def rotate_perspectives(
         F.size("turns").cast("long").alias("n_turns"),
         F.concat("opening", F.array_join(text, "")).alias("text"),
         F.transform(F.filter("turns", own), mask).alias("masks"),
+        "text_start",
+        F.char_length("opening").cast("long").alias("opening_chars"),
     ).withColumn("n_masked", F.aggregate("masks", F.lit(0).cast("long"), lambda acc, m: acc + m["end"] - m["start"]))

@@ -212,8 +212,9 @@ ORACLE_SQL = {
     placed AS (
         SELECT *, length(head) + length(body) + 8 AS size,
                length(opening) + sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id, participant, part ORDER BY n ROWS UNBOUNDED PRECEDING) AS stop FROM said)
+    SELECT *, coalesce(sum(length(text) - opening_chars) OVER (PARTITION BY conv_id, participant ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS text_start FROM (
     SELECT conv_id, participant, part, min(n) AS first_turn, count(*) AS n_turns, any_value(opening) || string_agg(head || body || '<|end|>' || chr(10), '' ORDER BY n) AS text,
            coalesce(string_agg((stop - size + length(head))::BIGINT || ':' || (stop - 1)::BIGINT, ',' ORDER BY stop) FILTER (own), '') AS masks,
-           coalesce(sum(length(body) + 7) FILTER (own), 0)::BIGINT AS n_masked
-    FROM placed GROUP BY conv_id, participant, part""".replace("{name}", _NAME_SQL),
+           coalesce(sum(length(body) + 7) FILTER (own), 0)::BIGINT AS n_masked, length(any_value(opening)) AS opening_chars
+    FROM placed GROUP BY conv_id, participant, part)""".replace("{name}", _NAME_SQL),
 }

@@ -52,6 +52,20 @@ def test_against_brute_force(spark, per_row):
     assert rotate_perspectives(turns.limit(0), turns_per_row=per_row).count() == 0
 
 
+@pytest.mark.parametrize("per_row", [1, 2, 3, 7])
+def test_parts_are_the_whole(spark, per_row):
+    """Put together, parts give exactly the rendering and the masks of the whole dialogue."""
+    turns = spark.createDataFrame([(*t, 9, "z", 9, "q", 1, 2, 3, "o") for t in TURNS], SCHEMA)
+    whole = {(r["conv_id"], r["participant"]): (r["text"], [tuple(m) for m in r["masks"]]) for r in rotate_perspectives(turns).collect()}
+    parts = {}
+    for r in sorted(rotate_perspectives(turns, turns_per_row=per_row).collect(), key=lambda r: r["part"]):
+        text, masks = parts.get((r["conv_id"], r["participant"]), ("", []))
+        assert r["text_start"] == len(text)
+        moved = r["text_start"] - r["opening_chars"]
+        parts[r["conv_id"], r["participant"]] = (text + r["text"][r["opening_chars"] :], masks + [(m["start"] + moved, m["end"] + moved) for m in r["masks"]])
+    assert parts == whole
+
+
 def test_long_conversations(spark, tmp_path):
     """Sparse, repeated and null turn numbers, and a conversation of 1,300 turns: whole by default, in parts of 512 in the query."""
     rng = random.Random(3)
