@@ -20,12 +20,15 @@ def decode_messages(messages: DataFrame, value_col: str = "value", received_at:
     `reason` is null for good rows. Members that are absent take defaults: empty text, 0, `received_at` (now if
     not given), and as id the md5 of the message, so that equal messages without an id are one. Members that
     are there but null are rejected, as are texts that are too long. Unknown members are ignored, of repeated ones
-    the last counts. Text after the JSON object makes it malformed. Each message is parsed once, in one stage with its source.
+    the last counts. Text after the JSON object makes it malformed. Each parser reads a message once, in one stage with its
+    source; the check for text after the object runs only where the message doesn't end with its only closing brace.
     """
     raw = messages[value_col]
     received = F.current_timestamp() if received_at is None else received_at
     # the parsers stop at the end of an object; a message is one value if it is alone in brackets, and one of two beside another
-    alone = (F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1) & (F.json_array_length(F.concat(F.lit("["), raw, F.lit(",0]"))) == 2)
+    # one closing brace, at the end: nothing can follow the object, so the two further parsers needn't look
+    plain = F.rtrim(raw).endswith("}") & (F.instr(raw, "}") == F.char_length(F.rtrim(raw)))
+    alone = plain | ((F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1) & (F.json_array_length(F.concat(F.lit("["), raw, F.lit(",0]"))) == 2))
     parsed = F.struct(F.from_json(raw, f"{MESSAGE}, _corrupt STRING", _STRICT).alias("__j"), F.json_object_keys(raw).alias("__keys"), F.try_parse_json(raw).alias("__v"), F.coalesce(alone, F.lit(False)).alias("__alone"))
     # through a generator, which filters aren't pushed below: else each use of a member would parse the message again
     rows = messages.select("*", F.inline(F.array(parsed)))
