@@ -7,9 +7,10 @@ exp(-c eps^2). Pairs whose upper bound is below the threshold are settled; the o
 precision. Which vectors are paired at all is decided by sign bits of further rotations: vectors that agree on all
 bits of one of several tables; the number of tables follows from the chance of a miss that is allowed.
 
-Only the codes go to every table. Two codes differ in a share angle / pi of their bits, so pairs that differ in more
-than the threshold's share and eps standard deviations are settled there. Vectors, factors and keys are fetched for
-those alone that still have a partner in a bucket.
+Only sketches go to every table: the signs after this and, for vectors of few dimensions, further rotations, as the
+fewer bits there are the more pairs stay open by chance. Two sketches differ in a share angle / pi of their bits, so
+pairs that differ in more than the threshold's share and eps standard deviations are settled there. Vectors, factors
+and keys are fetched for those alone that still have a partner in a bucket.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ class Settings:
     #: Table bits are chosen so that buckets hold about so many vectors; larger ones are cut into blocks of `block`.
     bucket: int = 1024
     block: int = 2048
+    #: A sketch has the signs of as many rotations as give so many bits.
+    sketch_bits: int = 192
     seed: int = 11
 
     def bits(self, n: int) -> int:
@@ -48,7 +51,7 @@ class Settings:
 
 def rotation(dim: int, seed: int) -> np.ndarray:
     """A random orthogonal matrix, the same everywhere."""
-    q, r = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, dim)))
+    q, r = np.linalg.qr(np.random.default_rng([seed & 0xFFFFFFFF, dim]).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
 
@@ -68,10 +71,16 @@ def estimates(codes: np.ndarray, factors: np.ndarray, queries: np.ndarray, eps:
     return signs @ turned.T / scale[:, None], bound
 
 
+def sketch(units: np.ndarray, settings: Settings) -> np.ndarray:
+    """Signs after several rotations, each rotation's in whole bytes; more than one where the dimensions are few."""
+    turns = -(-settings.sketch_bits // units.shape[1])
+    return np.concatenate([np.packbits(units @ rotation(units.shape[1], settings.seed - 1 - k).T > 0, axis=1) for k in range(turns)], axis=1)
+
+
 def most_bits(dim: int, settings: Settings) -> float:
-    """So many bits of two codes may differ at the threshold."""
-    share = math.acos(settings.threshold) / math.pi
-    return dim * share + settings.eps * math.sqrt(dim * share * (1 - share))
+    """So many bits of two sketches may differ at the threshold."""
+    bits, share = dim * -(-settings.sketch_bits // dim), math.acos(settings.threshold) / math.pi
+    return bits * share + settings.eps * math.sqrt(bits * share * (1 - share))
 
 
 def _units(vectors: list[np.ndarray]) -> np.ndarray:
@@ -82,7 +91,7 @@ def _units(vectors: list[np.ndarray]) -> np.ndarray:
 
 
 def _coded(vectors: DataFrame, settings: Settings, bits: int, tables: int, kind: str) -> DataFrame:
-    """Adds the code, the factor and the keys of all tables. Vectors of other dimensions never share a key."""
+    """Adds the code, the factor, the sketch and the keys of all tables. Vectors of other dimensions never share a key."""
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
@@ -93,9 +102,9 @@ def _coded(vectors: DataFrame, settings: Settings, bits: int, tables: int, kind:
                 planes = [rotation(dim, settings.seed + 1 + i) for i in range(-(-need // dim))]
                 sides = np.concatenate([units @ p.T > 0 for p in planes], axis=1)[:, :need] if need else np.zeros((len(part), 0), bool)
                 keys = sides.reshape(len(part), tables, bits) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros((len(part), tables), np.int64)
-                yield part.assign(code=[c.tobytes() for c in codes], factor=factors, dim=dim, keys=list(keys))
+                yield part.assign(code=[c.tobytes() for c in codes], factor=factors, sketch=[c.tobytes() for c in sketch(units, settings)], dim=dim, keys=list(keys))
 
-    return vectors.mapInPandas(run, f"node long, copies long, embedding {kind}, code binary, factor double, dim int, keys array<long>")
+    return vectors.mapInPandas(run, f"node long, copies long, embedding {kind}, code binary, factor double, sketch binary, dim int, keys array<long>")
 
 
 #: Rows of a tile that are compared with all others at once; a bound on memory only.
@@ -109,8 +118,8 @@ def _sides(key: tuple, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near(key: tuple, rows: pd.DataFrame, settings: Settings) -> pd.DataFrame:
-    """The nodes of a tile whose code has another near enough."""
-    codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
+    """The nodes of a tile whose sketch has another near enough."""
+    codes = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), -1)
     codes = np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view(np.uint64)
     left, right = _sides(key, rows["block"].to_numpy())
     most = most_bits(key[0], settings)
@@ -187,26 +196,33 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     values = F.col("embedding")
     bad = F.exists(values, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.coalesce((F.size(values) > 0) & ~bad & F.exists(values, lambda v: v != 0) & F.col("vec_id").isNotNull(), F.lit(False))
-    classes = base.where(usable).distinct().groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
+    # equal vectors have equal digests of 128 bits (0.0 and -0.0 are equal); vectors themselves are no shuffle's key
+    plain = F.transform(values, lambda v: v + F.lit(0).cast(kind[6:-1]))
+    base = base.select("vec_id", "embedding", *[F.when(usable, F.xxhash64(F.lit(i), plain)).alias(f"h{i}") for i in (1, 2)])
+    ids = base.where("h1 IS NOT NULL").select("vec_id", "h1", "h2")
+    classes = ids.distinct().groupBy("h1", "h2").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     bits = settings.bits(classes.count())
-    coded = written(_coded(classes.select("node", "copies", "embedding"), settings, bits, settings.tables(bits), kind), "vector-codes")
-    rows = coded.select("node", "dim", "code", F.posexplode("keys").alias("table", "key"))
+    # a vector of each class, from any row that has its least id
+    one = base.where("h1 IS NOT NULL").join(classes.withColumnRenamed("least_id", "vec_id"), ["vec_id", "h1", "h2"])
+    one = one.groupBy("vec_id", "h1", "h2").agg(F.first(F.struct("node", "copies", "embedding")).alias("c")).select("c.*")
+    coded = written(_coded(one, settings, bits, settings.tables(bits), kind), "vector-codes")
+    rows = coded.select("node", "dim", "sketch", F.posexplode("keys").alias("table", "key"))
     large = rows.groupBy("dim", "table", "key").agg(F.count("*").alias("c")).where(F.col("c") > settings.block)
     large = written(large.select("dim", "table", "key", F.ceil(F.col("c") / settings.block).alias("blocks")), "vector-large")
     rows = rows.join(large, ["dim", "table", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     tile = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(F.least(b, "block").alias("i"), F.greatest(b, "block").alias("j"))))
-    tiles = rows.withColumn("tile", tile).select("node", "code", "dim", "table", "key", "block", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
+    tiles = rows.withColumn("tile", tile).select("node", "sketch", "dim", "table", "key", "block", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"))
     near = tiles.groupBy("dim", "table", "key", "i", "j").applyInPandas(lambda key, pdf: _near(key, pdf, settings), f"{TILE}, node long, block long")
     near = written(near, "vector-near").join(coded.select("node", "copies", "embedding", "code", "factor", "keys"), "node")
     found = near.groupBy("dim", "table", "key", "i", "j").applyInPandas(lambda key, pdf: _compared(key, pdf, settings), "node long, n long, other long")
     found = written(found, "vector-links")
     counts = found.groupBy("node").agg(F.sum("n").alias("links"))
     parts = connected_components(found, "node", "other")
-    named = classes.select("node", "embedding", "least_id", "copies").join(counts, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = classes.join(counts, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = written(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "vector-names")
-    named = named.join(smallest, "component").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = base.withColumn("key", F.when(usable, values)).join(written(named.withColumnRenamed("embedding", "key"), "vector-named"), "key", "left")
+    named = named.join(smallest, "component").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = base.select("vec_id", "h1", "h2").join(written(named, "vector-named"), ["h1", "h2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
