@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.operators.layout import z_ordered
 from gaugeworks.operators.readings import first_by_id, to_readings
 from gaugeworks.schemas import REJECTS, TELEMETRY
-from gaugeworks.session import stored_bytes
+from gaugeworks.session import delete, scratch, stored_bytes
 from gaugeworks.streaming.store import LAYER, Snapshot, Tables, Transaction, snapshot, unseen, write_manifest, write_shapes
 
 #: A layer is taken into the next one unless it has more than so many times the rows that are rewritten anyway.
@@ -31,10 +31,10 @@ def _taken(batches: list[Row], layers: list[Row]) -> list[Row]:
 
 
 def _in_order(rows: DataFrame, snap: Snapshot, replaced: list[Row]) -> DataFrame:
-    """With the order of commits as `arrival`; a small table has it, a row per transaction that is replaced."""
+    """With the order of commits as `arrival`; what is broadcast is a row per transaction that is replaced, from the manifest."""
     ranked = sorted(replaced, key=lambda r: (r["source"] != LAYER, r["committed_at"], r["txn"]))
     order = snap.spark.createDataFrame([(r["txn"], i) for i, r in enumerate(ranked)], "txn STRING, arrival INT")
-    return rows.join(order, "txn").drop("txn")
+    return rows.join(F.broadcast(order), "txn").drop("txn")
 
 
 def compact(spark: SparkSession, tables: Tables, most: int | None = None, file_bytes: int = 128 << 20) -> str | None:
@@ -59,10 +59,15 @@ def compact(spark: SparkSession, tables: Tables, most: int | None = None, file_b
     kept, held = unseen(first_by_id(rows, "arrival"), snap.only(r["txn"] for r in layers if r["txn"] not in keys))
     files = lambda table: -(-sum(stored_bytes(spark, f"{table}/txn={k}") for k in keys) // file_bytes)
     bad = snap.rows(tables.rejects, REJECTS, keys).groupBy("raw", "reason", "origin").agg(F.sum("n").alias("n")).select("raw", "reason", "n", "origin")
+    merged = scratch(spark, "compaction")
     try:
+        # written before it is laid out, which reads it several times
+        kept.write.parquet(merged)
+        kept = spark.read.schema(TELEMETRY).parquet(merged)
         counts = write_shapes(spark, tables, txn, z_ordered(kept, files(tables.telemetry)), bad, lambda t: z_ordered(to_readings(t), files(tables.readings)), layer=True)
     finally:
         held.unpersist()
+        delete(spark, merged)
     before = sum(r["n_written"] for r in replaced)
     counts["n_repeated"] = sum(r["n_repeated"] for r in replaced) + before - counts["n_written"]
     write_manifest(spark, tables, txn, counts, keys, sorted({k for r in replaced for k in r["replayed"] or ()}))

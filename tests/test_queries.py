@@ -30,3 +30,22 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_derived_tables_follow_their_source(spark, tmp_path):
+    """A source whose files change isn't answered from tables that were stored before."""
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet")
+    counts = []
+    for n in (40, 70):
+        events.where(f"event_id < {n}").write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+        counts.append([catalog.QUERIES[q](spark, str(tmp_path)).first()[0] for q in ("total_count", "sql_count_by_machine")][0])
+        assert catalog.QUERIES["latest_overall"](spark, str(tmp_path)).first()["id"] is not None
+    assert counts == [40, 70]
+
+
+def test_lookups_read_no_history(spark):
+    """Lookups of the newest rows read what is kept of them, and no plan of theirs has a join."""
+    for name in ("latest_by_machine", "latest_readings_by_sensor", "latest_overall", "machine_stats", "fleet_stats", "compacted_lookup"):
+        found = catalog.QUERIES[name](spark, SF_DIR)
+        assert all("/newest/" in f or "/newest_readings/" in f for f in found.inputFiles()) and found.inputFiles(), name
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString(), name
