@@ -12,9 +12,10 @@ order of all shingles the first m + 1 of x and of y have one in common. Three or
 3. by (document frequency, hash reversed), as order 2.
 
 Documents that share an order-2 prefix shingle meet in a family: that of the heaviest document which holds the
-shingle. Within a family, pairs must share a prefix shingle under each of the three orders before their whole
-sets are compared. Families are cut into blocks, and each two blocks are one group of a bounded number of rows;
-only a spanning forest of the links leaves a group, never pairs.
+shingle. Families are cut into blocks of a bounded number of rows and shingles, and each two blocks are one group. The
+prefixes of orders 1 and 3, 32 bits a shingle, go to the groups first; whole sets follow only of documents that
+have a partner there under both, and are compared for pairs that share a prefix shingle under each of the three
+orders. Only a spanning forest of the links leaves a group, never pairs.
 """
 
 from __future__ import annotations
@@ -42,12 +43,14 @@ _powers = {"n": 0, "up": np.zeros(0, np.uint64), "down": np.zeros(0, np.uint64)}
 class Settings:
     """`percent` is the least Jaccard similarity in hundredths; the bound of order 2 holds from 55 on.
 
-    `block` is how many documents of a family one task holds on each side.
+    `block` is how many documents of a family one task holds on each side, if they have `usual` shingles on average;
+    fewer of longer ones.
     """
 
     words: int = 5
     percent: int = 80
     block: int = 1024
+    usual: int = 1024
 
     def __post_init__(self) -> None:
         if not 55 <= self.percent <= 100 or self.words < 1:
@@ -130,13 +133,20 @@ def _kept_shingles(docs: DataFrame, settings: Settings) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n long, d1 long, d2 long, kept array<long>")
 
 
+def _low(hashes: np.ndarray) -> np.ndarray:
+    """31 bits of each hash: enough for a filter."""
+    return (hashes & np.uint64(0x7FFFFFFF)).astype(np.int32)
+
+
 def _whole_sets(docs: DataFrame, settings: Settings) -> DataFrame:
+    """d1, d2, n, first (the order-1 prefix, 31 bits a shingle), shingles."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(text, settings.words) for text in batch["text"]]
-            yield pd.DataFrame([(*_digest(s), s.tobytes()) for s in sets], columns=["d1", "d2", "shingles"])
+            yield pd.DataFrame([(*_digest(s), len(s), _low(s[: settings.slack(len(s)) + 1]), s.tobytes()) for s in sets], columns=["d1", "d2", "n", "first", "shingles"])
 
-    return docs.mapInPandas(run, "d1 long, d2 long, shingles binary")
+    return docs.mapInPandas(run, "d1 long, d2 long, n int, first array<int>, shingles binary")
 
 
 # -- families and links ------------------------------------------------------------------------------------
@@ -190,22 +200,48 @@ def _forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": nodes[linked], "b": nodes[label[linked]]})
 
 
+def _low_column(name: str) -> Column:
+    return F.transform(name, lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+
+
+def _cut(key: tuple, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of a group's two blocks; for a block with itself both are the same."""
+    block = rows["block"].to_numpy()
+    return np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+
+
+def _open(key: tuple, rows: pd.DataFrame, settings: Settings) -> pd.DataFrame:
+    """The nodes that have a partner in the other block by size and under orders 1 and 3."""
+    left, right = _cut(key, rows)
+    n = rows["n"].to_numpy()
+    ok = 100 * np.minimum(n[left][:, None], n[right]) >= settings.percent * np.maximum(n[left][:, None], n[right])
+    ok &= left[:, None] != right
+    for c in ("first", "low"):
+        if ok.any():
+            sides = [rows[c].iloc[side].map(np.unique).to_list() for side in (left, right)]
+            ok &= _overlaps(*sides) > 0
+    met = np.zeros(len(rows), dtype=bool)
+    met[left] |= ok.any(axis=1)
+    met[right] |= ok.any(axis=0)
+    return rows.loc[met, ["pivot", "i", "j", "node", "block"]]
+
+
 def _compared(key: tuple, rows: pd.DataFrame, settings: Settings) -> pd.DataFrame:
     """The links between two blocks of a family, or within one."""
-    first, second = key[1], key[2]
-    if first == second:
-        i, j = _similar(rows, rows, settings)
-        return _forest(rows["node"].to_numpy(), i[i < j], j[i < j])
-    rows = rows.sort_values("block", kind="stable", ignore_index=True)
-    cut = int((rows["block"] == first).sum())
-    i, j = _similar(rows[:cut], rows[cut:], settings)
-    return _forest(rows["node"].to_numpy(), i, j + cut)
+    left, right = _cut(key, rows)
+    i, j = _similar(rows.iloc[left], rows.iloc[right], settings)
+    i, j = left[i], right[j]
+    if key[1] == key[2]:
+        i, j = i[i < j], j[i < j]
+    return _forest(rows["node"].to_numpy(), i, j)
 
 
 def _tiles(family: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """Links within families, given as pivot, node, block, tiles (an array of the (i, j) that the node goes to)."""
     rows = family.select("pivot", "node", "block", F.explode("tiles").alias("t")).select("pivot", "node", "block", F.col("t.i").alias("i"), F.col("t.j").alias("j"))
-    return rows.join(sets, "node").groupBy("pivot", "i", "j").applyInPandas(lambda key, pdf: _compared(key, pdf, settings), "a long, b long")
+    met = rows.join(sets.select("node", "n", "first", "low"), "node").groupBy("pivot", "i", "j").applyInPandas(lambda key, pdf: _open(key, pdf, settings), "pivot long, i long, j long, node long, block long")
+    met = written(met, "ngram-open")
+    return met.join(sets.select("node", "shingles", "second", "third"), "node").groupBy("pivot", "i", "j").applyInPandas(lambda key, pdf: _compared(key, pdf, settings), "a long, b long")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -228,7 +264,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     survivors = written(_survivors(linkable, members, settings), "ngram-survivors")
     texts = base.join(survivors.select("doc_id").distinct(), "doc_id", "left_semi")
     reps = survivors.select("d1", "d2", "node", "second", "third")
-    sets = written(_whole_sets(texts, settings).dropDuplicates(["d1", "d2"]).join(reps, ["d1", "d2"]).select("node", "shingles", "second", "third"), "ngram-sets")
+    sets = written(_whole_sets(texts, settings).dropDuplicates(["d1", "d2"]).join(reps, ["d1", "d2"]).select("node", "n", "first", _low_column("third").alias("low"), "shingles", "second", "third"), "ngram-sets")
     links = _all_links(survivors.select("node", "weight", F.explode("second").alias("h")), sets, settings)
     # copies, and rows that share an id, are linked too
     copies = members.where("node > rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
@@ -277,7 +313,8 @@ def _all_links(index: DataFrame, sets: DataFrame, settings: Settings) -> DataFra
     block = settings.block
     pivots = index.groupBy("h").agg(F.count("*").alias("c"), F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot")).where("c > 1")
     family = written(index.select("h", "node").join(written(pivots.select("h", "pivot"), "ngram-pivots"), "h").select("pivot", "node").distinct(), "ngram-families")
-    sizes = family.groupBy("pivot").agg(F.count("*").alias("c"))
+    # so many documents, or as many usual ones as have so many shingles
+    sizes = family.join(sets.select("node", "n"), "node").groupBy("pivot").agg(F.greatest(F.count("*"), F.ceil(F.sum("n") / settings.usual)).alias("c"))
     large = written(sizes.where(F.col("c") > block), "ngram-large")
     one = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
     small = family.join(large, "pivot", "left_anti").select("pivot", "node", F.lit(0).cast("long").alias("block"), one.alias("tiles"))
@@ -296,7 +333,9 @@ def _all_links(index: DataFrame, sets: DataFrame, settings: Settings) -> DataFra
     known = others.join(label("node"), "node", "left").join(label("pivot"), "pivot", "left")
     known = written(known.select("pivot", "node", "c", F.coalesce(F.col("node_part") == F.col("pivot_part"), F.lit(False)).alias("near")), "ngram-known")
     # blocks of the far ones are even, of the near ones odd; two near blocks have nothing to find
-    counts = known.groupBy("pivot").agg(F.count_if("near").alias("n1"), F.count_if(~F.col("near")).alias("n0"))
+    near, far = F.col("near"), ~F.col("near")
+    held = lambda which: F.when(F.count_if(which) > 0, F.greatest(F.count_if(which), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / settings.usual))).otherwise(0)
+    counts = known.join(sets.select("node", "n"), "node").groupBy("pivot").agg(held(near).alias("n1"), held(far).alias("n0"))
     rest = known.join(written(counts.where("n0 > 0"), "ngram-rest"), "pivot")
     blocks = lambda n: F.ceil(F.col(n) / block)
     own = F.when(F.col("near"), F.pmod(F.xxhash64("node"), F.greatest(blocks("n1"), F.lit(1))) * 2 + 1).otherwise(F.pmod(F.xxhash64("node"), blocks("n0")) * 2)
