@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import written
-from gaugeworks.llm.packing import units
 
 #: Characters that are aligned at once, and those whose documents share a chunk; bounds on memory only.
 AT_ONCE, CHUNK = 1 << 21, 1 << 22
@@ -39,18 +38,26 @@ ENTRY = 300
 MANY = 1 << 16
 
 
-#: A unit: what follows a lone space, or, in a tuple, a stretch with all its spaces.
-Unit = str | tuple[str]
+#: White space besides the space and the line feed.
+RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+MARK = "\u2581"
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A tokeniser: `cut` parts a text into units that are tokenised each for itself, `encode` gives units' ids (of
-    their spelling, which begins with a space), `tokens` the bytes of each id, space marks as spaces."""
+    """A tokeniser of a space and a text. `encode` gives the ids of strings that begin with that space, `tokens` the bytes
+    of each id, space marks as spaces. `apart` says that a lone space before a word always begins a token: what stands between
+    such spaces can be tokenised each for itself."""
 
-    cut: Callable[[str], list[Unit]]
     encode: Callable[[list[str]], list[list[int]]]
     tokens: list[bytes]
+    apart: bool
+
+
+def lone_spaces_only(text: str) -> bool:
+    """Whether each space of the text stands alone between characters that aren't white space, and no other space but line feeds is there."""
+    odd = text.startswith((" ", "\n")) or text.endswith(" ") or "  " in text or " \n" in text or "\n " in text or MARK in text
+    return not odd and not any(c in text for c in RARE_SPACES)
 
 
 def byte_level(ranks_path: str, pattern: str) -> Vocabulary:
@@ -66,32 +73,18 @@ def byte_level(ranks_path: str, pattern: str) -> Vocabulary:
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-
-    def cut(text: str) -> list[Unit]:
-        head, *tail = units(" " + text)
-        return [(head,), *tail] if head else tail
-
-    return Vocabulary(cut, lambda spelt: list(map(ordinary, spelt)), tokens)
+    return Vocabulary(lambda spelt: list(map(ordinary, spelt)), tokens, True)  # its pattern begins a pre-token at each lone space
 
 
 def pieces(model_path: str) -> Vocabulary:
-    """A SentencePiece model; it puts the space before the text itself.
-
-    If no piece goes on past a space mark, merges don't either, so what stands between lone spaces is a unit. Texts
-    with other spaces, and all texts if there is such a piece, are one unit each.
-    """
+    """A SentencePiece model; it puts the space before the text itself. Words are apart if no piece goes on past a space mark."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    tokens = [bytes([int(name[3:5], 16)]) if model.is_byte(i) else name.replace("▁", " ").encode() for i, name in enumerate(names)]
-    apart = not any("▁" in name.lstrip("▁") for name in names)
-
-    def cut(text: str) -> list[Unit]:
-        parts = text.split(" ")
-        return parts if apart and "▁" not in text and all(parts) else [(" " + text,)]
-
-    return Vocabulary(cut, lambda spelt: model.encode([s[1:] for s in spelt], num_threads=1), tokens)
+    tokens = [bytes([int(name[3:5], 16)]) if model.is_byte(i) else name.replace(MARK, " ").encode() for i, name in enumerate(names)]
+    apart = not any(MARK in name.lstrip(MARK) for name in names)
+    return Vocabulary(lambda spelt: model.encode([s[1:] for s in spelt], num_threads=1), tokens, apart)
 
 
 class _Ids:
@@ -103,21 +96,13 @@ class _Ids:
         self.marked = np.array([t.startswith(b" ") for t in vocabulary.tokens])
         self.digits = [str(i) for i in range(self.size)]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, their number in each, and whether they spell a space and the text. Empty texts have none."""
-        number: dict[Unit, int] = defaultdict(count().__next__)
-        parts = [self.vocabulary.cut(text) if text else [] for text in texts]
-        n_units = np.fromiter(map(len, parts), np.int64, len(parts))
-        unit = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, int(n_units.sum()))
-        spelt = [" " + u if isinstance(u, str) else u[0] for u in number]  # each different unit is tokenised once
+    def encode(self, spelt: list[str], exact: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all strings in a row, their number in each, and whether they spell it."""
         ids = self.vocabulary.encode(spelt)
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
         name = self.vocabulary.tokens.__getitem__
-        right = np.fromiter((b"".join(map(name, x)) == s.encode("utf-8", "surrogatepass") for x, s in zip(ids, spelt)), bool, len(spelt))
-        n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n_ids.sum()))
-        upto = np.concatenate([[0], np.cumsum(n_units)])
-        total = lambda values: np.diff(np.concatenate([[0], np.cumsum(values[unit])])[upto])
-        return flat[_ranges(_before(n_ids)[unit], n_ids[unit])] if len(unit) else flat, total(n_ids), total(~right) == 0
+        right = np.fromiter((b"".join(map(name, x)) == e for x, e in zip(ids, exact)), bool, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n, right
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -153,15 +138,13 @@ class Aligner:
 
         A text that is null or empty, or that either's tokens don't spell with a space before it, has no tokens.
         """
-        there = [t or "" for t in texts]
-        (a, n_a, right_a), (b, n_b, right_b) = self._a.encode(there), self._b.encode(there)
-        right = right_a & right_b & (n_a > 0) & (n_b > 0)
-        if not right.all():
-            a, b = a[np.repeat(right, n_a)], b[np.repeat(right, n_b)]
-            n_a, n_b = np.where(right, n_a, 0), np.where(right, n_b, 0)
         nothing = np.zeros(0, np.int64)
-        if not len(a):
+        unit, n_units, (ids_a, per_a), (ids_b, per_b) = self._encoded([t or "" for t in texts])
+        if not len(unit):
             return [(0, 0, 0, 0, "", nothing, nothing)] * len(texts)
+        whose = np.repeat(np.arange(len(texts)), n_units)
+        n_a, n_b = (np.bincount(whose, per[unit], len(texts)).astype(np.int64) for per in (per_a, per_b))
+        a, b = (ids[_ranges(_before(per)[unit], per[unit])] for ids, per in ((ids_a, per_a), (ids_b, per_b)))
         # documents one after another: both spell the same bytes, so a document's end is shared
         ends_a, ends_b = np.cumsum(self._a.lengths[a]), np.cumsum(self._b.lengths[b])
         seen = np.zeros(int(ends_a[-1]) + 1, np.uint8)
@@ -174,7 +157,18 @@ class Aligner:
         anchor = np.flatnonzero(spaced | closes[last_a])
         stop_a, stop_b, stop_g = last_a[anchor] + 1, last_b[anchor] + 1, anchor + 1
         begin_a, begin_b, begin_g = (np.concatenate([[0], s[:-1]]) for s in (stop_a, stop_b, stop_g))
-        ids = self._windows(a, b, begin_a, stop_a, begin_b, stop_b, begin_g, stop_g, last_a + 1, last_b + 1)
+        # windows that are one unit each are looked up once a unit, as the same unit has the same ids
+        unit_a, unit_b = np.cumsum(per_a[unit]), np.cumsum(per_b[unit])
+        at = np.searchsorted(unit_a, stop_a)
+        one = (unit_a[at] == stop_a) & (unit_b[at] == stop_b) & (unit_a[at] - per_a[unit[at]] == begin_a) & (unit_b[at] - per_b[unit[at]] == begin_b)
+        first = np.full(len(per_a), -1)
+        singles = np.flatnonzero(one)[::-1]
+        first[unit[at[singles]]] = singles
+        asked = np.arange(len(stop_a))
+        asked[singles] = first[unit[at[singles]]]
+        wanted = np.unique(asked)
+        found = self._windows(a, b, begin_a, stop_a, begin_b, stop_b, begin_g, stop_g, last_a + 1, last_b + 1, wanted)
+        ids = found[np.searchsorted(wanted, asked)]
         # documents' windows
         stops = np.concatenate([[0], np.cumsum(n_a)])
         cut = np.searchsorted(begin_a, stops)
@@ -201,23 +195,40 @@ class Aligner:
             self._forget()
         return out
 
-    def _windows(self, a, b, begin_a, stop_a, begin_b, stop_b, begin_g, stop_g, group_a, group_b) -> np.ndarray:  # noqa: ANN001
-        """Each window's number in the memory; windows that aren't there are aligned and go in."""
-        n = np.arange(len(begin_a))
-        ids = np.empty(len(a) + len(b) + len(n), self._kind)
-        ids[np.arange(len(a)) + np.repeat(begin_b + n, stop_a - begin_a)] = a
-        ids[stop_a + begin_b + n] = self._part
-        ids[np.arange(len(b)) + np.repeat(stop_a + n + 1, stop_b - begin_b)] = b
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """The texts as units: unit numbers in a row, how many each text has, and both tokenisers' ids of the units with
+        their number in each. A unit is what stands between lone spaces, or a whole text where that can't be
+        tokenised apart; each different one is tokenised once. Texts that aren't spelt have no units."""
+        number: dict[str | tuple[str], int] = defaultdict(count().__next__)
+        apart = self._a.vocabulary.apart and self._b.vocabulary.apart
+        parts = [[] if not t else t.split(" ") if apart and lone_spaces_only(t) else [(t,)] for t in texts]
+        n_units = np.fromiter(map(len, parts), np.int64, len(parts))
+        unit = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, int(n_units.sum()))
+        spelt = [" " + (u if isinstance(u, str) else u[0]) for u in number]
+        exact = [x.encode("utf-8", "surrogatepass") for x in spelt]
+        (ids_a, per_a, right_a), (ids_b, per_b, right_b) = self._a.encode(spelt, exact), self._b.encode(spelt, exact)
+        wrong = np.bincount(np.repeat(np.arange(len(texts)), n_units), ~(right_a & right_b)[unit], len(texts)) > 0
+        return unit[np.repeat(~wrong, n_units)], np.where(wrong, 0, n_units), (ids_a, per_a), (ids_b, per_b)
+
+    def _windows(self, a, b, begin_a, stop_a, begin_b, stop_b, begin_g, stop_g, group_a, group_b, wanted) -> np.ndarray:  # noqa: ANN001
+        """The number in the memory of each wanted window; windows that aren't there are aligned and go in."""
+        size_a, size_b = (stop_a - begin_a)[wanted], (stop_b - begin_b)[wanted]
+        from_a, from_b = _before(size_a), _before(size_b)
+        n = np.arange(len(wanted))
+        ids = np.empty(int(size_a.sum() + size_b.sum()) + len(n), self._kind)
+        ids[np.arange(size_a.sum()) + np.repeat(from_b + n, size_a)] = a[_ranges(begin_a[wanted], size_a)]
+        ids[from_a + size_a + from_b + n] = self._part
+        ids[np.arange(size_b.sum()) + np.repeat(from_a + size_a + n + 1, size_b)] = b[_ranges(begin_b[wanted], size_b)]
         width = ids.itemsize
         data = ids.tobytes()
-        starts, stops = ((begin_a + begin_b + n) * width).tolist(), ((stop_a + stop_b + n + 1) * width).tolist()
+        starts = (from_a + from_b + n) * width
         known = self._known
-        keys = [data[s:e] for s, e in zip(starts, stops)]
+        keys = [data[s:e] for s, e in zip(starts.tolist(), (starts + (size_a + size_b + 1) * width).tolist())]
         found = list(map(known.get, keys))
         fresh: dict[bytes, int] = {}
-        for i, at in enumerate(found):
-            if at is None:
-                fresh.setdefault(keys[i], i)
+        for i, at in zip(wanted.tolist(), range(len(found))):
+            if found[at] is None:
+                fresh.setdefault(keys[at], i)
         if fresh:
             self._remember(list(fresh), np.fromiter(fresh.values(), np.int64, len(fresh)), a, b, begin_g, stop_g, group_a, group_b)
             found = list(map(known.__getitem__, keys))
