@@ -52,6 +52,8 @@ class Vocabulary:
     encode: Callable[[list[str]], list[list[int]]]
     tokens: list[bytes]
     apart: bool
+    #: Whether tokens spell any text, as those of a byte-level vocabulary do; else each string is compared with them.
+    lossless: bool = False
 
 
 def lone_spaces_only(text: str) -> bool:
@@ -73,7 +75,7 @@ def byte_level(ranks_path: str, pattern: str) -> Vocabulary:
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-    return Vocabulary(lambda spelt: list(map(ordinary, spelt)), tokens, True)  # its pattern begins a pre-token at each lone space
+    return Vocabulary(lambda spelt: list(map(ordinary, spelt)), tokens, apart=True, lossless=all(bytes([i]) in ranks for i in range(256)))  # its pattern begins a pre-token at each lone space
 
 
 def pieces(model_path: str) -> Vocabulary:
@@ -100,9 +102,11 @@ class _Ids:
         """Ids of all strings in a row, their number in each, and whether they spell it."""
         ids = self.vocabulary.encode(spelt)
         n = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+        if self.vocabulary.lossless:
+            return flat, n, np.ones(len(ids), bool)
         name = self.vocabulary.tokens.__getitem__
-        right = np.fromiter((b"".join(map(name, x)) == e for x, e in zip(ids, exact)), bool, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n, right
+        return flat, n, np.fromiter((b"".join(map(name, x)) == e for x, e in zip(ids, exact)), bool, len(ids))
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
