@@ -29,7 +29,7 @@ def test_query_matches_sql(spark, name):
     assert_same(found, views(SF_DIR).sql(entries.ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", [n for n in entries.QUERIES if n not in entries.ORACLE_SQL and n != "pipeline"])
+@pytest.mark.parametrize("name", [n for n in entries.QUERIES if n not in entries.ORACLE_SQL and n not in ("pipeline", "op13_whitening")])
 def test_query_covers_all_documents(spark, name):
     ids = entries.QUERIES[name](spark, SF_DIR).select("doc_id").distinct().count()
     assert ids == read_table(spark, SF_DIR, "documents").count()
