@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from gaugeworks.operators.readings import first_by_id, to_reading_messages
+from gaugeworks.operators.readings import first_by_id, to_reading_messages, to_readings
 from gaugeworks.schemas import INGEST_BATCHES, SENSOR_READINGS
-from gaugeworks.session import stored
+from gaugeworks.session import exists, stored
 from gaugeworks.sources.messages import accepted, decode_messages, rejected
 from gaugeworks.streaming.store import LAYER, Snapshot, Tables, Transaction, snapshot, unseen, with_retries, write_manifest, write_shapes
 
@@ -82,12 +82,14 @@ def publishing(commit: Commit, *sinks: Callable[[DataFrame, str], None]) -> Comm
     """A commit that then publishes the batch's readings, as JSON messages, to every sink.
 
     Each sink gets (messages, the transaction's key), read from the committed batch. A batch that is replayed is
-    published again under the same key: so a sink that writes by key has each reading once.
+    published again under the same key: so a sink that writes by key has each reading once. If vacuum() has taken the
+    batch's files meanwhile, the replayed rows themselves are published, with what had been left out as stored already.
     """
 
     def both(decoded: DataFrame, txn: Transaction, tables: Tables) -> None:
         commit(decoded, txn, tables)
-        readings = decoded.sparkSession.read.schema(SENSOR_READINGS).parquet(f"{tables.readings}/txn={txn.key}")
+        spark, path = decoded.sparkSession, f"{tables.readings}/txn={txn.key}"
+        readings = spark.read.schema(SENSOR_READINGS).parquet(path) if exists(spark, path) else to_readings(accepted(decoded))
         fan_out(to_reading_messages(readings), txn.key, *sinks)
 
     return both

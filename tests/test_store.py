@@ -83,6 +83,18 @@ def test_a_replay_writes_once(spark, tmp_path):
     assert stored_ids(spark, found) == ["1", "2"] and whole(spark, found)
 
 
+def test_a_replay_is_published_even_when_its_files_are_gone(spark, tmp_path):
+    found, txn = store.Tables(str(tmp_path)), store.Transaction("s", 0)
+    got = {}
+    commit = ingest.publishing(ingest.commit_batch, lambda messages, key: got.__setitem__(key, sorted(r["value"] for r in messages.collect())))
+    commit(batch(spark, ["1", "2", None]), txn, found)
+    first = got.pop(txn.key)
+    compaction.compact(spark, found)
+    store.vacuum(spark, found)
+    commit(batch(spark, ["1", "2", None]), txn, found)
+    assert got == {txn.key: first} and len(first) == 4 and stored_ids(spark, found) == ["1", "2"]
+
+
 def test_names():
     assert store.Transaction("a-b", 7).key == "a-b-000000000007"
     for source, number in (("", 0), ("a/b", 0), ("a", -1), ("a=b", 1)):
