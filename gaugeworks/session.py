@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Folders made by scratch(), by application; drop_written() deletes them.
 _made: dict[str, list[str]] = {}
@@ -79,8 +80,8 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     """A table without rows, which costs no job."""
-    columns = [c.strip().split(" ", 1) for c in schema.split(",")]
-    return spark.range(1).where("false").select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns])
+    columns = StructType.fromDDL(schema).fields
+    return spark.range(1).where("false").select(*[F.lit(None).cast(c.dataType).alias(c.name) for c in columns])
 
 
 def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
