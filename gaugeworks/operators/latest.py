@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.expressions import equals_ignoring_case, is_blank
@@ -40,9 +40,10 @@ def latest_overall(telemetry: DataFrame, count: int = 10) -> DataFrame:
     return telemetry.orderBy(*_NEWEST, ascending=False).limit(count)
 
 
-def _newest_of_each(rows: DataFrame, keys: list, order: tuple[str, ...], count: int) -> DataFrame:
+def _newest_of_each(rows: DataFrame, keys: list, order: tuple[str, ...], count: int, rank: Column | None = None) -> DataFrame:
     """A rank limit that Spark applies in each task before the shuffle too, so a hot key sends `count` rows a task."""
-    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])))
+    rank = F.row_number() if rank is None else rank
+    ranked = rows.withColumn("__n", rank.over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])))
     return ranked.where(F.col("__n") <= count).drop("__n")
 
 
@@ -51,6 +52,14 @@ def latest_n_per_machine(telemetry: DataFrame, count: int = 10) -> DataFrame:
     return _newest_of_each(telemetry, ["machine_id"], _NEWEST, check_count(count))
 
 
+def newest_instants(telemetry: DataFrame, count: int = 10) -> DataFrame:
+    """All snapshots among which each machine's `count` newest are, and those of its `count` newest readings of each sensor.
+
+    Those of one instant are all in or all out, as readings break ties by ids of their own.
+    """
+    return _newest_of_each(telemetry, ["machine_id"], _NEWEST[:1], check_count(count), F.rank())
+
+
 def newest_readings(readings: DataFrame, count: int = 10) -> DataFrame:
     """The `count` newest readings of every machine and sensor type, all columns."""
     return _newest_of_each(readings, ["machine_id", F.lower("sensor_type")], _NEWEST_READING, check_count(count))

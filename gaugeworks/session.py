@@ -7,9 +7,11 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Folders made by scratch(), by application; drop_written() deletes them.
@@ -84,6 +86,14 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.range(1).where("false").select(*[F.lit(None).cast(c.dataType).alias(c.name) for c in columns])
 
 
+def small_table(spark: SparkSession, rows: list[dict[str, object]], schema: str) -> DataFrame:
+    """A few rows of the driver's as a table. They go as an Arrow table, so no Python worker takes part; instants are aware."""
+    if not rows:
+        return empty(spark, schema)
+    columns = StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(columns)), columns)
+
+
 def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
     """Name, size and time of change of each file in a folder, and in the folders in it: what changes if a table there does."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.operators.layout import z_ordered
 from gaugeworks.operators.readings import first_by_id, to_readings
 from gaugeworks.schemas import REJECTS, TELEMETRY
-from gaugeworks.session import delete, scratch, stored_bytes
+from gaugeworks.session import delete, scratch, small_table, stored_bytes
 from gaugeworks.streaming.store import LAYER, Snapshot, Tables, Transaction, snapshot, unseen, write_manifest, write_shapes
 
 #: A layer is taken into the next one unless it has more than so many times the rows that are rewritten anyway.
@@ -33,7 +33,7 @@ def _taken(batches: list[Row], layers: list[Row]) -> list[Row]:
 def _in_order(rows: DataFrame, snap: Snapshot, replaced: list[Row]) -> DataFrame:
     """With the order of commits as `arrival`; what is broadcast is a row per transaction that is replaced, from the manifest."""
     ranked = sorted(replaced, key=lambda r: (r["source"] != LAYER, r["committed_at"], r["txn"]))
-    order = snap.spark.createDataFrame([(r["txn"], i) for i, r in enumerate(ranked)], "txn STRING, arrival INT")
+    order = small_table(snap.spark, [{"txn": r["txn"], "arrival": i} for i, r in enumerate(ranked)], "txn STRING, arrival INT")
     return rows.join(F.broadcast(order), "txn").drop("txn")
 
 

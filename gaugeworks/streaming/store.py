@@ -19,10 +19,10 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.latest import MOST, latest_n_per_machine, newest_readings
+from gaugeworks.operators.latest import MOST, latest_n_per_machine, newest_instants, newest_readings
 from gaugeworks.operators.readings import to_readings
 from gaugeworks.schemas import ID_FILTERS, IDS, LAYER_IDS, MANIFEST, REJECTS, SENSOR_READINGS, SENSORS, TELEMETRY
-from gaugeworks.session import delete, empty, exists
+from gaugeworks.session import delete, empty, exists, small_table
 from gaugeworks.streaming import uniqueness
 
 _NAME = re.compile(r"[A-Za-z0-9_.-]+")
@@ -150,7 +150,8 @@ class Snapshot:
 
 
 def _frame(spark: SparkSession, rows: list[Row]) -> DataFrame:
-    return spark.createDataFrame(rows, MANIFEST) if rows else empty(spark, MANIFEST)
+    # collect() gives instants in the driver's time zone, without its name
+    return small_table(spark, [{**r.asDict(), "committed_at": r["committed_at"].astimezone(timezone.utc)} for r in rows], MANIFEST)
 
 
 def snapshot(spark: SparkSession, tables: Tables) -> Snapshot:
@@ -169,14 +170,10 @@ def snapshot(spark: SparkSession, tables: Tables) -> Snapshot:
 def write_manifest(spark: SparkSession, tables: Tables, txn: Transaction, counts: dict[str, int], replaces: Iterable[str] = (), replayed: Iterable[str] = ()) -> None:
     """The one small file that makes a transaction visible, and those that it replaces invisible."""
     values = {"txn": txn.key, "source": txn.source, "batch_id": txn.number, **counts, "committed_at": datetime.now(timezone.utc), "replaces": list(replaces), "replayed": list(replayed)}
-    row = spark.createDataFrame([Row(**{c: values[c] for c in _columns(MANIFEST)})], MANIFEST)
+    row = small_table(spark, [values], MANIFEST)
     with_retries(lambda: row.coalesce(1).write.mode("overwrite").parquet(f"{tables.manifest}/{txn.key}"))
 
 
-def _columns(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
-
-
 def write_shapes(spark: SparkSession, tables: Tables, txn: Transaction, telemetry: DataFrame, bad: DataFrame, readings: Callable[[DataFrame], DataFrame] = to_readings, layer: bool = False) -> dict[str, int]:
     """Write all that belongs to a transaction's rows; what it counts is returned for the manifest, which isn't written.
 
@@ -187,14 +184,18 @@ def write_shapes(spark: SparkSession, tables: Tables, txn: Transaction, telemetr
     rows = spark.read.schema(TELEMETRY).parquet(f"{tables.telemetry}/txn={txn.key}")
     n = rows.count()
     blocks = uniqueness.n_blocks(n)
-    at_once([
-        lambda: to(readings(rows), tables.readings),
-        lambda: to(bad, tables.rejects),
-        lambda: to(latest_n_per_machine(rows, MOST), tables.newest),
-        lambda: to(newest_readings(to_readings(rows), MOST), tables.newest_readings),
-        lambda: uniqueness.write_ids(rows, f"{tables.layer_ids if layer else tables.ids}/txn={txn.key}", layer, n),
-        lambda: to(uniqueness.filter_of(rows, blocks), tables.id_filters),
-    ])
+    recent = newest_instants(rows, MOST).persist()
+    try:
+        at_once([
+            lambda: to(readings(rows), tables.readings),
+            lambda: to(bad, tables.rejects),
+            lambda: to(latest_n_per_machine(recent, MOST), tables.newest),
+            lambda: to(newest_readings(to_readings(recent), MOST), tables.newest_readings),
+            lambda: uniqueness.write_ids(rows, f"{tables.layer_ids if layer else tables.ids}/txn={txn.key}", layer, n),
+            lambda: to(uniqueness.filter_of(rows, blocks), tables.id_filters),
+        ])
+    finally:
+        recent.unpersist()
     failed = spark.read.schema(REJECTS).parquet(f"{tables.rejects}/txn={txn.key}").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return {"n_written": n, "n_readings": len(SENSORS) * n, "n_failed": failed, "id_blocks": blocks}
 
