@@ -15,14 +15,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import written
-from gaugeworks.llm.ngram_join import Settings as CopySettings
-from gaugeworks.llm.ngram_join import ngram_components
+from gaugeworks.llm.ngram_join import shingles
 
 #: Seed words by class; learned insults are added to them.
 SEEDS = {
@@ -43,8 +43,9 @@ WEIGHTY = (INSULT, THREAT, AIMED)
 CLAUSE = re.compile(r"[.!?;\n]+")
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»]")
 PREFIXES = (4, 5, 6)
-#: Labelled documents with most of their 5-word shingles in common are copies of one another.
-COPIES = CopySettings(percent=55)
+#: Labelled documents with this share, in hundredths, of their 5-word shingles in common are copies of one another. It is
+#: read off their least SKETCH hashes: exactly where both together have no more, else with a standard error of 2.2 hundredths.
+COPY_WORDS, COPY_PERCENT, SKETCH = 5, 55, 512
 
 
 # -- transducers -------------------------------------------------------------------------------------------
@@ -243,21 +244,76 @@ def _beginnings(n: int) -> Column:
     return F.transform(F.filter("words", lambda w: F.char_length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
 
 
+def link_copies(sketches: list[np.ndarray], percent: int = COPY_PERCENT, size: int = SKETCH) -> np.ndarray:
+    """For each sketch (sorted distinct hashes, at most `size`) the number of its group: what links of copies reach.
+
+    Two are copies if of the least `size` hashes of their union at least `percent` in a hundred are in both. Then they
+    share as large a part of either sketch, so they meet in the rarest hashes of each; only those that do and aren't
+    in one group already are compared. An empty sketch is a group of its own.
+    """
+    group = np.arange(len(sketches))
+    held: dict[bytes, int] = {}
+    for i, s in enumerate(sketches):
+        group[i] = held.setdefault(s.tobytes(), i) if len(s) else i
+    members = [i for i in held.values()]
+    if not members:
+        return group
+    flat, lengths = np.concatenate([sketches[i] for i in members]), np.array([len(sketches[i]) for i in members])
+    owner = np.repeat(np.arange(len(members)), lengths)
+    _, token, often = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((token, often[token], owner))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    rare = order[(place < (lengths - (lengths * percent + 99) // 100 + 1)[owner]) & (often[token[order]] > 1)]
+    token, owner = token[rare], owner[rare]  # by owner still
+    begins = np.searchsorted(owner, np.arange(len(members) + 1))
+    by_token = np.argsort(token, kind="stable")
+    holders, starts = owner[by_token], np.searchsorted(token[by_token], np.arange(len(often) + 1))
+    found = np.arange(len(members))
+    for i in range(1, len(members)):
+        met = np.zeros(len(members), bool)
+        for t in token[begins[i] : begins[i + 1]]:
+            met[holders[starts[t] : starts[t + 1]]] = True
+        others = np.flatnonzero(met[:i])
+        while len(others := others[found[others] != found[i]]):
+            a, b = sketches[members[i]], sketches[members[others[0]]]
+            least, n = np.unique(np.concatenate([a, b]), return_counts=True)
+            if 100 * np.count_nonzero(n[:size] == 2) >= percent * len(least[:size]):
+                found[found == found[i]] = found[others[0]]
+            others = others[1:]
+    number = np.arange(len(sketches))
+    number[members] = np.array(members)[found]
+    return number[group]
+
+
+def _copy_groups(rows: DataFrame) -> DataFrame:
+    """row, group: whole texts are cut into shingles where they are; the sketches, at most max_docs times 4 KB, go to one task."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"row": batch["row"], "sketch": [shingles(t, COPY_WORDS)[:SKETCH].tobytes() for t in batch["text"]]})
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            both = pd.concat(parts).sort_values("row")
+            yield pd.DataFrame({"row": both["row"], "group": link_copies([np.frombuffer(b, np.uint64) for b in both["sketch"]])})
+
+    return rows.select("row", "text").mapInPandas(cut, "row long, sketch binary").repartition(1).mapInPandas(link, "row long, group long")
+
+
 def _patterns(sample: DataFrame, settings: Settings) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and word beginnings that toxic documents hold and others hardly ever do, with their weights.
+    """Words and word beginnings that toxic documents hold and others hardly ever do, with their weights. `sample` has id, toxic, text, row.
 
-    Of a group of near copies (as in op6, but from an n-gram Jaccard of 0.55 on, chains included) only one counts:
+    Of a group of near copies (from an n-gram Jaccard of 0.55 on, chains included) only one counts:
     else the words of one toxic document with many copies would pass for insults. It is a toxic one if the group
     has any, with the smallest id among those. Different documents count each, however many words they share.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     stems = [_beginnings(n) for n in PREFIXES]
     long = F.filter("words", lambda w: F.char_length(w) >= PREFIXES[0])
-    # ids may repeat with other texts, so rows are numbered
-    rows = written(sample.select("id", "toxic", "text", F.monotonically_increasing_id().alias("row")), "toxicity-rows")
-    groups = ngram_components(rows, id_col="row", settings=COPIES).select(F.col("doc_id").alias("row"), "component_id")
     one = F.min_by(F.struct("toxic", words.alias("words")), F.struct(-F.col("toxic"), "id", "row"))
-    sample = written(rows.join(groups, "row").groupBy("component_id").agg(one.alias("d")).select("d.*"), "toxicity-sample")
+    groups = F.broadcast(_copy_groups(sample))  # a row per sampled document
+    sample = written(sample.join(groups, "row").groupBy("group").agg(one.alias("d")).select("d.*"), "toxicity-sample")
     features = sample.select("toxic", F.explode(F.array_distinct(F.concat(long, *stems))).alias("pattern"))
     sizes = sample.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     bad, good = sizes["bad"] or 0, sizes["good"] or 0
@@ -320,7 +376,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"))
     ids = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(settings.max_docs)
     sample = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(ids), "id")
-    sample = sample.withColumn("quarter", F.pmod(F.xxhash64(F.lit("quarter"), "id"), F.lit(4)))
+    quarter = F.pmod(F.xxhash64(F.lit("quarter"), "id"), F.lit(4))
+    # written, so that all texts are read once; ids may repeat with other texts, so rows are numbered
+    sample = written(sample.withColumns({"quarter": quarter, "row": F.monotonically_increasing_id()}), "toxicity-rows")
     words, stems = _patterns(sample.where("quarter > 0"), settings)
     model = Model(words, stems)
     step = 0.25

@@ -6,7 +6,9 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeworks.llm import toxicity as t
 from tests.llm import odd
@@ -82,6 +84,36 @@ def test_fit(spark):
     assert nothing.words == nothing.stems == {}
 
 
+def links_of(sketches, percent, size):
+    """Groups by comparing all pairs."""
+    group = list(range(len(sketches)))
+    for i, a in enumerate(sketches):
+        for j, b in enumerate(sketches[:i]):
+            least = sorted({*a, *b})[:size]
+            if least and 100 * len({*least} & {*a} & {*b}) >= percent * len(least):
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("size", [8, 64])
+def test_copies_against_all_pairs(size):
+    rng = np.random.default_rng(size)
+    passage = rng.integers(0, 2**63, 12).astype(np.uint64)  # in many documents
+    sets = [np.zeros(0, np.uint64)] * 3
+    for _ in range(60):
+        own = rng.integers(0, 2**63, rng.integers(1, 60)).astype(np.uint64)
+        sets.append(np.concatenate([own, passage[: rng.integers(0, 13)]]))
+        for _ in range(rng.integers(0, 4)):  # copies, near copies and chains of them
+            sets.append(np.concatenate([sets[-1][rng.random(len(sets[-1])) > rng.choice([0, 0.1, 0.4])], rng.integers(0, 2**63, rng.integers(0, 4)).astype(np.uint64)]))
+    sketches = [np.unique(s)[:size] for s in sets]
+    for percent in (55, 80, 100):
+        found, expected = t.link_copies(sketches, percent, size), links_of(sketches, percent, size)
+        pairs = set(zip(found.tolist(), expected, strict=True))
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}), percent
+        assert len(pairs) < len(sketches) and len({*found[:3]}) == 3
+    assert t.link_copies([], 55, size).tolist() == []
+
+
 def test_only_near_copies_count_once(spark):
     common = "aa bb cc dd ee ff gg hh ii jj kk"  # in all documents, so the least word hash is nearly always the same
     words = lambda i: " ".join(f"{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}{c}" for c in "klmnopqrst")
@@ -90,6 +122,7 @@ def test_only_near_copies_count_once(spark):
     # 30 copies of one toxic document, of which only the last is labelled so
     copied = [(i, f"{common} {words(90)} onceword {common} {words(91)}", int(i == 129)) for i in range(100, 130)]
     sample = spark.createDataFrame([*toxic, *clean, *copied], "id long, text string, toxic int")
+    sample = sample.withColumn("row", F.monotonically_increasing_id())
     found = t._patterns(sample, t.Settings())
     assert any("grukmal".startswith(x) for x in {**found[0], **found[1]})
     assert not any("onceword".startswith(x) for x in {**found[0], **found[1]})
@@ -114,7 +147,6 @@ def test_query_against_all_paths(spark, tmp_path):
     """op4 over odd rows: clauses cut and weighed by walking all paths, scores read off the curve again."""
     from gaugeworks.llm.common import held_out
     from gaugeworks.llm.entries import op4_toxicity
-    from pyspark.sql import functions as F
 
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
