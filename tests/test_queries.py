@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
@@ -43,6 +44,30 @@ def test_derived_tables_follow_their_source(spark, tmp_path):
     assert counts == [40, 70]
 
 
+def test_freshness_after_a_long_ingest(spark, monkeypatch):
+    """A flush counts by the clock as it stands when the ingest is over, however long that took; all ages are returned."""
+    begun = datetime.now(timezone.utc).replace(tzinfo=None)
+    clock = {"now": begun}
+
+    class Clock(datetime):
+        @classmethod
+        def now(cls, tz=None):
+            return clock["now"].replace(tzinfo=tz)
+
+    def ingested(s, d):  # noqa: ANN001
+        clock["now"] = begun + timedelta(minutes=10)
+
+    late = spark.createDataFrame([(begun + timedelta(minutes=9),)], "flushed_at timestamp_ntz")
+    monkeypatch.setattr(catalog, "datetime", Clock)
+    monkeypatch.setattr(catalog.derived, "ingested", ingested)
+    monkeypatch.setattr(catalog.ingest, "ingest_batches", lambda s, t: late)
+    found = catalog.QUERIES["freshness"](spark, SF_DIR).first()
+    assert found["flushed_lately"]
+    assert found["last_flush"] <= found["last_ts"] and found["flush_age_s"] >= found["age_s"]
+    late = late.limit(0)
+    assert not catalog.QUERIES["freshness"](spark, SF_DIR).first()["healthy"]
+
+
 def test_lookups_read_no_history(spark):
     """Lookups of the newest rows read what is kept of them, and no plan of theirs has a join."""
     for name in ("latest_by_machine", "latest_readings_by_sensor", "latest_overall", "machine_stats", "fleet_stats", "compacted_lookup"):
