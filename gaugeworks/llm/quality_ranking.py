@@ -60,10 +60,9 @@ _INDEX = {k: i for i, k in enumerate(KINDS)}
 
 @dataclass(frozen=True)
 class Settings:
-    """At most `max_docs` labelled documents are learned from, those with the smallest hashes of their ids, in at most
-    `max_docs` x `rivals` pairs. Everything that is scored is scored whole."""
+    """All labelled documents are learned from, in at most `rivals` pairs a document on average. Everything that is
+    scored is scored whole."""
 
-    max_docs: int = 10_000
     #: Bad documents that each good one is compared with, and good ones that each bad one is.
     rivals: int = 2
     ridge: float = 1e-3
@@ -126,15 +125,15 @@ def raw_scores(texts: list[str | None], model: Model) -> np.ndarray:
 # -- learning ----------------------------------------------------------------------------------------------
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, settings: Settings) -> DataFrame:
-    """id, good (0 or 1) and f (the features) of at most `max_docs` labelled documents.
+def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """id, good (0 or 1) and f (the features) of all labelled documents.
 
     A label that is null or belongs to no id is left out; of an id's labels the largest counts, of its texts the
-    least. The chosen ids are broadcast: `max_docs` bounds them.
+    least.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("good"))
-    ids = known.groupBy("id").agg(F.max("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(settings.max_docs)
-    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(ids), "id")
+    ids = known.groupBy("id").agg(F.max("good").alias("good"))
+    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(ids, "id")
     one = texts.groupBy("id").agg(F.max("good").alias("good"), F.min("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,13 +143,26 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
     return one.select(F.col("id").cast("string").alias("id"), "good", "text").mapInPandas(run, "id string, good int, f array<float>")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """good, f and k: the place among the documents of the label, from 0, by the hash of the id.
+
+    Hashes are cut into 2^12 ranges: a range of a label is numbered by itself, after the sizes of those before it.
+    """
+    hashed = rows.withColumn("h", F.xxhash64("id")).withColumn("range", F.shiftright("h", 52))
+    sizes = hashed.groupBy("good", "range").agg(F.count("*").alias("c"))  # 2^13 rows at most
+    before = Window.partitionBy("good").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("good", "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("good", "range").orderBy("h", "id")) - 1
+    return hashed.withColumn("place", place).join(F.broadcast(starts), ["good", "range"]).select("good", "f", (F.col("start") + F.col("place")).alias("k"))
+
+
 def preference_pairs(rows: DataFrame, rivals: int) -> DataFrame:
     """x: the features of a good document less those of a bad one; each document is in `rivals` pairs at least.
 
-    Documents of a label are numbered in hashed order (`rows` is the bounded sample) and the k-th is paired with the
-    rivals k x rivals and following of the other label, around and around: an equi-join on numbers.
+    Documents of a label are numbered in hashed order and the k-th is paired with the rivals k x rivals and following of
+    the other label, around and around: an equi-join on numbers.
     """
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("good").orderBy(F.xxhash64("id"), "id")) - 1)
+    ranked = written(_numbered(rows), "quality-numbered")
     sizes = ranked.groupBy().agg(F.count_if(F.col("good") == 1).alias("n_good"), F.count_if(F.col("good") == 0).alias("n_bad"))
     ranked = ranked.crossJoin(F.broadcast(sizes)).where("n_good > 0 AND n_bad > 0")  # a row
     others = F.when(F.col("good") == 1, F.col("n_bad")).otherwise(F.col("n_good"))
@@ -235,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     With documents of one label only there is no pair: all weights are 0, and every text gets the smoothed share of
     good labels as its score (0.5 without labels).
     """
-    rows = written(labelled_features(docs, labels, id_col, text_col, label_col, settings), "quality-features")
+    rows = written(labelled_features(docs, labels, id_col, text_col, label_col), "quality-features")
     n, n_good, mean, spread = _standards(rows)
     if not 0 < n_good < n:
         rate = (n_good + 0.5) / (n + 1)
@@ -249,10 +261,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(_standardised(_matrix(batch.column(0)), model) @ weights)], ["score"])
 
-    scores = sorted(r["score"] for r in rows.select("f").mapInArrow(run, "score double").collect())  # at most max_docs numbers
-    n_bad = n - n_good
-    # the quantile at the share of bad labels: as many of the sample lie below as are bad
-    return Model(model.mean, model.spread, model.weights, (scores[n_bad - 1] + scores[n_bad]) / 2)
+    scores = written(rows.select("f").mapInArrow(run, "score double"), "quality-learned-scores")
+    # the quantile at the share of bad labels: as many labelled documents lie below as are bad
+    return Model(model.mean, model.spread, model.weights, sum(_neighbours(scores, n, n - n_good)) / 2)
+
+
+def _neighbours(scores: DataFrame, n: int, k: int, margin: float = 2e-4) -> tuple[float, float]:
+    """The k-th and the k+1-th smallest of n scores, exactly.
+
+    A sketch tells bounds around them; only the different scores between these, a few in 10,000, come to the driver.
+    """
+    while True:
+        ends = [max(0.0, k / n - margin), min(1.0, (k + 1) / n + margin)]
+        low, high = scores.agg(F.percentile_approx("score", ends, 20_000).alias("e")).first()["e"] if margin < 1 else (-math.inf, math.inf)
+        upto = scores.where(F.col("score") < F.lit(low)).count()
+        found: list[float] = []
+        if upto < k:
+            for r in scores.where(F.col("score").between(F.lit(low), F.lit(high))).groupBy("score").agg(F.count("*").alias("c")).orderBy("score").collect():
+                found += [r["score"]] * max(0, min(upto + r["c"], k + 1) - max(upto, k - 1))  # places k - 1 and k
+                upto += r["c"]
+        if len(found) == 2:
+            return found[0], found[1]
+        margin *= 10  # the sketch missed
 
 
 # -- use ---------------------------------------------------------------------------------------------------

@@ -60,6 +60,26 @@ def test_pairs_are_of_both_labels(spark):
     assert quality_ranking.preference_pairs(rows.where("good = 1"), 2).count() == 0
 
 
+def test_all_labelled_documents_are_learned_from(spark):
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 7 > 0).cast("int").alias("quality"))
+    rows = quality_ranking.labelled_features(docs, labels, "doc_id", "text", "quality")
+    assert rows.count() == 12_000
+    numbers = quality_ranking._numbered(rows.select("id", "good", F.array(F.col("id").cast("int")).alias("f"))).orderBy("good", "k").collect()
+    wanted = rows.select("good", "id").orderBy("good", F.xxhash64("id"), "id").collect()
+    assert [(r["good"], r["f"][0]) for r in numbers] == [(r["good"], int(r["id"])) for r in wanted]
+    n_bad = sum(r["good"] == 0 for r in numbers)
+    assert [r["k"] for r in numbers] == [*range(n_bad), *range(12_000 - n_bad)]
+
+
+def test_the_scores_around_a_place(spark):
+    rng = np.random.default_rng(3)
+    for values in (rng.standard_normal(30_000), np.repeat([1.0, 2.0, 3.0], 7), np.array([2.0, 1.0])):
+        scores, ordered = spark.createDataFrame([(float(v),) for v in values], "score double"), sorted(values.tolist())
+        for k in {1, len(values) // 3, len(values) - 1} - {0}:
+            assert quality_ranking._neighbours(scores, len(values), k) == (ordered[k - 1], ordered[k])
+
+
 def test_held_out_labels(spark):
     out = entries.op11_quality_ranking(spark, SF_DIR)
     labels = read_table(spark, SF_DIR, "labels").select("doc_id", "quality")
