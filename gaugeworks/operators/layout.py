@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.session import written
@@ -15,6 +15,14 @@ def _micros(column: str):  # noqa: ANN202
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
+def _below(value: Column, cuts: list[int], begin: int = 0) -> Column:
+    """How many of the sorted cuts are less than the value (0 for null), by bisection: a row is compared with log2 of them."""
+    if not cuts:
+        return F.lit(begin)
+    half = len(cuts) // 2
+    return F.when(value > F.lit(cuts[half]), _below(value, cuts[half + 1 :], begin + half + 1)).otherwise(_below(value, cuts[:half], begin))
+
+
 def z_ordered(rows: DataFrame, files: int, bits: int = BITS) -> DataFrame:
     """`rows` in `files` partitions along a Z-order curve of (machine, time), by machine and time within each.
 
@@ -28,12 +36,10 @@ def z_ordered(rows: DataFrame, files: int, bits: int = BITS) -> DataFrame:
     machines = rows.groupBy("machine_id").agg(F.count("*").alias("n")).repartitionByRange(size, "machine_id")
     machines = written(machines.select("machine_id", F.spark_partition_id().alias("__m")), "machine-ranges")
     cuts = rows.agg(F.percentile_approx(_micros("ts"), [i / size for i in range(1, size)], 10_000).alias("cuts")).first()["cuts"] or []  # 2^bits numbers
-    spans = sorted(set(cuts))
-    span = F.aggregate(F.array(*[F.lit(c) for c in spans]), F.lit(0), lambda n, c: n + (c < _micros("ts")).cast("int")) if spans else F.lit(0)
     z = F.lit(0)
     for bit in range(bits):
         for place, value in ((2 * bit + 1, F.col("__m")), (2 * bit, F.col("__t"))):
             z = z.bitwiseOR(F.shiftleft(F.shiftright(value, bit).bitwiseAND(F.lit(1)), place))
-    placed = rows.join(machines, "machine_id", "left").withColumn("__t", span).withColumn("__z", z)
+    placed = rows.join(machines, "machine_id", "left").withColumn("__t", _below(_micros("ts"), sorted(set(cuts)))).withColumn("__z", z)
     laid_out = placed.repartitionByRange(files, "__z", "machine_id", "ts").sortWithinPartitions("machine_id", "ts")
     return laid_out.select(rows.columns)
