@@ -13,6 +13,8 @@ from gaugeworks.streaming.store import LAYER, Snapshot, Tables, Transaction, sna
 
 #: A layer is taken into the next one unless it has more than so many times the rows that are rewritten anyway.
 GROWTH = 2
+#: A table has no more files than these (or than it needs at LARGE_FILE bytes each) in a layer: beyond, its files grow.
+MOST_FILES, LARGE_FILE = 64, 128 << 20
 
 
 def _taken(batches: list[Row], layers: list[Row]) -> list[Row]:
@@ -30,6 +32,14 @@ def _taken(batches: list[Row], layers: list[Row]) -> list[Row]:
     return taken
 
 
+def n_files(n_bytes: int, file_bytes: int) -> int:
+    """Files of about `file_bytes`, which grow up to LARGE_FILE before there are more than MOST_FILES of them.
+
+    Each file costs the driver a task and a share of every shuffle's map, so small ones mustn't multiply with the rows.
+    """
+    return max(min(-(-n_bytes // file_bytes), MOST_FILES), -(-n_bytes // max(file_bytes, LARGE_FILE)))
+
+
 def _in_order(rows: DataFrame, snap: Snapshot, replaced: list[Row]) -> DataFrame:
     """With the order of commits as `arrival`; what is broadcast is a row per transaction that is replaced, from the manifest."""
     ranked = sorted(replaced, key=lambda r: (r["source"] != LAYER, r["committed_at"], r["txn"]))
@@ -37,12 +47,12 @@ def _in_order(rows: DataFrame, snap: Snapshot, replaced: list[Row]) -> DataFrame
     return rows.join(F.broadcast(order), "txn").drop("txn")
 
 
-def compact(spark: SparkSession, tables: Tables, most: int | None = None, file_bytes: int = 128 << 20) -> str | None:
+def compact(spark: SparkSession, tables: Tables, most: int | None = None, file_bytes: int = LARGE_FILE) -> str | None:
     """Rewrite the transactions that aren't compacted yet (the `most` oldest of them; all if not given) as one layer.
 
     Returns the layer's key, or None if there is nothing to rewrite. Layers that aren't much larger are merged in;
-    larger ones are left, and read only where a filter may know an id of the new rows. Files of about `file_bytes` are
-    laid out along machine and time. Of an id that came more than once the first commit's row stays.
+    larger ones are left, and read only where a filter may know an id of the new rows. Files of about `file_bytes`
+    (larger ones in a large table, see n_files()) are laid out along machine and time. Of an id that came more than once the first commit's row stays.
 
     The streams may run on meanwhile. The manifest row comes last and makes the layer visible and what it replaces
     invisible; vacuum() deletes the old files when no reader uses them any more. One compaction runs at a time.
@@ -57,7 +67,7 @@ def compact(spark: SparkSession, tables: Tables, most: int | None = None, file_b
     txn = Transaction(LAYER, 1 + max((r["batch_id"] for r in snap.entries.values() if r["source"] == LAYER), default=-1))
     rows = _in_order(snap.rows(tables.telemetry, TELEMETRY, keys), snap, replaced)
     kept, held = unseen(first_by_id(rows, "arrival"), snap.only(r["txn"] for r in layers if r["txn"] not in keys))
-    files = lambda table: -(-sum(stored_bytes(spark, f"{table}/txn={k}") for k in keys) // file_bytes)
+    files = lambda table: n_files(sum(stored_bytes(spark, f"{table}/txn={k}") for k in keys), file_bytes)
     bad = snap.rows(tables.rejects, REJECTS, keys).groupBy("raw", "reason", "origin").agg(F.sum("n").alias("n")).select("raw", "reason", "n", "origin")
     merged = scratch(spark, "compaction")
     try:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import latest, metrics
-from gaugeworks.operators.layout import z_ordered
+from gaugeworks.operators.layout import _below, z_ordered
 from gaugeworks.operators.readings import to_readings
 from gaugeworks.schemas import TELEMETRY
 from gaugeworks.streaming import compaction, ingest, store, uniqueness
@@ -313,3 +313,29 @@ def test_readings_of_kept_rows(spark, tmp_path):
     snap = store.snapshot(spark, found)
     assert sorted(map(tuple, snap.newest_readings().drop("txn").collect())) == sorted(map(tuple, to_readings(snap.telemetry()).collect()))
     assert latest.latest_readings(snap.newest_readings(), "EQP-002", "pressure", 5).count() == 2
+
+
+def test_files_grow_before_they_multiply():
+    """The number of files, and with it of tasks and what they send to the driver, is bounded until files are large."""
+    small, large = 64 << 10, 128 << 20
+    assert [compaction.n_files(n, small) for n in (0, 1, small, small + 1, 64 * small)] == [0, 1, 1, 2, 64]
+    assert compaction.n_files(10**9, small) == 64 and compaction.n_files(6 * 10**9, small) == 64
+    assert compaction.n_files(100 * large, small) == compaction.n_files(100 * large, large) == 100
+    assert compaction.n_files(10 * large, 2 * large) == 5
+
+
+def test_spans_are_found_by_bisection(spark):
+    cuts = [3, 5, 9, 10, 20]
+    rows = spark.range(25).select("id", _below(F.col("id"), cuts).alias("n")).collect()
+    assert all(r["n"] == sum(c < r["id"] for c in cuts) for r in rows)
+
+
+def test_filters_shuffle_ids_only(spark):
+    """No task sends bits of blocks: they are set where a block's ids are gathered, in one exchange."""
+    rows = spark.range(50_000).select(F.col("id").cast("string").alias("id"))
+    found = uniqueness.filter_of(rows, 16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "bitmap_construct_agg" not in plan[plan.index("Exchange hashpartitioning") :]
+    assert found.count() == 16
+    asked = uniqueness.may_be_known(uniqueness.hashed(rows), found, [16])
+    assert asked.count() == 50_000
