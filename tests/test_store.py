@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -339,3 +340,25 @@ def test_filters_shuffle_ids_only(spark):
     assert found.count() == 16
     asked = uniqueness.may_be_known(uniqueness.hashed(rows), found, [16])
     assert asked.count() == 50_000
+
+
+def test_a_bulk_load_writes_each_shape_once(spark, tmp_path):
+    """Stored tables come from one transaction, the first layer; of an id that comes twice one row stays."""
+    from gaugeworks.plans import derived
+
+    rows = batch(spark, ["1", "2", "3", "2"]).drop("reason", "raw", "ingest_ts")
+    found = store.Tables(str(tmp_path / "bulk"))
+    assert compaction.load(spark, rows, found) == "layer-000000000000"
+    snap = store.snapshot(spark, found)
+    (said,) = snap.entries.values()
+    assert (said["n_written"], said["n_readings"], said["n_repeated"], said["n_failed"]) == (3, 6, 1, 0)
+    assert sorted(r["id"] for r in snap.telemetry().collect()) == sorted(r["id"] for r in snap.newest().collect()) == ["1", "2", "3"]
+    assert snap.readings().count() == snap.newest_readings().count() == 6
+    assert ingest.commit_batch(batch(spark, ["3", "4"]), store.Transaction("s", 0), found)  # ids of the load are known
+    assert store.snapshot(spark, found).telemetry().count() == 4
+    with pytest.raises(ValueError, match="empty"):
+        compaction.load(spark, rows, found)
+
+    tables = derived._stored(spark, "/root/testdata/sf0.001")
+    for table in (tables.telemetry, tables.readings, tables.newest, tables.newest_readings):
+        assert [p.name for p in Path(table).iterdir() if p.name.startswith("txn=")] == ["txn=layer-000000000000"]
