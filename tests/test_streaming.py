@@ -302,3 +302,13 @@ def test_every_message_is_accounted_for(spark, tmp_path):
     assert tuple(metrics.accounted(batches, 17).first()) == (6, 6, 1, 0, False)  # a message that was never read
     short = batches.withColumn("n_written", batches["n_written"] - 1)
     assert not metrics.accounted(short, 16).first()["accounted"]  # one lost before the commit
+
+
+def test_published_files_are_compressed(spark, tmp_path):
+    """What two sinks get of every reading is most of what an ingest writes."""
+    path = tmp_path / "published"
+    lines = [f'{{"Id":"m{i}","SensorType":"Pressure","Value":1.5}}' for i in range(2000)]
+    ingest.text_sink(str(path))(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), "s-0")
+    (file,) = (path / "txn=s-0").glob("*.gz")
+    assert file.stat().st_size < sum(map(len, lines)) / 4
+    assert sorted(r["value"] for r in spark.read.text(str(path)).select("value").collect()) == sorted(lines)
