@@ -121,3 +121,15 @@ def test_one_row_of_each_group_stays(spark):
     assert out.columns == docs.columns
     key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key) == sorted([(1, a), (2, b), (4, ""), (5, ""), (6, None), (None, a), (None, a)], key=key)
+
+
+def test_the_join_stage_writes_no_second_copy_of_the_texts(spark):
+    """Its rows are known by a hash; what it writes meanwhile has no text."""
+    from gaugeworks import session
+
+    made = session._made.setdefault(spark.sparkContext.applicationId, [])
+    before = set(made)
+    out = stages.keep_one_of_each_group(spark, read_table(spark, SF_DIR, "documents").limit(40), "")
+    assert out.count()
+    written = [p for p in made if p not in before and session.exists(spark, p)]
+    assert written and not any("text" in spark.read.parquet(p).columns for p in written)
