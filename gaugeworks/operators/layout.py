@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,23 +25,38 @@ def _below(value: Column, cuts: list[int], begin: int = 0) -> Column:
     return F.when(value > F.lit(cuts[half]), _below(value, cuts[half + 1 :], begin + half + 1)).otherwise(_below(value, cuts[:half], begin))
 
 
-def z_ordered(rows: DataFrame, files: int, bits: int = BITS) -> DataFrame:
+@dataclass(frozen=True)
+class Spans:
+    """The range of each machine (machine_id, __m; a stored list) and where spans of time end, less than 2^bits of either."""
+
+    machines: DataFrame
+    instants: list[int]
+    bits: int
+
+
+def spans(rows: DataFrame, bits: int = BITS) -> Spans:
+    """Machines in 2^bits ranges of their ids, times in 2^bits spans of about equal numbers of rows, from a mergeable sketch."""
+    size = 1 << bits
+    machines = rows.select("machine_id").distinct().repartitionByRange(size, "machine_id")
+    machines = written(machines.select("machine_id", F.spark_partition_id().alias("__m")), "machine-ranges")
+    cuts = rows.agg(F.percentile_approx(_micros("ts"), [i / size for i in range(1, size)], 10_000).alias("cuts")).first()["cuts"] or []  # 2^bits numbers
+    return Spans(machines, sorted(set(cuts)), bits)
+
+
+def z_ordered(rows: DataFrame, files: int, bits: int = BITS, ends: Spans | None = None) -> DataFrame:
     """`rows` in `files` partitions along a Z-order curve of (machine, time), by machine and time within each.
 
-    Machines are dealt to 2^bits ranges of their ids, times to 2^bits spans of about equal numbers of rows; a file is
-    a stretch of the curve, so it has few of both. The ranges come from a list of machines that is written first, the
-    spans from a mergeable sketch; a machine with very many rows is cut by time like all others.
+    A file is a stretch of the curve through the ranges and spans of spans(), so it has few machines and little time; a
+    machine with very many rows is cut by time like all others. `ends` are those of the same machines and times, where
+    they are known already.
     """
     if files <= 1:
         return rows.coalesce(1).sortWithinPartitions("machine_id", "ts")
-    size = 1 << bits
-    machines = rows.groupBy("machine_id").agg(F.count("*").alias("n")).repartitionByRange(size, "machine_id")
-    machines = written(machines.select("machine_id", F.spark_partition_id().alias("__m")), "machine-ranges")
-    cuts = rows.agg(F.percentile_approx(_micros("ts"), [i / size for i in range(1, size)], 10_000).alias("cuts")).first()["cuts"] or []  # 2^bits numbers
+    ends = ends or spans(rows, bits)
     z = F.lit(0)
-    for bit in range(bits):
+    for bit in range(ends.bits):
         for place, value in ((2 * bit + 1, F.col("__m")), (2 * bit, F.col("__t"))):
             z = z.bitwiseOR(F.shiftleft(F.shiftright(value, bit).bitwiseAND(F.lit(1)), place))
-    placed = rows.join(machines, "machine_id", "left").withColumn("__t", _below(_micros("ts"), sorted(set(cuts)))).withColumn("__z", z)
+    placed = rows.join(ends.machines, "machine_id", "left").withColumn("__t", _below(_micros("ts"), ends.instants)).withColumn("__z", z)
     laid_out = placed.repartitionByRange(files, "__z", "machine_id", "ts").sortWithinPartitions("machine_id", "ts")
     return laid_out.select(rows.columns)

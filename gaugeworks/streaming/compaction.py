@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.layout import z_ordered
+from gaugeworks.operators.layout import spans, z_ordered
 from gaugeworks.operators.readings import first_by_id, to_readings
 from gaugeworks.schemas import REJECTS, SENSORS, TELEMETRY
 from gaugeworks.session import delete, empty, scratch, small_table, stored_bytes
@@ -61,7 +61,9 @@ def _laid_out(spark: SparkSession, tables: Tables, txn: Transaction, kept: DataF
         kept.write.parquet(merged)
         kept = spark.read.schema(TELEMETRY).parquet(merged)
         wide, narrow = files(merged)
-        return write_shapes(spark, tables, txn, z_ordered(kept, wide), bad, lambda t: z_ordered(to_readings(t), narrow), layer=True)
+        ends = spans(kept) if max(wide, narrow) > 1 else None
+        # snapshots cross the shuffle, readings are made behind it: they have the machine and time of theirs, so they come in order
+        return write_shapes(spark, tables, txn, z_ordered(kept, wide, ends=ends), bad, lambda t: to_readings(z_ordered(t, narrow, ends=ends)), layer=True)
     finally:
         delete(spark, merged)
 

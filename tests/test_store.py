@@ -362,3 +362,35 @@ def test_a_bulk_load_writes_each_shape_once(spark, tmp_path):
     tables = derived._stored(spark, "/root/testdata/sf0.001")
     for table in (tables.telemetry, tables.readings, tables.newest, tables.newest_readings):
         assert [p.name for p in Path(table).iterdir() if p.name.startswith("txn=")] == ["txn=layer-000000000000"]
+
+
+def test_a_layer_shuffles_snapshots_not_readings(spark, tmp_path, monkeypatch):
+    """Readings are made behind the exchange that lays them out, in order; machines and times are ranged once for both shapes."""
+    from gaugeworks.operators import layout
+
+    rows = batch(spark, [str(i) for i in range(1, 200)]).drop("reason", "raw", "ingest_ts")
+    plans, ranged = [], []
+    write, ends = compaction.write_shapes, layout.spans
+    plan_of = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+
+    def seen(spark, tables, txn, telemetry, bad, readings, layer):
+        plans.extend([plan_of(telemetry), plan_of(readings(telemetry))])
+        return write(spark, tables, txn, telemetry, bad, readings, layer)
+
+    counted = lambda *args: (ranged.append(1), ends(*args))[1]
+    monkeypatch.setattr(compaction, "write_shapes", seen)
+    monkeypatch.setattr(layout, "spans", counted)
+    monkeypatch.setattr(compaction, "spans", counted, raising=False)
+    monkeypatch.setattr(compaction, "LOAD_FILE", 1 << 10)
+    found = store.Tables(str(tmp_path / "out"))
+    compaction.load(spark, rows, found)
+    wide, narrow = plans
+    assert "Repartition" in wide and len(ranged) == 1
+    assert narrow.index("Generate") < narrow.index("Repartition")  # plans begin with what comes last
+    snap = store.snapshot(spark, found)
+    assert sorted(map(tuple, snap.readings().drop("txn").collect())) == sorted(map(tuple, to_readings(snap.telemetry()).collect()))
+    files = list(Path(f"{found.readings}/txn=layer-000000000000").glob("*.parquet"))
+    assert len(files) > 1
+    for f in files:
+        keys = [(r["machine_id"], r["ts"]) for r in spark.read.parquet(str(f)).collect()]
+        assert keys == sorted(keys)
