@@ -312,3 +312,22 @@ def test_published_files_are_compressed(spark, tmp_path):
     (file,) = (path / "txn=s-0").glob("*.gz")
     assert file.stat().st_size < sum(map(len, lines)) / 4
     assert sorted(r["value"] for r in spark.read.text(str(path)).select("value").collect()) == sorted(lines)
+
+
+def test_tasks_of_a_commit_report_nothing_of_the_state(spark, tmp_path):
+    """A commit reads its batch from files: the stateful stage isn't behind it."""
+    land(tmp_path / "in", "a", [*LINES, "{"])
+    seen = []
+
+    def commit(rows, txn, tables):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        seen.append((plan, [f for f in rows.inputFiles() if "batches-" in f]))
+        ingest.commit_batch(rows, txn, tables)
+
+    start(spark, tmp_path, commit).awaitTermination()
+    ((plan, files),) = seen
+    assert "Deduplicate" not in plan and "InMemoryTableScan" not in plan and files
+    assert stored(spark, tmp_path) == ([str(i) for i in range(6)], 12)
+    from pathlib import Path
+
+    assert not any(Path(f.removeprefix("file:").replace("///", "/")).exists() for f in files)
