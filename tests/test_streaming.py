@@ -315,18 +315,20 @@ def test_published_files_are_compressed(spark, tmp_path):
 
 
 def test_tasks_of_a_commit_report_nothing_of_the_state(spark, tmp_path):
-    """A commit reads its batch from files: the stateful stage isn't behind it."""
+    """A commit reads its batch from files: the stateful stage isn't behind it, and good rows carry no raw text through it."""
     land(tmp_path / "in", "a", [*LINES, "{"])
     seen = []
 
     def commit(rows, txn, tables):
         plan = rows._jdf.queryExecution().executedPlan().toString()
-        seen.append((plan, [f for f in rows.inputFiles() if "batches-" in f]))
+        raws = sorted((r["reason"] or "", r["raw"]) for r in rows.collect())
+        seen.append((plan, raws, [f for f in rows.inputFiles() if "batches-" in f]))
         ingest.commit_batch(rows, txn, tables)
 
     start(spark, tmp_path, commit).awaitTermination()
-    ((plan, files),) = seen
+    ((plan, raws, files),) = seen
     assert "Deduplicate" not in plan and "InMemoryTableScan" not in plan and files
+    assert raws == [("", None)] * 6 + [("malformed_json", "{")]
     assert stored(spark, tmp_path) == ([str(i) for i in range(6)], 12)
     from pathlib import Path
 
