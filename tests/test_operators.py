@@ -78,6 +78,16 @@ def test_first_by_id(spark):
     assert sorted(map(tuple, readings.first_by_id(rows, "arrival").collect())) == [("a", "y"), ("b", "z")]
 
 
+def test_first_by_id_shuffles_columns_once(spark):
+    """The aggregate's buffer is one struct, so no column crosses the shuffle both as value and as order."""
+    rows = spark.createDataFrame([("a", None, 2.0, 1), ("a", "y", None, 1), ("b", None, None, 3), ("a", "x", 0.0, 1)], "id string, v string, w double, arrival int")
+    found = readings.first_by_id(rows, "arrival")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "min_by" not in plan
+    assert sorted(map(tuple, found.collect())) == [("a", None, 2.0), ("b", None, None)]  # nulls come first
+    assert found.columns == ["id", "v", "w"]
+
+
 def test_violations(spark):
     rows = spark.createDataFrame([("a" * 50,), ("a" * 51,), (None,)], "machine_id string")
     assert [r[0] for r in rows.select(readings.violation("machine_id")).collect()] == [None, "too_long", "null_required"]
