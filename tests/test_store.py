@@ -342,6 +342,32 @@ def test_filters_shuffle_ids_only(spark):
     assert asked.count() == 50_000
 
 
+def test_only_ties_are_ranked_again(spark):
+    """What is kept of machines without more rows than that is neither sorted nor ranked for each shape; ties, nulls and late rows included."""
+    at = lambda m: START + timedelta(minutes=m)
+    data = [(f"{m}{i}", m, float(i), 1.0, "", at(i // width)) for m, width, n in (("A", 1, 3), ("B", 4, 9), ("C", 1, 30), ("D", 9, 9)) for i in range(n)]
+    data += [("n1", None, 1.0, 1.0, "", None), ("n2", None, 2.0, 1.0, "", at(1)), ("n3", "A", 1.0, 1.0, "", None)]
+    rows = spark.createDataFrame(data, TELEMETRY)
+    kept = latest.counted_instants(rows, 5)
+    assert {r["machine_id"]: r["n_kept"] for r in kept.collect()} == {"A": 4, "B": 5, "C": 5, "D": 9, None: 2}
+    got = latest.newest_of_instants(kept, latest.latest_n_per_machine, 5)
+    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in latest.latest_n_per_machine(rows, 5).collect())
+    got = latest.newest_of_instants(kept, latest.newest_readings, 5, to_readings)
+    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in latest.newest_readings(to_readings(rows), 5).collect())
+
+
+def test_newest_shapes_of_a_transaction_rank_ties_only(spark, tmp_path, monkeypatch):
+    """What is ranked for the kept rows, but for the ranking by instant itself, are machines with ties at the end."""
+    ranked = {}
+    for name in ("latest_n_per_machine", "newest_readings"):
+        of = getattr(store, name)
+        monkeypatch.setattr(store, name, lambda rows, n, of=of, name=name: (ranked.update({name: rows.count()}), of(rows, n))[1])
+    found = store.Tables(str(tmp_path))
+    ingest.commit_batch(batch(spark, ["1", "2", "3", "4"]), store.Transaction("s", 0), found)
+    assert ranked == {"latest_n_per_machine": 0, "newest_readings": 0}
+    assert whole(spark, found)
+
+
 def test_a_bulk_load_writes_each_shape_once(spark, tmp_path):
     """Stored tables come from one transaction, the first layer; of an id that comes twice one row stays."""
     from gaugeworks.plans import derived
