@@ -342,6 +342,20 @@ def test_filters_shuffle_ids_only(spark):
     assert asked.count() == 50_000
 
 
+def test_filters_sort_an_id_once(spark):
+    """An id's bits are set side by side, in an aggregate over a row an id, not over a row a bit; all of them are set."""
+    ids = [str(i) for i in range(500)]
+    rows = spark.createDataFrame([(i,) for i in ids], "id string")
+    found = uniqueness.filter_of(rows, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan[plan.index("bitmap_construct_agg") :]  # plans begin with what comes last
+    wanted = {}
+    for r in uniqueness.hashed(rows).select(uniqueness._block(4).alias("block"), uniqueness._bits().alias("places")).collect():
+        wanted.setdefault(r["block"], set()).update(r["places"])
+    got = {r["block"]: {8 * i + b for i, byte in enumerate(r["bits"]) for b in range(8) if byte >> b & 1} for r in found.collect()}
+    assert got == wanted and uniqueness.filter_of(rows.limit(0), 4).count() == 0
+
+
 def test_only_ties_are_ranked_again(spark):
     """What is kept of machines without more rows than that is neither sorted nor ranked for each shape; ties, nulls and late rows included."""
     at = lambda m: START + timedelta(minutes=m)
